@@ -152,7 +152,7 @@ def looks_disguised(text: str) -> bool:
                 run = same[n:] & same[:-n]
                 for k in range(1, n):
                     run = run[: len(run) - 1] & run[1:]
-                if (run & letter[: len(run)]).any():
+                if (run & (letter if n == 1 else p >= 0xA0 + 0x20 * (n - 1))[: len(run)]).any():
                     return True
             lone = letter[1:-1] & ~letter[:-2] & ~letter[2:]
             if (lone[:-4] & lone[2:-2] & lone[4:]).any():
@@ -215,7 +215,9 @@ class Restorer:
 
     def restore(self, text: str) -> str:
         low = text.lower()
-        return _DISGUISED.sub(lambda m: self.decode(m.group()), low) if looks_disguised(low) else low
+        if not looks_disguised(low):
+            return low
+        return "\n".join(_DISGUISED.sub(lambda m: self.decode(m.group()), x) if looks_disguised(x) else x for x in low.split("\n"))
 
 
 # ------------------------------------------------------------ the score
