@@ -1,0 +1,383 @@
+"""Personal data replaced by keyed, type-consistent surrogates.
+
+Every detected entity is reduced to a canonical form and mapped by a keyed
+permutation of its own type and format: digits stay digits, letters keep case
+and script, separators stay, a valid card number gets a valid one, a first name
+gets one of the same gender and script.  A permutation cannot merge two
+entities, and one entity has the same surrogate everywhere, in all documents.
+
+A collision check runs over the distinct entities of the corpus: a surrogate
+that is itself the value of another person there is drawn again (with the next
+tweak) until it neither is an entity nor the surrogate of one.  The few changed
+draws are broadcast if they are few, else joined to the documents that need them.
+
+Defined cases: a null text stays null and has no entities; empty texts and texts
+without entities come back unchanged; a null ``doc_id`` is passed through;
+repeated rows are treated alike; an empty table gives an empty result; other
+columns are left as they are; texts are searched whole, however long.
+"""
+
+from __future__ import annotations
+
+import functools
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpusloom.llm.common import cut, fresh
+
+#: Used where the session does not set ``corpusloom.pii.key``.
+DEFAULT_KEY = "corpusloom"
+#: Changed draws up to which they are broadcast.
+BROADCAST_ROWS = 100_000
+ROUNDS = 12
+
+# ---------------------------------------------------------------- detection
+
+FIRST = {
+    ("latin", "m"): "James John Robert Michael David William Richard Thomas Daniel Peter Hans Klaus Karl Jean Pierre Luis Carlos Juan Miguel Antonio".split(),
+    ("latin", "f"): "Mary Anna Susan Linda Sarah Karen Laura Julia Emma Alice Ursula Heike Marie Claire Sophie Maria Carmen Lucia Isabel Elena".split(),
+    ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил".split(),
+    ("cyrillic", "f"): "Анна Мария Ольга Елена Наталья Татьяна Ирина Светлана".split(),
+}
+LAST = "Smith Johnson Williams Brown Jones Miller Davis Wilson Taylor Clark Müller Schmidt Schneider Fischer Weber Dubois Moreau Laurent García Martínez López Sánchez".split()
+TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
+
+_FIRST_OF = {n: k for k, names in FIRST.items() for n in names}
+_CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
+_NAME = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.? (?P<tfirst>{_CAP} )?(?P<tlast>{_CAP})|(?P<first>{_CAP}) (?P<last>{_CAP}))(?!\w)")
+_MAIL = re.compile(r"[\w.%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
+_NUMBER = re.compile(
+    r"(?<![\w.])(?P<ipv4>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\w]|\.\d)"
+    r"|(?<!\w)(?P<ipv6>(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4})(?!\w)"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?|\d{1,4}[ .\-])\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\d)"
+    r"|(?<!\w)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\w\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-]))"
+    r"|(?<![\w\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w\-])"
+    r"|(?<![0-9])(?P<card>\d(?:[ \-]?\d){12,18})(?![0-9])"
+)
+_SECRET = re.compile(r"(?<![0-9A-Za-z])(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)")
+
+
+_DIGIT = re.compile("[0-9]")
+_TWO = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?: |(?<=Mr|Ms|Dr)\. |(?<=Mrs)\. |(?<=Prof)\. )[A-ZÀ-ÖØ-ÞА-ЯЁ]")
+
+
+@dataclass(frozen=True)
+class Entity:
+    kind: str
+    start: int
+    stop: int
+    text: str
+
+
+def detect(text: str) -> list[Entity]:
+    """Entities of a text, in order, without overlaps; the first pattern to claim a place has it."""
+    found: list[Entity] = []
+    at = text.find("@")
+    while at >= 0:
+        left, right = at, at
+        while left and not text[left - 1].isspace():
+            left -= 1
+        while right < len(text) and not text[right].isspace():
+            right += 1
+        found += [Entity("email", left + m.start(), left + m.end(), m.group()) for m in _MAIL.finditer(text[left:right])]
+        at = text.find("@", right)
+    digit = _DIGIT.search(text)
+    while digit:  # line by line, where there are digits
+        left = text.rfind("\n", 0, digit.start()) + 1
+        right = text.find("\n", digit.start())
+        right = len(text) if right < 0 else right
+        for pattern in (_NUMBER, _SECRET):
+            found += [Entity(m.lastgroup, m.start(), m.end(), m.group()) for m in pattern.finditer(text, left, right)]
+        digit = _DIGIT.search(text, right)
+    for m in _NAME.finditer(text) if _TWO.search(text) else ():
+        if m["title"]:
+            if m["tfirst"]:
+                found.append(Entity("first", m.start("tfirst"), m.end("tfirst") - 1, m["tfirst"][:-1]))
+            found.append(Entity("last", m.start("tlast"), m.end("tlast"), m["tlast"]))
+        elif m["first"] in _FIRST_OF:
+            found += [Entity("first", *m.span("first"), m["first"]), Entity("last", *m.span("last"), m["last"])]
+    found.sort(key=lambda e: (e.start, -e.stop))
+    out: list[Entity] = []
+    for e in found:
+        if not out or e.start >= out[-1].stop:
+            out.append(e)
+    return out
+
+
+def canonical(e: Entity) -> str:
+    """One spelling for all mentions of an entity."""
+    if e.kind in ("email", "ipv6"):
+        return e.text.lower()
+    if e.kind in ("card", "phone", "iban"):
+        return re.sub(r"[^0-9A-Za-z+]", "", e.text)
+    return e.text
+
+
+# ------------------------------------------------------------- permutations
+
+
+def _permute(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
+    """A keyed permutation of ``range(size)``: a Feistel network with cycle walking."""
+    if size <= 1:
+        return value
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    steps = range(ROUNDS - 1, -1, -1) if back else range(ROUNDS)
+    width = (half + 7) // 8
+    while True:
+        a, b = value >> half, value & mask
+        for r in steps:
+            if back:
+                a, b = b, a
+            h = hashlib.blake2b(f"{tweak}|{size}|{r}|".encode() + b.to_bytes(width, "big"), key=key, digest_size=min(64, width + 8))
+            f = int.from_bytes(h.digest(), "big") & mask if width <= 56 else int.from_bytes(hashlib.shake_256(h.digest()).digest(width), "big") & mask
+            a ^= f
+            if not back:
+                a, b = b, a
+        value = (a << half) | b
+        if value < size:
+            return value
+
+
+_ALPHABETS = [
+    "0123456789",
+    "abcdefghijklmnopqrstuvwxyz",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7),
+    "".join(chr(c) for c in range(0xC0, 0xDF) if c != 0xD7),
+    "".join(chr(c) for c in range(0x430, 0x450)),
+    "".join(chr(c) for c in range(0x410, 0x430)),
+    "".join(chr(c) for c in range(0x3B1, 0x3CA) if c != 0x3C2),
+    "".join(chr(c) for c in range(0x391, 0x3AA) if c != 0x3A2),
+]
+_HEX = ["0123456789abcdef", "0123456789ABCDEF"]
+_SOUNDS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", *_ALPHABETS[3:]]
+
+
+def _spell(text: str, alphabets: list[str], key: bytes, tweak: str, back: bool) -> str:
+    """Permute all texts of the same pattern: each character stays in its alphabet."""
+    slots = [(i, a) for i, c in enumerate(text) for a in alphabets if c in a]
+    slots = list({i: a for i, a in reversed(slots)}.items())[::-1]
+    value, size = 0, 1
+    for i, a in slots:
+        value, size = value * len(a) + a.index(text[i]), size * len(a)
+    pattern = "".join(a[0] for _, a in slots)
+    value = _permute(value, size, key, f"{tweak}|{pattern}", back)
+    out = list(text)
+    for i, a in reversed(slots):
+        value, k = divmod(value, len(a))
+        out[i] = a[k]
+    return "".join(out)
+
+
+def luhn(digits: str) -> int:
+    """The check digit that completes ``digits``."""
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if k % 2 == 0 else 1)
+        total += d - 9 * (d > 9)
+    return -total % 10
+
+
+@functools.lru_cache(maxsize=64)
+def _cycle(pool: tuple[str, ...], key: bytes) -> dict[str, str]:
+    order = sorted(pool, key=lambda n: hashlib.blake2b(n.encode(), key=key).digest())
+    return dict(zip(order, order[1:] + order[:1], strict=True))
+
+
+def surrogate(kind: str, value: str, key: bytes, draw: int = 0, back: bool = False) -> str:
+    """The surrogate of a canonical value; ``back`` undoes it."""
+    tweak = f"{kind}|{draw}"
+    if kind == "email":
+        m = re.fullmatch(r"(.*?)(\.example\.(?:com|org|net)|\.[a-z]{2,})", value, re.DOTALL)
+        return _spell(m[1], _ALPHABETS, key, tweak + m[2], back) + m[2]
+    if kind == "ipv4":
+        a, b, c, d = map(int, value.split("."))
+        n = (a << 24) | (b << 16) | (c << 8) | d
+        low, size = (1 << 24, 223 << 24) if 1 <= a <= 223 else (224 << 24, 32 << 24) if a else (0, 1 << 24)
+        n = low + _permute(n - low, size, key, tweak, back)
+        return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "card":
+        head, rest = value[0], value[1:]
+        if luhn(value[:-1]) == int(value[-1]):
+            body = _spell(rest[:-1], _ALPHABETS, key, tweak + head, back)
+            return head + body + str(luhn(head + body))
+        while True:
+            rest = _spell(rest, _ALPHABETS, key, f"{tweak}{head}x", back)
+            if luhn(head + rest[:-1]) != int(rest[-1]):
+                return head + rest
+    if kind == "phone" and value.startswith("+"):
+        return value[:2] + _spell(value[2:], _ALPHABETS, key, tweak + value[:2], back)
+    if kind == "iban":
+        return value[:2] + _spell(value[2:], _ALPHABETS, key, tweak + value[:2], back)
+    if kind in ("secret", "ipv6"):
+        return _spell(value, _HEX[:1] if value == value.lower() else _HEX[1:], key, tweak, back)
+    if kind in ("first", "last"):
+        pool = tuple(FIRST[_FIRST_OF[value]]) if kind == "first" and value in _FIRST_OF else tuple(LAST) if kind == "last" and value in LAST else None
+        if pool:
+            turn = _cycle(pool, key)
+            return {v: k for k, v in turn.items()}[value] if back else turn[value]
+        known = _FIRST_OF if kind == "first" else LAST
+        while True:
+            value = _spell(value, _SOUNDS, key, tweak, back)
+            if value not in known:
+                return value
+    return _spell(value, _ALPHABETS, key, tweak, back)
+
+
+def rendered(e: Entity, new: str) -> str:
+    """The surrogate in the spelling of this mention: its separators and case."""
+    if e.kind in ("card", "phone", "iban"):
+        left = iter(new)
+        return "".join(next(left) if re.match(r"[0-9A-Za-z+]", c) else c for c in e.text)
+    if e.kind == "ipv6" and e.text == e.text.upper():
+        return new.upper()
+    return new
+
+
+def replace(text: str, key: bytes, changed: dict[tuple[str, str], str]) -> tuple[str, list[tuple[str, int, int, str]]]:
+    """The text with surrogates, and (kind, start, stop, surrogate) of every entity in ``text``."""
+    parts, spans, at = [], [], 0
+    for e in detect(text):
+        value = canonical(e)
+        new = rendered(e, changed.get((e.kind, value)) or surrogate(e.kind, value, key))
+        parts += [text[at : e.start], new]
+        spans.append((e.kind, e.start, e.stop, new))
+        at = e.stop
+    return "".join([*parts, text[at:]]), spans
+
+
+# ------------------------------------------------------------------- Spark
+
+#: First names and listed surnames trade places within a short list, so a
+#: surrogate is always somebody's name; only distinctness can hold there.
+_LISTED = ("first", "last")
+
+
+def key_of(spark) -> bytes:
+    return hashlib.blake2b(spark.conf.get("corpusloom.pii.key", DEFAULT_KEY).encode(), digest_size=32).digest()
+
+
+def _map(df: DataFrame, schema: str, f: Callable[[tuple], Iterator[tuple]]) -> DataFrame:
+    kinds = T._parse_datatype_string(schema)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(kinds)
+        for b in batches:
+            rows = [r for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for r in f(row)]
+            cols = list(zip(*rows, strict=True)) or [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def entities(docs: DataFrame, key: bytes) -> DataFrame:
+    """Distinct (kind, value, drawn) of the corpus."""
+
+    def find(row):
+        seen = {(e.kind, canonical(e)) for e in detect(row[0] or "")}
+        return ((k, v, surrogate(k, v, key)) for k, v in seen)
+
+    return _map(docs.select("text"), "kind string, value string, drawn string", find).distinct()
+
+
+def redraw(known: DataFrame, key: bytes) -> DataFrame:
+    """(kind, value, drawn) for entities whose first surrogate is taken.
+
+    A draw is free if it is no entity, if undoing the first draw on it gives no
+    entity (else it is some entity's surrogate), and if no other new draw has it.
+    """
+    checked = known.where(~F.col("kind").isin(*_LISTED))
+    values = checked.select("kind", F.col("value").alias("drawn"))
+    open_ = cut(checked.join(values, ["kind", "drawn"], "left_semi").select("kind", "value"))
+    done, draw = None, 0
+    while not open_.isEmpty():
+        draw += 1
+
+        def again(row, draw=draw):
+            new = surrogate(row[0], row[1], key, draw)
+            return [(row[0], row[1], new, surrogate(row[0], new, key, 0, back=True))]
+
+        tried = _map(open_, "kind string, value string, drawn string, source string", again)
+        free = tried.join(values, ["kind", "drawn"], "left_anti").join(
+            values.select("kind", F.col("drawn").alias("source")), ["kind", "source"], "left_anti"
+        )
+        if done is not None:
+            free = free.join(done.select("kind", "drawn"), ["kind", "drawn"], "left_anti")
+        won = free.groupBy("kind", "drawn").agg(F.min("value").alias("value")).select("kind", "value", "drawn")
+        done = cut(won if done is None else done.unionByName(won))
+        open_ = cut(open_.join(done, ["kind", "value"], "left_anti"))
+    return known.limit(0) if done is None else done
+
+
+def anonymise(docs: DataFrame, key: bytes, name: str = "entities", keep_text: bool = True) -> DataFrame:
+    """``docs`` with surrogates in ``text`` and one more column, the spans replaced."""
+    known = cut(entities(docs, key))
+    changes = redraw(known, key)
+    n = changes.count()
+    kind = T._parse_datatype_string("array<struct<kind:string,start:int,stop:int,surrogate:string>>")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
+    at = docs.columns.index("text")
+    width, names = len(docs.columns), [f.name for f in schema.fields]
+    own, table = None, {}
+    source = docs
+    if n > BROADCAST_ROWS:
+        own = fresh(docs, "changes")
+        source = _with_changes(docs, changes, own)
+    elif n:
+        table = {(r[0], r[1]): r[2] for r in changes.collect()}  # at most BROADCAST_ROWS
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for b in batches:
+            extra = b.column(width).to_pylist() if own else None
+            texts, spans = [], []
+            for i, t in enumerate(b.column(at).to_pylist()):
+                more = {(x["kind"], x["value"]): x["drawn"] for x in extra[i] or ()} if own else table
+                new, found = (None, []) if t is None else replace(t, key, more)
+                texts.append(new)
+                spans.append([dict(zip(("kind", "start", "stop", "surrogate"), s, strict=True)) for s in found])
+            cols = list(b.columns[:width])
+            cols[at] = pa.array(texts, b.column(at).type)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, to_arrow_type(kind))], names)
+
+    return source.mapInArrow(run, schema)
+
+
+def _with_changes(docs: DataFrame, changes: DataFrame, own: str) -> DataFrame:
+    """``docs`` with the changed draws that each of them needs, by joins.
+
+    Documents are told by a hash of id and text; documents that share a hash
+    get each other's draws too, which are the same for all of them.
+    """
+    mark = F.xxhash64("doc_id", "text")
+    key, count = fresh(docs, "mark"), len(docs.columns)
+    needed = _map(
+        docs.select(mark.alias("mark"), "text"),
+        "mark long, kind string, value string",
+        lambda row: ((row[0], k, v) for k, v in {(e.kind, canonical(e)) for e in detect(row[1] or "")}),
+    )
+    lists = needed.join(changes, ["kind", "value"]).groupBy(F.col("mark").alias(key)).agg(
+        F.collect_set(F.struct("kind", "value", "drawn")).alias(own)  # no more than one document's entities
+    )
+    marked = docs.withColumn(key, mark)
+    return marked.join(lists, key, "left").select(*[marked[c] for c in docs.columns[:count]], own)
+
+
+def pii_surrogates(spark, sf_dir: str) -> DataFrame:
+    """The query over all of ``documents``: the new text and what was replaced."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    done = anonymise(docs, key_of(spark))
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.col("entities.kind"))), ",")
+    return done.select("doc_id", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"), "text")
