@@ -1,4 +1,720 @@
-"""Queries and their SQL by name."""
+"""The engine's queries over the shared tables, by name, with SQL beside them.
+
+Binding: a library is a ``source`` of ``documents``, its priority the number in
+its name modulo four; ``benchmark`` holds the search queries, ``pages`` the
+fetched pages and candidate hits, ``events`` the requests to be throttled.
+Every query runs over its whole tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions import tables as T
+from corpusloom.functions import text as X
+from corpusloom.operators import admission, chunking, coverage, extract, retrieval, scoring, serp, throttle
+from corpusloom.operators import corpus as C
+from corpusloom.plans import planning, report
+from corpusloom.session import table
+
+TOPIC = "general public license research"
+WORDS = ["general", "public", "license", "research"]
+YEAR = 2026
+TOP = 10
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# ------------------------------------------------------------- SQL fragments
+
+
+def _in(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _values(rows) -> str:
+    cell = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(cell(x) for x in r) + ")" for r in rows)
+
+
+def _tok(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[^a-z0-9\\s_-]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN {_in(T.INDEX_STOP_WORDS)})"
+
+
+_DOUBLE = "(" + "|".join(f"{c}{c}+" for c in "abcdefghijklmnopqrstuvwxyz0123456789_-") + ")$"
+
+
+def _stem(w: str) -> str:
+    x = f"regexp_replace(regexp_replace(regexp_replace({w}, 'ies$', 'y'), 'ves$', 'f'), '(s|ed|ing|tion|ment|ness|able|ible)$', '')"
+    return f"CASE WHEN regexp_matches({x}, '{_DOUBLE}') THEN regexp_replace({x}, '{_DOUBLE}', '') || right({x}, 1) ELSE {x} END"
+
+
+def _terms(cte: str, source: str, key: str, text: str) -> str:
+    """CTEs ``{cte}_w`` and ``{cte}``: (key, term) with every occurrence."""
+    return f"""{cte}_w AS (SELECT {key}, unnest({_tok(text)}) AS w FROM {source}),
+{cte} AS (SELECT {key}, w AS term FROM {cte}_w UNION ALL SELECT {key}, s FROM (SELECT {key}, w, {_stem('w')} AS s FROM {cte}_w) WHERE s <> w AND length(s) > 2)"""
+
+
+_TIER = "CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4"
+_PRIORITY = f"['proprietary', 'internal', 'reference', 'general'][{_TIER} + 1]"
+_CHUNKS = f"""ch AS (
+  SELECT doc_id * 100000 + i AS seq, source AS library_id, {_TIER} AS tier, doc_id, 'doc' || doc_id AS file_name,
+         CAST(i AS INT) AS chunk_index, n AS total_chunks, substr(text, CAST(i * 3520 + 1 AS BIGINT), 4000) AS text
+  FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT *, greatest(CAST(ceil((length(text) - 4000) / 3520.0) AS INT), 0) + 1 AS n FROM documents WHERE text IS NOT NULL)))"""
+_POST = f"""{_CHUNKS},
+{_terms('tm', 'ch', 'seq', 'text')},
+post AS (SELECT seq, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY seq) AS dl FROM tm GROUP BY seq, term),
+st AS (SELECT (SELECT count(*) FROM ch) AS n, coalesce(nullif((SELECT count(*) FROM tm) / (SELECT count(*) FROM ch), 0), 1) AS avgdl),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
+_BM25 = f"""{_POST},
+{_terms('qt', '(SELECT item_id AS query_id, text FROM benchmark)', 'query_id', 'text')},
+qf AS (SELECT query_id, term, count(*) AS qf FROM qt GROUP BY ALL),
+bm AS (
+  SELECT query_id, seq, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.25 + 0.75 * dl / avgdl)) * qf) AS bm25
+  FROM post JOIN qf USING (term) JOIN dfs USING (term), st GROUP BY ALL)"""
+
+
+def _grams(x: str) -> str:
+    b = f"regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
+    return f"list_distinct(list_transform(range(1, greatest(length({b}) - 1, 1)), lambda i: substr({b}, i, 3)))"
+
+
+_NGRAM = f"""cg AS (SELECT seq, unnest(g) AS gram, len(g) AS cn FROM (SELECT seq, {_grams('left(text, 500)')} AS g FROM ch)),
+qg AS (SELECT query_id, unnest(g) AS gram, len(g) AS qn FROM (SELECT item_id AS query_id, {_grams('text')} AS g FROM benchmark)),
+ng AS (SELECT query_id, seq, count(*) / least(cn, qn) AS ngram FROM cg JOIN qg USING (gram) GROUP BY query_id, seq, cn, qn)"""
+
+
+def _hybrid(boost: bool) -> str:
+    factor = "(1 + (3 - tier) * 0.08)" if boost else "1"
+    return f"""{_BM25}, {_NGRAM},
+asked AS (SELECT DISTINCT query_id FROM qt),
+hy AS (
+  SELECT *, CASE WHEN bm25 > 0 THEN (bm25 + 0.2 * ngram) * {factor} ELSE 0.2 * ngram END AS total
+  FROM (SELECT query_id, seq, coalesce(bm25, 0) AS bm25, coalesce(ngram, 0) AS ngram FROM bm FULL JOIN ng USING (query_id, seq))
+  JOIN ch USING (seq) WHERE (bm25 > 0 OR ngram >= 0.15) AND query_id IN (SELECT query_id FROM asked))"""
+
+
+def _top(source: str, score: str = "total", where: str = "true") -> str:
+    return f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round({score}, 9) DESC, seq) AS rank FROM {source} WHERE {where})"
+
+
+# ------------------------------------------------------------- corpus
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return C.windows(_docs(spark, d))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query(f"WITH {_POST} SELECT seq, term, tf, CAST(dl AS INT) AS dl FROM post")
+def term_freq(spark, d):
+    return C.postings(_chunks(spark, d)).select("seq", "term", "tf", "dl")
+
+
+@query(f"WITH w AS (SELECT DISTINCT unnest({_tok('text')}) AS word FROM documents) SELECT word, {_stem('word')} AS stem FROM w")
+def stem_terms(spark, d):
+    words = _docs(spark, d).select(F.explode(X.tokens("text")).alias("word")).distinct()
+    return words.select("word", X.stem("word").alias("stem"))
+
+
+@query(f"WITH {_POST} SELECT term, df FROM dfs")
+def doc_freq(spark, d):
+    return C.document_frequency(C.postings(_chunks(spark, d)))
+
+
+@query(f"WITH {_POST} SELECT n, round(avgdl, 6) AS avgdl FROM st")
+def corpus_stats(spark, d):
+    return C.corpus_stats(_chunks(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {_CHUNKS} SELECT seq, library_id, doc_id, chunk_index, total_chunks, length(text) AS chars, md5(text) AS digest FROM ch")
+def chunk_windows(spark, d):
+    return _chunks(spark, d).select("seq", "library_id", "doc_id", "chunk_index", "total_chunks", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+@query()
+def smart_chunks(spark, d):
+    return chunking.smart_chunks(_docs(spark, d))
+
+
+@query(f"""SELECT source AS library_id, {_PRIORITY} AS priority, count(*) AS file_count,
+  CAST(sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS total_words, CAST(sum(length(text)) AS BIGINT) AS total_chars
+FROM documents GROUP BY source""")
+def library_list(spark, d):
+    return C.libraries(_docs(spark, d)).select("library_id", "priority", "file_count", "total_words", "total_chars")
+
+
+@query(f"""WITH {_POST} SELECT (SELECT count(DISTINCT library_id) FROM ch) AS libraries, (SELECT count(DISTINCT doc_id) FROM ch) AS files,
+  (SELECT count(*) FROM ch) AS chunks, (SELECT count(*) FROM dfs) AS terms, (SELECT count(*) FROM tm) AS words""")
+def library_stats(spark, d):
+    c = _chunks(spark, d)
+    a = c.agg(F.countDistinct("library_id").alias("libraries"), F.countDistinct("doc_id").alias("files"), F.count("*").alias("chunks"))
+    b = C.postings(c).groupBy("term").agg(F.sum("tf").alias("n")).agg(F.count("*").alias("terms"), F.sum("n").alias("words"))
+    return a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").drop("k")  # one row each
+
+
+@query("SELECT source AS library_id, lang AS file_type, count(*) AS files FROM documents GROUP BY ALL")
+def file_types(spark, d):
+    return _docs(spark, d).groupBy(F.col("source").alias("library_id"), F.col("lang").alias("file_type")).agg(F.count("*").alias("files"))
+
+
+@query("""SELECT p_partkey AS file_id, array_to_string(CASE WHEN len(t) > 0 THEN t ELSE ['general'] END, ',') AS tags FROM (
+  SELECT p_partkey, list_filter([CASE WHEN regexp_matches(n, '\\.(py|js|ts|java|go|rs|c|cpp|cs|rb|php|sh|sql|r)$') THEN 'code' END,
+    CASE WHEN regexp_matches(n, '\\.(csv|tsv|xlsx|json|xml|ya?ml)$') THEN 'data' END, CASE WHEN regexp_matches(n, '\\.(pdf|docx?)$') THEN 'documents' END,
+    CASE WHEN regexp_matches(n, '(report|summary|annual)') THEN 'reports' END, CASE WHEN regexp_matches(n, '(legal|contract|agreement|policy)') THEN 'legal' END,
+    CASE WHEN regexp_matches(n, '(finance|budget|invoice|revenue)') THEN 'financial' END, CASE WHEN regexp_matches(n, '(paper|study|research|thesis)') THEN 'academic' END,
+    CASE WHEN regexp_matches(n, '(spec|manual|guide|readme)') THEN 'technical' END], lambda x: x IS NOT NULL) AS t
+  FROM (SELECT p_partkey, lower(replace(p_type, ' ', '_') || ['.py', '.csv', '.pdf', '_report.txt', '_guide.md'][CAST(p_partkey % 5 AS INT) + 1]) AS n FROM part))""")
+def file_tags(spark, d):
+    ends = F.array(*[F.lit(x) for x in (".py", ".csv", ".pdf", "_report.txt", "_guide.md")])
+    name = F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.element_at(ends, (F.col("p_partkey") % 5).cast("int") + 1))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), F.array_join(C.file_tags(name), ",").alias("tags"))
+
+
+@query("""WITH a AS (SELECT '/' || source || '/' || doc_id AS file_path, sha256(text) AS h FROM documents WHERE lang <> 'es'),
+b AS (SELECT '/' || source || '/' || doc_id AS file_path, CASE WHEN lang = 'de' THEN sha256(text || '!') ELSE sha256(text) END AS h FROM documents WHERE lang <> 'fr')
+SELECT file_path, CASE WHEN b.h IS NULL THEN 'deleted' WHEN a.h IS NULL THEN 'added' ELSE 'modified' END AS status
+FROM a FULL JOIN b USING (file_path) WHERE a.h IS NULL OR b.h IS NULL OR a.h <> b.h""")
+def check_changes(spark, d):
+    # two states of one folder: French files went, Spanish ones came, German ones were edited
+    docs = _docs(spark, d).select(F.concat_ws("/", F.lit(""), "source", "doc_id").alias("file_path"), "lang", "text")
+    before = docs.where("lang <> 'es'").select("file_path", F.sha2("text", 256))
+    now = docs.where("lang <> 'fr'").select("file_path", F.sha2(F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256))
+    return C.changes(before, now)
+
+
+@query("SELECT source AS library_id, coalesce(CASE WHEN count(*) > 40 THEN 'large' END, source) AS name, count(*) AS file_count FROM documents GROUP BY source")
+def update_library(spark, d):
+    libs = C.libraries(_docs(spark, d)).select("library_id", F.col("library_id").alias("name"), "file_count")
+    return C.update_metadata(libs, libs.where("file_count > 40").select("library_id", F.lit("large").alias("name")))
+
+
+@query("WITH l AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT doc_id, source AS library_id FROM documents WHERE source <> (SELECT min(source) FROM l)")
+def remove_library(spark, d):
+    docs = _docs(spark, d).select("doc_id", F.col("source").alias("library_id"))
+    return C.remove_library(docs, docs.agg(F.min("library_id").alias("library_id"))).select("doc_id", "library_id")
+
+
+# ------------------------------------------------------------- retrieval
+
+
+@query(f"WITH {_BM25} SELECT query_id, seq, rank, round(bm25, 6) AS score FROM {_top('bm', 'bm25')} WHERE rank <= {TOP}")
+def bm25_topk(spark, d):
+    best = retrieval.top(retrieval.bm25(_chunks(spark, d), _items(spark, d)), TOP, "bm25")
+    return best.select("query_id", "seq", "rank", F.round("bm25", 6).alias("score"))
+
+
+@query(f"""WITH {_BM25}, bo AS (
+  SELECT query_id, seq, bm25 * CASE WHEN EXISTS (SELECT 1 FROM qf WHERE qf.query_id = bm.query_id AND contains(file_name, qf.term)) THEN 1.15 ELSE 1 END AS bm25
+  FROM bm JOIN ch USING (seq))
+SELECT query_id, seq, rank, round(bm25, 6) AS score FROM {_top('bo', 'bm25')} WHERE rank <= {TOP}""")
+def bm25_boosted(spark, d):
+    c, q = _chunks(spark, d), _items(spark, d)
+    best = retrieval.top(retrieval.boosted(retrieval.bm25(c, q), c, q), TOP, "bm25")
+    return best.select("query_id", "seq", "rank", F.round("bm25", 6).alias("score"))
+
+
+@query(f"WITH {_CHUNKS}, {_NGRAM} SELECT query_id, seq, rank, round(ngram, 6) AS ngram FROM {_top('ng', 'ngram')} WHERE rank <= {TOP}")
+def trigram_similarity(spark, d):
+    best = retrieval.top(retrieval.trigram(_chunks(spark, d), _items(spark, d)), TOP, "ngram")
+    return best.select("query_id", "seq", "rank", F.round("ngram", 6).alias("ngram"))
+
+
+_ROUNDED = "query_id, seq, rank, round(bm25, 6) AS bm25, round(ngram, 6) AS ngram, round(total, 6) AS total"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "seq", "rank", *[F.round(c, 6).alias(c) for c in ("bm25", "ngram", "total")])
+
+
+@query(f"WITH {_hybrid(True)} SELECT {_ROUNDED} FROM {_top('hy')} WHERE rank <= {TOP}")
+def hybrid_search(spark, d):
+    return _rounded(retrieval.top(retrieval.hybrid(_chunks(spark, d), _items(spark, d)), TOP))
+
+
+@query(f"WITH {_hybrid(True)} SELECT {_ROUNDED} FROM {_top('hy', 'total', 'tier <= 1')} WHERE rank <= {TOP}")
+def search_in_library(spark, d):
+    c = _chunks(spark, d)
+    hits = retrieval.hybrid(c, _items(spark, d))
+    return _rounded(retrieval.top(retrieval.in_libraries(hits, c.where("tier <= 1").select("library_id").distinct()), TOP))
+
+
+_TAGS = ["academic", "technical", "reports", "general"]
+
+
+@query(f"WITH {_hybrid(True)} SELECT {_ROUNDED} FROM {_top('hy', 'total', 'tier IN (0, 1)')} WHERE rank <= 8")
+def search_by_role(spark, d):
+    c = _chunks(spark, d)
+    tags = F.array(F.element_at(F.array(*[F.lit(t) for t in _TAGS]), F.col("tier") + 1))
+    libs = c.select("library_id", "tier").distinct().withColumn("tags", tags)
+    wanted = libs.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in T.ROLE_TAGS["academic"]])))
+    some = libs if wanted.isEmpty() else wanted
+    return _rounded(retrieval.top(retrieval.in_libraries(retrieval.hybrid(c, _items(spark, d)), some), 8))
+
+
+@query(f"""WITH {_hybrid(False)},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY round(total, 9) DESC, seq) AS turn FROM hy),
+p AS (SELECT query_id, tier, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY tier ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
+      FROM (SELECT query_id, tier, count(*) AS n FROM hy GROUP BY ALL)),
+k AS (SELECT * FROM r JOIN p USING (query_id, tier) WHERE prior < {TOP} AND turn <= greatest({TOP} - prior, 3)),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 9) DESC, tier, turn) AS rank FROM k)
+SELECT {_ROUNDED} FROM z WHERE rank <= {TOP}""")
+def search_progressive(spark, d):
+    return _rounded(retrieval.progressive(retrieval.hybrid(_chunks(spark, d), _items(spark, d), boost=False), TOP))
+
+
+@query(f"WITH {_CHUNKS} SELECT seq, library_id, 0.0::DOUBLE AS score FROM ch ORDER BY seq LIMIT 100")
+def list_all(spark, d):
+    return retrieval.list_all(_chunks(spark, d), 100).select("seq", "library_id", "score")
+
+
+@query(f"""WITH {_CHUNKS} SELECT seq,
+  md5(coalesce((SELECT right(p.text, 200) FROM ch p WHERE p.doc_id = ch.doc_id AND p.chunk_index = ch.chunk_index - 1), '')) AS before,
+  md5(coalesce((SELECT left(p.text, 200) FROM ch p WHERE p.doc_id = ch.doc_id AND p.chunk_index = ch.chunk_index + 1), '')) AS after FROM ch""")
+def chunk_context(spark, d):
+    c = _chunks(spark, d)
+    return retrieval.context(c.select("seq"), c).select("seq", F.md5("context_before").alias("before"), F.md5("context_after").alias("after"))
+
+
+@query(f"""WITH {_hybrid(True)} SELECT query_id, seq, 'local://' || library_id || '/doc' || doc_id || '#chunk' || chunk_index AS url,
+  [95, 90, 85, 75][tier + 1] AS domain_score, 70 AS freshness_score,
+  round(least(1.0, least(1.0, total * 1.5) + [0.15, 0.10, 0.05, 0.0][tier + 1]), 6)::DOUBLE AS relevance FROM {_top('hy')} WHERE rank <= {TOP}""")
+def local_sources(spark, d):
+    best = retrieval.top(retrieval.hybrid(_chunks(spark, d), _items(spark, d)), TOP)
+    return retrieval.as_sources(best).withColumn("relevance", F.round("relevance", 6))
+
+
+@query(f"""WITH {_hybrid(True)}, t AS (SELECT * FROM {_top('hy')} WHERE rank <= 5),
+f AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY query_id) AS n FROM t)
+SELECT {_ROUNDED} FROM f WHERE n = 1 ORDER BY query_id, rank LIMIT 50""")
+def harvest(spark, d):
+    return _rounded(retrieval.harvest(retrieval.hybrid(_chunks(spark, d), _items(spark, d)), 5, 50))
+
+
+# ------------------------------------------------------------- candidates
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages")
+    return p.select(F.col("page_id").alias("seq"), "url", extract.title(F.col("html")).alias("title"), F.lit("").alias("snippet"))
+
+
+_HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '')"
+_STRIPPED = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({x},
+ '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'),
+ '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '\s+', ' ', 'g'))"""
+
+
+def _title(html: str) -> str:
+    h1 = _STRIPPED.replace("{x}", f"regexp_extract({html}, '(?is)<h1[^>]*>(.*?)</h1>', 1)")
+    t = _STRIPPED.replace("{x}", f"regexp_extract({html}, '(?is)<title[^>]*>(.*?)</title>', 1)")
+    return f"coalesce(nullif({h1}, ''), nullif({t}, ''), '')"
+
+
+_DOMAIN_ROWS = _values([(i, d, s, t) for i, (d, s, t) in enumerate((d, s, t) for t, of in T.DOMAINS.items() for d, s in of.items())])
+_SUFFIX_ROWS = _values([(i, *r) for i, r in enumerate(T.SUFFIXES)])
+_QUALITY = f"greatest(0, least(100, {T.URL_BASE}" + "".join(f" + CASE WHEN regexp_matches(url, '{p}') THEN {n} ELSE 0 END" for p, n in T.URL_RULES) + "))"
+_FRESH = f"""CASE WHEN y IS NOT NULL THEN CASE WHEN {YEAR} - y <= 0 THEN 100 WHEN {YEAR} - y = 1 THEN 85 WHEN {YEAR} - y = 2 THEN 70 WHEN {YEAR} - y = 3 THEN 55
+  ELSE greatest(10, 55 - ({YEAR} - y - 3) * 8) END WHEN contains(lower(title || ' '), '{YEAR}') THEN 85 WHEN contains(lower(title || ' '), '{YEAR - 1}') THEN 70
+  WHEN regexp_matches(lower(title || ' '), 'latest|new\\s|recent|just\\s|breaking') THEN 65 ELSE 50 END"""
+_SCORED = f"""dom(ordinal, domain, score, tier) AS (VALUES {_DOMAIN_ROWS}), suf(ordinal, suffix, score, tier) AS (VALUES {_SUFFIX_ROWS}),
+h AS (SELECT page_id AS seq, url, {_HOST} AS host, {_title('html')} AS title, TRY_CAST(nullif(regexp_extract(url, '/(20[0-9]{{2}})/', 1), '') AS INT) AS y FROM pages),
+hosts AS (SELECT DISTINCT host FROM h),
+best AS (SELECT host, arg_min(ROW(score, tier), ROW(CASE WHEN host = domain THEN 0 ELSE 1 END, ordinal)) AS b FROM hosts JOIN dom ON host = domain OR ends_with(host, '.' || domain) GROUP BY host),
+sb AS (SELECT host, arg_min(ROW(score, tier), ordinal) AS b FROM hosts JOIN suf ON ends_with(host, suffix) GROUP BY host),
+sc0 AS (SELECT h.*, coalesce(best.b, sb.b, ROW(48, 'general')) AS b, {_QUALITY} AS url_quality, {_FRESH} AS freshness_score FROM h LEFT JOIN best USING (host) LEFT JOIN sb USING (host)),
+sc AS (SELECT seq, url, host, title, b[1] AS domain_score, b[2] AS tier, url_quality, freshness_score,
+       CAST(floor(b[1] * 0.55 + url_quality * 0.25 + freshness_score * 0.2 + 0.5) AS INT) AS total_score FROM sc0)"""
+
+
+@query(f"SELECT page_id, {_HOST} AS host FROM pages")
+def host_of_url(spark, d):
+    return table(spark, d, "pages").select("page_id", X.host("url").alias("host"))
+
+
+@query(f"WITH {_SCORED} SELECT seq, host, domain_score, tier FROM sc")
+def domain_authority(spark, d):
+    return scoring.with_authority(_hits(spark, d)).select("seq", "host", "domain_score", "tier")
+
+
+@query(f"SELECT page_id, {_QUALITY} AS url_quality FROM pages")
+def url_quality(spark, d):
+    return table(spark, d, "pages").select("page_id", scoring.url_quality("url").alias("url_quality"))
+
+
+@query(f"WITH {_SCORED} SELECT seq, freshness_score FROM sc")
+def freshness(spark, d):
+    h = _hits(spark, d)
+    return h.select("seq", scoring.freshness(F.col("url"), F.col("title"), F.col("snippet"), YEAR).alias("freshness_score"))
+
+
+_SCORE_COLS = ["seq", "domain_score", "tier", "url_quality", "freshness_score", "total_score"]
+
+
+@query(f"WITH {_SCORED} SELECT {', '.join(_SCORE_COLS)} FROM sc")
+def score_candidates(spark, d):
+    return scoring.score(_hits(spark, d), YEAR).select(*_SCORE_COLS)
+
+
+@query(f"WITH {_SCORED} SELECT {', '.join(_SCORE_COLS)} FROM sc WHERE total_score > 12 AND url_quality > 8 ORDER BY total_score DESC, seq LIMIT 50")
+def rank_candidates(spark, d):
+    return scoring.rank(scoring.score(_hits(spark, d), YEAR), 50).select(*_SCORE_COLS)
+
+
+@query(f"""WITH {_SCORED}, t AS (SELECT *, seq % 10 AS task_id FROM sc), a AS (SELECT task_id, max(CAST(tier IN ('academic', 'government') AS INT)) AS any_hit FROM t GROUP BY task_id)
+SELECT task_id, seq, tier FROM t JOIN a USING (task_id) WHERE tier IN ('academic', 'government') OR any_hit = 0""")
+def tier_fallback(spark, d):
+    s = scoring.score(_hits(spark, d), YEAR).withColumn("task_id", F.col("seq") % 10)
+    return scoring.prefer_tiers(s, ["academic", "government"]).select("task_id", "seq", "tier")
+
+
+@query("SELECT url, min(page_id) AS seq FROM pages GROUP BY url")
+def url_dedup(spark, d):
+    return scoring.first_per(table(spark, d, "pages").select("url", F.col("page_id").alias("seq")), "url", "seq")
+
+
+@query(f"SELECT page_id, {_title('html')} AS title FROM pages")
+def page_title(spark, d):
+    return table(spark, d, "pages").select("page_id", extract.title(F.col("html")).alias("title"))
+
+
+def _cut_tags() -> str:
+    x = "html"
+    for t in ("script", "style", "nav", "header", "footer", "aside"):
+        x = f"regexp_replace({x}, '(?is)<{t}\\b[^>]*>.*?</{t}>', ' ', 'g')"
+    return f"trim(regexp_replace(regexp_replace({x}, '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, md5({_cut_tags()}) AS digest, length({_cut_tags()}) AS chars FROM pages")
+def page_text_fallback(spark, d):
+    t = extract.plain_text(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.md5(t).alias("digest"), F.length(t).alias("chars"))
+
+
+@query()
+def page_extract(spark, d):
+    return extract.extract(table(spark, d, "pages"))
+
+
+@query()
+def outlinks(spark, d):
+    return extract.outlinks(table(spark, d, "pages"))
+
+
+@query()
+def score_outlinks(spark, d):
+    links = extract.outlinks(table(spark, d, "pages")).withColumn("seq", F.col("page_id") * 1000 + F.col("pos"))
+    return scoring.score_outlinks(links, WORDS, table(spark, d, "pages").select("url"), 50).select("seq", "href", "text", "score")
+
+
+@query()
+def discovery_queue(spark, d):
+    p = extract.extract(table(spark, d, "pages")).withColumn("ord", F.col("page_id"))
+    return admission.discoveries(p, table(spark, d, "pages").select("url"))
+
+
+# ------------------------------------------------------------- admission
+
+_WS = r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), '\s+'), lambda w: w <> '')"
+_FP = """CASE WHEN len(ws) <= 70 THEN array_to_string(ws, ' ') ELSE
+  array_to_string(ws[1:30] || ws[(len(ws) - 20) // 2 + 1:(len(ws) - 20) // 2 + 20] || ws[len(ws) - 19:len(ws)], ' ') END"""
+
+
+@query(f"SELECT doc_id, md5({_FP}) AS fp FROM (SELECT doc_id, {_WS} AS ws FROM documents)")
+def fingerprint(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(X.fingerprint("text")).alias("fp"))
+
+
+@query(f"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, {_FP} AS fp FROM (SELECT doc_id, {_WS} AS ws FROM documents)) GROUP BY fp")
+def fingerprint_dedup(spark, d):
+    return _docs(spark, d).groupBy(X.fingerprint("text").alias("fp")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("fp")
+
+
+def _relevance_sql(text: str, title: str, words) -> str:
+    share = lambda c: "(" + " + ".join(f"CAST(contains(lower({c}), '{w}') AS INT)" for w in words) + f") / {len(words)}"
+    head = f"lower(left({text}, 8000))"
+    count = " + ".join(f"(length({head}) - length(replace({head}, '{w}', ''))) // {len(w)}" for w in words)
+    return f"greatest(0.0, least(1.0, {share(text)} + 0.15 * {share(title)} + 0.1 * least(1.0, 10 * ({count}) / len(regexp_split_to_array({head}, '\\s+')))))"
+
+
+@query(f"SELECT doc_id, round({_relevance_sql('text', 'source', WORDS)}, 6) AS relevance FROM documents")
+def relevance(spark, d):
+    r = admission.relevance(F.col("text"), F.col("source"), F.lit(""), WORDS)
+    return _docs(spark, d).select("doc_id", F.round(r, 6).alias("relevance"))
+
+
+@query(f"""WITH c AS (SELECT doc_id AS ord, lang AS task_id, source AS host, {_relevance_sql('text', 'source', WORDS)} AS relevance, {_FP} AS fp,
+    len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS word_count FROM (SELECT *, {_WS} AS ws FROM documents)),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY ord) AS n FROM c WHERE word_count >= 50 AND relevance >= 0.1) WHERE n = 1),
+b AS (SELECT * FROM (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY host ORDER BY ord) AS n FROM a) WHERE n <= 8),
+e AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ord) AS m FROM b)
+SELECT ord, task_id, host, round(relevance, 6) AS relevance FROM e WHERE m <= 25""")
+def admit_sources(spark, d):
+    c = _docs(spark, d).select(
+        F.col("doc_id").alias("ord"), F.col("lang").alias("task_id"), F.col("source").alias("host"), F.concat(F.lit("doc:"), "doc_id").alias("url"), "text",
+        X.count_words("text").alias("word_count"), admission.relevance(F.col("text"), F.col("source"), F.lit(""), WORDS).alias("relevance"),
+    )
+    none = spark.createDataFrame([], "url string, fp string")
+    got = admission.admit(c, none.select("url"), none.select("fp"), 0.1, 8, 25)
+    return got.select("ord", "task_id", "host", F.round("relevance", 6).alias("relevance"))
+
+
+# ------------------------------------------------------------- coverage
+
+_KEYWORDS = _values([(i, dim[0], k) for i, dim in enumerate(T.DIMENSIONS) for k in dim[2]])
+_COVER = f"""kw(ordinal, dimension, keyword) AS (VALUES {_KEYWORDS}),
+hits AS (SELECT ordinal, dimension, keyword, CAST(sum((length(t) - length(replace(t, keyword, ''))) // length(keyword)) AS BIGINT) AS hits
+  FROM kw, (SELECT lower(coalesce(text, '')) AS t FROM documents) GROUP BY ALL),
+cov AS (SELECT ordinal, dimension, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(hits * (length(keyword) + 50)) AS BIGINT) AS chars FROM hits GROUP BY ALL),
+cv AS (SELECT *, hits >= 3 AND chars >= 200 AS covered FROM cov)"""
+_TEMPLATES = _values([(i, dim[0], p, q.replace("{t}", TOPIC)) for i, dim in enumerate(T.DIMENSIONS) for p, q in enumerate(dim[3])])
+
+
+def _dims(spark, d) -> DataFrame:
+    return coverage.dimension_hits(_docs(spark, d))
+
+
+@query(f"WITH {_COVER} SELECT ordinal, dimension, keyword, hits FROM hits")
+def dimension_hits(spark, d):
+    return _dims(spark, d)
+
+
+@query(f"WITH {_COVER} SELECT ordinal, dimension, hits, chars, covered FROM cv")
+def dimension_coverage(spark, d):
+    return coverage.covered(_dims(spark, d))
+
+
+@query(f"WITH {_COVER} SELECT ordinal, dimension FROM cv WHERE NOT covered")
+def dimension_gaps(spark, d):
+    return coverage.gaps(_dims(spark, d))
+
+
+@query(f"""WITH {_COVER}, tp(ordinal, dimension, pos, query) AS (VALUES {_TEMPLATES})
+SELECT query, ordinal, pos FROM tp WHERE dimension IN (SELECT dimension FROM cv WHERE NOT covered) ORDER BY ordinal, pos LIMIT 20""")
+def gap_queries(spark, d):
+    return coverage.gap_queries(coverage.gaps(_dims(spark, d)), TOPIC, 20)
+
+
+_GAP_ROWS = _values([(dim, next(x[1] for x in T.DIMENSIONS if x[0] == dim), r, f) for dim, (r, f, _) in T.GAP_ROLES.items()])
+
+
+@query(f"""WITH {_COVER}, tp(ordinal, dimension, pos, query) AS (VALUES {_TEMPLATES}), who(dimension, label, role, follow) AS (VALUES {_GAP_ROWS}),
+g AS (SELECT cv.ordinal, who.* FROM cv JOIN who USING (dimension) WHERE NOT covered),
+l AS (SELECT role, min(ordinal) AS ordinal, arg_min(follow, ordinal) AS follow_links, array_to_string(list(label ORDER BY ordinal)[1:3], ', ') AS label FROM g GROUP BY role),
+q AS (SELECT role, array_to_string(list(query ORDER BY g.ordinal, pos)[1:8], '|') AS queries FROM g JOIN tp USING (dimension) GROUP BY role)
+SELECT ordinal, role, follow_links, label, queries FROM l JOIN q USING (role)""")
+def gap_plan(spark, d):
+    p = coverage.gap_plan(coverage.gaps(_dims(spark, d)), TOPIC, 8)
+    return p.select("ordinal", "role", "follow_links", "label", F.array_join("queries", "|").alias("queries"))
+
+
+_CONSENSUS_WORDS = ["the", "tion", "with"]
+
+
+@query(f"""WITH s AS (SELECT doc_id AS idx, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 3)[1:500] AS w FROM documents),
+i AS (SELECT idx, w, unnest(range(1, len(w) - 1)) AS i FROM s WHERE len(w) > 2),
+g AS (SELECT idx, i * 2 AS pos, w[i] || ' ' || w[i + 1] AS g FROM i UNION ALL SELECT idx, i * 2 + 1, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM i),
+f AS (SELECT idx, g, min(pos) AS pos FROM g GROUP BY ALL),
+t AS (SELECT g AS phrase, count(*) AS sources, min(ROW(idx, pos)) AS first FROM f GROUP BY g)
+SELECT phrase, sources FROM t WHERE sources >= greatest(2, ceil((SELECT count(*) FROM documents) * 0.4))
+  AND ({' OR '.join(f"contains(phrase, '{w}')" for w in _CONSENSUS_WORDS)}) ORDER BY sources DESC, first LIMIT 10""")
+def consensus_ngrams(spark, d):
+    return coverage.consensus(_docs(spark, d).select(F.col("doc_id").alias("idx"), "text"), _CONSENSUS_WORDS)
+
+
+def _sentence_sql(words, extra: str = "") -> str:
+    marks = " + ".join(f"CAST(contains(lower(s), '{m}') AS INT)" for m in T.KEY_MARKERS)
+    own = " + ".join(f"CAST(contains(lower(s), '{w}') AS INT)" for w in words)
+    return f"2.0 * ({marks}) + 3.0 * ({own}{extra}) - abs(length(s) - 150) / 50"
+
+
+_SENTENCES = r"""sn AS (SELECT idx, pos, trim(x[pos + 1]) AS s FROM (SELECT idx, x, unnest(range(len(x))) AS pos FROM (
+  SELECT doc_id AS idx, string_split(regexp_replace(regexp_replace(text, '\n+', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS x FROM documents WHERE text IS NOT NULL))),
+sg AS (SELECT * FROM sn WHERE length(s) > 40 AND length(s) < 600)"""
+
+
+@query(f"""WITH {_SENTENCES}, sc AS (SELECT *, {_sentence_sql(WORDS)} AS score FROM sg),
+r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY round(score, 9) DESC, pos) AS turn FROM sc)
+SELECT idx, CAST(pos AS INT) AS pos, s AS sentence, round(score, 6)::DOUBLE AS score FROM r WHERE turn <= 3""")
+def key_sentences(spark, d):
+    s = _docs(spark, d).select(F.col("doc_id").alias("idx"), "text")
+    return coverage.key_sentences(s, WORDS).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH kw(ordinal, dimension, keyword) AS (VALUES {_KEYWORDS}), {_SENTENCES},
+m AS (SELECT DISTINCT doc_id AS idx, ordinal, dimension FROM documents, kw WHERE contains(lower(coalesce(text, '')), keyword)),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY idx) AS n FROM m) WHERE n <= 5),
+x AS (SELECT f.ordinal, f.dimension, idx, pos, s, (SELECT count(*) FROM kw WHERE kw.dimension = f.dimension AND contains(lower(s), keyword)) AS own FROM f JOIN sg USING (idx)),
+sc AS (SELECT *, {_sentence_sql(WORDS, ' + own')} AS score FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY dimension, idx ORDER BY round(score, 9) DESC, pos) AS turn FROM sc)
+SELECT ordinal, dimension, idx, CAST(pos AS INT) AS pos, s AS sentence FROM r WHERE turn <= 3""")
+def findings_by_dimension(spark, d):
+    return coverage.findings_by_dimension(_docs(spark, d).select(F.col("doc_id").alias("idx"), "text"), WORDS)
+
+
+# ------------------------------------------------------------- planning
+
+
+@query(f"""SELECT item_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+'),
+  lambda w: length(w) > 2 AND w NOT IN {_in(T.PLAN_STOP_WORDS)})[1:8], ' ') AS keywords FROM benchmark""")
+def topic_keywords(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.array_join(X.keywords("text"), " ").alias("keywords"))
+
+
+@query("""SELECT item_id, CASE WHEN length(q) <= 80 THEN q WHEN contains(left(q, 80), ' ') AND 80 - strpos(reverse(left(q, 80)), ' ') > 20
+  THEN substr(q, 1, CAST(80 - strpos(reverse(left(q, 80)), ' ') AS BIGINT)) ELSE left(q, 80) END AS query FROM (SELECT item_id, trim(text) AS q FROM benchmark)""")
+def trim_query(spark, d):
+    return table(spark, d, "benchmark").select("item_id", X.trim_query("text").alias("query"))
+
+
+@query("""SELECT item_id, attempt, CASE WHEN m <> q AND length(m) > 3 THEN m END AS mutated FROM (
+  SELECT item_id, q, unnest(range(6)) AS attempt, unnest(['"' || q || '"', q || ' explained', q || ' research', array_to_string(string_split(q, ' ')[1:4], ' '),
+    q || ' guide overview', trim(regexp_replace(q, '(?i)\\b(what|how|why|when|where|who|is|are|does|do)\\b', '', 'g'))]) AS m FROM (SELECT item_id, text AS q FROM benchmark))""")
+def mutate_query(spark, d):
+    forms = F.array(*[F.struct(F.lit(i).cast("long").alias("attempt"), X.mutate_query("text", i).alias("mutated")) for i in range(6)])
+    return table(spark, d, "benchmark").select("item_id", F.explode(forms).alias("m")).select("item_id", "m.*")
+
+
+def _fallback_rows(most: int):
+    for role, dims in T.ROLE_DIMENSIONS.items():
+        yield from ((role, i, q) for i, q in enumerate([q.replace("{t}", TOPIC) for x in T.DIMENSIONS if x[0] in dims for q in x[3]][:most]))
+
+
+@query(f"SELECT * FROM (VALUES {_values(list(_fallback_rows(12)))}) v(role, pos, query)")
+def fallback_queries(spark, d):
+    return planning.fallback_queries(spark, TOPIC, 12)
+
+
+@query(f"SELECT role, query, pos % 3 AS grp FROM (VALUES {_values(list(_fallback_rows(12)))}) v(role, pos, query)")
+def fan_out(spark, d):
+    return planning.fan_out(planning.fallback_queries(spark, TOPIC, 12), 3).select("role", "query", "grp")
+
+
+@query()
+def short_topics(spark, d):
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def short(t):
+        return t.map(lambda x: None if x is None else planning.short_topic(x))
+
+    return table(spark, d, "benchmark").select("item_id", short("text").alias("topic"))
+
+
+# ------------------------------------------------------------- throttle
+
+_OK = "event_type <> 'error'"
+_COUNTER = f"""w AS (SELECT event_id, user_id, ts, {_OK} AS ok, sum(CASE WHEN {_OK} THEN -1 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events),
+c AS (SELECT *, CAST(s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS INT) AS errors FROM w)"""
+
+
+def _counted(spark, d) -> DataFrame:
+    e = table(spark, d, "events").withColumn("ok", F.col("event_type") != "error")
+    return throttle.error_counter(e, "user_id", ["ts", "event_id"])
+
+
+@query(f"WITH {_COUNTER} SELECT event_id, errors FROM c")
+def throttle_counter(spark, d):
+    return _counted(spark, d).select("event_id", "errors")
+
+
+@query(f"""WITH {_COUNTER} SELECT event_id, errors, CAST(CASE WHEN ok OR errors = 0 THEN 0 WHEN errors >= 5 THEN least(30000, 3000 * errors)
+  ELSE least(15000, 1000 * pow(2, errors - 1)) END AS INT) AS wait_ms FROM c""")
+def backoff(spark, d):
+    return throttle.backoff(_counted(spark, d)).select("event_id", "errors", "wait_ms")
+
+
+@query("""WITH n AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (ORDER BY ts, event_id) - 1 AS number FROM events),
+l AS (SELECT *, number % 4 AS lane, number // 4 AS k FROM n), r AS (SELECT *, ms + lane * 400 AS ready FROM l)
+SELECT event_id, CAST(lane AS INT) AS lane, max(ready - k * 2000) OVER (PARTITION BY lane ORDER BY number) + k * 2000 AS start_ms FROM r""")
+def lane_schedule(spark, d):
+    e = table(spark, d, "events").withColumn("at", F.unix_millis(F.col("ts").cast("timestamp")))
+    got = throttle.lane_schedule(e, 4, 2000, "at", ["ts", "event_id"])
+    return got.select("event_id", F.col("lane").cast("int").alias("lane"), F.col("start_ms").cast("long").alias("start_ms"))
+
+
+# ------------------------------------------------------------- answers, engines, report
+
+
+def _answers(spark, d) -> DataFrame:
+    """Model answers in the contradiction form, one line per benchmark item."""
+    b = table(spark, d, "benchmark")
+    line = F.concat(F.lit("CLAIM: "), F.replace(F.left("text", F.lit(30)), F.lit("\n"), F.lit(" ")), F.lit(" | SOURCE_A: ["), F.col("item_id") % 7, F.lit("] yes | SOURCE_B: ["), F.col("item_id") % 5, F.lit("] no | SEVERITY: "),
+                    F.when(F.col("item_id") % 2 == 0, "major").otherwise("unknown"))
+    return b.select(F.col("item_id").alias("id"), line.alias("body"))
+
+
+@query("""WITH b AS (SELECT item_id, trim(replace(left(text, 30), chr(10), ' ')) AS claim, item_id % 7 AS a, item_id % 5 AS b, CASE WHEN item_id % 2 = 0 THEN 'major' ELSE 'minor' END AS severity FROM benchmark),
+t AS (SELECT doc_id, source AS title FROM documents)
+SELECT claim, CAST(a AS INT) AS a, coalesce(ta.title, 'Source ' || a) AS a_title, 'yes' AS a_says, CAST(b AS INT) AS b, coalesce(tb.title, 'Source ' || b) AS b_title, 'no' AS b_says, severity
+FROM b LEFT JOIN t ta ON ta.doc_id = a LEFT JOIN t tb ON tb.doc_id = b""")
+def parse_contradictions(spark, d):
+    titles = _docs(spark, d).select(F.col("doc_id").cast("int").alias("idx"), F.col("source").alias("title"))
+    return coverage.parse_contradictions(_answers(spark, d), titles).drop("pos")
+
+
+@query("""SELECT item_id AS id, section, item FROM (
+  SELECT item_id, 'findings' AS section, trim(replace(left(text, 40), chr(10), ' ')) AS item FROM benchmark UNION ALL SELECT item_id, 'follow_up', 'about ' || source_no FROM (SELECT item_id, item_id AS source_no FROM benchmark)) WHERE length(item) >= 5""")
+def parse_findings(spark, d):
+    b = table(spark, d, "benchmark")
+    body = F.concat(F.lit("FINDINGS:\n- "), F.replace(F.left("text", F.lit(40)), F.lit("\n"), F.lit(" ")), F.lit("\nFOLLOW_UP:\n- about "), F.col("item_id"))
+    return coverage.parse_findings(b.select(F.col("item_id").alias("id"), body.alias("body"))).select("id", "section", "item")
+
+
+@query("""WITH h AS (SELECT ['lite', 'brave', 'mojeek'][CAST(page_id % 3 AS INT) + 1] AS engine, page_id % 3 AS e, url, page_id AS seq FROM pages
+  UNION ALL SELECT 'brave', 1, url, page_id FROM pages)
+SELECT url, arg_min(engine, ROW(e, seq)) AS engine, CAST(arg_min(seq, ROW(e, seq)) AS BIGINT) AS seq FROM h GROUP BY url""")
+def multi_engine_merge(spark, d):
+    p = table(spark, d, "pages")
+    names = ["lite", "brave", "mojeek"]
+    one = p.select(F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("page_id") % 3).cast("int") + 1).alias("engine"), "url", F.col("page_id").alias("seq"))
+    two = p.select(F.lit("brave").alias("engine"), "url", F.col("page_id").alias("seq"))  # also found by a second engine
+    return serp.merge(one.union(two).withColumn("query", F.lit("q")), names).select("url", "engine", "seq")
+
+
+def _sources(spark, d) -> DataFrame:
+    return _docs(spark, d).select(
+        F.col("doc_id").alias("ord"), F.col("doc_id").alias("idx"), F.concat(F.lit("["), "source", F.lit("]")).alias("title"), F.concat(F.lit("doc:"), "doc_id").alias("url"),
+        F.col("lang").alias("worker_label"), F.col("source").alias("source_query"), "text", F.lit("general").alias("tier"), F.lit(0.675).alias("relevance"),
+    )
+
+
+@query("SELECT lang AS worker_label, count(*) AS sources, min(doc_id) AS first FROM documents GROUP BY lang")
+def worker_activity(spark, d):
+    return report.activity(_sources(spark, d))
+
+
+@query("SELECT doc_id AS idx, '[' || doc_id || '] \\[' || source || '\\] - doc:' || doc_id AS line FROM documents")
+def citation_index(spark, d):
+    return report.citations(_sources(spark, d))
+
+
+@query("""SELECT doc_id AS idx, 68 AS relevance_percent, trim(regexp_replace(left(text, 700), '\\n+', ' ', 'g')) || CASE WHEN length(text) > 700 THEN '...' ELSE '' END AS preview FROM documents""")
+def source_preview(spark, d):
+    return report.details(_sources(spark, d)).select("idx", "relevance_percent", "preview")
+
+
+@query("SELECT source AS source_query, min(doc_id) AS first, row_number() OVER (ORDER BY min(doc_id)) AS number FROM documents GROUP BY source")
+def distinct_queries(spark, d):
+    return report.distinct_queries(_sources(spark, d)).withColumn("number", F.col("number").cast("long"))

@@ -156,8 +156,8 @@ def iso_date(raw: Column | str) -> Column:
     """A date in one of several spellings as YYYY-MM-DD, else null."""
     c = F.trim(_c(raw))
     day = F.coalesce(
-        F.try_to_date(F.substr(c, F.lit(1), F.lit(10)), F.lit("yyyy-MM-dd")),
-        *[F.try_to_date(c, F.lit(p)) for p in ("yyyy/MM/dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy")],
+        F.try_to_date(F.substr(c, F.lit(1), F.lit(10)), "yyyy-MM-dd"),
+        *[F.try_to_date(c, p) for p in ("yyyy/MM/dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy")],
     )
     return F.date_format(day, "yyyy-MM-dd")
 
@@ -167,7 +167,7 @@ def pdf_date(raw: Column | str) -> Column:
     c = _c(raw)
     d = F.regexp_extract(c, r"^D?:?([0-9]{4})([0-9]{2})([0-9]{2})", 0)
     digits = F.regexp_replace(d, "[^0-9]", "")
-    return F.coalesce(F.date_format(F.try_to_date(F.nullif(digits, F.lit("")), F.lit("yyyyMMdd")), "yyyy-MM-dd"), iso_date(c))
+    return F.coalesce(F.date_format(F.try_to_date(F.nullif(digits, F.lit("")), "yyyyMMdd"), "yyyy-MM-dd"), iso_date(c))
 
 
 def escape_markdown(text: Column | str) -> Column:
