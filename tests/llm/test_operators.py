@@ -1,0 +1,513 @@
+"""Operators against brute force, their libraries, held-out labels, and odd inputs."""
+
+import hashlib
+import math
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.llm import bpe_index, deobfuscate, license_scan, mil_quality, packing, pq_dedup, preference, rules, simhash, surrogates
+from corpusloom.llm.graph import components
+
+ODD = [
+    (1, "Plain words here, all rights reserved. Licensed under CC BY-SA 4.0!", "a"),
+    (2, None, "b"),
+    (3, "", "c"),
+    (None, "no id at all", "d"),
+    (5, "same text twice", "e"),
+    (5, "same text twice", "e"),
+    (6, "İé Σ ΑΣ 日本語 \x00\x1c\x85 ½ <|endoftext|> <|startoftext|>", "f"),
+    (7, "word " * 30_000, "g"),
+    (8, "x" * 20_000, None),
+]
+SCHEMA = "doc_id long, text string, score string"  # `score` clashes with what operators add
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    # the same cases under many names that operators use inside
+    return spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.lit("own") for c in ("fp", "rid", "label", "piece", "entities", "__fp", "__keeper")})
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (3, 0, 1), (5, 1, None), (6, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+# ---------------------------------------------------------------- license scan
+
+
+def scan_by_hand(text):
+    table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    import re
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(table))
+    places = [(i, label) for phrase, label in license_scan.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    at = [i for i, _ in places]
+    return len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_license_base_places(spark, sf, odd):
+    for docs in (odd, spark.read.parquet(f"{sf}/documents.parquet")):
+        got = license_scan.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+        want = [(r.doc_id, *scan_by_hand(r.text)) for r in docs.select("doc_id", "text").collect()]
+        assert rows(got) == sorted(want, key=repr)
+
+
+def test_license_notice_with_a_word_put_in(spark):
+    t = "x Licensed under the famous Apache License, Version 2.0 y cc by cc by"
+    docs = spark.createDataFrame([(1, t), (2, "licensed under the sea")], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert got[1].labels == "apache-2.0,cc-by" and got[1].n_base == 2 and got[1].last_word - got[1].first_word == 2
+    assert got[2].labels == "" and got[2].score == 0 and got[2].first_word is None
+
+
+def test_license_empty_table(odd):
+    assert license_scan.scan(odd.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- quality
+
+
+def test_mil_gradient():
+    r = np.random.default_rng(0)
+    net = mil_quality.GatedAttention.blank(6, 5, 3)
+    x, starts, y = r.normal(size=(9, 6)), np.array([0, 4, 5]), np.array([1.0, 0, 1])
+
+    def loss():
+        z = net.forward(x, starts)[0]
+        return float(np.mean(np.log1p(np.exp(-z)) + (1 - y) * z))
+
+    grads = net.gradient(x, starts, y)
+    for k in range(6):
+        spot = tuple(0 for _ in net.w[k].shape)
+        old = net.w[k][spot]
+        net.w[k][spot] = old + 1e-5
+        up = loss()
+        net.w[k][spot] = old - 1e-5
+        down = loss()
+        net.w[k][spot] = old
+        assert abs((up - down) / 2e-5 - grads[k][spot]) < 1e-6
+
+
+def held_out(spark, got, sf, label):
+    both = got.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where(f"{label} is not null")
+    return both.agg(F.avg((F.col("predicted") == F.col(label)).cast("int"))).first()[0]
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = mil_quality.mil_quality(spark, sf)
+    assert held_out(spark, got, sf, "quality") > 0.95
+    assert got.where("score < 0 or score > 1 or score is null").count() == 0 and got.count() == 1000
+
+
+def test_quality_odd_inputs(spark, odd, labels):
+    net = mil_quality.learn(odd, labels)
+    assert mil_quality.score(odd, net, "s").where("s between 0 and 1").count() == len(ODD)
+    assert mil_quality.score(odd.limit(0), net, "s").count() == 0
+    none = mil_quality.learn(odd, labels.limit(0))
+    assert {r.s for r in mil_quality.score(odd, none, "s").collect()} == {0.5}
+
+
+def test_passages_do_not_depend_on_slabs(monkeypatch):
+    t = "".join(random.Random(3).choices("ab cd\né!|", k=9000))
+    whole = mil_quality.encode_passages(t)
+    monkeypatch.setattr(mil_quality, "_SLAB", 1024)
+    assert np.allclose(whole, mil_quality.encode_passages(t))
+
+
+# ---------------------------------------------------------------- embeddings
+
+
+def by_force(data, least=0.98):
+    n = len(data)
+    ok = [v is not None and x is not None and lab is not None and None not in x and all(map(math.isfinite, x)) and any(x) for v, x, lab in data]
+    root, links = list(range(n)), [0] * n
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if ok[i] and ok[j] and data[i][2] == data[j][2] and len(data[i][1]) == len(data[j][1]):
+                a, b = np.array(data[i][1], float), np.array(data[j][1], float)
+                if a @ b / math.sqrt(a @ a) / math.sqrt(b @ b) >= least:
+                    links[i] += 1
+                    links[j] += 1
+                    root[find(i)] = find(j)
+    low = {}
+    for i in range(n):
+        if data[i][0] is not None:
+            low[find(i)] = min(low.get(find(i), data[i][0]), data[i][0])
+    return [(data[i][0], links[i], c := (None if data[i][0] is None else low[find(i)]), data[i][0] is not None and data[i][0] == c) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_embedding_links(spark, seed, monkeypatch):
+    monkeypatch.setattr(pq_dedup, "BLOCK", 40)  # many blocks a list
+    r = np.random.default_rng(seed)
+    base = r.normal(size=(12, 8))
+    data = [(i, [float(x) for x in base[r.integers(12)] + r.normal(size=8) * r.choice([0.0, 0.1, 0.25])], int(r.integers(2))) for i in range(300)]
+    data += [(900, None, 1), (901, [0.0] * 8, 1), (902, [float("nan")] * 8, 1), (903, [None] * 8, 1), (904, data[0][1], None), (None, data[0][1], data[0][2])]
+    data += [(905, [1.0, 2.0], 1), (906, [1.0, 2.0], 1), (907, [float("inf")] * 8, 0), (905, [1.0, 2.0], 1), (908, [], 0)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").withColumn("grp", F.lit(0))
+    assert rows(pq_dedup.classes(df)) == sorted(by_force(data), key=repr)
+
+
+def test_embedding_empty(spark):
+    assert pq_dedup.classes(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+# ---------------------------------------------------------------- BPE
+
+
+def test_bpe_equals_library(spark, sf, odd):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    docs = odd.select("doc_id", "text").union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    want = []
+    for d, t in docs.collect():
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert rows(bpe_index.digest_documents(docs, path)) == sorted(want, key=repr)
+    full = {(r.doc_id, len(r.ids)): r for r in bpe_index.encode_documents(odd, path).collect()}
+    bpe = bpe_index.load(path)
+    assert all(bpe.decode(r.ids) == r.decoded for r in full.values())
+
+
+def test_bpe_chunks_change_nothing(monkeypatch):
+    import public_tokenizers
+
+    bpe = bpe_index.load(public_tokenizers.path("word_bpe_49k.json"))
+    t = "".join(random.Random(1).choices("abcé'sd 12\n!<|endoftext|>Ω", k=5000))
+    whole = bpe.encode(t)
+    monkeypatch.setattr(bpe_index, "BLOCK_CHARS", 50)
+    assert bpe.encode(t) == whole
+
+
+# ---------------------------------------------------------------- preference
+
+
+def test_preference_prefix(spark):
+    turns = [
+        (0, 0, "user", "hi"), (0, 1, "assistant", "a"), (0, 2, "user", "more"), (0, 3, "assistant", "good"),
+        (1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "other"), (1, 3, "assistant", "good"),
+        (2, 0, "user", "alone"), (None, 0, "user", "lost"), (4, 0, None, None), (5, 0, None, None), (5, 0, None, None),
+        (6, 0, "user", "<|im_end|>"), (7, 0, "user", "<|im_end|>"), (7, 1, "assistant", "x"),
+    ]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("loss", F.lit(9))
+    got = {(r.pair_id, r.part, r.turn): r for r in preference.format_pairs(preference.from_conversations(df)).collect()}
+    assert [k for k in got if k[0] == 0 and k[1] == "prompt"] and got[0, "prompt", 1].loss == 0
+    assert got[0, "chosen", 2].content == "<|im_start|>user\nmore<|im_end|>\n" and got[0, "rejected", 2].loss == 0
+    assert got[0, "chosen", 3].loss == got[0, "rejected", 3].loss == 1 and (0, "prompt", 3) not in got
+    assert not got[1, "chosen", 0].paired and got[None, "none", 0].loss == 0
+    assert got[2, "prompt", 0].content == "<|im_start|>\n<|im_end|>\n"
+    assert "<|im_end|>" not in got[3, "prompt", 0].content[: -len("<|im_end|>\n")] and got[3, "rejected", 1].loss == 1
+    assert len(got) == 11
+    assert preference.format_pairs(preference.from_conversations(df.limit(0))).count() == 0
+
+
+def test_native_plans_have_no_python(spark, sf):
+    for f in (preference.preference_pairs, rules.quality_rules):
+        plan = f(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# ---------------------------------------------------------------- surrogates
+
+KEY = b"k" * 32
+
+
+def test_permutation_is_one_to_one():
+    for size in (1, 2, 10, 777, 4096):
+        got = [surrogates._permute(i, size, KEY, "t") for i in range(size)]
+        assert sorted(got) == list(range(size)) and [surrogates._permute(g, size, KEY, "t", True) for g in got] == list(range(size))
+
+
+@pytest.mark.parametrize(
+    ("kind", "value"),
+    [("email", "ann.b7@mail.host.org"), ("email", "x@mail3.example.com"), ("ipv4", "10.2.3.4"), ("phone", "+12025550123"), ("card", "4111111111111111"),
+     ("card", "4111111111111112"), ("secret", "0a" * 20), ("ssn", "123-45-6789"), ("iban", "GB82WEST12345698765432"), ("first", "Anna"), ("last", "Xylander"), ("last", "Иванова")],
+)
+def test_surrogates_keep_their_form(kind, value):
+    new = surrogates.surrogate(kind, value, KEY)
+    assert new != value and len(new.split(".")) == len(value.split(".")) and surrogates.surrogate(kind, new, KEY, back=True) == value
+    assert kind == "ipv4" or [c.isdigit() for c in new] == [c.isdigit() for c in value] or kind == "secret"
+    if kind == "card":
+        assert (surrogates.luhn(new[:-1]) == int(new[-1])) == (surrogates.luhn(value[:-1]) == int(value[-1])) and new[0] == value[0]
+    if kind == "first":
+        assert new in surrogates.FIRST["latin", "f"]
+
+
+def test_text_is_replaced_consistently():
+    t = "Mr. John Smith wrote to die.55@mail4.example.com; Smith is no name here. +1 (202) 555-0123, 4111 1111 1111 1111, 97.51.17.173. Dr. Smith: DIE.55@mail4.example.com"
+    new, spans = surrogates.replace(t, KEY, {})
+    got = [t[a:b] for _, a, b, _ in spans]
+    assert got == ["John", "Smith", "die.55@mail4.example.com", "+1 (202) 555-0123", "4111 1111 1111 1111", "97.51.17.173", "Smith", "DIE.55@mail4.example.com"]
+    drawn = [s[3] for s in spans]
+    assert drawn[1] == drawn[6] and drawn[2] == drawn[7] and not any(x in new for x in got[2:6])
+    clean = "Some 12 words, 3.14 and v1.2.3 of 2024-01-02; nothing personal @ all."
+    assert surrogates.replace(clean, KEY, {}) == (clean, [])
+
+
+def test_collisions_are_drawn_again(spark, monkeypatch):
+    values = [f"+1{i:02d}" for i in range(0, 100, 7)]  # a seventh of a domain of a hundred
+    known = spark.createDataFrame([("phone", v, surrogates.surrogate("phone", v, KEY)) for v in values], "kind string, value string, drawn string")
+    changed = {r.value: r.drawn for r in surrogates.redraw(known, KEY).collect()}
+    final = {v: changed.get(v) or surrogates.surrogate("phone", v, KEY) for v in values}
+    assert changed and len(set(final.values())) == len(values) and not set(final.values()) & set(values)
+
+
+def test_surrogates_odd_inputs_and_join_path(spark, odd, monkeypatch):
+    docs = odd.select("doc_id", "text", "score", "entities")
+    got = surrogates.anonymise(docs, KEY, "found")
+    assert got.columns == ["doc_id", "text", "score", "entities", "found"]
+    assert rows(got.select("doc_id", "text")) == rows(docs.select("doc_id", "text"))
+    assert surrogates.anonymise(docs.limit(0), KEY, "found").count() == 0
+    few = spark.createDataFrame([(i, f"call +1 ({i:03d}) 555-0000 now") for i in range(20)], "doc_id long, text string")
+    plain = rows(surrogates.anonymise(few, KEY))
+    change = spark.createDataFrame([("phone", "+10035550000", "+19999999999")], "kind string, value string, drawn string")
+    monkeypatch.setattr(surrogates, "redraw", lambda known, key: change)
+    monkeypatch.setattr(surrogates, "BROADCAST_ROWS", 0)
+    joined = rows(surrogates.anonymise(few, KEY))
+    other = [a for a, b in zip(joined, plain, strict=True) if a != b]
+    assert [a[0] for a in other] == [3] and "+1 (999) 999-9999" in other[0][1]
+
+
+# ---------------------------------------------------------------- toxicity
+
+
+@pytest.fixture(scope="module")
+def model():
+    counts = np.zeros(deobfuscate.SIZE**3, dtype=np.int64)
+    for _ in range(50):
+        deobfuscate.count_trigrams("the idiot and a stupid clown met the loser of the town, this is not so", counts)
+    return deobfuscate.CharModel.of(counts)
+
+
+@pytest.mark.parametrize(("hidden", "plain"), [("1d10t", "idiot"), ("i d i o t", "idiot"), ("stuuuupid", "stupid"), ("cl0wn", "clown"), ("l.o.s.e.r", "loser"), ("$tupid", "stupid")])
+def test_disguises_are_read(model, hidden, plain):
+    assert deobfuscate.Restorer(model).restore(f"The {hidden} of") == f"the {plain} of"
+
+
+def test_viterbi_equals_all_readings(model):
+    import itertools
+
+    r = deobfuscate.Restorer(model)
+    for token in ("1d10t", "s.t", "aab0o", "$1!", "ooo1"):
+        best = {}
+        for way in itertools.product(*deobfuscate.lattice(token)):
+            text = "".join(w for w, _ in way)
+            (i, j), v = (0, 0), 0.0
+            for c in text:
+                k = deobfuscate._code(c)
+                v += float(model.logp[i, j, k])
+                i, j = j, k
+            best[text] = max(best.get(text, -1e9), v + float(model.logp[i, j, 0]) - sum(c for _, c in way))
+        got = r.decode(token)
+        assert abs(best[got] - max(best.values())) < 1e-5
+
+
+def test_clean_text_is_left(model):
+    t = "the idiot and 12 of them (so) too!! a%%% b$$$\nwell"
+    assert deobfuscate.Restorer(model).restore(t) == t
+
+
+def test_toxicity_held_out_and_odd(spark, odd, labels):
+    sf = "/root/testdata/sf0.01"
+    got = deobfuscate.toxicity(spark, sf)
+    assert held_out(spark, got, sf, "toxic") > 0.9 and got.where("score between 0 and 1").count() == 1000
+    scorer = deobfuscate.learn(odd, labels)
+    assert deobfuscate.score(odd, scorer, "s").where("s between 0 and 1").count() == len(ODD)
+    assert deobfuscate.learn(odd.limit(0), labels.limit(0)).score("x") == 0.5
+
+
+# ---------------------------------------------------------------- SimHash
+
+
+def linked(fps, bits=2):
+    u = sorted(set(fps))
+    root = {x: x for x in u}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(u):
+        for b in u[:i]:
+            if bin((a ^ b) & (2**64 - 1)).count("1") <= bits:
+                root[find(a)] = find(b)
+    return {x: find(x) for x in u}
+
+
+@pytest.mark.parametrize("crowd", [512, 3])
+def test_simhash_links(spark, crowd):
+    r = random.Random(crowd)
+    base = [r.getrandbits(64) for _ in range(15)]
+    fps = set()
+    for b in base:
+        for _ in range(25):
+            x = b
+            for _ in range(r.randrange(4)):
+                x ^= 1 << r.randrange(64)
+            fps.add(x - 2**64 if x >= 2**63 else x)
+    nodes = spark.createDataFrame([(x,) for x in fps], "fp long")
+    edges = simhash.links(nodes, crowd)
+    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 2 for a, b in edges.distinct().collect())
+    got = {r.node: r.root for r in components(edges).collect()}
+    want = linked(fps)
+    same = lambda m: {frozenset(x for x in fps if m.get(x, x) == k) for k in {m.get(x, x) for x in fps}}
+    assert same(got) == same(want)
+
+
+def test_simhash_fingerprint_by_hand():
+    from xxhash import xxh64_intdigest
+
+    for t in ("", "One", "one TWO", "a b c d a b c", "é\x1c Ä\x0bß\x85 x", "w " * 50):
+        w = "".join(c.lower() if c.isascii() else c for c in t)
+        import re
+
+        w = re.findall(r"[^\x20\x09-\x0D]+", w)
+        g = [" ".join(w)] if 0 < len(w) < 3 else [" ".join(w[i : i + 3]) for i in range(len(w) - 2)]
+        h = [xxh64_intdigest(x.encode(), 42) for x in g]
+        want = sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+        assert simhash.fingerprint(t) == want
+
+
+def test_simhash_odd_inputs(spark, odd):
+    got = simhash.classes(odd)
+    assert got.count() == len(ODD) and simhash.classes(odd.limit(0)).count() == 0
+    by = {r.doc_id: r for r in got.collect()}
+    assert by[2].fp == by[3].fp == 0 and by[3].component_id == 2 and by[None].component_id is None
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 5, 6, 7, 8]
+    assert simhash.keep_one(odd.limit(0)).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(5)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got.get(x, x) == find(x) for x in root)
+
+
+# ---------------------------------------------------------------- rules
+
+
+def test_rules_against_sql(odd):
+    pdf = odd.select("doc_id", "text").toPandas()
+    con = duckdb.connect()
+    con.register("documents", pdf)
+    cols = ["doc_id", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    got = [[None if x is None else x for x in r] for r in rules.judge(odd).select(*cols).collect()]
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({rules.QUALITY_RULES_SQL})").fetchall()
+    clean = lambda x: sorted(([None if v is None or v != v else int(v) for v in r] for r in x), key=repr)
+    assert clean(got) == clean(want)
+
+
+def test_repeat_words_by_hand(spark):
+    r = random.Random(2)
+    texts = [" ".join(r.choices("abcde", k=r.randrange(40))) for _ in range(60)]
+    got = [x.n_repeat_words for x in rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for t, g in zip(texts, got, strict=True):
+        w = t.split()
+        g3 = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        assert g == len({i + k for i, x in enumerate(g3) if g3.count(x) > 1 for k in range(3)})
+
+
+# ---------------------------------------------------------------- packing
+
+
+def fewest(items, cap):
+    best = [len(items)]
+    items = sorted(items, reverse=True)
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + items[i] <= cap and bins[k] not in bins[:k]:
+                bins[k] += items[i]
+                go(i + 1, bins)
+                bins[k] -= items[i]
+        go(i + 1, [*bins, items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_reduction_keeps_the_optimum():
+    r = random.Random(1)
+    for _ in range(400):
+        cap = r.choice([10, 20, 31])
+        items = [r.randint(1, cap) for _ in range(r.randint(0, 9))]
+        counts = {x: items.count(x) for x in items}
+        p = packing._Plan(counts, cap)
+        p.reduce()
+        assert p.sequences + fewest([n for n, k in p.left.items() for _ in range(k)], cap) == fewest(items, cap)
+        runs, n = packing.plan(counts, cap)
+        bins = {}
+        for run in runs:
+            for k in range(run.n):
+                bins.setdefault(run.sequence + k // run.per, []).append((run.offset + k % run.per * run.length, run.length))
+        assert len(bins) == n and sorted(x for b in bins.values() for _, x in b) == sorted(items)
+        for b in bins.values():
+            end = 0
+            for offset, length in sorted(b):
+                assert offset == end
+                end += length
+            assert end <= cap
+
+
+def test_packing_equals_library(spark, odd):
+    from tokenizers import Tokenizer
+
+    path = packing.default_path()
+    lib = Tokenizer.from_file(path)
+    docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
+    got = packing.pack(docs, path).collect()
+    for d, t in docs.select("doc_id", "text").collect():
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 0]
+        own = sorted((r for r in got if r.doc_id == d), key=lambda r: r.piece)
+        assert sum(r.length for r in own) == len(ids) and all(r.length == 2048 for r in own[1:])
+        assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in own)
+    placed = packing.pack(docs, path)
+    seqs = packing.sequences(docs, placed, path).collect()
+    assert sum(len(s.ids) for s in seqs) == sum(r.length for r in got) and all(len(s.ids) <= 2048 for s in seqs)
+    assert packing.pack(odd, path).count() == len(got) + 2 and packing.pack(odd.limit(0), path).count() == 0
+
+
+def test_packing_order_of_ranks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "WINDOW_ROWS", 10)  # many salts
+    parts = spark.createDataFrame([(i, 0, 0, 700 if i % 3 else 300, i) for i in range(500)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.place(parts).toPandas().sort_values(["sequence_id", "offset"])
+    ends = got.offset + got.length
+    assert (ends.groupby(got.sequence_id).shift(fill_value=0) == got.offset).all() and ends.max() <= 2048 and len(got) == 500
