@@ -16,7 +16,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import admission, chunking, coverage, extract, retrieval, scoring, serp, throttle
 from corpusloom.operators import corpus as C
 from corpusloom.plans import planning, report
-from corpusloom.session import table
+from corpusloom.session import spread, table
 
 TOPIC = "general public license research"
 WORDS = ["general", "public", "license", "research"]
@@ -116,7 +116,7 @@ def _top(source: str, score: str = "total", where: str = "true") -> str:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:

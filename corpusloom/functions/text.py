@@ -14,16 +14,36 @@ def _c(c: Column | str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Index words of a text: ASCII, longer than two characters, no stop words."""
-    words = F.split(F.regexp_replace(F.lower(_c(text)), r"[^a-z0-9\s_-]", " "), r"\s+")
+    words = F.split(F.lower(_c(text)), "[^a-z0-9_-]+")
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(INDEX_STOP_WORDS))
 
 
+# Endings that a stem loses, longest first.
+ENDINGS = ["tion", "ment", "ness", "able", "ible", "ing", "ed", "s"]
+
+
 def stem(word: Column | str) -> Column:
-    """A light stem: plural and suffix endings off, a doubled last letter once."""
-    w = F.regexp_replace(_c(word), "ies$", "y")
-    w = F.regexp_replace(w, "ves$", "f")
-    w = F.regexp_replace(w, "(s|ed|ing|tion|ment|ness|able|ible)$", "")
-    return F.regexp_replace(w, r"(.)\1+$", "$1")
+    """A light stem: plural and suffix endings off, a doubled last letter once.
+
+    Plain string functions; per word they are several times faster than patterns.
+    """
+    cut = lambda w, n: F.substr(w, F.lit(1), F.length(w) - n)
+    bind = lambda w, f: F.transform(F.array(w), f)[0]
+
+    def suffix(w: Column) -> Column:
+        out = F.when(F.lit(False), w)
+        for e in ENDINGS:
+            out = out.when(F.endswith(w, F.lit(e)), cut(w, len(e)))
+        return out.otherwise(w)
+
+    def single(w: Column) -> Column:
+        last = F.right(w, F.lit(1))
+        twice = (F.length(w) > 1) & (last == F.substr(w, F.length(w) - 1, F.lit(1)))
+        return F.when(twice, F.concat(F.rtrim(w, last), last)).otherwise(w)
+
+    y = lambda w: F.when(F.endswith(w, F.lit("ies")), F.concat(cut(w, 3), F.lit("y"))).otherwise(w)
+    f = lambda w: F.when(F.endswith(w, F.lit("ves")), F.concat(cut(w, 3), F.lit("f"))).otherwise(w)
+    return bind(bind(bind(bind(_c(word), y), f), suffix), single)
 
 
 def terms(text: Column | str) -> Column:

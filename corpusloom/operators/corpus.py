@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
@@ -50,15 +50,25 @@ def windows(docs: DataFrame, size: int = CHUNK, overlap: float = OVERLAP) -> Dat
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """seq, term, tf, with the chunk's number of terms as dl."""
-    t = chunks.select("seq", X.terms("text").alias("terms")).withColumn("dl", F.size("terms"))
-    return t.select("seq", "dl", F.explode("terms").alias("term")).groupBy("seq", "dl", "term").agg(F.count("*").alias("tf"))
+    """seq, term, tf, with the chunk's number of terms as dl.
 
+    Words are counted before they are stemmed, so a stem is taken once per
+    distinct word of a chunk; all steps after the first share one partitioning.
+    """
+    words = chunks.select("seq", F.explode(X.tokens("text")).alias("word")).repartition("seq")
+    counted = words.groupBy("seq", "word").agg(F.count("*").alias("n")).withColumn("stem", X.stem("word"))
+    both = F.when((F.col("stem") != F.col("word")) & (F.length("stem") > 2), F.array("word", "stem")).otherwise(F.array("word"))
+    tf = counted.select("seq", "n", F.explode(both).alias("term")).groupBy("seq", "term").agg(F.sum("n").alias("tf"))
+    dl = F.sum("tf").over(Window.partitionBy("seq"))
+    return tf.select("seq", dl.cast("int").alias("dl"), "term", "tf")
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
+
+def corpus_stats(chunks: DataFrame, post: DataFrame | None = None) -> DataFrame:
     """Chunks and their mean number of terms (1 if there are none)."""
-    dl = F.size(X.terms("text"))
-    return chunks.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg(dl), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    post = postings(chunks) if post is None else post
+    total = post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("terms")).withColumn("k", F.lit(1))
+    both = chunks.agg(F.count("*").alias("n")).withColumn("k", F.lit(1)).join(total, "k")  # one row each
+    return both.select("n", F.coalesce(F.nullif(F.try_divide(F.col("terms").cast("double"), F.col("n")), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
 
 
 def document_frequency(post: DataFrame) -> DataFrame:

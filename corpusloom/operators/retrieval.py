@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import corpus as C
+from corpusloom.session import checkpointed
 
 K1, B = 1.4, 0.75
 NGRAM_WEIGHT, NGRAM_LEAST, TIER_BOOST = 0.2, 0.15, 0.08
@@ -24,8 +25,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, seq, bm25 over all chunks; statistics are the whole corpus's."""
-    post = C.postings(chunks)
-    n, avgdl = C.corpus_stats(chunks).first()  # two numbers
+    post = checkpointed(C.postings(chunks))  # read three times below
+    n, avgdl = C.corpus_stats(chunks, post).first()  # two numbers
     qt = query_terms(queries)
     df = C.document_frequency(post.join(qt.select("term").distinct(), "term", "left_semi"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
