@@ -4,7 +4,9 @@ A worker gathers the distinct unseen words of a block of its partition, lays
 their symbols out in one array, and maps every mergeable pair to all positions
 where it stands.  Active ranks are taken in ascending order from a heap; one
 rank is applied to all its positions at once, and only the lists of pairs that
-the merge touched are updated.  Finished words go to a bounded cache.
+the merge touched are updated.  Finished words go to a bounded cache.  Words
+are found by a pattern of our own; texts with characters on which Unicode
+versions may differ are split by the library's normaliser and pattern.
 
 Defined cases: a null text counts as empty (no tokens, empty decoded text); the
 strings of special tokens stand for their ids wherever they occur in a text,
@@ -29,6 +31,11 @@ from pyspark.sql import DataFrame
 
 #: White space as the Unicode property has it; Python's own \s has four more.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: All but common characters.  Unicode versions differ on the class and the lower
+#: case of some of these, so the library's own normaliser and pattern split such texts.
+_RARE = re.compile("[^\x00-\u0557\u2010-\u2027\u20a0-\u20bf\u3001-\u303f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\uff01-\uff5e]")
+#: Characters that the library splits at once; it keeps several words of memory for each.
+_RARE_CHARS = 1 << 16
 #: Characters of text that a worker lays out at once, and words it remembers.
 BLOCK_CHARS = 4_000_000
 CACHE_WORDS = 400_000
@@ -47,9 +54,13 @@ class PairIndexBpe:
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.normal = Tokenizer.from_file(path).normalizer
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.rare_words = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         model = spec["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.tokens = {i: t for t, i in vocab.items()}
@@ -73,6 +84,9 @@ class PairIndexBpe:
     def split(self, text: str) -> list[str]:
         if text.isascii():
             return self.ascii_words.findall(text.lower())
+        if _RARE.search(text):
+            parts = (self.normal.normalize_str(part) for part in chunks(text, _RARE_CHARS))
+            return [w for part in parts for w, _ in self.rare_words.pre_tokenize_str(part)]
         return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:

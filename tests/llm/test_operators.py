@@ -189,6 +189,31 @@ def test_bpe_equals_library(spark, sf, odd):
     assert all(bpe.decode(r.ids) == r.decoded for r in full.values())
 
 
+def test_bpe_splits_every_character_like_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe_index.load(path)
+    points = [*range(0x3100), *range(0x3100, 0xD800, 31), *range(0xE000, 0x110000, 61), 0x1C89, 0xA7CB, 0x10D50, 0x3E272]
+    texts = [f"a{chr(c)}b !{chr(c)}! 1{chr(c)}2 {chr(c)}" for c in points]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    got = [b"" for _ in texts]
+    for k, ids, _ in own.pieces(texts):
+        got[k] += b"".join(ids)
+    assert not [hex(c) for c, e, g in zip(points, want, got, strict=True) if e.ids != np.frombuffer(g, "<u4").tolist()]
+
+
+def test_bpe_rare_long_text(monkeypatch):
+    import public_tokenizers
+
+    own = bpe_index.PairIndexBpe(public_tokenizers.path("word_bpe_49k.json"))
+    text = "αβ ΑΣ 😀 don't \u1c89x\n" * 300
+    whole = own.encode(text)
+    monkeypatch.setattr(bpe_index, "_RARE_CHARS", 50)
+    assert own.encode(text) == whole
+
+
 def test_bpe_chunks_change_nothing(monkeypatch):
     import public_tokenizers
 
