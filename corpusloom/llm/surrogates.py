@@ -62,6 +62,12 @@ _NUMBER = re.compile(
 )
 _SECRET = re.compile(r"(?<![0-9A-Za-z])(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)")
 
+#: Openings of access keys that services publish for scanners; they are kept.
+KEY_STARTS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "sk_live_", "sk_test_", "xoxb-", "xoxp-")
+_KEY = re.compile(rf"(?<![0-9A-Za-z])(?:{'|'.join(KEY_STARTS)})[0-9A-Za-z_\-]{{10,255}}(?![0-9A-Za-z_\-])")
+_CALLED = re.compile(r"(?i:password|passwd|passphrase|pwd|secret|token|api[_\-]?key|access[_\-]?key)[\"']?[ \t]?$")
+_VALUE = re.compile(r"[ \t]?[\"']?([^\s\"']{6,255})(?![^\s\"'])")
+_AROUND = ".,;:!?)]}#*$%&|<>"
 
 _DIGIT = re.compile("[0-9]")
 _TWO = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?: |(?<=Mr|Ms|Dr)\. |(?<=Mrs)\. |(?<=Prof)\. )[A-ZÀ-ÖØ-ÞА-ЯЁ]")
@@ -75,6 +81,18 @@ class Entity:
     text: str
 
 
+def _credentials(text: str) -> Iterator[Entity]:
+    """What is set as a password or token; after a colon, only if a digit is in it."""
+    for sign in "=:":
+        at = text.find(sign)
+        while at >= 0:
+            if _CALLED.search(text[max(0, at - 16) : at]) and (m := _VALUE.match(text, at + 1)):
+                value = m[1].rstrip(_AROUND)
+                if len(value) >= 6 and (sign == "=" or _DIGIT.search(value)):
+                    yield Entity("credential", m.start(1), m.start(1) + len(value), value)
+            at = text.find(sign, at + 1)
+
+
 def detect(text: str) -> list[Entity]:
     """Entities of a text, in order, without overlaps; the first pattern to claim a place has it."""
     found: list[Entity] = []
@@ -95,6 +113,9 @@ def detect(text: str) -> list[Entity]:
         for pattern in (_NUMBER, _SECRET):
             found += [Entity(m.lastgroup, m.start(), m.end(), m.group()) for m in pattern.finditer(text, left, right)]
         digit = _DIGIT.search(text, right)
+    if any(x in text for x in KEY_STARTS):
+        found += [Entity("key", m.start(), m.end(), m.group()) for m in _KEY.finditer(text)]
+    found += _credentials(text)
     for m in _NAME.finditer(text) if _TWO.search(text) else ():
         if m["title"]:
             if m["tfirst"]:
@@ -216,6 +237,9 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0, back: bool = Fal
         return value[:2] + _spell(value[2:], _ALPHABETS, key, tweak + value[:2], back)
     if kind == "iban":
         return value[:2] + _spell(value[2:], _ALPHABETS, key, tweak + value[:2], back)
+    if kind == "key":
+        start = next(x for x in KEY_STARTS if value.startswith(x))
+        return start + _spell(value[len(start) :], _ALPHABETS, key, tweak + start, back)
     if kind in ("secret", "ipv6"):
         return _spell(value, _HEX[:1] if value == value.lower() else _HEX[1:], key, tweak, back)
     if kind in ("first", "last"):
