@@ -93,6 +93,22 @@ def _credentials(text: str) -> Iterator[Entity]:
             at = text.find(sign, at + 1)
 
 
+def _names(text: str) -> Iterator[Entity]:
+    """Names after titles and listed first names; a pair that is none gives its second word back to the search."""
+    at = 0
+    while m := _NAME.search(text, at):
+        at = m.end()
+        if m["title"]:
+            if m["tfirst"]:
+                yield Entity("first", m.start("tfirst"), m.end("tfirst") - 1, m["tfirst"][:-1])
+            yield Entity("last", m.start("tlast"), m.end("tlast"), m["tlast"])
+        elif m["first"] in _FIRST_OF and m["last"] not in TITLES:
+            yield Entity("first", *m.span("first"), m["first"])
+            yield Entity("last", *m.span("last"), m["last"])
+        else:
+            at = m.start("last")
+
+
 def detect(text: str) -> list[Entity]:
     """Entities of a text, in order, without overlaps; the first pattern to claim a place has it."""
     found: list[Entity] = []
@@ -116,13 +132,8 @@ def detect(text: str) -> list[Entity]:
     if any(x in text for x in KEY_STARTS):
         found += [Entity("key", m.start(), m.end(), m.group()) for m in _KEY.finditer(text)]
     found += _credentials(text)
-    for m in _NAME.finditer(text) if _TWO.search(text) else ():
-        if m["title"]:
-            if m["tfirst"]:
-                found.append(Entity("first", m.start("tfirst"), m.end("tfirst") - 1, m["tfirst"][:-1]))
-            found.append(Entity("last", m.start("tlast"), m.end("tlast"), m["tlast"]))
-        elif m["first"] in _FIRST_OF:
-            found += [Entity("first", *m.span("first"), m["first"]), Entity("last", *m.span("last"), m["last"])]
+    if _TWO.search(text):
+        found += _names(text)
     found.sort(key=lambda e: (e.start, -e.stop))
     out: list[Entity] = []
     for e in found:

@@ -309,6 +309,12 @@ def test_secrets_are_found_and_replaced(text, found):
         assert surrogates.surrogate(kind, drawn, b"k" * 32, back=True) == surrogates.canonical(e)
 
 
+@pytest.mark.parametrize("before", ["Contact", "Dear", "Yesterday", "Der Kunde", "Contact Dear", "Ask Mr"])
+def test_names_after_capitalised_words(before):
+    assert [e.text for e in surrogates.detect(f"{before} John Smith came")] == ["John", "Smith"]
+    assert [e.text for e in surrogates.detect(f"{before.split()[0]} Dr. Xylander came")] == ["Xylander"]
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     values = [f"+1{i:02d}" for i in range(0, 100, 7)]  # a seventh of a domain of a hundred
     known = spark.createDataFrame([("phone", v, surrogates.surrogate("phone", v, KEY)) for v in values], "kind string, value string, drawn string")
