@@ -45,12 +45,57 @@ FIRST = {
     ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил".split(),
     ("cyrillic", "f"): "Анна Мария Ольга Елена Наталья Татьяна Ирина Светлана".split(),
 }
+#: More first names; each list trades places within itself.
+MORE = {
+    ("latin", "m"): (
+        "James John Robert Michael David William Richard Thomas Daniel Peter Hans Klaus Karl Jean Pierre Luis Carlos Juan Miguel Antonio "
+        "Joseph Charles Christopher Matthew Anthony Donald Steven Stephen Andrew Paul Joshua Kenneth Kevin Brian George Timothy Ronald Edward "
+        "Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Larry Justin Scott Brandon Benjamin Samuel Gregory Alexander Patrick Raymond Jerry "
+        "Dennis Tyler Aaron Jose José Adam Nathan Henry Zachary Douglas Kyle Noah Ethan Jeremy Walter Keith Roger Terry Harry Lawrence Sean "
+        "Christian Albert Austin Arthur Jesse Dylan Bryan Joe Jordan Billy Bruce Gabriel Logan Alan Roy Ralph Randy Eugene Vincent Russell Louis "
+        "Philip Bobby Johnny Bradley Simon Martin Oliver Liam Lucas Leon Felix Jonas Max Moritz Stefan Andreas Jürgen Wolfgang Uwe Bernd Dieter "
+        "Günter Günther Heinz Helmut Horst Gerhard Manfred Werner Rainer Ralf Matthias Markus Sebastian Tobias Florian Jan Jens Sven Torsten "
+        "Thorsten Dirk Holger Volker Frank Fritz Otto Ulrich Christoph Johannes Friedrich Georg Heinrich Kurt Ludwig François Jacques Michel "
+        "Philippe Alain Bernard Nicolas Laurent Olivier Julien Antoine Guillaume Mathieu Thierry Christophe Stéphane Sébastien Frédéric Éric "
+        "Gérard René André Claude Marcel Henri Yves Didier Hugo Théo Étienne José Javier Francisco Manuel Pedro Alejandro Diego Fernando Sergio "
+        "Pablo Jorge Alberto Álvaro Andrés Rafael Raúl Rubén Enrique Ramón Vicente Ignacio Óscar Jesús Ángel Joaquín Giovanni Giuseppe Marco "
+        "Luca Paolo Mario Francesco Matteo Lorenzo Mohammed Muhammad Mohamed Ahmed Ali Omar Hassan Ibrahim Yusuf Mehmet Mustafa Raj Amit "
+        "Rahul Sanjay Vijay Ivan Sergei Dmitri Vladimir Boris Igor Nikolai Piotr Tomasz Krzysztof Jakub Erik Lars Nils Anders Björn Johan"
+    ).split(),
+    ("latin", "f"): (
+        "Mary Anna Susan Linda Sarah Karen Laura Julia Emma Alice Ursula Heike Marie Claire Sophie Maria Carmen Lucia Isabel Elena "
+        "Patricia Jennifer Elizabeth Barbara Jessica Lisa Nancy Betty Sandra Margaret Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa "
+        "Deborah Stephanie Rebecca Sharon Cynthia Dorothy Amy Kathleen Angela Shirley Brenda Pamela Nicole Samantha Katherine Christine Helen "
+        "Debra Rachel Carolyn Janet Catherine Heather Diane Olivia Julie Joyce Victoria Ruth Virginia Lauren Kelly Christina Joan Evelyn Judith "
+        "Andrea Hannah Megan Cheryl Jacqueline Martha Madison Teresa Gloria Sara Janice Ann Anne Kathryn Abigail Sophia Frances Jean Judy Isabella "
+        "Julia Charlotte Theresa Denise Marilyn Amber Danielle Brittany Diana Natalie Tiffany Alexis Kayla Lori Jane Lucy Ellen Eleanor Chloe "
+        "Ella Mia Zoe Sabine Petra Monika Renate Brigitte Ingrid Helga Gisela Karin Claudia Susanne Birgit Martina Gabriele Angelika Silke Anja "
+        "Katja Katrin Kerstin Nadine Stefanie Sandra Tanja Ute Ulrike Christa Elke Erika Hildegard Ilse Johanna Lena Leonie Greta Elisabeth "
+        "Katharina Franziska Annette Nathalie Isabelle Sylvie Catherine Françoise Monique Valérie Céline Aurélie Camille Élise Hélène Juliette "
+        "Émilie Chloé Manon Léa Inès Geneviève Jacqueline Martine Véronique Sandrine Florence Amélie Ana Cristina Pilar Dolores Josefa Rosa "
+        "Teresa Ángela Lucía Sofía Paula Marta Raquel Beatriz Silvia Patricia Mónica Alicia Rocío Inés Julia Giulia Francesca Chiara Fatima "
+        "Aisha Leila Layla Priya Anita Sunita Olga Natalia Irina Svetlana Tatiana Ekaterina Agnieszka Katarzyna Astrid Freya Sigrid"
+    ).split(),
+    ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил Александр Владимир Евгений Игорь Олег Юрий Виктор Павел Максим Артём Денис Антон Константин Борис Григорий Василий Роман Кирилл Илья Никита Георгий Фёдор".split(),
+    ("cyrillic", "f"): "Анна Мария Ольга Елена Наталья Татьяна Ирина Светлана Екатерина Анастасия Юлия Людмила Галина Марина Надежда Валентина Лариса Нина Дарья Ксения Вера Алина Полина Оксана Виктория Софья Евгения Тамара".split(),
+}
 LAST = "Smith Johnson Williams Brown Jones Miller Davis Wilson Taylor Clark Müller Schmidt Schneider Fischer Weber Dubois Moreau Laurent García Martínez López Sánchez".split()
+#: Surnames that are everyday words too; without a title or first name before them they are left.
+WORDS = set(
+    "Smith Brown Miller Taylor Clark Baker Cook Young King White Green Black Gray Grey Hill Wood Woods Stone Rice Bell Bush Ford Field Fields Fox "
+    "Wolf Bird Fish Rose Lane Park Banks Bishop Page Price Long Short Strong Rich Wise Day May March Summer Winter Love Hope Grace Pope Prince "
+    "Knight Church House Mason Carpenter Fisher Hunter Potter Cooper Butler Major Best Good Little Small Power Powers Rivers Waters West North "
+    "Schmidt Schneider Fischer Weber Koch Klein Gross Lang Schwarz Weiß Braun Neumann Richter Bauer Wagner Becker Vogel Fuchs Berg Stein Sommer "
+    "Petit Grand Blanc Noir Rouge Roi Boulanger Mercier Boucher Rey Rubio Moreno Blanco Bravo Herrero".split()
+)
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
 
-_FIRST_OF = {n: k for k, names in FIRST.items() for n in names}
+_LISTS = {(*k, n): names for n, lists in enumerate((FIRST, MORE)) for k, names in lists.items()}
+_FIRST_OF = {n: k for k in reversed(_LISTS) for n in reversed(_LISTS[k])}  # the first list that has a name owns it
+_POOLS = {k: tuple(n for n in dict.fromkeys(names) if _FIRST_OF[n] == k) for k, names in _LISTS.items()}
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
-_NAME = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.? (?P<tfirst>{_CAP} )?(?P<tlast>{_CAP})|(?P<first>{_CAP}) (?P<last>{_CAP}))(?!\w)")
+_NAME = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.? (?:(?:{'|'.join(TITLES)})\.? )*(?P<tfirst>{_CAP} )?(?P<tlast>{_CAP})|(?P<first>{_CAP}) (?P<last>{_CAP}))(?!\w)")
+_WORD = re.compile(rf"(?<!\w){_CAP}(?!\w)")
 _MAIL = re.compile(r"[\w.%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
 _NUMBER = re.compile(
     r"(?<![\w.])(?P<ipv4>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\w]|\.\d)"
@@ -133,7 +178,11 @@ def detect(text: str) -> list[Entity]:
         found += [Entity("key", m.start(), m.end(), m.group()) for m in _KEY.finditer(text)]
     found += _credentials(text)
     if _TWO.search(text):
-        found += _names(text)
+        named = list(_names(text))
+        found += named
+        known = {e.text: e.kind for e in named if e.kind == "first" or e.text not in WORDS}
+        if known:  # the same persons by one name
+            found += [Entity(known[m.group()], m.start(), m.end(), m.group()) for m in _WORD.finditer(text) if m.group() in known]
     found.sort(key=lambda e: (e.start, -e.stop))
     out: list[Entity] = []
     for e in found:
@@ -254,7 +303,7 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0, back: bool = Fal
     if kind in ("secret", "ipv6"):
         return _spell(value, _HEX[:1] if value == value.lower() else _HEX[1:], key, tweak, back)
     if kind in ("first", "last"):
-        pool = tuple(FIRST[_FIRST_OF[value]]) if kind == "first" and value in _FIRST_OF else tuple(LAST) if kind == "last" and value in LAST else None
+        pool = _POOLS[_FIRST_OF[value]] if kind == "first" and value in _FIRST_OF else tuple(LAST) if kind == "last" and value in LAST else None
         if pool:
             turn = _cycle(pool, key)
             return {v: k for k, v in turn.items()}[value] if back else turn[value]

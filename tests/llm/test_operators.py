@@ -315,6 +315,14 @@ def test_names_after_capitalised_words(before):
     assert [e.text for e in surrogates.detect(f"{before.split()[0]} Dr. Xylander came")] == ["Xylander"]
 
 
+def test_bare_mentions_and_more_first_names():
+    t = "Patricia Evans met Mr Nakamura. Nakamura left; Evans and Patricia stayed. Frau Dr. Anna Zeller."
+    new, spans = surrogates.replace(t, KEY, {})
+    assert [t[a:b] for _, a, b, _ in spans] == ["Patricia", "Evans", "Nakamura", "Nakamura", "Evans", "Patricia", "Anna", "Zeller"]
+    drawn = [s[3] for s in spans]
+    assert drawn[0] == drawn[5] and drawn[1] == drawn[4] and drawn[2] == drawn[3] and "Evans" not in new
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     values = [f"+1{i:02d}" for i in range(0, 100, 7)]  # a seventh of a domain of a hundred
     known = spark.createDataFrame([("phone", v, surrogates.surrogate("phone", v, KEY)) for v in values], "kind string, value string, drawn string")
