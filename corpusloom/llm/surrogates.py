@@ -97,12 +97,24 @@ _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
 _NAME = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.? (?:(?:{'|'.join(TITLES)})\.? )*(?P<tfirst>{_CAP} )?(?P<tlast>{_CAP})|(?P<first>{_CAP}) (?P<last>{_CAP}))(?!\w)")
 _WORD = re.compile(rf"(?<!\w){_CAP}(?!\w)")
 _MAIL = re.compile(r"[\w.%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
+_BYTE = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_IPV4 = rf"(?:{_BYTE}\.){{3}}{_BYTE}"
+_HEXES = r"[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4})"
+_END = r"(?!\d)(?![ .\-/]?\d{3})"  # not the beginning of a longer number
+_TRUNK = "|".join(rf"0[1-9]\d{{1,4}}(?:{x}\d{{3,4}}){{1,2}}|0[1-9]\d{{1,4}}(?:{x}\d{{2,3}}){{1,4}}|0[1-9](?:{x}\d\d){{4}}" for x in (" ", r"\.", "-"))
 _NUMBER = re.compile(
-    r"(?<![\w.])(?P<ipv4>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\w]|\.\d)"
-    r"|(?<!\w)(?P<ipv6>(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4})(?!\w)"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?|\d{1,4}[ .\-])\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\d)"
-    r"|(?<!\w)\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\w\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-]))"
+    rf"(?<![\w.])(?P<ipv4>{_IPV4})(?![\w]|\.\d)"
+    rf"|(?<![\w:])(?P<ipv6>(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}|(?:[0-9a-fA-F]{{1,4}}:){{6}}{_IPV4}"
+    rf"|(?=[0-9a-fA-F:]*\d)(?:{_HEXES}{{0,6}})?::(?:(?:[0-9a-fA-F]{{1,4}}:){{0,5}}{_IPV4}|{_HEXES}{{0,6}})?)(?![\w:]|\.\d)"
     r"|(?<![\w\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w\-])"
+    r"|(?P<phone>(?<![\w+])\+1[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)"  # +1 (202) 555-0123
+    r"|(?<![\w+])\+[1-9](?:[ .\-/]?(?:\(\d{1,4}\)|\d)){6,14}(?!\d)"  # any other E.164 number
+    r"|(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?|\d{1,4}[ .\-])\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\d)"
+    r"|(?<![\w\-])(?:1[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)"
+    r"|(?<![\w\-])(?<!\d[ .])(?:1[ .\-])?\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\w\-])"
+    r"|(?<![\w\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"
+    rf"|(?<!\w)\(0\d{{1,5}}\)[ .\-/]?\d{{2,9}}(?:[ .\-/]?\d{{2,9}}){{0,3}}{_END}"  # (030) 1234567
+    rf"|(?<![\w.,/\-])(?:0[1-9]\d{{1,4}}[ \-/]\d{{5,9}}|(?=(?:[ .\-]?\d){{9}})(?:{_TRUNK})){_END})"  # 0151 12345678
     r"|(?<![0-9])(?P<card>\d(?:[ \-]?\d){12,18})(?![0-9])"
 )
 _SECRET = re.compile(r"(?<![0-9A-Za-z])(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)")
@@ -295,11 +307,21 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0, back: bool = Fal
                 return head + rest
     if kind == "phone" and value.startswith("+"):
         return value[:2] + _spell(value[2:], _ALPHABETS, key, tweak + value[:2], back)
+    if kind == "phone":  # a trunk 0 stays, and no other number gets one
+        if value[0] == "0":
+            return "0" + _spell(value[1:], _ALPHABETS, key, f"{tweak}0", back)
+        while True:
+            value = _spell(value, _ALPHABETS, key, tweak, back)
+            if value[0] != "0":
+                return value
     if kind == "iban":
         return value[:2] + _spell(value[2:], _ALPHABETS, key, tweak + value[:2], back)
     if kind == "key":
         start = next(x for x in KEY_STARTS if value.startswith(x))
         return start + _spell(value[len(start) :], _ALPHABETS, key, tweak + start, back)
+    if kind == "ipv6" and "." in value:  # the last four bytes in decimal
+        head, tail = value.rsplit(":", 1)
+        return _spell(head, _HEX[:1], key, f"{tweak}.", back) + ":" + surrogate("ipv4", tail, key, draw, back)
     if kind in ("secret", "ipv6"):
         return _spell(value, _HEX[:1] if value == value.lower() else _HEX[1:], key, tweak, back)
     if kind in ("first", "last"):

@@ -323,6 +323,27 @@ def test_bare_mentions_and_more_first_names():
     assert drawn[0] == drawn[5] and drawn[1] == drawn[4] and drawn[2] == drawn[3] and "Evans" not in new
 
 
+PHONES = ["+14155552671", "+442071838750", "+4915112345678", "555 123 4567", "1-800-555-1234", "1 (800) 555-1234", "0151 12345678", "030/1234567", "(030) 1234567", "020 7183 8750", "01 23 45 67 89", "+49 (0)151 12345678", "(202) 555-0123", "202.555.0123"]
+ADDRESSES = ["2001:db8::1", "::1", "fe80::", "FE80::1:2", "1:2:3:4:5:6:7:8", "2001:db8::192.0.2.1", "::ffff:192.0.2.128"]
+
+
+@pytest.mark.parametrize(("kind", "value"), [*(("phone", x) for x in PHONES), *(("ipv6", x) for x in ADDRESSES)])
+def test_phones_and_addresses_in_all_forms(kind, value):
+    t = f"At {value}, or ({value}) 4111 1111 1111 1111 and {value}."
+    got = surrogates.detect(t)
+    assert [(e.kind, e.text) for e in got] == [(kind, value)] * 2 + [("card", "4111 1111 1111 1111"), (kind, value)]
+    new, spans = surrogates.replace(t, KEY, {})
+    assert value not in new.split() and len({s[3] for s in spans}) == 2
+    drawn = surrogates.surrogate(kind, surrogates.canonical(got[0]), KEY)
+    assert surrogates.surrogate(kind, drawn, KEY, back=True) == surrogates.canonical(got[0]) and drawn.startswith("0") == value.startswith(("0", "(0")) or kind == "ipv6"
+
+
+def test_what_is_no_phone_or_address():
+    for t in ("on 01.02.2024 15 or 2024-01-02 12:30:45, 00:1a:2b:3c:4d:5e", "std::vector a::b 1.2.3", "100 200 300 and 0.123 456", "12 345 678 9012"):
+        assert surrogates.detect(t) == []
+    assert [e.kind for e in surrogates.detect("023-45-6789 0412 3456 7890 1234 +1 (269) 555-3296 4524 1322 6465 2876")] == ["ssn", "card", "phone", "card"]
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     values = [f"+1{i:02d}" for i in range(0, 100, 7)]  # a seventh of a domain of a hundred
     known = spark.createDataFrame([("phone", v, surrogates.surrogate("phone", v, KEY)) for v in values], "kind string, value string, drawn string")
