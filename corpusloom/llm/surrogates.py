@@ -25,6 +25,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,9 @@ DEFAULT_KEY = "corpusloom"
 #: Changed draws up to which they are broadcast.
 BROADCAST_ROWS = 100_000
 ROUNDS = 12
+#: Letters above which a value is permuted by halves, in linear time.
+LONG = 1024
+LONG_ROUNDS = 6
 
 # ---------------------------------------------------------------- detection
 
@@ -117,13 +121,13 @@ _NUMBER = re.compile(
     rf"|(?<![\w.,/\-])(?:0[1-9]\d{{1,4}}[ \-/]\d{{5,9}}|(?=(?:[ .\-]?\d){{9}})(?:{_TRUNK})){_END})"  # 0151 12345678
     r"|(?<![0-9])(?P<card>\d(?:[ \-]?\d){12,18})(?![0-9])"
 )
-_SECRET = re.compile(r"(?<![0-9A-Za-z])(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)")
+_SECRET = re.compile(r"(?<![0-9A-Za-z])(?P<secret>[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)")
 
 #: Openings of access keys that services publish for scanners; they are kept.
 KEY_STARTS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "sk_live_", "sk_test_", "xoxb-", "xoxp-")
-_KEY = re.compile(rf"(?<![0-9A-Za-z])(?:{'|'.join(KEY_STARTS)})[0-9A-Za-z_\-]{{10,255}}(?![0-9A-Za-z_\-])")
+_KEY = re.compile(rf"(?<![0-9A-Za-z])(?:{'|'.join(KEY_STARTS)})[0-9A-Za-z_\-]{{10,}}(?![0-9A-Za-z_\-])")
 _CALLED = re.compile(r"(?i:password|passwd|passphrase|pwd|secret|token|api[_\-]?key|access[_\-]?key)[\"']?[ \t]?$")
-_VALUE = re.compile(r"[ \t]?[\"']?([^\s\"']{6,255})(?![^\s\"'])")
+_VALUE = re.compile(r"[ \t]?[\"']?([^\s\"']{6,})(?![^\s\"'])")
 _AROUND = ".,;:!?)]}#*$%&|<>"
 
 _DIGIT = re.compile("[0-9]")
@@ -141,13 +145,17 @@ class Entity:
 def _credentials(text: str) -> Iterator[Entity]:
     """What is set as a password or token; after a colon, only if a digit is in it."""
     for sign in "=:":
-        at = text.find(sign)
+        at, plain = text.find(sign), 0  # up to `plain` a run has no digit
         while at >= 0:
-            if _CALLED.search(text[max(0, at - 16) : at]) and (m := _VALUE.match(text, at + 1)):
+            past = at + 1
+            if (sign == "=" or at >= plain) and _CALLED.search(text[max(0, at - 16) : at]) and (m := _VALUE.match(text, at + 1)):
                 value = m[1].rstrip(_AROUND)
                 if len(value) >= 6 and (sign == "=" or _DIGIT.search(value)):
                     yield Entity("credential", m.start(1), m.start(1) + len(value), value)
-            at = text.find(sign, at + 1)
+                    past = m.start(1) + len(value)
+                elif sign == ":":
+                    plain = m.start(1) + len(value)
+            at = text.find(sign, past)
 
 
 def _names(text: str) -> Iterator[Entity]:
@@ -253,10 +261,31 @@ _HEX = ["0123456789abcdef", "0123456789ABCDEF"]
 _SOUNDS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", *_ALPHABETS[3:]]
 
 
+def _spell_long(text: str, slots: list[tuple[int, str]], key: bytes, tweak: str, back: bool) -> str:
+    """``_spell`` in linear time: each half is shifted, letter by letter, by a stream that the other half keys."""
+    sizes = np.array([len(a) for _, a in slots], dtype=np.int64)
+    value = np.array([a.index(text[i]) for i, a in slots], dtype=np.int64)
+    pattern = hashlib.blake2b("".join(a[0] for _, a in slots).encode(), digest_size=32).digest()
+    half = len(slots) // 2
+    parts = (slice(None, half), slice(half, None))
+    for r in range(LONG_ROUNDS - 1, -1, -1) if back else range(LONG_ROUNDS):
+        own, other = parts[r % 2], parts[1 - r % 2]
+        seed = hashlib.blake2b(f"{tweak}|long|{r}|".encode() + pattern + value[other].astype("u1").tobytes(), key=key).digest()
+        n = len(value[own])
+        move = np.frombuffer(hashlib.shake_256(seed).digest(4 * n), dtype="<u4").astype(np.int64) % sizes[own]
+        value[own] = (value[own] + (-move if back else move)) % sizes[own]
+    out = list(text)
+    for (i, a), k in zip(slots, value.tolist(), strict=True):
+        out[i] = a[k]
+    return "".join(out)
+
+
 def _spell(text: str, alphabets: list[str], key: bytes, tweak: str, back: bool) -> str:
     """Permute all texts of the same pattern: each character stays in its alphabet."""
     slots = [(i, a) for i, c in enumerate(text) for a in alphabets if c in a]
     slots = list({i: a for i, a in reversed(slots)}.items())[::-1]
+    if len(slots) > LONG:
+        return _spell_long(text, slots, key, tweak, back)
     value, size = 0, 1
     for i, a in slots:
         value, size = value * len(a) + a.index(text[i]), size * len(a)

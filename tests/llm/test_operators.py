@@ -344,6 +344,21 @@ def test_what_is_no_phone_or_address():
     assert [e.kind for e in surrogates.detect("023-45-6789 0412 3456 7890 1234 +1 (269) 555-3296 4524 1322 6465 2876")] == ["ssn", "card", "phone", "card"]
 
 
+@pytest.mark.parametrize("n", [256, 5000, 500_000])
+def test_secrets_of_any_length(n):
+    body = ("aZ3_-" * n)[:n]
+    hexes = ("0a1b" * n)[:n]
+    t = f'token="{body}" then AKIA{body} and {hexes} end'
+    got = surrogates.detect(t)
+    assert [(e.kind, e.text) for e in got] == [("credential", body), ("key", "AKIA" + body), ("secret", hexes)]
+    new, spans = surrogates.replace(t, KEY, {})
+    assert len(new) == len(t) and body not in new and hexes not in new
+    for (kind, _, _, drawn), e in zip(spans, got, strict=True):
+        assert surrogates.surrogate(kind, drawn, KEY, back=True) == e.text
+    for chain in ("token:" * n, "token=" * n):  # in linear time
+        assert len(surrogates.detect(chain)) == (chain[5] == "=")
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     values = [f"+1{i:02d}" for i in range(0, 100, 7)]  # a seventh of a domain of a hundred
     known = spark.createDataFrame([("phone", v, surrogates.surrogate("phone", v, KEY)) for v in values], "kind string, value string, drawn string")
