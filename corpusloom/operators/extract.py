@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
@@ -154,10 +154,13 @@ def extract(pages: DataFrame, limit: int = 8000) -> DataFrame:
 
 
 def outlinks(pages: DataFrame, most: int = MOST_LINKS) -> DataFrame:
-    """Links by pattern: page_id, pos, href, text; absolute, other host, anchor of 3 to 120 characters."""
+    """Links by pattern: page_id, pos, href, text; absolute, other host, anchor of 3 to 120 characters;
+    the first ``most`` of each page's distinct ones."""
     raw = F.regexp_extract_all(F.col("html"), F.lit(r"""(?is)<a\s[^>]*href=["'][^"']+["'][^>]*>.*?</a>"""), F.lit(0))
     flat = pages.select("page_id", "url", F.posexplode(raw).alias("pos", "a"))
     href = F.regexp_extract("a", r"""(?is)href=["']([^"']+)["']""", 1)
     flat = flat.withColumn("href", href).withColumn("text", X.strip_html(F.col("a")))
     good = flat.where(F.col("href").rlike("^https?://") & (X.host("href") != X.host("url")) & F.length("text").between(3, 120))
-    return good.groupBy("page_id", "href").agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("text")).where(F.col("pos") < most)
+    links = good.groupBy("page_id", "href").agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("text"))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    return links.withColumn("place", place).where(F.col("place") <= most).drop("place")

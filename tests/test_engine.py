@@ -137,6 +137,15 @@ def test_page_extraction(spark):
     assert got[3].published == "2023-01-02" and got[3].text == "short"
 
 
+def test_outlinks_count_accepted_links(spark):
+    own = "".join(f'<a href="/nav{i}">navigation {i}</a><a href="https://me.org/{i}">same host</a>' for i in range(30))
+    far = "".join(f'<a href="https://o.org/{i}">other page {i}</a><a href="https://o.org/{i}">again {i}</a>' for i in range(50))
+    p = spark.createDataFrame([(1, "https://me.org/a", own + far), (2, "https://me.org/b", far), (3, "https://me.org/c", own)], "page_id long, url string, html string")
+    got = extract.outlinks(p).orderBy("page_id", "pos").collect()
+    want = [(f"https://o.org/{i}", f"other page {i}") for i in range(40)]
+    assert [[(r.href, r.text) for r in got if r.page_id == k] for k in (1, 2, 3)] == [want, want, []]
+
+
 def test_chunks():
     text = "# One\n" + "Alpha beta gamma delta. " * 300 + "\n# Two\n" + "Short but long enough to keep, well over a hundred characters of text in this one section here, yes. "
     got = chunking.chunk_text(text, 1000)
