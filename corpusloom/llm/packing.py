@@ -38,6 +38,10 @@ END_ID = 0
 WINDOW_ROWS = 20_000
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Blanks in a row from which they are cut off by rule, for the pattern backtracks over each of them.
+LONG_BLANK = 100_000
+_BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_BLANKS = re.compile(rf"{_BLANK}{{{LONG_BLANK},}}+")
 
 # ---------------------------------------------------------------- tokens
 
@@ -58,11 +62,22 @@ class ByteBpe:
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.bpe = tiktoken.Encoding("file", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    def _plain(self, text: str) -> np.ndarray:
+        """Ids of a text without special tokens; of a long run of blanks all but the one before a word form a pretoken."""
+        if len(text) < LONG_BLANK:
+            return self.bpe.encode_to_numpy(text)
+        got, at = [], 0
+        for m in _BLANKS.finditer(text):
+            stop = m.end() - (m.end() < len(text))
+            got += [self.bpe.encode_to_numpy(text[at : m.start()]), np.array(self.bpe._encode_single_piece(text[m.start() : stop]), "<u4")]
+            at = stop
+        return np.concatenate([*got, self.bpe.encode_to_numpy(text[at:])])
+
     def encode(self, text: str) -> np.ndarray:
         if self.cut_special is None or not self.cut_special.search(text):
-            return self.bpe.encode_to_numpy(text).astype("<u4")
+            return self._plain(text).astype("<u4")
         parts = self.cut_special.split(text)
-        got = [np.array([self.special[p]], "<u4") if i % 2 else self.bpe.encode_to_numpy(p) for i, p in enumerate(parts)]
+        got = [np.array([self.special[p]], "<u4") if i % 2 else self._plain(p) for i, p in enumerate(parts)]
         return np.concatenate(got).astype("<u4")
 
 

@@ -600,6 +600,21 @@ def test_packing_equals_library(spark, odd):
     assert packing.pack(odd, path).count() == len(got) + 2 and packing.pack(odd.limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\r\n\t ", "\u3000", "\x85 "])
+def test_long_runs_of_blanks_equal_library(blank, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.default_path()
+    lib, own = Tokenizer.from_file(path), packing.load(path)
+    run = blank * (1_000_000 // len(blank))
+    for t in (f"word{run}end", run, f"{run}end", f"word{run}", f"a{run}<|endoftext|>{run}1\x1c!"):
+        assert own.encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids
+    monkeypatch.setattr(packing, "_BLANKS", packing.re.compile(packing._BLANK + "{2,}"))  # the rule on every run
+    monkeypatch.setattr(packing, "LONG_BLANK", 0)
+    t = f" a  b{blank * 3}c's {blank}\x1c  d\n\n\x1f e 12{blank} ? \n<|endoftext|>  f "
+    assert own.encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_order_of_ranks(spark, monkeypatch):
     monkeypatch.setattr(packing, "WINDOW_ROWS", 10)  # many salts
     parts = spark.createDataFrame([(i, 0, 0, 700 if i % 3 else 300, i) for i in range(500)], "doc_id long, piece int, start long, length long, ids_crc32 long")
