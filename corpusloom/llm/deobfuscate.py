@@ -43,6 +43,10 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c",
 }
 SEPARATORS = " .-_*"
+#: These part the words of a list as often as the letters of one.
+LISTING = ",/"
+#: What it costs to leave a run of a sign at the edge of a word as it is; three or more of one sign are emphasis.
+PLAIN = {c: 5.0 if c.isdigit() or c in "@$" else 2.5 for c in LEET} | {"(": 0.5}
 
 # ------------------------------------------------------------ the alphabet
 
@@ -130,11 +134,15 @@ def count_model(docs: DataFrame) -> CharModel:
 
 _L = r"[^\W\d_]"
 _S = "[" + re.escape("".join(LEET)) + "]"
+_R = rf"(?:{_L}|{_S})"
+_I = "[a-z" + re.escape("".join(LEET)) + "]"
+_BETWEEN = "[" + re.escape(SEPARATORS + LISTING) + "]"
 _DISGUISED = re.compile(
-    rf"(?<!\S)(?:[a-z][{re.escape(SEPARATORS)}]){{2,}}[a-z](?!\w)"  # s p a c e d
-    rf"|(?:(?<!\w)[0-9@$]+(?={_L})|{_L}+(?:{_S}+(?={_L})|[0-9@$](?![\w@$!%#&*])))(?:{_L}|{_S}+(?={_L}))*(?:[0-9@$](?![\w@$!%#&*]))?"  # l33t
-    rf"|{_L}*({_L})\1\1+{_L}*"  # repeeeated
+    rf"(?P<spaced>(?:(?<!\S)|(?<=[(\[\"'])){_I}(?:{_BETWEEN}++{_I}){{2,}}(?![\w@$+|]))"  # s p 4 c e d
+    rf"|(?P<signs>(?<!{_L})(?<!{_S})(?:{_S}++{_L}|{_L}++{_S}){_R}*+)"  # l33t
+    rf"|(?<!{_L}){_L}*?({_L})\3\3{_L}*+"  # repeeeated
 )
+_LETTER = re.compile("[a-z]")
 
 
 def looks_disguised(text: str) -> bool:
@@ -154,8 +162,14 @@ def looks_disguised(text: str) -> bool:
                     run = run[: len(run) - 1] & run[1:]
                 if (run & (letter if n == 1 else p >= 0xA0 + 0x20 * (n - 1))[: len(run)]).any():
                     return True
-            lone = letter[1:-1] & ~letter[:-2] & ~letter[2:]
-            if (lone[:-4] & lone[2:-2] & lone[4:]).any():
+    own = np.zeros(0, dtype=np.int64)
+    for at in range(0, len(raw), _SLAB):  # three letters or signs in a row, each by itself
+        own = np.append(own[-3:], np.flatnonzero(_BYTE[raw[at : at + _SLAB]]) + at)
+        if len(own) > 2:
+            gap = np.diff(own) > 1
+            lone = np.append(True, gap) & np.append(gap, True)
+            letter = _BYTE[raw[own]] == 1
+            if (lone[:-2] & lone[1:-1] & lone[2:] & (letter[:-2] | letter[1:-1] | letter[2:])).any():
                 return True
     return False
 
@@ -167,7 +181,9 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         c, r = m.group(1), len(m.group())
         if c in LEET:
             ways = [(x, 0.3) for x in LEET[c]] + [(x * 2, 0.6) for x in LEET[c] if r > 1]
-            out.append(ways + [(c, 4.0) if c.isdigit() else ("", 3.0)])
+            out.append(ways + ([(c, 4.0)] if c.isdigit() else [("", 3.0), (c, 4.0)]))
+        elif c in LISTING:
+            out.append([("", 1.2), (c, 0.5)])
         elif c in SEPARATORS:
             out.append([("", 0.2), (" ", 2.0)])
         elif r == 1:
@@ -213,11 +229,70 @@ class Restorer:
         self.seen[token] = best
         return best
 
+    def read(self, token: str) -> str:
+        """The likeliest reading of letters and signs, where signs at either edge may also be punctuation.
+
+        A path may begin after any leading run and end before any trailing one,
+        at the cost of the runs left out; if all are, the token stays as it is.
+        """
+        if (known := self.seen.get(token)) is not None:
+            return known
+        logp = self.model.logp
+        runs = [m.group() for m in re.finditer(r"(.)\1*", token, re.DOTALL)]
+        plain = [0.0 if c[0] not in LEET or (len(c) > 2 and not c[0].isdigit()) else PLAIN[c[0]] for c in runs]
+        first = next(i for i, c in enumerate(runs) if c[0] not in LEET)
+        last = len(runs) - next(i for i, c in enumerate(reversed(runs)) if c[0] not in LEET)
+        left, right = 0.0, sum(plain[last:])
+        paths: dict[tuple[int, int], tuple[float, int, tuple | None]] = {}  # value, first run, chain of emissions
+        best: tuple = (-np.inf, 0, 0, None)
+        for k, ways in enumerate([*lattice(token), None]):
+            if k <= first and ((0, 0) not in paths or -left > paths[0, 0][0]):
+                paths[0, 0] = (-left, k, None)
+            if k >= last:
+                for (i, j), (value, start, chain) in paths.items():
+                    if (v := value + float(logp[i, j, 0]) - right) > best[0]:
+                        best = (v, start, k, chain)
+            if ways is None:
+                break
+            if k < first:
+                left += plain[k]
+            if k >= last:
+                right -= plain[k]
+            after: dict[tuple[int, int], tuple[float, int, tuple | None]] = {}
+            for state, (value, start, chain) in paths.items():
+                for emit, cost in ways:
+                    (i, j), v = state, value - cost
+                    for c in emit:
+                        n = _code(c)
+                        v += float(logp[i, j, n])
+                        i, j = j, n
+                    if (i, j) not in after or v > after[i, j][0]:
+                        after[i, j] = (v, start, (chain, emit))
+            paths = after
+        _, start, stop, chain = best
+        words = []
+        while chain:
+            chain, emit = chain
+            words.append(emit)
+        got = "".join([*runs[:start], *reversed(words), *runs[stop:]])
+        if start == first and stop == last and not any(c[0] in LEET or len(c) > 2 for c in runs[first:last]):
+            got = token
+        if len(self.seen) >= self.most:
+            self.seen.clear()
+        self.seen[token] = got
+        return got
+
+    def _one(self, m: re.Match) -> str:
+        token = m.group()
+        if m["spaced"]:
+            return self.decode(token) if _LETTER.search(token) else token
+        return self.read(token) if m["signs"] else self.decode(token)
+
     def restore(self, text: str) -> str:
         low = text.lower()
         if not looks_disguised(low):
             return low
-        return "\n".join(_DISGUISED.sub(lambda m: self.decode(m.group()), x) if looks_disguised(x) else x for x in low.split("\n"))
+        return "\n".join(_DISGUISED.sub(self._one, x) if looks_disguised(x) else x for x in low.split("\n"))
 
 
 # ------------------------------------------------------------ the score

@@ -399,6 +399,19 @@ def test_disguises_are_read(model, hidden, plain):
     assert deobfuscate.Restorer(model).restore(f"The {hidden} of") == f"the {plain} of"
 
 
+@pytest.mark.parametrize("hidden", ["!diot", "id10+", "1d107", "|d|ot", "1 d 1 0 t", "i d 1 o t", "i  d  i  o  t", "i/d/i/o/t", "i,d,i,o,t", "!d!0t", "!diot!!", "(idiot)"])
+def test_more_disguises_are_read(model, hidden):
+    assert deobfuscate.Restorer(model).restore(f"The {hidden} of").replace("!", "").strip("()").replace("(", "").replace(")", "") == "the idiot of"
+
+
+@pytest.mark.parametrize(("hidden", "plain"), [("a$$", "ass"), ("a55", "ass"), ("shi+", "shit"), ("stop!", "stop!"), ("(see", "(see"), ("1 2 3 4", "1 2 3 4"), ("stop!!!", "stop!!!")])
+def test_signs_at_edges(hidden, plain):
+    counts = np.zeros(deobfuscate.SIZE**3, dtype=np.int64)
+    for _ in range(50):
+        deobfuscate.count_trigrams("you ass and shit, stop. an ass! can (they) shit? stop!  the stop of an ass. i see", counts)
+    assert deobfuscate.Restorer(deobfuscate.CharModel.of(counts)).restore(f"You {hidden} can") == f"you {plain} can"
+
+
 def test_viterbi_equals_all_readings(model):
     import itertools
 
