@@ -20,7 +20,10 @@ whole, however long.
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -298,40 +301,86 @@ class Restorer:
 # ------------------------------------------------------------ the score
 
 _P = np.uint64(0x9E3779B97F4A7C15)
+_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LENGTHS = (3, 4, 5, 6)
+#: Letters above which a word counts as run together.
+LONG_WORD = 24
+#: Blocks of scripts that are written without blanks between words.
+_UNSPACED = ((0x0E00, 0x0F00), (0x0F00, 0x10A0), (0x1780, 0x1800), (0x1950, 0x1AB0), (0x2E80, 0xA000), (0xA9E0, 0xAA80), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x1B000, 0x1B300), (0x20000, 0x33480))
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """Of every code point: 0 between words, 1 a letter or mark, 2 one of a script without blanks."""
+    table = np.zeros(0x110000, dtype=np.uint8)
+    table[[c for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LM"]] = 1
+    for low, high in _UNSPACED:
+        table[low:high] *= 2
+    return table
 
 
-def features(text: str) -> np.ndarray:
-    """Distinct bins of the whole words and of word beginnings of a restored text."""
-    found = [np.zeros(0, dtype=np.uint64)]
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of about ``_SLAB`` characters that no word crosses."""
     at = 0
     while at < len(text):
-        end = len(text)
-        if end - at > _SLAB:  # cut between words
-            end = max(text.rfind(" ", at + 1, at + _SLAB), text.rfind("\n", at + 1, at + _SLAB))
-            end = at + _SLAB if end < 0 else end
-        raw = np.frombuffer(f" {text[at:end]} ".encode(), dtype=np.uint8)
-        letter = ((raw >= 97) & (raw <= 122)) | (raw >= 128)
+        end = at + _SLAB
+        while end < len(text):
+            gaps = np.flatnonzero(_letters()[np.frombuffer(text[max(at, end - _SLAB) : end].encode("utf-32-le", "surrogatepass"), dtype="<u4")] == 0)
+            if len(gaps):
+                end = max(at, end - _SLAB) + int(gaps[-1]) + 1
+                break
+            end += _SLAB
+        yield text[at:end]
+        at = end
+
+
+def features(text: str) -> np.ndarray:
+    """Distinct bins of the whole words and of word beginnings of a restored text.
+
+    Words end at code points that are no letters.  Run-together words, and all
+    in scripts without blanks, give the n-grams at every place too, under the
+    hashes of word beginnings.
+    """
+    found = [np.zeros(0, dtype=np.uint32)]
+    for part in _parts(text):
+        p = np.frombuffer(f" {part} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        kind = _letters()[p]
+        letter = kind > 0
         edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
         start, stop = edge[::2], edge[1::2]
-        value = raw.astype(np.uint64) + np.uint64(1)
+        if not len(start):
+            continue
+        value = (p.astype(np.uint64) + np.uint64(1)) * _P
+        value ^= value >> np.uint64(31)
+        power, back = np.full(len(p), _P), np.full(len(p), _P_INVERSE)
+        power[0] = back[0] = 1
+        back = np.cumprod(back)
+        total = np.append(np.uint64(0), np.cumsum(value * np.cumprod(power)))
+
+        def add(begin, end, n, total=total, back=back):
+            h = (total[end] - total[begin]) * back[begin]  # the same wherever the letters stand
+            h = (h ^ (h >> np.uint64(29)) ^ np.uint64(n)) * _P
+            h = (h ^ (h >> np.uint64(32))) * _P
+            h = h >> np.uint64(64 - 20)
+            found.append(np.unique(h).astype(np.uint32) if len(h) > _SLAB else h.astype(np.uint32))
+
         size = stop - start
-        order = np.argsort(-size, kind="stable")  # long words first: those still running are a prefix
-        start = start[order]
-        more = len(size) - np.searchsorted(np.sort(size), np.arange(25), side="right")
-        h = np.zeros(len(start), dtype=np.uint64)
-        for k in range(24):
-            n = more[k]
-            if not n:
-                break
-            own = (h[:n] ^ value[start[:n] + k]) * _P
-            own ^= own >> np.uint64(29)
-            h[:n] = own
-            if k + 1 in _LENGTHS:
-                found.append((own ^ np.uint64(k + 1)) * _P)
-        found.append((h ^ np.uint64(99)) * _P)
-        at = end
-    return np.unique(np.concatenate(found) >> np.uint64(64 - 20)).astype(np.uint32)
+        add(start, stop, 99)
+        for n in _LENGTHS:
+            own = start[size >= n]
+            add(own, own + n, n)
+        unspaced = np.add.reduceat((kind == 2).astype(np.int64), edge)[::2] > 0
+        long = (size > LONG_WORD) | unspaced
+        if long.any():
+            sizes, ends = size[long], stop[long]
+            at = np.arange(sizes.sum()) + np.repeat(start[long] - np.cumsum(sizes) + sizes, sizes)
+            rest = np.repeat(ends, sizes) - at
+            pairs = at[(rest >= 2) & np.repeat(unspaced[long], sizes)]
+            add(pairs, pairs + 2, 2)
+            for n in _LENGTHS:
+                own = at[rest >= n]
+                add(own, own + n, n)
+    return np.unique(np.concatenate(found))
 
 
 @dataclass

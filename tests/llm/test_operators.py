@@ -435,6 +435,21 @@ def test_clean_text_is_left(model):
     assert deobfuscate.Restorer(model).restore(t) == t
 
 
+def test_features_use_words_to_their_end(monkeypatch):
+    f = lambda t: set(deobfuscate.features(t).tolist())
+    zh = "今天天气很好我们去公园散步" * 40
+    assert f(zh + "你是白痴") - f(zh) and f("白痴") & (f(zh + "白痴") - f(zh)) and f("白痴，你好") == f("你好。白痴")
+    long = "abcdefghijklmnopqrstuvwxyz" * 3
+    assert f(long + "x") != f(long + "y") and f("в" * 30 + "дурак") != f("в" * 30 + "добро")
+    assert f(long + "idiot") & (f("idiots") - f("idio"))
+    assert f("short words only") == f("only, words: short") and f("") == set() and len(f("ab")) == 1
+    texts = [zh + " the idiot. " + long * 50, "word and word " * 40, zh * 3 + "\n" + long]
+    whole = [f(t) for t in texts]
+    for slab in (7, 64, 1000):
+        monkeypatch.setattr(deobfuscate, "_SLAB", slab)
+        assert [f(t) for t in texts] == whole
+
+
 def test_toxicity_held_out_and_odd(spark, odd, labels):
     sf = "/root/testdata/sf0.01"
     got = deobfuscate.toxicity(spark, sf)
