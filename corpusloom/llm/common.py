@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import checkpointed as cut
+from corpusloom.session import release, remove, shared_folder, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it from there.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary one is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "fold", "fresh", "release", "remove", "shared_folder", "table"]
 
 
 def fresh(df: DataFrame, stem: str) -> str:

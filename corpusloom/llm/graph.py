@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut
+from corpusloom.llm.common import cut, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,8 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate: each node hooks onto the least
     node it sees, until the edge set no longer changes.  A step is a partially
     aggregated minimum and an equi-join, so a hub's edges never meet in one
-    row; the tables are written out after each round.  Two numbers a round go
-    to the driver.  Self-loops, repeated edges and an empty table are fine.
+    row; the tables are written out after each round, and those of the round
+    before are deleted.  Two numbers a round go to the driver.  Self-loops,
+    repeated edges and an empty table are fine.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
     e = cut(e)
@@ -29,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "v").select(
             F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")
         )
-        e = cut(small.select("e.v", "e.u").where("v <> u").distinct())
+        before, e = e, cut(small.select("e.v", "e.u").where("v <> u").distinct())
+        release(before)
         now = _mark(e)
         if now == seen:
             break

@@ -24,7 +24,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusloom.llm.common import cut, fresh
 from corpusloom.llm.graph import components
@@ -60,17 +59,18 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+    """(doc_id, mark, fp) with the fingerprint as a signed long and a hash of the text."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            values = [fingerprint(t.as_py() or "", shingle) for t in batch.column(1)]
+            values = [fingerprint(t.as_py() or "", shingle) for t in batch.column(2)]
             fp = np.array(values, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], ["doc_id", "mark", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def _variants(nodes: DataFrame) -> DataFrame:
@@ -109,53 +109,38 @@ def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.union(stars)
 
 
-def _lookup(marked: DataFrame, crowd: int) -> DataFrame:
-    """(fp, root, component_id) for every fingerprint of ``marked`` (doc_id, fp)."""
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def _placed(marked: DataFrame, crowd: int, least) -> DataFrame:
+    """(fp, least, root) for every fingerprint of ``marked``; ``least`` is its aggregated minimum."""
+    nodes = cut(marked.groupBy("fp").agg(F.min(least).alias("least")))  # partly aggregated, so copies do not meet
     roots = components(links(nodes.select("fp"), crowd)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(named, "root").select("fp", "root", "component_id")
+    return nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     marked = cut(fingerprints(docs, shingle))
-    return marked.join(_lookup(marked, crowd), "fp", "left").select("doc_id", "fp", "component_id")
+    placed = _placed(marked, crowd, "doc_id")
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    lookup = placed.join(named, "root").select("fp", "component_id")
+    return marked.join(lookup, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
-    """The rows of ``docs`` that stand for their class, columns unchanged.
+    """One row of ``docs`` for each class, columns unchanged.
 
-    The row of the least ``doc_id`` stays, once if it is repeated.  Of a class
-    in which every ``doc_id`` is null one row stays.
+    Of a class the row of the least ``doc_id`` stays; rows without an id come
+    last, and of rows with one id the one whose text has the least hash.  A row
+    is known by id and text, so ids that occur with several texts lose none of
+    them; of rows that repeat both any one stays.
     """
     marked = cut(fingerprints(docs, shingle))
-    lookup = cut(_lookup(marked, crowd))
-    key = fresh(docs, "keeper")
-    ids = lookup.where("component_id is not null").select(F.col("component_id").alias(key)).distinct()
-    stay = docs.join(ids, docs["doc_id"] == ids[key], "left_semi").dropDuplicates(["doc_id"])
-    bare = docs.where("doc_id is null")
-    if bare.isEmpty():
-        return stay
-    fp = fresh(docs, "fp")
-    lost = lookup.where("component_id is null").select(F.col("fp").alias(fp), F.col("root").alias(key))
-    bare = _with_fingerprint(bare, fp, shingle).join(lost, fp).dropDuplicates([key]).drop(fp, key)
-    return stay.unionByName(bare)
-
-
-def _with_fingerprint(docs: DataFrame, name: str, shingle: int) -> DataFrame:
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
-    at = docs.columns.index("text")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            fp = np.array([fingerprint(t.as_py() or "", shingle) for t in batch.column(at)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, name])
-
-    return docs.mapInArrow(run, schema)
+    place = F.struct(F.col("doc_id").isNull().alias("bare"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
+    best = _placed(marked, crowd, place).groupBy("root").agg(F.min("least").alias("best"))
+    names = [fresh(docs, stem) for stem in ("bare", "id", "mark")]
+    stay = best.select(*[F.col(f"best.{c}").alias(n) for c, n in zip(("bare", "id", "mark"), names, strict=True)])
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.withColumns(dict(zip(names, (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), F.xxhash64("text")), strict=True)))
+    return rows.dropDuplicates(names).join(stay, names, "left_semi").drop(*names)
 
 
 def simhash_dedup(spark, sf_dir: str) -> DataFrame:

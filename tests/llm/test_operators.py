@@ -522,6 +522,61 @@ def test_simhash_odd_inputs(spark, odd):
     assert simhash.keep_one(odd.limit(0)).count() == 0
 
 
+def keep_by_hand(rows, class_of):
+    """Of each class the least (no id, id, hash of the text), one row."""
+    best = {}
+    for d, t, mark in rows:
+        own = (d is None, d or 0, mark)
+        k = class_of[simhash.fingerprint(t or "")]
+        if k not in best or own < best[k]:
+            best[k] = own
+    return {(None if none else d, mark) for none, d, mark in best.values()}
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_keep_one_by_force(spark, seed):
+    r = random.Random(seed)
+    texts = [" ".join(r.choices("abcdefgh", k=r.choice([0, 2, 5, 60]))) for _ in range(12)] + [None, ""]
+    data = [(r.choice([None, *range(8)]), r.choice(texts), i) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, mark int")  # `mark` clashes with an inner name
+    marked = [(x.doc_id, x.text, x.h) for x in df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()]
+    got = simhash.keep_one(df)
+    want = keep_by_hand(marked, linked([simhash.fingerprint(t or "") for _, t, _ in marked]))
+    assert got.columns == df.columns and {(x.doc_id, x.h) for x in got.select("doc_id", F.xxhash64("text").alias("h")).collect()} == want
+    assert got.count() == len(want)
+
+
+def test_keep_one_loses_no_text_of_a_repeated_id(spark):
+    a, b, c = "the quick brown fox jumps over", "totally different words are here now", "third text with other things inside"
+    for data, want in (([(1, a), (2, b), (2, c), (3, b)], [(1, a), (2, b), (2, c)]), ([(1, a), (1, b), (2, b)], [(1, a), (1, b)]), ([(None, a), (None, a), (None, b)], [(None, a), (None, b)])):
+        assert rows(simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string"))) == sorted(want, key=repr)
+
+
+def test_simhash_end_to_end(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    fps = {r.doc_id: simhash.fingerprint(r.text or "") for r in docs}
+    class_of = linked(fps.values())
+    least = {}
+    for d, x in fps.items():
+        least[class_of[x]] = min(d, least.get(class_of[x], d))
+    want = sorted((d, f"{x:016x}", least[class_of[x]]) for d, x in fps.items())
+    assert sorted(map(tuple, simhash.simhash_dedup(spark, sf).collect())) == want
+
+
+def test_shared_folder_is_asked_for(monkeypatch):
+    from types import SimpleNamespace
+
+    from corpusloom.llm.common import shared_folder
+
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    with pytest.raises(RuntimeError):
+        shared_folder(session("yarn", None))
+    assert shared_folder(session("local[2]", None)) == shared_folder(session("local[2]", None))
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
