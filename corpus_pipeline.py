@@ -7,14 +7,13 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import deobfuscate, mil_quality, packing, simhash, surrogates
-from corpusloom.llm.common import fresh, table
+from corpusloom.llm.common import fresh, remove, shared_folder, table
 
 #: A document stays if the classifier's score is at least this.
 LEAST_QUALITY = 0.5
@@ -71,12 +70,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; what is between them lies in the shared folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
-    folder = f"{top.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order; what is between them lies in the shared folder.
+
+    A stage's table is deleted once the next one is written; the last stays.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, read = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if read is not None:
+            remove(spark, read)
+        read = path
     return docs
