@@ -2,19 +2,29 @@
 
 Every detected entity is reduced to a canonical form and mapped by a keyed
 permutation of its own type and format: digits stay digits, letters keep case
-and script, separators stay, a valid card number gets a valid one, a first name
-gets one of the same gender and script.  A permutation cannot merge two
-entities, and one entity has the same surrogate everywhere, in all documents.
+and script, separators stay, a valid card number gets a valid one, a listed
+first name gets one of the same gender and script, any other name keeps its
+pattern of sounds and the ending that tells its gender.  A permutation cannot
+merge two entities, and one entity has the same surrogate everywhere.
 
 A collision check runs over the distinct entities of the corpus: a surrogate
-that is itself the value of another person there is drawn again (with the next
-tweak) until it neither is an entity nor the surrogate of one.  The few changed
-draws are broadcast if they are few, else joined to the documents that need them.
+that is itself the value of an entity there is drawn again, with the next tweak,
+until it is neither an entity nor any entity's surrogate, at most ``DRAWS``
+times.  What then has none (formats with few values, all in use), and values
+without a character that could change, get a typed placeholder numbered by the
+key: ``[phone-...]``, for names a long invented name.  So the check always ends.
+Listed names trade places within their lists; they stay distinct, and are
+always somebody's name.
+
+Names are found after titles, by listed first names and surnames, by endings
+that only surnames have, and by what stands around them ("my name is", "said").
+A name found anywhere in a document is replaced there at every bare mention.
 
 Defined cases: a null text stays null and has no entities; empty texts and texts
 without entities come back unchanged; a null ``doc_id`` is passed through;
 repeated rows are treated alike; an empty table gives an empty result; other
-columns are left as they are; texts are searched whole, however long.
+columns are left as they are; texts are searched whole, however long, in linear
+time.
 """
 
 from __future__ import annotations
@@ -22,20 +32,24 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import secrets
+import unicodedata
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.common import cut, fresh
 
-#: Used where the session does not set ``corpusloom.pii.key``.
-DEFAULT_KEY = "corpusloom"
-#: Changed draws up to which they are broadcast.
+#: Changed draws, in rows and in characters, up to which they are broadcast.
 BROADCAST_ROWS = 100_000
+BROADCAST_CHARS = 16_000_000
+#: Draws after the first one before a placeholder is taken.
+DRAWS = 6
 ROUNDS = 12
 #: Letters above which a value is permuted by halves, in linear time.
 LONG = 1024
@@ -94,13 +108,51 @@ WORDS = set(
 )
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
 
+#: Surnames that are no everyday words, by which an unlisted first name is told.
+SURNAMES = set(
+    "Johnson Williams Jones Davis Wilson Taylor Thompson Robinson Anderson Jackson Harris Lewis Evans Roberts Campbell Murphy Kelly Sullivan "
+    "Müller Schmitz Hoffmann Schulz Krüger Köhler Schröder Zimmermann Lehmann Dubois Moreau Laurent Lefebvre Girard Rousseau Fournier "
+    "García Martínez López Sánchez Rodríguez Hernández González Pérez Gómez Díaz Ramírez Torres Garcia Martinez Lopez Sanchez Rodriguez Hernandez "
+    "Gonzalez Perez Gomez Diaz Ramirez Silva Santos Oliveira Souza Ferreira Rossi Russo Bianchi Romano Ricci Esposito Colombo Novak Kowalski "
+    "Patel Sharma Singh Kumar Gupta Khan Reddy Iyer Nair Banerjee Mukherjee Chatterjee Desai Mehta Joshi Verma Agarwal Rao Das Chowdhury "
+    "Zhang Wang Chen Liu Huang Zhao Zhou Yang Xu Zhu Lin Guo Kim Park Choi Jung Nguyen Tran Pham Hoang Tanaka Suzuki Sato Takahashi Watanabe "
+    "Yamamoto Nakamura Kobayashi Hussain Ahmed Ali Hassan Ibrahim Abdullah Rahman Haddad Okafor Adeyemi Mensah Osei Diallo Traoré Mbeki Dlamini "
+    "Yılmaz Kaya Demir Cohen Levy Mizrahi Horvat Nagy Szabó Virtanen Korhonen Papadopoulos Popescu Ionescu Иванов Петров Сидоров Смирнов Кузнецов".split()
+)
+_SURNAME = re.compile(r"^(?:Mc|Mac|O['’])[A-Z]|\w{2,}(?:ński|wski|vski|vsky|ovsky|ewicz|owicz|vych|chuk|enko|oğlu|dóttir|sdottir|poulos|opoulou|idis|escu|vić|ović|ovic|evic|shvili|adze|zadeh|sson|nsen|ssen|ovna|ikov|ekov|akov|enkov|ova|eva|ская|ский|енко|ович|ова|ева)$")
+#: Capitalised words that begin a sentence or a phrase, and are no first names.
+STARTS = set(
+    "The A An And Or But If In On At By For From To With Of As Is Are Was This That These Those My Our Your His Her Its Their All No Not New Old North South East West "
+    "San Santa Saint St Mount Lake River Fort Port Los Las El La Le Les Der Die Das Den Dem Des Ein Eine Und Oder Im Am Zu Von Un Une Et Ou Du Au Y O En Con Por Para "
+    "Dear Hello Hi Contact Ask Call Then Later Yesterday Today Tomorrow After Before When While Where Who What Why How Also Only General Public United University".split()
+)
+#: Verbs that persons are the subjects of.
+_DOES = (
+    "said|says|called|calls|asked|asks|told|tells|wrote|writes|replied|answered|emailed|phoned|texted|met|lives|lived|works|worked|signed|joined|resigned|retired|married|"
+    "thinks|thought|believes|believed|wants|wanted|went|came|left|arrived|smiled|laughed|nodded|spoke|explained|agreed|stayed|moved|"
+    "sagte|sagt|rief|schrieb|fragte|antwortete|wohnt|arbeitet|kam|ging|a dit|dit|écrit|habite|travaille|demanda|dijo|dice|escribió|vive|trabaja|preguntó|сказал|сказала|написал|написала|живёт"
+)
+_AFTER = re.compile(rf"(?:,? (?:who |and |et |und |y )?(?:{_DOES})|'s (?:wife|husband|phone|email|account|house|father|mother|son|daughter)| ?[<(][\w.+\-]+@|,? (?:born|aged) )(?!\w)")
+_BEFORE = re.compile(
+    r"(?i:(?:\bnames? (?:is|was)|\bname ?:|\bnamed|\bi am|\bi['’]m|\bi met|\bsigned(?: by)?[:,]?|\bwritten by|\bauthor ?:|\bcontact ?:?|\battn\.?:?|\bsincerely,|\bregards,|\byours,|\bdear|"
+    r"\b(?:my|her|his) (?:wife|husband|friend|boss|doctor|son|daughter|brother|sister|mother|father|colleague)|\bpatient ?:?|\bcustomer ?:|\bclient ?:|"
+    r"\bheiße|\bich bin|\bm['’]appelle|\bje suis|\bme llamo|\bsoy|\bменя зовут)\s{1,2})$"
+)
+_CLAUSE = re.compile(r"(?:^|[.!?;:\n\r])[\s\"'(\[]*$")
+_ARTICLE = re.compile(r"(?i:(?:^|\W)(?:the|an?|der|die|das|dem|den|des|eine?[mnrs]?|le|la|les|une?|el|los|las|una) )$")
+
 _LISTS = {(*k, n): names for n, lists in enumerate((FIRST, MORE)) for k, names in lists.items()}
 _FIRST_OF = {n: k for k in reversed(_LISTS) for n in reversed(_LISTS[k])}  # the first list that has a name owns it
 _POOLS = {k: tuple(n for n in dict.fromkeys(names) if _FIRST_OF[n] == k) for k, names in _LISTS.items()}
-_CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+"
-_NAME = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.? (?:(?:{'|'.join(TITLES)})\.? )*(?P<tfirst>{_CAP} )?(?P<tlast>{_CAP})|(?P<first>{_CAP}) (?P<last>{_CAP}))(?!\w)")
-_WORD = re.compile(rf"(?<!\w){_CAP}(?!\w)")
-_MAIL = re.compile(r"[\w.%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
+_UP, _LOW = ("".join(chr(c) for c in (*range(0x41, 0x180), *range(0x400, 0x460)) if unicodedata.category(chr(c)) == k) for k in ("Lu", "Ll"))
+_ONE = rf"(?:(?:Mc|Mac|O['’]|D['’])?[{_UP}][{_LOW}]+)"
+_CAP = rf"{_ONE}(?:-{_ONE})*"
+_PARTICLE = r"(?:(?:von|van|zu|de|di|da|do|dos|der|den|del|della|la|le|bin|ibn|ben|al|el|ter|ten|af|av) |[A-Z]\. )*"
+_NAME = re.compile(
+    rf"(?<![\w'’\-])(?:(?P<title>{'|'.join(TITLES)})\.? (?:(?:{'|'.join(TITLES)})\.? )*(?P<tfirst>{_CAP} )?{_PARTICLE}(?P<tlast>{_CAP})|(?P<first>{_CAP}) {_PARTICLE}(?P<last>{_CAP}))(?![\w\-])"
+)
+_WORD = re.compile(rf"(?<![\w'’\-]){_CAP}(?![\w\-])")
+_MAIL = re.compile(r"(?<![\w.%+\-])[\w.%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
 _BYTE = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _IPV4 = rf"(?:{_BYTE}\.){{3}}{_BYTE}"
 _HEXES = r"[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4})"
@@ -121,7 +173,7 @@ _NUMBER = re.compile(
     rf"|(?<![\w.,/\-])(?:0[1-9]\d{{1,4}}[ \-/]\d{{5,9}}|(?=(?:[ .\-]?\d){{9}})(?:{_TRUNK})){_END})"  # 0151 12345678
     r"|(?<![0-9])(?P<card>\d(?:[ \-]?\d){12,18})(?![0-9])"
 )
-_SECRET = re.compile(r"(?<![0-9A-Za-z])(?P<secret>[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)")
+_SECRET = re.compile(r"(?<![0-9A-Za-z])(?P<secret>[0-9a-fA-F]{32,})(?![0-9A-Za-z])|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)")
 
 #: Openings of access keys that services publish for scanners; they are kept.
 KEY_STARTS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "sk_live_", "sk_test_", "xoxb-", "xoxp-")
@@ -131,7 +183,8 @@ _VALUE = re.compile(r"[ \t]?[\"']?([^\s\"']{6,})(?![^\s\"'])")
 _AROUND = ".,;:!?)]}#*$%&|<>"
 
 _DIGIT = re.compile("[0-9]")
-_TWO = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?: |(?<=Mr|Ms|Dr)\. |(?<=Mrs)\. |(?<=Prof)\. )[A-ZÀ-ÖØ-ÞА-ЯЁ]")
+#: Where a name of two words, or of a title and one, can be at all.
+_TWO = re.compile(rf"[{_LOW}](?: |\. )(?:(?:[a-z]{{2,5}} |[A-Z]\. ){{1,3}})?[{_UP}]")
 
 
 @dataclass(frozen=True)
@@ -158,8 +211,22 @@ def _credentials(text: str) -> Iterator[Entity]:
             at = text.find(sign, past)
 
 
+def _is_person(text: str, m: re.Match) -> bool:
+    """Whether two capitalised words are a person's name: by a list, by an ending, or by what stands around them."""
+    first, last = m["first"], m["last"]
+    if last in TITLES or last in _FIRST_OF and first not in _FIRST_OF:  # the name begins with the second word
+        return False
+    if first in _FIRST_OF or first.split("-")[0] in _FIRST_OF:
+        return True
+    if first in STARTS or last in STARTS:
+        return False
+    if last in SURNAMES or _SURNAME.search(last):
+        return True
+    return bool(_AFTER.match(text, m.end()) or _BEFORE.search(text[max(0, m.start() - 24) : m.start()]))
+
+
 def _names(text: str) -> Iterator[Entity]:
-    """Names after titles and listed first names; a pair that is none gives its second word back to the search."""
+    """Names of persons; a pair that is none gives its second word back to the search."""
     at = 0
     while m := _NAME.search(text, at):
         at = m.end()
@@ -167,13 +234,27 @@ def _names(text: str) -> Iterator[Entity]:
             if m["tfirst"]:
                 yield Entity("first", m.start("tfirst"), m.end("tfirst") - 1, m["tfirst"][:-1])
             yield Entity("last", m.start("tlast"), m.end("tlast"), m["tlast"])
-        elif m["first"] in _FIRST_OF and m["last"] not in TITLES:
+        elif _is_person(text, m):
             yield Entity("first", *m.span("first"), m["first"])
             yield Entity("last", *m.span("last"), m["last"])
         else:
             at = m.start("last")
 
 
+def _means_person(text: str, m: re.Match) -> bool:
+    """Whether an everyday word that is also a known person's name means the person here.
+
+    Inside a clause a capital tells, unless an article stands before; where a
+    clause begins, a verb that persons are the subjects of, or a possessive.
+    """
+    if m.group() not in WORDS:
+        return True
+    before = text[max(0, m.start() - 24) : m.start()]
+    if _CLAUSE.search(before):
+        return bool(_AFTER.match(text, m.end()) or re.match(r" \w+ed\b|['’]s\b", text[m.end() : m.end() + 24]))
+    return not _ARTICLE.search(before)
+
+
 def detect(text: str) -> list[Entity]:
     """Entities of a text, in order, without overlaps; the first pattern to claim a place has it."""
     found: list[Entity] = []
@@ -192,7 +273,9 @@ def detect(text: str) -> list[Entity]:
         right = text.find("\n", digit.start())
         right = len(text) if right < 0 else right
         for pattern in (_NUMBER, _SECRET):
-            found += [Entity(m.lastgroup, m.start(), m.end(), m.group()) for m in pattern.finditer(text, left, right)]
+            for m in pattern.finditer(text, left, right):
+                if m.lastgroup != "card" or not m.group().isdigit() or luhn(m.group()[:-1]) == int(m.group()[-1]):
+                    found.append(Entity(m.lastgroup, m.start(), m.end(), m.group()))
         digit = _DIGIT.search(text, right)
     if any(x in text for x in KEY_STARTS):
         found += [Entity("key", m.start(), m.end(), m.group()) for m in _KEY.finditer(text)]
@@ -200,9 +283,9 @@ def detect(text: str) -> list[Entity]:
     if _TWO.search(text):
         named = list(_names(text))
         found += named
-        known = {e.text: e.kind for e in named if e.kind == "first" or e.text not in WORDS}
+        known = {e.text: e.kind for e in named}
         if known:  # the same persons by one name
-            found += [Entity(known[m.group()], m.start(), m.end(), m.group()) for m in _WORD.finditer(text) if m.group() in known]
+            found += [Entity(known[m.group()], m.start(), m.end(), m.group()) for m in _WORD.finditer(text) if m.group() in known and _means_person(text, m)]
     found.sort(key=lambda e: (e.start, -e.stop))
     out: list[Entity] = []
     for e in found:
@@ -257,11 +340,53 @@ _ALPHABETS = [
     "".join(chr(c) for c in range(0x3B1, 0x3CA) if c != 0x3C2),
     "".join(chr(c) for c in range(0x391, 0x3AA) if c != 0x3A2),
 ]
-_HEX = ["0123456789abcdef", "0123456789ABCDEF"]
-_SOUNDS = ["aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", *_ALPHABETS[3:]]
+_OWN = {c: a for a in _ALPHABETS for c in a}
+_HEX_MIXED = {c: a for a in ("0123456789", "abcdef", "ABCDEF") for c in a}
+_HEX_LOWER, _HEX_UPPER = ({c: a for c in a} for a in ("0123456789abcdef", "0123456789ABCDEF"))
+_VOWELS = ("aeiou", "AEIOU", "аеиоуыэюя", "АЕИОУЫЭЮЯ")
+_CONSONANTS = ("bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ", "бвгджзклмнпрстфхцчшщ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ")
+#: Consonants that may take each other's place next to another one, so that a name can still be spoken.
+_ALIKE = {c: a for low in ("lr", "mn", "bcdgkpqt", "fhjsvwxyz", "лр", "мн", "бвгдзкпт", "жсфхцчшщ") for a in (low, low.upper()) for c in a}
+_VOWEL, _CONSONANT = ({c: a for a in part for c in a} for part in (_VOWELS, _CONSONANTS))
+#: Endings that tell a name's gender; they stay.
+_GENDER = re.compile(r"(?<=\w\w)(?:[оеё]ва|ина|ская|ская|ский|[оеё]в|ин|енко|[ая]|a)$")
+
+Slots = list[tuple[int, str]]
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def _alphabet(c: str) -> str:
+    """What a letter or digit of any script may become: the like of its kind in its part of the code table."""
+    if c in _OWN:
+        return _OWN[c]
+    kind = unicodedata.category(c)
+    if kind[0] != "L" and kind != "Nd":
+        return c
+    start = ord(c) & ~127
+    return "".join(chr(p) for p in range(start, start + 128) if unicodedata.category(chr(p)) == kind and chr(p) not in _OWN)
+
+
+def _slots(text: str, of: Callable[[str], str] = _alphabet) -> Slots:
+    """The places of a text that can change, and what each can become."""
+    return [(i, a) for i, c in enumerate(text) if len(a := of(c)) > 1]
+
+
+def _name_slots(name: str) -> Slots:
+    """The same for a name: vowels stay vowels, clusters can be spoken, the ending of its gender stays."""
+    end = m.start() if (m := _GENDER.search(name)) else len(name)
+    out = []
+    for i, c in enumerate(name[:end]):
+        a = _VOWEL.get(c)
+        if a is None and c in _CONSONANT:
+            cluster = any(x.lower() in _CONSONANT for x in name[max(0, i - 1) : i] + name[i + 1 : i + 2])
+            a = _ALIKE[c] if cluster else _CONSONANT[c]
+        a = _alphabet(c) if a is None else a
+        if len(a) > 1:
+            out.append((i, a))
+    return out
 
 
-def _spell_long(text: str, slots: list[tuple[int, str]], key: bytes, tweak: str, back: bool) -> str:
+def _spell_long(text: str, slots: Slots, key: bytes, tweak: str, back: bool) -> str:
     """``_spell`` in linear time: each half is shifted, letter by letter, by a stream that the other half keys."""
     sizes = np.array([len(a) for _, a in slots], dtype=np.int64)
     value = np.array([a.index(text[i]) for i, a in slots], dtype=np.int64)
@@ -270,7 +395,7 @@ def _spell_long(text: str, slots: list[tuple[int, str]], key: bytes, tweak: str,
     parts = (slice(None, half), slice(half, None))
     for r in range(LONG_ROUNDS - 1, -1, -1) if back else range(LONG_ROUNDS):
         own, other = parts[r % 2], parts[1 - r % 2]
-        seed = hashlib.blake2b(f"{tweak}|long|{r}|".encode() + pattern + value[other].astype("u1").tobytes(), key=key).digest()
+        seed = hashlib.blake2b(f"{tweak}|long|{r}|".encode() + pattern + value[other].astype("<u2").tobytes(), key=key).digest()
         n = len(value[own])
         move = np.frombuffer(hashlib.shake_256(seed).digest(4 * n), dtype="<u4").astype(np.int64) % sizes[own]
         value[own] = (value[own] + (-move if back else move)) % sizes[own]
@@ -280,10 +405,8 @@ def _spell_long(text: str, slots: list[tuple[int, str]], key: bytes, tweak: str,
     return "".join(out)
 
 
-def _spell(text: str, alphabets: list[str], key: bytes, tweak: str, back: bool) -> str:
+def _spell(text: str, slots: Slots, key: bytes, tweak: str, back: bool) -> str:
     """Permute all texts of the same pattern: each character stays in its alphabet."""
-    slots = [(i, a) for i, c in enumerate(text) for a in alphabets if c in a]
-    slots = list({i: a for i, a in reversed(slots)}.items())[::-1]
     if len(slots) > LONG:
         return _spell_long(text, slots, key, tweak, back)
     value, size = 0, 1
@@ -298,6 +421,21 @@ def _spell(text: str, alphabets: list[str], key: bytes, tweak: str, back: bool)
     return "".join(out)
 
 
+def placeholder(kind: str, value: str, key: bytes) -> str:
+    """What stands for a value that has no free surrogate: its kind and 80 keyed bits, or for names an invented one of 16 letters."""
+    h = hashlib.blake2b(f"{kind}|{value}".encode(), key=key, digest_size=10).digest()
+    if kind == "email":
+        return f"{h.hex()}@mail.invalid"
+    if kind not in ("first", "last"):
+        return f"[{kind}-{h.hex()}]"
+    n, out = int.from_bytes(h, "big"), ""
+    consonants, vowels = ("бвгдзклмнпрст", "аеио") if value[:1] in _OWN and "\u0400" <= value[0] else ("bdfgklmnprstv", "aeio")
+    while len(out) < 16:
+        n, k = divmod(n, len(consonants) * len(vowels))
+        out += consonants[k // len(vowels)] + vowels[k % len(vowels)]
+    return out.capitalize() + (m.group() if (m := _GENDER.search(value)) else "")
+
+
 def luhn(digits: str) -> int:
     """The check digit that completes ``digits``."""
     total = 0
@@ -314,11 +452,15 @@ def _cycle(pool: tuple[str, ...], key: bytes) -> dict[str, str]:
 
 
 def surrogate(kind: str, value: str, key: bytes, draw: int = 0, back: bool = False) -> str:
-    """The surrogate of a canonical value; ``back`` undoes it."""
+    """The surrogate of a canonical value; ``back`` undoes it.  A value in which nothing can change has a placeholder."""
     tweak = f"{kind}|{draw}"
+
+    def spell(text: str, more: str = "", slots: Slots | None = None) -> str:
+        return _spell(text, _slots(text) if slots is None else slots, key, tweak + more, back)
+
     if kind == "email":
         m = re.fullmatch(r"(.*?)(\.example\.(?:com|org|net)|\.[a-z]{2,})", value, re.DOTALL)
-        return _spell(m[1], _ALPHABETS, key, tweak + m[2], back) + m[2]
+        return spell(m[1], m[2]) + m[2] if _slots(m[1]) else placeholder(kind, value, key)
     if kind == "ipv4":
         a, b, c, d = map(int, value.split("."))
         n = (a << 24) | (b << 16) | (c << 8) | d
@@ -328,50 +470,59 @@ def surrogate(kind: str, value: str, key: bytes, draw: int = 0, back: bool = Fal
     if kind == "card":
         head, rest = value[0], value[1:]
         if luhn(value[:-1]) == int(value[-1]):
-            body = _spell(rest[:-1], _ALPHABETS, key, tweak + head, back)
+            body = spell(rest[:-1], head)
             return head + body + str(luhn(head + body))
         while True:
-            rest = _spell(rest, _ALPHABETS, key, f"{tweak}{head}x", back)
+            rest = spell(rest, f"{head}x")
             if luhn(head + rest[:-1]) != int(rest[-1]):
                 return head + rest
     if kind == "phone" and value.startswith("+"):
-        return value[:2] + _spell(value[2:], _ALPHABETS, key, tweak + value[:2], back)
+        return value[:2] + spell(value[2:], value[:2])
     if kind == "phone":  # a trunk 0 stays, and no other number gets one
         if value[0] == "0":
-            return "0" + _spell(value[1:], _ALPHABETS, key, f"{tweak}0", back)
+            return "0" + spell(value[1:], "0")
         while True:
-            value = _spell(value, _ALPHABETS, key, tweak, back)
+            value = spell(value)
             if value[0] != "0":
                 return value
     if kind == "iban":
-        return value[:2] + _spell(value[2:], _ALPHABETS, key, tweak + value[:2], back)
+        return value[:2] + spell(value[2:], value[:2])
     if kind == "key":
         start = next(x for x in KEY_STARTS if value.startswith(x))
-        return start + _spell(value[len(start) :], _ALPHABETS, key, tweak + start, back)
+        return start + spell(value[len(start) :], start) if _slots(value[len(start) :]) else placeholder(kind, value, key)
     if kind == "ipv6" and "." in value:  # the last four bytes in decimal
         head, tail = value.rsplit(":", 1)
-        return _spell(head, _HEX[:1], key, f"{tweak}.", back) + ":" + surrogate("ipv4", tail, key, draw, back)
+        return spell(head, ".", _slots(head, lambda c: _HEX_LOWER.get(c, c))) + ":" + surrogate("ipv4", tail, key, draw, back)
     if kind in ("secret", "ipv6"):
-        return _spell(value, _HEX[:1] if value == value.lower() else _HEX[1:], key, tweak, back)
+        of = _HEX_LOWER if value == value.lower() else _HEX_UPPER if value == value.upper() else _HEX_MIXED
+        slots = _slots(value, lambda c: of.get(c, c))
+        return spell(value, "", slots) if slots else placeholder(kind, value, key)
     if kind in ("first", "last"):
-        pool = _POOLS[_FIRST_OF[value]] if kind == "first" and value in _FIRST_OF else tuple(LAST) if kind == "last" and value in LAST else None
-        if pool:
+        if pool := _pool(kind, value):
             turn = _cycle(pool, key)
             return {v: k for k, v in turn.items()}[value] if back else turn[value]
-        known = _FIRST_OF if kind == "first" else LAST
+        if not _name_slots(value):
+            return placeholder(kind, value, key)
         while True:
-            value = _spell(value, _SOUNDS, key, tweak, back)
-            if value not in known:
+            value = spell(value, "", _name_slots(value))
+            if not _pool(kind, value):
                 return value
-    return _spell(value, _ALPHABETS, key, tweak, back)
+    return spell(value) if _slots(value) else placeholder(kind, value, key)
+
+
+def _pool(kind: str, value: str) -> tuple[str, ...] | None:
+    """The names that a listed name trades places with."""
+    if kind == "first":
+        return _POOLS[_FIRST_OF[value]] if value in _FIRST_OF else None
+    return tuple(LAST) if value in LAST else None
 
 
 def rendered(e: Entity, new: str) -> str:
     """The surrogate in the spelling of this mention: its separators and case."""
-    if e.kind in ("card", "phone", "iban"):
+    if e.kind in ("card", "phone", "iban") and new[0] != "[":
         left = iter(new)
         return "".join(next(left) if re.match(r"[0-9A-Za-z+]", c) else c for c in e.text)
-    if e.kind == "ipv6" and e.text == e.text.upper():
+    if e.kind == "ipv6" and e.text == e.text.upper() and new[0] != "[":
         return new.upper()
     return new
 
@@ -390,13 +541,23 @@ def replace(text: str, key: bytes, changed: dict[tuple[str, str], str]) -> tuple
 
 # ------------------------------------------------------------------- Spark
 
-#: First names and listed surnames trade places within a short list, so a
-#: surrogate is always somebody's name; only distinctness can hold there.
-_LISTED = ("first", "last")
+def _listed() -> Column:
+    """Names that trade places within a list; only distinctness can hold there."""
+    return ((F.col("kind") == "first") & F.col("value").isin(*_FIRST_OF)) | ((F.col("kind") == "last") & F.col("value").isin(*LAST))
 
 
 def key_of(spark) -> bytes:
-    return hashlib.blake2b(spark.conf.get("corpusloom.pii.key", DEFAULT_KEY).encode(), digest_size=32).digest()
+    """The key that ``corpusloom.pii.key`` sets; without it a random one, the same throughout the session."""
+    key = spark.conf.get("corpusloom.pii.key", None)
+    if not key:
+        warnings.warn("corpusloom.pii.key is not set: surrogates will differ from session to session", stacklevel=2)
+        key = _session_key(spark.sparkContext.applicationId)
+    return hashlib.blake2b(key.encode(), digest_size=32).digest()
+
+
+@functools.cache
+def _session_key(application: str) -> str:
+    return secrets.token_hex(32)
 
 
 def _map(df: DataFrame, schema: str, f: Callable[[tuple], Iterator[tuple]]) -> DataFrame:
@@ -425,51 +586,46 @@ def entities(docs: DataFrame, key: bytes) -> DataFrame:
     return _map(docs.select("text"), "kind string, value string, drawn string", find).distinct()
 
 
-def redraw(known: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, drawn) for entities whose first surrogate is taken.
+def redraw(known: DataFrame, key: bytes, draws: int = DRAWS) -> DataFrame:
+    """(kind, value, drawn) for entities of ``known`` whose first surrogate is taken.
 
-    A draw is free if it is no entity, if undoing the first draw on it gives no
-    entity (else it is some entity's surrogate), and if no other new draw has it.
+    A draw is free if it is no entity, no first surrogate of one, and no other
+    new draw; of entities that draw the same the least has it.  After ``draws``
+    rounds the rest get placeholders.
     """
-    checked = known.where(~F.col("kind").isin(*_LISTED))
-    values = checked.select("kind", F.col("value").alias("drawn"))
+    checked = known.where(~_listed())
+    values = known.select("kind", F.col("value").alias("drawn"))
     open_ = cut(checked.join(values, ["kind", "drawn"], "left_semi").select("kind", "value"))
-    done, draw = None, 0
-    while not open_.isEmpty():
-        draw += 1
-
-        def again(row, draw=draw):
-            new = surrogate(row[0], row[1], key, draw)
-            return [(row[0], row[1], new, surrogate(row[0], new, key, 0, back=True))]
-
-        tried = _map(open_, "kind string, value string, drawn string, source string", again)
-        free = tried.join(values, ["kind", "drawn"], "left_anti").join(
-            values.select("kind", F.col("drawn").alias("source")), ["kind", "source"], "left_anti"
-        )
-        if done is not None:
-            free = free.join(done.select("kind", "drawn"), ["kind", "drawn"], "left_anti")
-        won = free.groupBy("kind", "drawn").agg(F.min("value").alias("value")).select("kind", "value", "drawn")
-        done = cut(won if done is None else done.unionByName(won))
+    done = open_.select("kind", "value", F.lit("").alias("drawn")).limit(0)
+    for draw in range(1, draws + 1):
+        if open_.isEmpty():
+            return done
+        tried = _map(open_, "kind string, value string, drawn string", lambda row, draw=draw: [(row[0], row[1], surrogate(row[0], row[1], key, draw))])
+        for taken in (values, known.select("kind", "drawn"), done.select("kind", "drawn")):
+            tried = tried.join(taken, ["kind", "drawn"], "left_anti")
+        won = tried.groupBy("kind", "drawn").agg(F.min("value").alias("value")).select("kind", "value", "drawn")
+        done = cut(done.unionByName(won))
         open_ = cut(open_.join(done, ["kind", "value"], "left_anti"))
-    return known.limit(0) if done is None else done
+    rest = _map(open_, "kind string, value string, drawn string", lambda row: [(row[0], row[1], placeholder(row[0], row[1], key))])
+    return done.unionByName(rest)
 
 
 def anonymise(docs: DataFrame, key: bytes, name: str = "entities", keep_text: bool = True) -> DataFrame:
     """``docs`` with surrogates in ``text`` and one more column, the spans replaced."""
     known = cut(entities(docs, key))
-    changes = redraw(known, key)
-    n = changes.count()
+    changes = cut(redraw(known, key))
+    n, chars = changes.agg(F.count("*"), F.coalesce(F.sum(F.length("value") + F.length("drawn")), F.lit(0))).first()
     kind = T._parse_datatype_string("array<struct<kind:string,start:int,stop:int,surrogate:string>>")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
     at = docs.columns.index("text")
     width, names = len(docs.columns), [f.name for f in schema.fields]
-    own, table = None, {}
+    own, table = None, docs.sparkSession.sparkContext.broadcast({})
     source = docs
-    if n > BROADCAST_ROWS:
+    if n > BROADCAST_ROWS or chars > BROADCAST_CHARS:
         own = fresh(docs, "changes")
         source = _with_changes(docs, changes, own)
-    elif n:
-        table = {(r[0], r[1]): r[2] for r in changes.collect()}  # at most BROADCAST_ROWS
+    elif n:  # at most BROADCAST_ROWS and BROADCAST_CHARS
+        table = docs.sparkSession.sparkContext.broadcast({(r[0], r[1]): r[2] for r in changes.collect()})
 
     def run(batches):
         import pyarrow as pa
@@ -479,7 +635,7 @@ def anonymise(docs: DataFrame, key: bytes, name: str = "entities", keep_text: bo
             extra = b.column(width).to_pylist() if own else None
             texts, spans = [], []
             for i, t in enumerate(b.column(at).to_pylist()):
-                more = {(x["kind"], x["value"]): x["drawn"] for x in extra[i] or ()} if own else table
+                more = {(x["kind"], x["value"]): x["drawn"] for x in extra[i] or ()} if own else table.value
                 new, found = (None, []) if t is None else replace(t, key, more)
                 texts.append(new)
                 spans.append([dict(zip(("kind", "start", "stop", "surrogate"), s, strict=True)) for s in found])

@@ -367,6 +367,124 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert changed and len(set(final.values())) == len(values) and not set(final.values()) & set(values)
 
 
+UNCHANGEABLE = ["set password=------ now", "pwd=______", "token: 0-0-0-0-0!", "password=密码密码密码", "用户@-.com", "secret=++++++"]
+
+
+def test_values_that_cannot_change_end(spark):
+    for t in UNCHANGEABLE:
+        new, spans = surrogates.replace(t, KEY, {})
+        assert len(spans) == 1 and t[spans[0][1] : spans[0][2]] not in new
+    many = [(i, f"pwd={'-' * (6 + i % 100)} token={'_' * (6 + i // 100)}") for i in range(10_000)]
+    got = surrogates.anonymise(spark.createDataFrame(many, "doc_id long, text string"), KEY)
+    assert got.where("text like '%--%' or text like '%\\_\\_%'").count() == 0 and got.select("text").distinct().count() == 10_000
+
+
+def test_exhausted_format_ends_and_stays_distinct(spark):
+    values = [f"+1{i}" for i in range(10)]  # every value of the format is an entity
+    known = spark.createDataFrame([("phone", v, surrogates.surrogate("phone", v, KEY)) for v in values], "kind string, value string, drawn string")
+    changed = {r.value: r.drawn for r in surrogates.redraw(known, KEY).collect()}
+    assert set(changed) == set(values) and len(set(changed.values())) == 10 and not set(changed.values()) & set(values)
+
+
+def test_other_scripts_keep_their_script():
+    import unicodedata
+
+    for v in ("пароль密码שלום", "कखगघङच", "abcДЕЖ１２"):
+        new = surrogates.surrogate("credential", v, KEY)
+        assert new != v and [unicodedata.category(c) for c in new] == [unicodedata.category(c) for c in v]
+        assert [ord(a) >> 8 for a in new] == [ord(a) >> 8 for a in v] and surrogates.surrogate("credential", new, KEY, back=True) == v
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("Wei Zhang called Priya Sharma.", "Wei Zhang Priya Sharma"),
+        ("Aarav Patel", "Aarav Patel"),
+        ("my name is Tuva Brandvold and", "Tuva Brandvold"),
+        ("Kiri Maro said so", "Kiri Maro"),
+        ("Contact Olu Mbemba <olu@x.org>", "Olu Mbemba olu@x.org"),
+        ("Ms Ngozi K. Eze's and Jean-Pierre O'Neill", "Ngozi Eze Jean-Pierre O'Neill"),
+        ("Мария Кравченко сказала", "Мария Кравченко"),
+        ("General Public License, Apache License, New York, The Smith family, Orre Orre", ""),
+    ],
+)
+def test_names_that_no_list_has(text, found):
+    assert " ".join(e.text for e in surrogates.detect(text)) == found
+
+
+def test_bare_mentions_of_everyday_words():
+    t = "Mr. John Smith met Ms Brown. Later Smith said no. Smith left. Brown's hat. The old smith ate brown bread; Brown bread."
+    new, spans = surrogates.replace(t, KEY, {})
+    assert [t[a:b] for _, a, b, _ in spans] == ["John", "Smith", "Brown", "Smith", "Smith", "Brown"]
+    assert len({s[3] for s in spans}) == 3 and "Smith" not in new and new.endswith("brown bread; Brown bread.")
+
+
+def test_names_keep_gender_and_can_be_spoken():
+    for v in ("Ngozika", "Nakamura", "Павлова", "Кравченко", "Brandvold"):
+        new = surrogates.surrogate("last", v, KEY)
+        assert new != v and new[0].isupper() and (v[-1] in "aа") == (new[-1] in "aа")
+        assert [c in "aeiouаеиоуыэюя" for c in v.lower()] == [c in "aeiouаеиоуыэюя" for c in new.lower()]
+    assert surrogates.surrogate("last", "Павлова", KEY).endswith("ова")
+
+
+def test_mail_and_names_in_linear_time():
+    import time
+
+    for t in ("x" * 400_000 + "@", "a." * 200_000 + "@" + "b." * 200_000, "Ab " * 100_000, "Mr " * 100_000, "a@" * 100_000):
+        began = time.time()
+        surrogates.detect(t)
+        assert time.time() - began < 3
+
+
+def test_numbers_that_are_no_card():
+    assert surrogates.detect("order 1234567890123 of 4111111111111112") == []
+    assert [e.kind for e in surrogates.detect("4111111111111111 4111 1111 1111 1112")] == ["card", "card"]
+
+
+def test_replacement_by_force(spark, sf):
+    """A dictionary over the whole corpus, kept on one machine, must give the same texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    more = [(9000 + i, f"call +1{i:02d}5550000 or +{i}9998887 now, Mr Xu Yaluma, a{i}@b{i % 7}.org") for i in range(60)]
+    docs = docs.union(spark.createDataFrame(more, "doc_id long, text string"))
+    texts = dict(docs.collect())
+    known = {(e.kind, surrogates.canonical(e)) for t in texts.values() for e in surrogates.detect(t or "")}
+    drawn = {k: surrogates.surrogate(*k, KEY) for k in known}
+    open_ = sorted(k for k in known if (k[0], drawn[k]) in known and not surrogates._pool(*k))
+    taken = known | {(k[0], v) for k, v in drawn.items()}
+    for draw in range(1, surrogates.DRAWS + 1):
+        left, won = [], set()
+        for kind, value in open_:
+            new = surrogates.surrogate(kind, value, KEY, draw)
+            if (kind, new) in taken or (kind, new) in won:
+                left.append((kind, value))
+            else:
+                won.add((kind, new))
+                drawn[kind, value] = new
+        taken |= won
+        open_ = left
+    for k in open_:
+        drawn[k] = surrogates.placeholder(*k, KEY)
+    want = {}
+    for d, t in texts.items():
+        for e in reversed(surrogates.detect(t or "")):
+            t = t[: e.start] + surrogates.rendered(e, drawn[e.kind, surrogates.canonical(e)]) + t[e.stop :]
+        want[d] = t
+    got = surrogates.anonymise(docs, KEY)
+    assert {r.doc_id: r.text for r in got.collect()} == want
+    assert len({(k[0], v) for k, v in drawn.items()}) == len(drawn)  # no two entities became one
+
+
+def test_no_public_key(spark):
+    from types import SimpleNamespace
+
+    def session(app, key=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: key), sparkContext=SimpleNamespace(applicationId=app))
+
+    with pytest.warns(UserWarning):
+        one, again, other = (surrogates.key_of(session(a)) for a in ("a", "a", "b"))
+    assert one == again != other and surrogates.key_of(session("a", "own")) == surrogates.key_of(session("b", "own")) != one
+
+
 def test_surrogates_odd_inputs_and_join_path(spark, odd, monkeypatch):
     docs = odd.select("doc_id", "text", "score", "entities")
     got = surrogates.anonymise(docs, KEY, "found")
