@@ -16,7 +16,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import admission, chunking, coverage, extract, retrieval, scoring, serp, throttle
 from corpusloom.operators import corpus as C
 from corpusloom.plans import planning, report
-from corpusloom.session import spread, table
+from corpusloom.session import spread, table  # small files are dealt to all cores
 
 TOPIC = "general public license research"
 WORDS = ["general", "public", "license", "research"]
@@ -179,19 +179,27 @@ def file_types(spark, d):
     return _docs(spark, d).groupBy(F.col("source").alias("library_id"), F.col("lang").alias("file_type")).agg(F.count("*").alias("files"))
 
 
-@query("""SELECT p_partkey AS file_id, array_to_string(CASE WHEN len(t) > 0 THEN t ELSE ['general'] END, ',') AS tags FROM (
-  SELECT p_partkey, list_filter([CASE WHEN regexp_matches(n, '\\.(py|js|ts|java|go|rs|c|cpp|cs|rb|php|sh|sql|r)$') THEN 'code' END,
-    CASE WHEN regexp_matches(n, '\\.(csv|tsv|xlsx|json|xml|ya?ml)$') THEN 'data' END, CASE WHEN regexp_matches(n, '\\.(pdf|docx?)$') THEN 'documents' END,
-    CASE WHEN regexp_matches(n, '(report|summary|annual)') THEN 'reports' END, CASE WHEN regexp_matches(n, '(legal|contract|agreement|policy)') THEN 'legal' END,
-    CASE WHEN regexp_matches(n, '(finance|budget|invoice|revenue)') THEN 'financial' END, CASE WHEN regexp_matches(n, '(paper|study|research|thesis)') THEN 'academic' END,
-    CASE WHEN regexp_matches(n, '(spec|manual|guide|readme)') THEN 'technical' END], lambda x: x IS NOT NULL) AS t
-  FROM (SELECT p_partkey, lower(replace(p_type, ' ', '_') || ['.py', '.csv', '.pdf', '_report.txt', '_guide.md'][CAST(p_partkey % 5 AS INT) + 1]) AS n FROM part))""")
+_NAMES = ["main.py", "notes.tex", "dump.SQL", "readme.md", "conf.yaml", "my_analysis.txt", "index.php", "legal_report.csv", "Policy", "data.json", "x.tar.gz", "contract.rs"]
+_ENDING = r"regexp_extract(lower(n), '[^.]\.([^.]+)$', 1)"
+
+
+@query(f"""WITH f AS (SELECT p_partkey, replace(p_type, ' ', '_') || '_' || {_NAMES}[CAST(p_partkey % {len(_NAMES)} AS INT) + 1] AS n FROM part), r(ordinal, kind, word, tag) AS (VALUES
+  {_values([(0, 'ext', w, t) for t, of in (('code', ('py', 'js', 'ts', 'java', 'c', 'cpp', 'rs', 'go')),) for w in of] + [(1, 'ext', w, 'academic') for w in ('tex', 'bib')]
+           + [(2, 'ext', w, 'data') for w in ('sql', 'csv', 'tsv')] + [(3, 'ext', w, 'document') for w in ('md', 'txt', 'rst')]
+           + [(4, 'ext', w, 'config') for w in ('yaml', 'yml', 'json', 'xml', 'toml')] + [(5, 'name', w, 'legal') for w in ('legal', 'contract', 'policy')]
+           + [(6, 'name', w, 'report') for w in ('report', 'analysis')])}),
+t AS (SELECT DISTINCT p_partkey, ordinal, tag FROM f JOIN r ON (kind = 'ext' AND {_ENDING} = word) OR (kind = 'name' AND contains(lower(n), word)))
+SELECT f.p_partkey AS file_id, coalesce(string_agg(tag, ',' ORDER BY ordinal), 'general') AS tags FROM f LEFT JOIN t USING (p_partkey) GROUP BY f.p_partkey""")
 def file_tags(spark, d):
-    ends = F.array(*[F.lit(x) for x in (".py", ".csv", ".pdf", "_report.txt", "_guide.md")])
-    name = F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.element_at(ends, (F.col("p_partkey") % 5).cast("int") + 1))
+    name = F.concat(F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("_"), F.element_at(F.array(*[F.lit(x) for x in _NAMES]), (F.col("p_partkey") % len(_NAMES)).cast("int") + 1))
     return table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), F.array_join(C.file_tags(name), ",").alias("tags"))
 
 
+@query(f"SELECT priority, count(*) AS libraries FROM (SELECT DISTINCT source, {_PRIORITY} AS priority FROM documents) GROUP BY priority")
+def priority_counts(spark, d):
+    return C.libraries(_docs(spark, d)).groupBy("priority").agg(F.count("*").alias("libraries"))
+
+
 @query("""WITH a AS (SELECT '/' || source || '/' || doc_id AS file_path, sha256(text) AS h FROM documents WHERE lang <> 'es'),
 b AS (SELECT '/' || source || '/' || doc_id AS file_path, CASE WHEN lang = 'de' THEN sha256(text || '!') ELSE sha256(text) END AS h FROM documents WHERE lang <> 'fr')
 SELECT file_path, CASE WHEN b.h IS NULL THEN 'deleted' WHEN a.h IS NULL THEN 'added' ELSE 'modified' END AS status
@@ -250,14 +258,14 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {_hybrid(True)} SELECT {_ROUNDED} FROM {_top('hy')} WHERE rank <= {TOP}")
 def hybrid_search(spark, d):
-    return _rounded(retrieval.top(retrieval.hybrid(_chunks(spark, d), _items(spark, d)), TOP))
+    return _rounded(retrieval.top(retrieval.best_hits(_chunks(spark, d), _items(spark, d), TOP), TOP))
 
 
 @query(f"WITH {_hybrid(True)} SELECT {_ROUNDED} FROM {_top('hy', 'total', 'tier <= 1')} WHERE rank <= {TOP}")
 def search_in_library(spark, d):
     c = _chunks(spark, d)
-    hits = retrieval.hybrid(c, _items(spark, d))
-    return _rounded(retrieval.top(retrieval.in_libraries(hits, c.where("tier <= 1").select("library_id").distinct()), TOP))
+    wanted = c.where("tier <= 1").select("library_id").distinct()
+    return _rounded(retrieval.top(retrieval.best_hits(c, _items(spark, d), TOP, wanted=wanted), TOP))
 
 
 _TAGS = ["academic", "technical", "reports", "general"]
@@ -268,9 +276,7 @@ def search_by_role(spark, d):
     c = _chunks(spark, d)
     tags = F.array(F.element_at(F.array(*[F.lit(t) for t in _TAGS]), F.col("tier") + 1))
     libs = c.select("library_id", "tier").distinct().withColumn("tags", tags)
-    wanted = libs.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in T.ROLE_TAGS["academic"]])))
-    some = libs if wanted.isEmpty() else wanted
-    return _rounded(retrieval.top(retrieval.in_libraries(retrieval.hybrid(c, _items(spark, d)), some), 8))
+    return _rounded(retrieval.top(retrieval.best_hits(c, _items(spark, d), 8, wanted=retrieval.for_role(libs, "academic")), 8))
 
 
 @query(f"""WITH {_hybrid(False)},
@@ -281,7 +287,7 @@ k AS (SELECT * FROM r JOIN p USING (query_id, tier) WHERE prior < {TOP} AND turn
 z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 9) DESC, tier, turn) AS rank FROM k)
 SELECT {_ROUNDED} FROM z WHERE rank <= {TOP}""")
 def search_progressive(spark, d):
-    return _rounded(retrieval.progressive(retrieval.hybrid(_chunks(spark, d), _items(spark, d), boost=False), TOP))
+    return _rounded(retrieval.progressive(retrieval.best_hits(_chunks(spark, d), _items(spark, d), TOP, boost=False, per_tier=True), TOP))
 
 
 @query(f"WITH {_CHUNKS} SELECT seq, library_id, 0.0::DOUBLE AS score FROM ch ORDER BY seq LIMIT 100")
@@ -297,19 +303,44 @@ def chunk_context(spark, d):
     return retrieval.context(c.select("seq"), c).select("seq", F.md5("context_before").alias("before"), F.md5("context_after").alias("after"))
 
 
-@query(f"""WITH {_hybrid(True)} SELECT query_id, seq, 'local://' || library_id || '/doc' || doc_id || '#chunk' || chunk_index AS url,
+_NEAR = """cx AS (SELECT *, coalesce(right(lag(text) OVER w, 200), '') AS b, coalesce(left(lead(text) OVER w, 200), '') AS a FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index))"""
+_WHOLE = """left(CASE WHEN b <> '' THEN b || chr(10) || chr(10) || '---' || chr(10) || chr(10) ELSE '' END || text
+  || CASE WHEN a <> '' THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || a ELSE '' END, 4000)"""
+
+
+@query(f"""WITH {_hybrid(True)}, {_NEAR}, t AS (SELECT query_id, seq, total FROM {_top('hy')} WHERE rank <= {TOP}), s AS (SELECT *, {_WHOLE} AS whole FROM t JOIN cx USING (seq))
+SELECT query_id, seq, 'local://' || library_id || '/doc' || doc_id || '#chunk' || chunk_index AS url, file_name || ' (' || library_id || ')' AS title, md5(whole) AS text_digest,
+  md5(trim(regexp_replace(left(whole, 250), '\n+', ' ', 'g'))) AS description_digest,
+  len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS word_count, CASE WHEN tier = 3 THEN 'general' ELSE 'reference' END AS tier,
   [95, 90, 85, 75][tier + 1] AS domain_score, 70 AS freshness_score,
-  round(least(1.0, least(1.0, total * 1.5) + [0.15, 0.10, 0.05, 0.0][tier + 1]), 6)::DOUBLE AS relevance FROM {_top('hy')} WHERE rank <= {TOP}""")
+  round(least(1.0, least(1.0, total * 1.5) + [0.15, 0.10, 0.05, 0.0][tier + 1]), 6)::DOUBLE AS relevance FROM s""")
 def local_sources(spark, d):
-    best = retrieval.top(retrieval.hybrid(_chunks(spark, d), _items(spark, d)), TOP)
-    return retrieval.as_sources(best).withColumn("relevance", F.round("relevance", 6))
+    c = _chunks(spark, d)
+    got = retrieval.as_sources(retrieval.top(retrieval.best_hits(c, _items(spark, d), TOP), TOP), c)
+    return got.select("query_id", "seq", "url", "title", F.md5("text").alias("text_digest"), F.md5("description").alias("description_digest"), F.col("word_count").cast("long").alias("word_count"),
+                      "tier", "domain_score", "freshness_score", F.round("relevance", 6).alias("relevance"))
+
+
+@query(f"""WITH {_hybrid(True)}, t AS (SELECT query_id, seq FROM {_top('hy')} WHERE rank <= {TOP})
+SELECT query_id, seq, 'local://' || library_id || '/' || file_name || '#chunk' || chunk_index AS url, file_name || ' (' || library_id || ')' AS title,
+  trim(regexp_replace(left(text, 250), '\n+', ' ', 'g')) AS snippet FROM t JOIN ch USING (seq)""")
+def local_hits(spark, d):
+    c = _chunks(spark, d)
+    return retrieval.as_hits(retrieval.top(retrieval.best_hits(c, _items(spark, d), TOP), TOP), c)
+
+
+@query(f"""WITH {_CHUNKS} SELECT h.seq, n.seq AS near_seq, n.chunk_index AS near_index, md5(n.text) AS digest FROM ch h JOIN ch n USING (doc_id)
+WHERE h.seq % 3 = 0 AND abs(h.chunk_index - n.chunk_index) BETWEEN 1 AND 2""")
+def context_window(spark, d):
+    c = _chunks(spark, d)
+    return retrieval.context_window(c.where("seq % 3 = 0"), c, 2).select("seq", "near_seq", "near_index", F.md5("near_text").alias("digest"))
 
 
 @query(f"""WITH {_hybrid(True)}, t AS (SELECT * FROM {_top('hy')} WHERE rank <= 5),
 f AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY query_id) AS n FROM t)
 SELECT {_ROUNDED} FROM f WHERE n = 1 ORDER BY query_id, rank LIMIT 50""")
 def harvest(spark, d):
-    return _rounded(retrieval.harvest(retrieval.hybrid(_chunks(spark, d), _items(spark, d)), 5, 50))
+    return _rounded(retrieval.harvest(retrieval.best_hits(_chunks(spark, d), _items(spark, d), 5), 5, 50))
 
 
 # ------------------------------------------------------------- candidates
@@ -322,13 +353,16 @@ def _hits(spark: SparkSession, d: str) -> DataFrame:
 
 _HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '')"
 _STRIPPED = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace({x},
- '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'),
- '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '\s+', ' ', 'g'))"""
+ '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'),
+ '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', ' '), '\s+', ' ', 'g'))"""
 
 
 def _title(html: str) -> str:
-    h1 = _STRIPPED.replace("{x}", f"regexp_extract({html}, '(?is)<h1[^>]*>(.*?)</h1>', 1)")
-    t = _STRIPPED.replace("{x}", f"regexp_extract({html}, '(?is)<title[^>]*>(.*?)</title>', 1)")
+    x = html
+    for tag in ("nav", "header", "footer", "aside", "figcaption", "noscript", "iframe"):
+        x = f"regexp_replace({x}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    h1 = _STRIPPED.replace("{x}", f"regexp_extract({x}, '(?is)<h1[^>]*>(.*?)</h1>', 1)")
+    t = _STRIPPED.replace("{x}", f"regexp_extract({x}, '(?is)<title[^>]*>(.*?)</title>', 1)")
     return f"coalesce(nullif({h1}, ''), nullif({t}, ''), '')"
 
 
@@ -338,11 +372,12 @@ _QUALITY = f"greatest(0, least(100, {T.URL_BASE}" + "".join(f" + CASE WHEN regex
 _FRESH = f"""CASE WHEN y IS NOT NULL THEN CASE WHEN {YEAR} - y <= 0 THEN 100 WHEN {YEAR} - y = 1 THEN 85 WHEN {YEAR} - y = 2 THEN 70 WHEN {YEAR} - y = 3 THEN 55
   ELSE greatest(10, 55 - ({YEAR} - y - 3) * 8) END WHEN contains(lower(title || ' '), '{YEAR}') THEN 85 WHEN contains(lower(title || ' '), '{YEAR - 1}') THEN 70
   WHEN regexp_matches(lower(title || ' '), 'latest|new\\s|recent|just\\s|breaking') THEN 65 ELSE 50 END"""
-_SCORED = f"""dom(ordinal, domain, score, tier) AS (VALUES {_DOMAIN_ROWS}), suf(ordinal, suffix, score, tier) AS (VALUES {_SUFFIX_ROWS}),
-h AS (SELECT page_id AS seq, url, {_HOST} AS host, {_title('html')} AS title, TRY_CAST(nullif(regexp_extract(url, '/(20[0-9]{{2}})/', 1), '') AS INT) AS y FROM pages),
+_AUTHORITY = f"""dom(ordinal, domain, score, tier) AS (VALUES {_DOMAIN_ROWS}), suf(ordinal, suffix, score, tier) AS (VALUES {_SUFFIX_ROWS}),
 hosts AS (SELECT DISTINCT host FROM h),
 best AS (SELECT host, arg_min(ROW(score, tier), ROW(CASE WHEN host = domain THEN 0 ELSE 1 END, ordinal)) AS b FROM hosts JOIN dom ON host = domain OR ends_with(host, '.' || domain) GROUP BY host),
-sb AS (SELECT host, arg_min(ROW(score, tier), ordinal) AS b FROM hosts JOIN suf ON ends_with(host, suffix) GROUP BY host),
+sb AS (SELECT host, arg_min(ROW(score, tier), ordinal) AS b FROM hosts JOIN suf ON ends_with(host, suffix) GROUP BY host)"""
+_SCORED = f"""h AS (SELECT page_id AS seq, url, {_HOST} AS host, {_title('html')} AS title, TRY_CAST(nullif(regexp_extract(url, '/(20[0-9]{{2}})/', 1), '') AS INT) AS y FROM pages),
+{_AUTHORITY},
 sc0 AS (SELECT h.*, coalesce(best.b, sb.b, ROW(48, 'general')) AS b, {_QUALITY} AS url_quality, {_FRESH} AS freshness_score FROM h LEFT JOIN best USING (host) LEFT JOIN sb USING (host)),
 sc AS (SELECT seq, url, host, title, b[1] AS domain_score, b[2] AS tier, url_quality, freshness_score,
        CAST(floor(b[1] * 0.55 + url_quality * 0.25 + freshness_score * 0.2 + 0.5) AS INT) AS total_score FROM sc0)"""
@@ -396,14 +431,14 @@ def url_dedup(spark, d):
 
 @query(f"SELECT page_id, {_title('html')} AS title FROM pages")
 def page_title(spark, d):
-    return table(spark, d, "pages").select("page_id", extract.title(F.col("html")).alias("title"))
+    return extract.extract(spread(table(spark, d, "pages"))).select("page_id", "title")
 
 
 def _cut_tags() -> str:
     x = "html"
     for t in ("script", "style", "nav", "header", "footer", "aside"):
-        x = f"regexp_replace({x}, '(?is)<{t}\\b[^>]*>.*?</{t}>', ' ', 'g')"
-    return f"trim(regexp_replace(regexp_replace({x}, '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+        x = f"regexp_replace({x}, '(?is)<{t}.*?</{t}>', '', 'g')"
+    return f"trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query(f"SELECT page_id, md5({_cut_tags()}) AS digest, length({_cut_tags()}) AS chars FROM pages")
@@ -414,24 +449,58 @@ def page_text_fallback(spark, d):
 
 @query()
 def page_extract(spark, d):
-    return extract.extract(table(spark, d, "pages"))
+    return extract.extract(spread(table(spark, d, "pages")))
 
 
-@query()
+# Pages with links: those of the table have none to other hosts, so forms of links are put into their articles.
+_FAR = ["arxiv.org", "en.wikipedia.org", "news.example.org", "reuters.com", "blog.example.net"]
+_ABOUT = ["license", "tea", "public"]
+_BEFORE = (
+    '<nav><a href="https://hidden.example.org/">hidden link</a></nav><a href="/local">local page</a><a href="https://short.example.org/">ab</a>'
+    '<a href="mailto:a@b.org">write to us</a><a href="//Proto.example.org/x">scheme  <b>free</b></a><div style="display : none"><a href="https://unseen.org/">unseen page</a></div>'
+)
+
+
+def _linked(spark, d) -> DataFrame:
+    host = lambda k: F.element_at(F.array(*[F.lit(h) for h in _FAR]), ((F.col("page_id") + k) % 5).cast("int") + 1)
+    word = lambda k: F.element_at(F.array(*[F.lit(w) for w in _ABOUT]), (k % 3).cast("int") + 1)
+    href = lambda k: F.concat(F.lit("https://"), host(k), F.lit("/p/"), (F.col("page_id") + k) % 97)
+    link = lambda k: F.concat(F.lit('<a class="x" href="'), href(k), F.lit('">link '), k, F.lit(" about "), word(k), F.lit("</a> <a href='"), href(k), F.lit("'>once more</a>"))
+    links = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(45)), link), " ")
+    p = spread(table(spark, d, "pages"))
+    return p.select("page_id", F.concat(F.lit("https://site"), F.col("page_id") % 9, F.lit(".example.com/"), F.col("page_id")).alias("url"),
+                    F.concat(F.lit("<html><body>"), F.lit(_BEFORE), links, F.lit("</body></html>")).alias("html"))
+
+
+_OUT = f"""lk AS (SELECT page_id, 0 AS pos, 'https://proto.example.org/x' AS href, 'scheme free' AS text FROM pages UNION ALL
+  SELECT page_id, CAST(k AS INT), 'https://' || {_FAR}[CAST((page_id + k) % 5 AS INT) + 1] || '/p/' || ((page_id + k) % 97), 'link ' || k || ' about ' || {_ABOUT}[CAST(k % 3 AS INT) + 1]
+  FROM (SELECT page_id, unnest(range(1, 40)) AS k FROM pages))"""
+_SEEN = "href NOT IN (SELECT href FROM lk WHERE pos % 4 = 3 AND page_id % 2 = 0)"
+
+
+def _seen(links: DataFrame) -> DataFrame:
+    return links.where("pos % 4 = 3 and page_id % 2 = 0").select(F.col("href").alias("url"))
+
+
+@query(f"WITH {_OUT} SELECT page_id, pos, href, text FROM lk")
 def outlinks(spark, d):
-    return extract.outlinks(table(spark, d, "pages"))
+    return extract.outlinks(_linked(spark, d))
 
 
-@query()
+@query(f"""WITH {_OUT}, h AS (SELECT page_id * 1000 + pos AS seq, href, href AS url, text, {_HOST.replace('url', 'href')} AS host FROM lk WHERE {_SEEN}), {_AUTHORITY}
+SELECT seq, href, text, round(score, 6) AS score FROM (
+  SELECT seq, href, text, 0.4 * coalesce(best.b, sb.b, ROW(48, 'general'))[1] + 0.2 * {_QUALITY} + 20 * ({' + '.join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in WORDS)}) AS score
+  FROM h LEFT JOIN best USING (host) LEFT JOIN sb USING (host)) WHERE score > 20 ORDER BY score DESC, seq LIMIT 200""")
 def score_outlinks(spark, d):
-    links = extract.outlinks(table(spark, d, "pages")).withColumn("seq", F.col("page_id") * 1000 + F.col("pos"))
-    return scoring.score_outlinks(links, WORDS, table(spark, d, "pages").select("url"), 50).select("seq", "href", "text", "score")
+    links = extract.outlinks(_linked(spark, d)).withColumn("seq", F.col("page_id") * 1000 + F.col("pos"))
+    return scoring.score_outlinks(links, WORDS, _seen(links), 200).select("seq", "href", "text", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH {_OUT}, q AS (SELECT href, min(ROW(page_id, pos, text)) AS f FROM lk WHERE pos < 5 GROUP BY href)
+SELECT f[1] AS ord, f[2] AS pos, href AS url, f[3] AS text FROM q WHERE {_SEEN} ORDER BY ord, pos LIMIT 100""")
 def discovery_queue(spark, d):
-    p = extract.extract(table(spark, d, "pages")).withColumn("ord", F.col("page_id"))
-    return admission.discoveries(p, table(spark, d, "pages").select("url"))
+    p = _linked(spark, d)
+    return admission.discoveries(extract.extract(p).withColumn("ord", F.col("page_id")), _seen(extract.outlinks(p)), 5, 100)
 
 
 # ------------------------------------------------------------- admission
@@ -480,6 +549,13 @@ def admit_sources(spark, d):
     return got.select("ord", "task_id", "host", F.round("relevance", 6).alias("relevance"))
 
 
+@query("""WITH h AS (SELECT source AS host, min(doc_id) % 7 AS n FROM documents GROUP BY source)
+SELECT ord, host FROM (SELECT doc_id AS ord, source AS host, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS t FROM documents) JOIN h USING (host) WHERE t + n <= 8""")
+def host_cap(spark, d):
+    c = _docs(spark, d).select(F.col("doc_id").alias("ord"), F.col("source").alias("host"))
+    return admission.within_host_cap(c, 8, c.groupBy("host").agg((F.min("ord") % 7).alias("n"))).select("ord", "host")
+
+
 # ------------------------------------------------------------- coverage
 
 _KEYWORDS = _values([(i, dim[0], k) for i, dim in enumerate(T.DIMENSIONS) for k in dim[2]])
@@ -521,7 +597,7 @@ _GAP_ROWS = _values([(dim, next(x[1] for x in T.DIMENSIONS if x[0] == dim), r, f
 
 @query(f"""WITH {_COVER}, tp(ordinal, dimension, pos, query) AS (VALUES {_TEMPLATES}), who(dimension, label, role, follow) AS (VALUES {_GAP_ROWS}),
 g AS (SELECT cv.ordinal, who.* FROM cv JOIN who USING (dimension) WHERE NOT covered),
-l AS (SELECT role, min(ordinal) AS ordinal, arg_min(follow, ordinal) AS follow_links, array_to_string(list(label ORDER BY ordinal)[1:3], ', ') AS label FROM g GROUP BY role),
+l AS (SELECT role, min(ordinal) AS ordinal, arg_min(follow, ordinal) AS follow_links, 'Gap-fill: ' || array_to_string(list(label ORDER BY ordinal)[1:3], ', ') AS label FROM g GROUP BY role),
 q AS (SELECT role, array_to_string(list(query ORDER BY g.ordinal, pos)[1:8], '|') AS queries FROM g JOIN tp USING (dimension) GROUP BY role)
 SELECT ordinal, role, follow_links, label, queries FROM l JOIN q USING (role)""")
 def gap_plan(spark, d):
@@ -529,18 +605,20 @@ def gap_plan(spark, d):
     return p.select("ordinal", "role", "follow_links", "label", F.array_join("queries", "|").alias("queries"))
 
 
-_CONSENSUS_WORDS = ["the", "tion", "with"]
+_SHARED = "General Public License, research notes: "  # every second text begins so
 
 
-@query(f"""WITH s AS (SELECT doc_id AS idx, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 3)[1:500] AS w FROM documents),
+@query(f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{_SHARED}' || text ELSE text END AS text FROM documents),
+s AS (SELECT doc_id AS idx, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 3)[1:500] AS w FROM x),
 i AS (SELECT idx, w, unnest(range(1, len(w) - 1)) AS i FROM s WHERE len(w) > 2),
 g AS (SELECT idx, i * 2 AS pos, w[i] || ' ' || w[i + 1] AS g FROM i UNION ALL SELECT idx, i * 2 + 1, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM i),
 f AS (SELECT idx, g, min(pos) AS pos FROM g GROUP BY ALL),
 t AS (SELECT g AS phrase, count(*) AS sources, min(ROW(idx, pos)) AS first FROM f GROUP BY g)
 SELECT phrase, sources FROM t WHERE sources >= greatest(2, ceil((SELECT count(*) FROM documents) * 0.4))
-  AND ({' OR '.join(f"contains(phrase, '{w}')" for w in _CONSENSUS_WORDS)}) ORDER BY sources DESC, first LIMIT 10""")
+  AND ({' OR '.join(f"contains(phrase, '{w}')" for w in WORDS)}) ORDER BY sources DESC, first LIMIT 10""")
 def consensus_ngrams(spark, d):
-    return coverage.consensus(_docs(spark, d).select(F.col("doc_id").alias("idx"), "text"), _CONSENSUS_WORDS)
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(_SHARED), "text")).otherwise(F.col("text"))
+    return coverage.consensus(_docs(spark, d).select(F.col("doc_id").alias("idx"), text.alias("text")), WORDS)
 
 
 def _sentence_sql(words, extra: str = "") -> str:
@@ -589,8 +667,8 @@ def trim_query(spark, d):
 
 
 @query("""SELECT item_id, attempt, CASE WHEN m <> q AND length(m) > 3 THEN m END AS mutated FROM (
-  SELECT item_id, q, unnest(range(6)) AS attempt, unnest(['"' || q || '"', q || ' explained', q || ' research', array_to_string(string_split(q, ' ')[1:4], ' '),
-    q || ' guide overview', trim(regexp_replace(q, '(?i)\\b(what|how|why|when|where|who|is|are|does|do)\\b', '', 'g'))]) AS m FROM (SELECT item_id, text AS q FROM benchmark))""")
+  SELECT item_id, q, unnest(range(6)) AS attempt, unnest(['"' || q || '"', q || ' explained', q || ' research 2024-2026+', array_to_string(string_split(q, ' ')[1:4], ' '),
+    q || ' guide overview', trim(regexp_replace(q, '(?i)\\b(how|what|why|when)\\b', '', 'g'))]) AS m FROM (SELECT item_id, text AS q FROM benchmark))""")
 def mutate_query(spark, d):
     forms = F.array(*[F.struct(F.lit(i).cast("long").alias("attempt"), X.mutate_query("text", i).alias("mutated")) for i in range(6)])
     return table(spark, d, "benchmark").select("item_id", F.explode(forms).alias("m")).select("item_id", "m.*")
@@ -611,15 +689,49 @@ def fan_out(spark, d):
     return planning.fan_out(planning.fallback_queries(spark, TOPIC, 12), 3).select("role", "query", "grp")
 
 
-@query()
+_TOPICS = "(SELECT item_id, CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN left(text, 30) || ': ' || text WHEN 2 THEN left(text, 12) || ' — ' || text ELSE 'a: ' || left(text, 3) END AS t FROM benchmark)"
+
+
+@query(f"""WITH a AS (SELECT item_id, t, CASE WHEN strpos(t, ':') - 1 > 3 THEN strpos(t, ':') - 1 ELSE strpos(t, ' — ') - 1 END AS stop FROM {_TOPICS}),
+w AS (SELECT item_id, t, list_filter(regexp_split_to_array(regexp_replace(CASE WHEN stop > 3 AND stop < 0.6 * length(t) THEN left(t, CAST(stop AS BIGINT)) ELSE t END, '[,;()]', ' ', 'g'), '\\s+'),
+  lambda x: length(x) > 1 AND lower(x) NOT IN {_in(T.PLAN_STOP_WORDS)})[1:6] AS ws FROM a),
+k AS (SELECT *, list_filter(range(len(ws)), lambda i: length(array_to_string(ws[1:i], ' ')) + length(ws[i + 1]) > 58)[1] AS k FROM w),
+s AS (SELECT item_id, t, array_to_string(ws[1:coalesce(k, len(ws))], ' ') AS s FROM k)
+SELECT item_id, CASE WHEN length(s) < 5 THEN array_to_string(regexp_split_to_array(t, '\\s+')[1:5], ' ') ELSE s END AS topic FROM s""")
 def short_topics(spark, d):
-    from pyspark.sql.functions import pandas_udf
+    n = F.col("item_id") % 4
+    t = F.when(n == 0, F.col("text")).when(n == 1, F.concat(F.left("text", F.lit(30)), F.lit(": "), "text")).when(n == 2, F.concat(F.left("text", F.lit(12)), F.lit(" — "), "text"))
+    return table(spark, d, "benchmark").select("item_id", X.short_topic(t.otherwise(F.concat(F.lit("a: "), F.left("text", F.lit(3))))).alias("topic"))
+
+
+@query("""SELECT item_id, array_to_string([trim(l), 'query about ' || item_id], '|') AS lines FROM (SELECT item_id, left(replace(text, chr(10), ' '), 50) AS l FROM benchmark)""")
+def parse_lines(spark, d):
+    one = F.concat(F.lit("query about "), F.col("item_id"))
+    body = F.concat(F.lit("1. "), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(50)), F.lit("\n- "), one, F.lit("\nab\n\n2) "), one, F.lit("\n* "), F.repeat(F.lit("x"), F.lit(160)))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(X.parse_lines(body), "|").alias("lines"))
+
+
+_ROLES = ["academic", "odd", "depth", "critical"]
 
-    @pandas_udf("string")
-    def short(t):
-        return t.map(lambda x: None if x is None else planning.short_topic(x))
 
-    return table(spark, d, "benchmark").select("item_id", short("text").alias("topic"))
+@query(f"""WITH i AS (SELECT item_id AS id, unnest(range(4)) AS pos FROM benchmark),
+k AS (SELECT id, CAST(pos AS INT) AS pos, ['academic', 'breadth', 'depth', 'critical'][pos + 1] AS role,
+  CASE WHEN pos = 0 THEN greatest(0.05, least(0.5, (id % 7) / 10.0)) WHEN pos = 2 THEN 0.5 ELSE 0.2 END AS w,
+  CASE WHEN pos = 1 THEN repeat('L', 60) ELSE ['academic', 'breadth', 'depth', 'critical'][pos + 1] || ' worker' END AS label FROM i
+  WHERE NOT (pos = 3 AND id % 3 = 0) AND NOT (pos = 2 AND id % 5 = 0)),
+n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, sum(w) OVER (PARTITION BY id) AS s FROM k)
+SELECT id, pos, role, label, 'query one ' || id || '|query two ' || pos AS queries, round(w / s, 6)::DOUBLE AS weight, pos = 2 AND id % 2 = 0 AS follow_links FROM n WHERE n >= 3""")
+def parse_plan(spark, d):
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"))
+    items = []
+    for pos, role in enumerate(_ROLES):
+        thin = (F.col("id") % 3 == 0) if pos == 3 else (F.col("id") % 5 == 0) if pos == 2 else F.lit(False)  # one query is too few
+        two = F.array(F.concat(F.lit("query one "), "id"), F.lit("abc"), F.when(~thin, F.concat(F.lit("query two "), F.lit(pos))))
+        weight = F.when(F.lit(pos == 0), (F.col("id") % 7) / 10).when(F.lit(pos == 2), 0.9)
+        label = F.repeat(F.lit("L"), F.lit(70)) if pos == 1 else F.lit(None).cast("string")
+        items.append(F.struct(F.lit(role).alias("role"), label.alias("label"), two.alias("queries"), weight.alias("budgetWeight"), ((F.col("id") % 2 == 0) & F.lit(pos == 2)).alias("followLinks")))
+    told = b.select("id", F.concat(F.lit("Here is the plan:\n```json\n"), F.to_json(F.array(*items)), F.lit("\n```")).alias("body"))
+    return planning.plan_specs(told).select("id", "pos", "role", "label", F.array_join("queries", "|").alias("queries"), F.round("weight", 6).alias("weight"), "follow_links")
 
 
 # ------------------------------------------------------------- throttle
@@ -645,6 +757,15 @@ def backoff(spark, d):
     return throttle.backoff(_counted(spark, d)).select("event_id", "errors", "wait_ms")
 
 
+@query(f"""WITH {_COUNTER}, b AS (SELECT event_id, user_id, ts, ok, errors, epoch_us(ts) // 1000 AS ms, CASE WHEN ok OR errors = 0 THEN 0 WHEN errors >= 5 THEN least(30000, 3000 * errors)
+  ELSE least(15000, 1000 * pow(2, errors - 1)) END AS wait FROM c),
+u AS (SELECT *, max(CASE WHEN NOT ok AND errors >= 5 THEN ms + wait END) OVER (PARTITION BY user_id ORDER BY ts, event_id) - ms AS rest FROM b)
+SELECT event_id, CAST(CASE WHEN rest > 0 THEN rest WHEN errors >= 2 THEN least(8000, 800 * errors) ELSE 0 END AS BIGINT) AS penalty_ms FROM u""")
+def penalty(spark, d):
+    e = _counted(spark, d).withColumn("at", F.unix_millis(F.col("ts").cast("timestamp")))
+    return throttle.penalty(e, "user_id", ["ts", "event_id"], "at").select("event_id", F.col("penalty_ms").cast("long").alias("penalty_ms"))
+
+
 @query("""WITH n AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (ORDER BY ts, event_id) - 1 AS number FROM events),
 l AS (SELECT *, number % 4 AS lane, number // 4 AS k FROM n), r AS (SELECT *, ms + lane * 400 AS ready FROM l)
 SELECT event_id, CAST(lane AS INT) AS lane, max(ready - k * 2000) OVER (PARTITION BY lane ORDER BY number) + k * 2000 AS start_ms FROM r""")
@@ -674,12 +795,52 @@ def parse_contradictions(spark, d):
     return coverage.parse_contradictions(_answers(spark, d), titles).drop("pos")
 
 
-@query("""SELECT item_id AS id, section, item FROM (
-  SELECT item_id, 'findings' AS section, trim(replace(left(text, 40), chr(10), ' ')) AS item FROM benchmark UNION ALL SELECT item_id, 'follow_up', 'about ' || source_no FROM (SELECT item_id, item_id AS source_no FROM benchmark)) WHERE length(item) >= 5""")
+@query("""WITH b AS (SELECT item_id AS id, trim(replace(left(text, 40), chr(10), ' ')) AS t FROM benchmark)
+SELECT id, section, item FROM (SELECT id, 'findings' AS section, t AS item FROM b UNION ALL SELECT id, 'findings', id || '.5 million users' FROM b UNION ALL SELECT id, 'findings', 'Findings suggest a rise' FROM b
+  UNION ALL SELECT id, 'follow_up', '2024 saw growth' FROM b UNION ALL SELECT id, 'follow_up', '1. about ' || id FROM b) WHERE length(item) >= 5""")
 def parse_findings(spark, d):
-    b = table(spark, d, "benchmark")
-    body = F.concat(F.lit("FINDINGS:\n- "), F.replace(F.left("text", F.lit(40)), F.lit("\n"), F.lit(" ")), F.lit("\nFOLLOW_UP:\n- about "), F.col("item_id"))
-    return coverage.parse_findings(b.select(F.col("item_id").alias("id"), body.alias("body"))).select("id", "section", "item")
+    head = F.replace(F.left("text", F.lit(40)), F.lit("\n"), F.lit(" "))
+    lines = [F.lit("before any section"), F.lit("Findings: in short"), F.concat(F.lit("- "), head), F.concat(F.lit("* "), "item_id", F.lit(".5 million users")), F.lit("• Findings suggest a rise"),
+             F.lit("tiny"), F.lit("  Follow-up:"), F.lit("-2024 saw growth"), F.concat(F.lit("1. about "), "item_id")]
+    return coverage.parse_findings(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.concat_ws("\n", *lines).alias("body"))).select("id", "section", "item")
+
+
+_SERPS = ["lite", "html", "brave", "scholar", "mojeek", "searx"]
+
+
+@query(f"""WITH j AS (SELECT page_id AS p, {_SERPS}[CAST(page_id % 6 AS INT) + 1] AS engine, unnest(range(1, 4)) AS j FROM pages)
+SELECT engine, 'q' || p AS query, CAST(j AS INT) AS seq, 'https://r' || j || '.example.org/?p=' || p AS url, 'Title ' || j || ' & ' || p AS title,
+  CASE WHEN j = 3 AND engine <> 'searx' AND engine <> 'lite' AND engine <> 'mojeek' THEN 'Title ' || j || ' & ' || p ELSE 'Snip ' || j END AS snippet FROM j""")
+def parse_serp(spark, d):
+    p, engine = F.col("page_id"), F.element_at(F.array(*[F.lit(e) for e in _SERPS]), (F.col("page_id") % 6).cast("int") + 1)
+    url = lambda j: F.concat(F.lit(f"https://r{j}.example.org/?p="), p)
+    title = lambda j: F.concat(F.lit(f"Title <b>{j}</b> &amp; "), p)
+    away = lambda j: F.concat(F.lit("//e.com/l/?uddg="), F.url_encode(url(j)), F.lit("&rut=1"))
+    snip = lambda j, a, z: F.lit(f"{a}Snip <i>{j}</i>{z}" if j < 3 else "")
+    forms = {
+        "lite": [F.lit('<a rel="nofollow" href="/in">inside</a><td class="result-snippet">of no use</td>')]
+        + [F.concat(F.lit('<a rel="nofollow" href="'), away(j), F.lit('">'), title(j), F.lit(f'</a><td class="result-snippet">Snip {j}</td>')) for j in (1, 2, 3)],
+        "html": [F.concat(F.lit('<div class="result__body x"><a class="result__a" href="'), away(j), F.lit('">'), title(j), F.lit("</a>"), snip(j, '<a class="result__snippet">', "</a>"), F.lit("</div>")) for j in (1, 2, 3)],
+        "brave": [F.concat(F.lit('<div class="snippet y"><a href="'), url(j), F.lit('">'), title(j), F.lit("</a>"), snip(j, '<p class="snippet-description">', "</p>"), F.lit("</div>")) for j in (1, 2, 3)],
+        "scholar": [F.concat(F.lit('<div class="gs_ri"><h3><a href="'), url(j), F.lit('">'), title(j), F.lit("</a></h3>"), snip(j, '<div class="gs_rs">', "</div>"), F.lit("</div>")) for j in (1, 2, 3)],
+        "mojeek": [F.concat(F.lit('<a class="title" href="'), url(j), F.lit('">'), title(j), F.lit(f'</a><p class="s">Snip {j}</p>')) for j in (1, 2, 3)],
+    }
+    rows = [F.struct(url(j).alias("url"), F.concat(F.lit(f"Title {j} & "), p).alias("title"), F.lit(f"Snip {j}").alias("content")) for j in (1, 2, 3)]
+    body = F.when(engine == "searx", F.to_json(F.struct(F.array(*rows, rows[0]).alias("results"))))
+    for name, parts in forms.items():
+        body = body.when(engine == name, F.concat(*parts))
+    pages = table(spark, d, "pages").select(engine.alias("engine"), F.concat(F.lit("q"), p).alias("query"), body.alias("body"))
+    return serp.parse_all(pages).select("engine", "query", "seq", "url", "title", "snippet")
+
+
+@query("""WITH p AS (SELECT user_id AS q, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r FROM events), g AS (SELECT q, event_id, r // 10 + 1 AS page FROM p WHERE NOT (r // 10 = 2 AND r % 10 > 3)),
+n AS (SELECT q, page, count(*) AS n FROM g GROUP BY ALL), f AS (SELECT q, min(page) AS last FROM n WHERE n < 5 GROUP BY q)
+SELECT q AS query, page, event_id AS url FROM g LEFT JOIN f USING (q) WHERE last IS NULL OR page <= last""")
+def result_pages(spark, d):
+    # hits of a query in pages of ten, the third of which is cut to four
+    r = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    e = table(spark, d, "events").select(F.col("user_id").alias("query"), F.col("event_id").alias("url"), r.cast("long").alias("seq")).withColumn("page", F.floor(F.col("seq") / 10) + 1)
+    return serp.pages_until_thin(e.where("not (page = 3 and seq % 10 > 3)"), 10).select("query", "page", "url")
 
 
 @query("""WITH h AS (SELECT ['lite', 'brave', 'mojeek'][CAST(page_id % 3 AS INT) + 1] AS engine, page_id % 3 AS e, url, page_id AS seq FROM pages
@@ -697,6 +858,8 @@ def _sources(spark, d) -> DataFrame:
     return _docs(spark, d).select(
         F.col("doc_id").alias("ord"), F.col("doc_id").alias("idx"), F.concat(F.lit("["), "source", F.lit("]")).alias("title"), F.concat(F.lit("doc:"), "doc_id").alias("url"),
         F.col("lang").alias("worker_label"), F.col("source").alias("source_query"), "text", F.lit("general").alias("tier"), F.lit(0.675).alias("relevance"),
+        F.when(F.col("doc_id") % 4 == 0, "local").otherwise("web").alias("origin"), F.lit("breadth").alias("worker_role"), F.lit(50).alias("domain_score"),
+        F.lit(None).cast("string").alias("published"), F.left("text", F.lit(250)).alias("description"),
     )
 
 
@@ -718,3 +881,60 @@ def source_preview(spark, d):
 @query("SELECT source AS source_query, min(doc_id) AS first, row_number() OVER (ORDER BY min(doc_id)) AS number FROM documents GROUP BY source")
 def distinct_queries(spark, d):
     return report.distinct_queries(_sources(spark, d)).withColumn("number", F.col("number").cast("long"))
+
+
+@query(f"""WITH {_COVER}, w AS (SELECT lang, min(doc_id) AS first FROM documents GROUP BY lang)
+SELECT (SELECT string_agg(lang, ', ' ORDER BY first) FROM w) AS workers, (SELECT count(*) FROM documents) AS sources, (SELECT count(*) FROM documents WHERE doc_id % 4 = 0) AS local,
+  (SELECT count(*) FROM documents WHERE doc_id % 4 <> 0) AS web, (SELECT count(*) FROM cv WHERE covered) AS covered, (SELECT count(*) FROM cv) AS dimensions""")
+def report_header(spark, d):
+    return report.header(_sources(spark, d))
+
+
+@query("""SELECT doc_id AS idx, '[' || source || ']' AS title, 'doc:' || doc_id AS url, 68 AS relevance, CASE WHEN doc_id % 4 = 0 THEN 'local' ELSE 'web' END AS origin, left(text, 200) AS excerpt FROM documents""")
+def tool_output(spark, d):
+    return report.tool_output(_sources(spark, d)).select("idx", "title", "url", "relevance", "origin", F.coalesce("excerpt", F.lit("")).alias("excerpt"))
+
+
+# ------------------------------------------------------------- dates and PDFs
+
+_SPELT = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'-05:00'", "MMMM d, yyyy", "d MMM yyyy HH:mm:ss 'GMT'", "yyyy/M/d", "'no date'"]
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 5 THEN NULL WHEN 1 THEN strftime(ts + INTERVAL 5 HOUR, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events""")
+def iso_dates(spark, d):
+    raw = F.lit(None).cast("string")
+    for k, form in enumerate(_SPELT):
+        raw = F.when(F.col("event_id") % 6 == k, F.date_format("ts", form)).otherwise(raw)
+    return table(spark, d, "events").select("event_id", X.iso_date(raw).alias("day"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events""")
+def pdf_dates(spark, d):
+    stamp, plain = F.concat(F.lit("D:"), F.date_format("ts", "yyyyMMddHHmmss")), F.date_format("ts", "yyyy-MM-dd")
+    made = F.when(F.col("event_id") % 3 == 0, stamp).when(F.col("event_id") % 3 == 1, F.lit("unknown")).otherwise("")
+    info = F.create_map(F.lit("CreationDate"), made, F.lit("ModDate"), F.when(F.col("event_id") % 3 == 1, plain).otherwise(""), F.lit("created"), stamp)
+    return table(spark, d, "events").select("event_id", X.pdf_info_date(info).alias("day"))
+
+
+@query("""WITH p AS (SELECT page_id, url, page_id % 3 AS k FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN 'Given ' || page_id ELSE 'First line of ' || page_id END AS title,
+  left(CASE k WHEN 0 THEN 'Given ' || page_id ELSE 'First line of ' || page_id END || CASE WHEN k = 1 THEN ' by Ann Author' ELSE '' END || ' (' || (k + 1) || ' pages). '
+    || 'First line of ' || page_id || chr(10) || 'see https://a.example.org/x?y=1. (http://b.example.org) interrupted words', 250) AS description,
+  '2024-03-05' AS published, 'First line of ' || page_id || chr(10) || 'see https://a.example.org/x?y=1. (http://b.example.org) interrupted words' AS text,
+  9 + (SELECT 0) AS word_count, 'a.example.org/x https://a.example.org/x?y=1|b.example.org/ http://b.example.org' AS links FROM p""")
+def pdf_pages(spark, d):
+    p, k = table(spark, d, "pages"), F.col("page_id") % 3
+    text = F.concat(F.lit("abc\r\nFirst line of "), "page_id", F.lit("\r\nsee https://a.example.org/x?y=1.  (http://b.example.org)\t inter-\nrupted words\n 7 \n"))
+    text = F.replace(text, F.lit("abc\r\n"), F.lit(""))
+    info = F.create_map(F.lit("Title"), F.when(k == 0, F.concat(F.lit(" Given "), "page_id")).otherwise(""), F.lit("Author"), F.when(k == 1, "Ann Author").otherwise(""), F.lit("CreationDate"), F.lit("D:20240305"))
+    got = extract.extract_pdf(p.select("page_id", "url", text.alias("text"), (k + 1).cast("int").alias("pages"), info.alias("info")))
+    links = F.array_join(F.transform("outlinks", lambda x: F.concat(x["text"], F.lit(" "), x["href"])), "|")
+    return got.select("page_id", "title", "description", "published", "text", F.col("word_count").cast("long").alias("word_count"), links.alias("links"))
+
+
+@query("""SELECT page_id, page_id % 5 < 3 AS is_pdf, page_id % 2 = 0 AS pdf_type, page_id % 2 = 0 OR page_id % 3 = 0 AS binary_type FROM pages""")
+def pdf_tests(spark, d):
+    ends = ["/a.PDF", "/x.pdf?download=1", "//arxiv.org/pdf/1234", "/pdf.html", "/report.pdfx"]
+    url = F.concat(F.lit("https://host.org"), F.element_at(F.array(*[F.lit(e) for e in ends]), (F.col("page_id") % 5).cast("int") + 1))
+    kind = F.when(F.col("page_id") % 2 == 0, "Application/PDF; q=1").when(F.col("page_id") % 3 == 0, "application/octet-stream").otherwise("text/html")
+    return table(spark, d, "pages").select("page_id", X.is_pdf_url(url).alias("is_pdf"), X.is_pdf_type(kind).alias("pdf_type"), X.is_binary_type(kind).alias("binary_type"))

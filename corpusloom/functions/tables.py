@@ -168,3 +168,54 @@ KEY_MARKERS = [
 
 # Library priorities in order of preference; score of a local source; its bonus.
 PRIORITIES = [("proprietary", 95, 0.15), ("internal", 90, 0.10), ("reference", 85, 0.05), ("general", 75, 0.0)]
+
+# Extensions of files that are indexed.
+EXTENSIONS = """
+pdf txt md markdown rst org html htm xhtml csv tsv json jsonl xml log yaml yml ini cfg conf tex bib py js ts java c cpp h hpp rs go rb php
+swift kt scala sh bash zsh ps1 sql r css scss less ipynb toml env properties
+""".split()
+
+# A file's tags by its extension, then by a word in its name.
+FILE_TAGS = [
+    ("code", "py js ts java c cpp rs go".split()), ("academic", "tex bib".split()), ("data", "sql csv tsv".split()),
+    ("document", "md txt rst".split()), ("config", "yaml yml json xml toml".split()),
+]
+NAME_TAGS = [("legal", "legal contract policy".split()), ("report", "report analysis".split())]
+
+# Selectors of what is not the page's own text.
+BOILERPLATE = """
+nav header footer .nav .navbar .navigation .header .footer .sidebar .side-bar .widget .cookie-banner .cookie-consent .cookie-notice .gdpr
+.consent .popup .modal .overlay .ad .ads .advertisement .advert .banner-ad .social-share .social-links .share-buttons .sharing
+.related-posts .related-articles .recommended .comments .comment-section #comments .newsletter .subscribe .subscription .signup .sign-up
+.breadcrumb .breadcrumbs .pagination .pager .menu .toc .table-of-contents [role="navigation"] [role="banner"] [role="contentinfo"]
+[role="complementary"] [aria-label="cookie"] [class*="cookie"] [id*="cookie"] [class*="gdpr"] [class*="popup"] [class*="modal"]
+[class*="overlay"] [class*="sidebar"] [class*="footer"] [class*="header"] [class*="nav-"] [class*="ad-"] [class*="promo"] aside figcaption
+noscript iframe
+""".split()
+
+# Selectors of elements that tell a page's date.
+DATE_SELECTORS = """
+meta[property="article:published_time"] meta[name="date"] meta[name="pubdate"] meta[name="DC.date"] meta[itemprop="datePublished"]
+time[itemprop="datePublished"] time[datetime]
+""".split()
+DATE_KEYS = ["datePublished", "dateModified", "uploadDate"]
+
+# URLs that serve a PDF, whatever they end in.
+PDF_URLS = [
+    r"(?i)\.pdf(\?.*)?$", r"(?i)arxiv\.org/pdf/", r"(?i)arxiv\.org/ftp/", r"(?i)biorxiv\.org/content/.*\.full\.pdf",
+    r"(?i)medrxiv\.org/content/.*\.full\.pdf", r"(?i)papers\.ssrn\.com/sol3/Delivery\.cfm", r"(?i)dl\.acm\.org/doi/pdf/",
+    r"(?i)ieeexplore\.ieee\.org/stampPDF", r"(?i)link\.springer\.com/content/pdf/", r"(?i)pdfs\.semanticscholar\.org/",
+    r"(?i)openreview\.net/pdf", r"(?i)proceedings\.neurips\.cc/paper_files/.*\.pdf", r"(?i)aclanthology\.org/.*\.pdf",
+    r"(?i)pnas\.org/doi/pdf/", r"(?i)science\.org/doi/pdf/", r"(?i)nature\.com/articles/.*\.pdf", r"(?i)researchgate\.net/.*/download",
+]
+PDF_DATE_KEYS = ["CreationDate", "ModDate", "created", "modified"]
+
+# How roles are called, which of them follow links, and which tiers some prefer.
+ROLE_LABELS = {
+    "breadth": "Breadth", "depth": "Depth", "recency": "Recency", "academic": "Academic", "critical": "Critical",
+    "statistical": "Statistical/Data", "regulatory": "Regulatory/Policy", "technical": "Technical Deep-Dive",
+    "primary": "Primary Sources", "comparative": "Comparative Analysis",
+}
+LINK_ROLES = ["depth", "academic", "technical", "primary"]
+TIER_ROLES = ["academic", "regulatory"]
+SOLID_TIERS = ["academic", "government", "reference"]

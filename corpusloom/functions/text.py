@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.tables import INDEX_STOP_WORDS, PLAN_STOP_WORDS, REPORT_STOP_WORDS
+from corpusloom.functions.tables import INDEX_STOP_WORDS, PDF_DATE_KEYS, PDF_URLS, PLAN_STOP_WORDS, REPORT_STOP_WORDS
 
 
 def _c(c: Column | str) -> Column:
@@ -102,23 +102,99 @@ def report_keywords(topic: Column | str) -> Column:
     return keywords(topic, REPORT_STOP_WORDS)
 
 
+def trim(text: Column | str) -> Column:
+    """All white space off both ends."""
+    return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
+
+
+# Entities in the order in which they are read.
+ENTITIES = [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&nbsp;", " ")]
+
+
 def strip_html(html: Column | str) -> Column:
     """Scripts and styles out, tags to blanks, six entities, white space collapsed."""
-    t = F.regexp_replace(_c(html), r"(?is)<script[^>]*>.*?</script>", " ")
-    t = F.regexp_replace(t, r"(?is)<style[^>]*>.*?</style>", " ")
-    t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
-    for entity, plain in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
+    t = F.regexp_replace(_c(html), r"(?is)<script.*?</script>", "")
+    t = F.regexp_replace(t, r"(?is)<style.*?</style>", "")
+    t = F.regexp_replace(t, r"<[^>]+>", " ")
+    for entity, plain in ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(plain))
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+# ------------------------------------------------------------- PDF
+
+
+def _joined_lines(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(\w)-\n(\w)", "$1$2")
+
+
+def _fewer_blanks(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+
+
 def clean_pdf_text(text: Column | str) -> Column:
-    """Line ends, page markers, hyphenation, blank lines and lone page numbers."""
-    t = F.regexp_replace(_c(text), r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"(?m)^-+ ?(?i:page)? ?[0-9]+ ?-+$", "")
-    t = F.regexp_replace(t, r"([a-z])-\n([a-z])", "$1$2")
-    t = F.regexp_replace(t, r"(?m)^\s*[0-9]{1,4}\s*$", "")
-    return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    """Text of a PDF file: page marks out, words joined over line ends, blanks folded, lone page numbers out."""
+    t = F.regexp_replace(F.regexp_replace(_c(text), r"\r\n?", "\n"), r"(?m)^--\s*\d+\s*of\s*\d+\s*--\s*$", "")
+    return trim(F.regexp_replace(_fewer_blanks(_joined_lines(t)), r"(?m)^\s*\d{1,4}\s*$", ""))
+
+
+def clean_web_pdf_text(text: Column | str) -> Column:
+    """Text of a fetched PDF: the same without page marks; number lines go wherever they stand, lines are trimmed."""
+    t = F.regexp_replace(_fewer_blanks(_joined_lines(_c(text))), r"\n\s*\d+\s*\n", "\n")
+    return trim(F.array_join(F.transform(F.split(t, "\n"), trim), "\n"))
+
+
+def pdf_title(text: Column | str) -> Column:
+    """The first line of more than five characters, at most 200 of them; empty if there is none."""
+    line = F.get(F.filter(F.split(_c(text), "\n"), lambda x: F.length(trim(x)) > 5), F.lit(0))
+    return F.coalesce(F.left(trim(line), F.lit(200)), F.lit(""))
+
+
+def pdf_date(raw: Column | str) -> Column:
+    """``D:YYYYMMDD...`` or any date that ``iso_date`` reads."""
+    day = F.regexp_extract(_c(raw), r"D:(\d{8})", 1)
+    return F.coalesce(F.when(day != "", F.regexp_replace(day, r"(\d{4})(\d{2})(\d{2})", "$1-$2-$3")), iso_date(raw))
+
+
+def pdf_info_date(info: Column) -> Column:
+    """Of a PDF's properties (a map): the first of four keys that holds a date."""
+    return F.coalesce(*[pdf_date(F.nullif(F.element_at(info, F.lit(k)), F.lit(""))) for k in PDF_DATE_KEYS])
+
+
+def pdf_description(title: Column, author: Column, pages: Column, text: Column, most: int = 250) -> Column:
+    """Title, author and number of pages where there are any, then the text, cut at ``most`` characters."""
+    some = lambda c, x: F.when(F.coalesce(c, F.lit("")) != "", x)
+    meta = F.concat_ws(" ", some(title, title), some(author, F.concat(F.lit("by "), author)), F.when(pages > 0, F.concat(F.lit("("), pages, F.lit(" pages)"))))
+    meta = F.when(meta == "", meta).otherwise(F.concat(meta, F.lit(". ")))
+    return F.left(F.concat(meta, F.coalesce(text, F.lit(""))), F.lit(most))
+
+
+def pdf_links(text: Column | str, url: Column, most: int = 20) -> Column:
+    """URLs in a text on other hosts than ``url``'s, each once, as (text, href); text is host and path."""
+    found = F.regexp_extract_all(_c(text), F.lit(r"(?i)https?://[^\s)<>\"']+"), F.lit(0))
+    clean = F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?)]+$", "")))
+    name = lambda u: F.lower(F.regexp_extract(u, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    own = F.filter(clean, lambda u: (name(u) != "") & (name(u) != F.coalesce(name(url), F.lit(""))))
+    path = lambda u: F.coalesce(F.nullif(F.regexp_extract(u, r"^[^/]*//[^/?#]*(/[^?#]*)", 1), F.lit("")), F.lit("/"))
+    return F.slice(F.transform(own, lambda u: F.struct(F.concat(name(u), F.left(path(u), F.lit(60))).alias("text"), u.alias("href"))), 1, most)
+
+
+def is_pdf_url(url: Column | str) -> Column:
+    hit = F.lit(False)
+    for pattern in PDF_URLS:
+        hit = hit | _c(url).rlike(pattern)
+    return hit
+
+
+def is_pdf_type(content_type: Column | str) -> Column:
+    return F.coalesce(F.lower(_c(content_type)).rlike("application/(x-)?pdf"), F.lit(False))
+
+
+def is_binary_type(content_type: Column | str) -> Column:
+    return F.coalesce(F.lower(_c(content_type)).rlike("application/(x-)?pdf|application/octet-stream"), F.lit(False))
+
+
+# ------------------------------------------------------------- queries and headings
 
 
 def host(url: Column | str) -> Column:
@@ -142,52 +218,79 @@ def mutate_query(query: Column | str, attempt: int) -> Column:
     forms = [
         F.concat(F.lit('"'), q, F.lit('"')),
         F.concat(q, F.lit(" explained")),
-        F.concat(q, F.lit(" research")),
+        F.concat(q, F.lit(" research 2024-2026+")),
         F.array_join(F.slice(F.split(q, " "), 1, 4), " "),
         F.concat(q, F.lit(" guide overview")),
-        F.trim(F.regexp_replace(q, r"(?i)\b(what|how|why|when|where|who|is|are|does|do)\b", "")),
+        F.trim(F.regexp_replace(q, r"(?i)\b(how|what|why|when)\b", "")),
     ]
     new = forms[attempt]
     return F.when((new != q) & (F.length(new) > 3), new)
 
 
+def short_topic(topic: Column | str) -> Column:
+    """A topic short enough for a query.
+
+    What stands before a colon or dash in its first 60 %, without commas, stop
+    words and single characters: words while there are at most six and the text
+    so far and the next word have at most 58 characters; five plain words if
+    that leaves fewer than five characters.
+    """
+    t = _c(topic)
+    colon, dash = F.instr(t, ":") - 1, F.instr(t, " — ") - 1
+    at = F.when(colon > 3, colon).otherwise(dash)
+    core = F.when((at > 3) & (at < 0.6 * F.length(t)), F.substr(t, F.lit(1), at)).otherwise(t)
+    words = F.filter(F.split(F.regexp_replace(core, "[,;()]", " "), r"\s+"), lambda w: (F.length(w) > 1) & ~F.lower(w).isin(PLAN_STOP_WORDS))
+
+    def fits(ws: Column, i: Column) -> Column:  # the first i words joined, and the next one
+        return F.length(F.array_join(F.slice(ws, F.lit(1), i), " ")) + F.length(F.get(ws, i)) <= 58
+
+    def head(ws: Column) -> Column:
+        at = F.filter(F.transform(ws, lambda _, i: F.when(~fits(ws, i), i)), lambda i: i.isNotNull())
+        return F.array_join(F.slice(ws, F.lit(1), F.coalesce(F.get(at, F.lit(0)), F.size(ws))), " ")
+
+    short = F.transform(F.array(F.slice(words, 1, 6)), head)[0]
+    return F.when(F.length(short) < 5, F.array_join(F.slice(F.split(t, r"\s+"), 1, 5), " ")).otherwise(short)
+
+
+# What a section's first line looks like; group 1 is the heading; its depth.
+HEADINGS = [
+    (r"^#\s+(.+)$", 1), (r"^##\s+(.+)$", 2), (r"^#{3,6}\s+(.+)$", 3), (r"^([A-Z][A-Z\s]{5,60})$", 2), (r"^([0-9]+\.[0-9.]*\s+.{5,80})$", 2),
+    (r"(?i)^(Chapter\s+[0-9]+[.:]\s*.+)$", 1), (r"(?i)^(Section\s+[0-9]+[.:]\s*.+)$", 2),
+    (r"(?i)^(Abstract|Introduction|Conclusion|References|Methods|Results|Discussion)\b", 1),
+]
+
+
 def heading(text: Column | str) -> Column:
-    """Heading of a section's first line as (heading, depth), null if it is none."""
-    line = F.trim(F.split(F.trim(_c(text)), "\n")[0])
-    forms = [
-        (r"^#\s+(.+)$", 1), (r"^##\s+(.+)$", 2), (r"^#{3,6}\s+(.+)$", 3), (r"^([A-Z][A-Z\s]{5,60})$", 2),
-        (r"^([0-9]+\.[0-9.]*\s+.{5,80})$", 2), (r"(?i)^(Chapter\s+[0-9]+[.:]\s*.+)$", 1), (r"(?i)^(Section\s+[0-9]+[.:]\s*.+)$", 2),
-        (r"(?i)^(Abstract|Introduction|Conclusion|References|Methods|Results|Discussion)\b", 1),
-    ]
+    """Heading of a text's first line as (heading, depth), null if it is none."""
+    line = trim(F.split(_c(text), "\n")[0])
     found = [
-        F.when(line.rlike(p), F.struct(F.left(F.regexp_extract(line, p, 1), F.lit(120)).alias("heading"), F.lit(d).alias("depth")))
-        for p, d in forms
+        F.when(line.rlike(p), F.struct(F.left(trim(F.regexp_extract(line, p, 1)), F.lit(120)).alias("heading"), F.lit(d).alias("depth")))
+        for p, d in HEADINGS
     ]
     return F.coalesce(*found)
 
 
-def parse_lines(text: Column | str, most: int = 10) -> Column:
+def parse_lines(text: Column | str, most: int = 6) -> Column:
     """Distinct lines of an answer without numbers or bullets, 6 to 159 characters."""
-    lines = F.transform(F.split(_c(text), "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^(?:[0-9]+[.)]|[-*•])\s*", "")))
+    lines = F.transform(F.split(_c(text), "\n"), lambda x: trim(F.regexp_replace(trim(x), r"^(?:[0-9]+[.)]|[-*•])\s*", "")))
     return F.slice(F.array_distinct(F.filter(lines, lambda x: (F.length(x) > 5) & (F.length(x) < 160))), 1, most)
 
 
-def iso_date(raw: Column | str) -> Column:
-    """A date in one of several spellings as YYYY-MM-DD, else null."""
-    c = F.trim(_c(raw))
-    day = F.coalesce(
-        F.try_to_date(F.substr(c, F.lit(1), F.lit(10)), "yyyy-MM-dd"),
-        *[F.try_to_date(c, p) for p in ("yyyy/MM/dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy")],
-    )
-    return F.date_format(day, "yyyy-MM-dd")
+# Spellings of dates and times that are read, besides ISO ones.
+DATE_FORMS = [
+    "yyyy/M/d", "M/d/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy",
+    "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "MMM d, yyyy HH:mm:ss", "MMMM d, yyyy h:mm a",
+]
 
 
-def pdf_date(raw: Column | str) -> Column:
-    """``D:YYYYMMDD...`` or any date that ``iso_date`` reads."""
-    c = _c(raw)
-    d = F.regexp_extract(c, r"^D?:?([0-9]{4})([0-9]{2})([0-9]{2})", 0)
-    digits = F.regexp_replace(d, "[^0-9]", "")
-    return F.coalesce(F.date_format(F.try_to_date(F.nullif(digits, F.lit("")), "yyyyMMdd"), "yyyy-MM-dd"), iso_date(c))
+def iso_date(raw: Column | str) -> Column:
+    """A date, or the UTC day of a time with an offset, as YYYY-MM-DD, else null."""
+    c = F.regexp_replace(trim(raw), r"^(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", "")
+    iso = c.rlike(r"^\d{4}(-\d{2}(-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?)?)?$")
+    full = F.regexp_replace(F.when(F.length(c) == 4, F.concat(c, F.lit("-01-01"))).when(F.length(c) == 7, F.concat(c, F.lit("-01"))).otherwise(c), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    full = F.regexp_replace(full, r"([T ]\d{2}:\d{2})\s*(Z|[+-])", "$1:00$2")  # seconds before an offset
+    times = [F.when(iso, F.try_to_timestamp(full)), *[F.try_to_timestamp(c, F.lit(p)) for p in DATE_FORMS]]
+    return F.date_format(F.to_utc_timestamp(F.coalesce(*times), F.current_timezone()), "yyyy-MM-dd")
 
 
 def escape_markdown(text: Column | str) -> Column:

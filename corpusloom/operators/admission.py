@@ -24,23 +24,38 @@ def relevance(text: Column, title: Column, snippet: Column, words: list[str]) ->
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
 
-def admit(candidates: DataFrame, visited: DataFrame, prints: DataFrame, least_relevance: float, host_cap: int, budget: int) -> DataFrame:
+def admit(candidates: DataFrame, visited: DataFrame, prints: DataFrame, least_relevance: float, host_cap: int, budget: int | Column, hosts: DataFrame | None = None) -> DataFrame:
     """Candidates (task_id, ord, url, host, text, word_count, relevance) that are let in.
 
     Order: not visited, long and relevant enough, first of its fingerprint and
-    not known, within the host's cap, within the task's budget.
+    not known, within the host's cap, within the task's budget.  ``hosts``
+    (host, n) says how many pages of a host earlier rounds let in.
     """
     c = candidates.join(visited.select("url"), "url", "left_anti")
     c = c.where((F.col("word_count") >= LEAST_WORDS) & (F.col("relevance") >= least_relevance)).withColumn("fp", X.fingerprint("text"))
     c = c.join(prints.select("fp"), "fp", "left_anti")
-    turn = lambda key: F.row_number().over(Window.partitionBy(key).orderBy("ord"))
-    c = c.withColumn("a", turn("fp")).where("a = 1")
-    c = c.withColumn("b", turn("host")).where(F.col("b") <= host_cap)
-    return c.withColumn("c", turn("task_id")).where(F.col("c") <= budget).drop("a", "b", "c")
+    c = c.withColumn("__a", _turn("fp")).where("__a = 1")
+    c = within_host_cap(c, host_cap, hosts)
+    limit = budget if isinstance(budget, Column) else F.lit(budget)
+    return c.withColumn("__c", _turn("task_id")).where(F.col("__c") <= limit).drop("__a", "__c")
+
+
+def _turn(key: str) -> Column:
+    return F.row_number().over(Window.partitionBy(key).orderBy("ord"))
+
+
+def within_host_cap(candidates: DataFrame, cap: int, hosts: DataFrame | None = None) -> DataFrame:
+    """The first candidates (host, ord) of each host, as many as the cap leaves after the earlier ones."""
+    c = candidates.withColumn("__b", _turn("host")).where(F.col("__b") <= cap)
+    if hosts is not None:
+        earlier = hosts.select(F.col("host").alias("__host"), F.col("n").alias("__n"))
+        c = c.join(earlier, F.col("host") == F.col("__host"), "left").where(F.col("__b") + F.coalesce("__n", F.lit(0)) <= cap).drop("__host", "__n")
+    return c.drop("__b")
 
 
 def discoveries(sources: DataFrame, visited: DataFrame, per_source: int = 5, most: int = 5) -> DataFrame:
-    """First outlinks (array of struct text, href) of each source, unvisited, in order."""
+    """First outlinks (array of struct text, href) of each source, unvisited, each once, in order."""
     links = sources.select("ord", F.posexplode(F.slice("outlinks", 1, per_source)).alias("pos", "link"))
     flat = links.select("ord", "pos", F.col("link.href").alias("url"), F.col("link.text").alias("text"))
-    return flat.join(visited.select("url"), "url", "left_anti").orderBy("ord", "pos").limit(most)
+    first = flat.groupBy("url").agg(F.min(F.struct("ord", "pos", "text")).alias("f")).select("f.ord", "f.pos", "url", "f.text")
+    return first.join(visited.select("url"), "url", "left_anti").orderBy("ord", "pos").limit(most)

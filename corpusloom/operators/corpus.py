@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
-from corpusloom.functions.tables import PRIORITIES
+from corpusloom.functions.tables import FILE_TAGS, NAME_TAGS, PRIORITIES
 
 CHUNK = 4000
 OVERLAP = 0.12
@@ -89,20 +89,17 @@ def metadata_hash(path: Column, size: Column, mtime_ms: Column) -> Column:
     return F.left(F.sha2(F.concat_ws(":", path, size.cast("string"), mtime_ms.cast("string")), 256), F.lit(16))
 
 
+def extension(name: Column) -> Column:
+    """Lower-case extension without its dot; empty if there is none."""
+    return F.lower(F.regexp_extract(name, r"[^.]\.([^.]+)$", 1))
+
+
 def file_tags(name: Column) -> Column:
     """Tags from a file's extension and name; ``general`` if nothing fits."""
-    low = F.lower(name)
-    rules = [
-        (r"\.(py|js|ts|java|go|rs|c|cpp|cs|rb|php|sh|sql|r)$", "code"),
-        (r"\.(csv|tsv|xlsx|json|xml|ya?ml)$", "data"),
-        (r"\.(pdf|docx?)$", "documents"),
-        (r"(report|summary|annual)", "reports"),
-        (r"(legal|contract|agreement|policy)", "legal"),
-        (r"(finance|budget|invoice|revenue)", "financial"),
-        (r"(paper|study|research|thesis)", "academic"),
-        (r"(spec|manual|guide|readme)", "technical"),
-    ]
-    found = F.filter(F.array(*[F.when(low.rlike(p), F.lit(t)) for p, t in rules]), lambda x: x.isNotNull())
+    ext, low = extension(name), F.lower(name)
+    by_ext = [F.when(ext.isin(of), F.lit(tag)) for tag, of in FILE_TAGS]
+    by_name = [F.when(low.rlike("|".join(words)), F.lit(tag)) for tag, words in NAME_TAGS]
+    found = F.filter(F.array(*by_ext, *by_name), lambda x: x.isNotNull())
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("general")))
 
 

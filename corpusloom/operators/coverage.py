@@ -37,6 +37,7 @@ def gaps(hits: DataFrame) -> DataFrame:
 
 
 def templates(spark: SparkSession, topic: str) -> DataFrame:
+    """ordinal, dimension, pos, query; ``topic`` as it is to stand in a query."""
     rows = [(i, d[0], p, q.replace("{t}", topic)) for i, d in enumerate(DIMENSIONS) for p, q in enumerate(d[3])]
     return spark.createDataFrame(rows, "ordinal int, dimension string, pos int, query string")
 
@@ -49,7 +50,7 @@ def gap_queries(gap: DataFrame, topic: str, most: int) -> DataFrame:
 
 
 def gap_plan(gap: DataFrame, topic: str, most: int) -> DataFrame:
-    """One row per role that fills gaps: its label, queries, links and tiers.
+    """One row per role that fills gaps: its label, queries, links and tiers; ``topic`` as it is to stand in a query.
 
     A role's first gap decides on links and tiers; roles are in the order of theirs.
     """
@@ -67,7 +68,7 @@ def gap_plan(gap: DataFrame, topic: str, most: int) -> DataFrame:
     )
     return out.select(
         "ordinal", "role", "follow_links", "tiers",
-        F.array_join(F.slice(F.col("of.label"), 1, 3), ", ").alias("label"),
+        F.concat(F.lit("Gap-fill: "), F.array_join(F.slice(F.col("of.label"), 1, 3), ", ")).alias("label"),
         F.slice(F.flatten("of.queries"), 1, most).alias("queries"),
     )
 
@@ -155,10 +156,10 @@ def parse_contradictions(answers: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def parse_findings(answers: DataFrame) -> DataFrame:
-    """Bullets under FINDINGS and FOLLOW_UP headings: id, section, pos, item."""
-    lines = answers.select("id", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
-    mark = F.when(F.col("line").rlike(r"(?i)^\W*FINDINGS"), "findings").when(F.col("line").rlike(r"(?i)^\W*FOLLOW[_ -]?UPS?"), "follow_up")
-    w = Window.partitionBy("id").orderBy("pos")
+    """Items of at least five characters under ``FINDINGS:`` and ``FOLLOW_UP:``: id, section, pos, item."""
+    lines = answers.select("id", F.posexplode(F.split("body", "\n")).alias("pos", "raw")).withColumn("line", X.trim("raw"))
+    mark = F.when(F.col("line").rlike("(?i)^FINDINGS:"), "findings").when(F.col("line").rlike("(?i)^FOLLOW.?UP:"), "follow_up")
+    w = Window.partitionBy("id").orderBy("pos")  # one answer at most
     tagged = lines.withColumn("mark", mark).withColumn("section", F.last("mark", ignorenulls=True).over(w))
-    item = F.trim(F.regexp_replace(F.trim("line"), r"^[-*•0-9.)\s]+", ""))
+    item = X.trim(F.regexp_replace("line", r"^[-*•]\s*", ""))
     return tagged.where("mark is null and section is not null").select("id", "section", "pos", item.alias("item")).where(F.length("item") >= 5)

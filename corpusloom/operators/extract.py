@@ -1,166 +1,316 @@
-"""Pages out of HTML: titles, descriptions, dates, text, links."""
+"""Pages out of HTML: titles, descriptions, dates, text, links.
+
+A page is parsed once, in Arrow batches: one pass over its markup keeps what
+stands outside boilerplate, and only the finished fields leave the worker.
+"""
 
 from __future__ import annotations
 
+import json
+import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.functions.tables import BOILERPLATE, DATE_KEYS, DATE_SELECTORS
 
 LEAST_TEXT = 100
 MOST_LINKS = 40
-
-# Element and class names of what is not the article.
-DROP_TAGS = {"nav", "header", "footer", "aside", "figcaption", "noscript", "iframe", "script", "style"}
-DROP_CLASSES = {
-    "nav", "navbar", "header", "footer", "sidebar", "widget", "cookie", "gdpr", "consent", "popup", "modal", "overlay",
-    "ad", "ads", "advertisement", "social", "share", "related", "recommended", "comments", "newsletter", "subscribe",
-    "breadcrumb", "breadcrumbs", "pagination", "menu", "toc",
-}
-DROP_PARTS = ("cookie", "gdpr", "popup", "modal", "overlay", "sidebar", "footer", "header", "nav-", "ad-", "promo")
-DROP_ROLES = {"navigation", "banner", "contentinfo", "complementary"}
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+CONTENT = 8000
+DESCRIPTION = 250
+#: Elements that the patterns of ``title`` cut out; the parser knows all selectors.
+BLOCKS = [s for s in BOILERPLATE if s.isalpha()]
+#: Elements whose text the fallback leaves out.
+FALLBACK_BLOCKS = ["script", "style", "nav", "header", "footer", "aside"]
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+_SELF_CLOSING = {"p", "li", "dt", "dd", "option", "tr", "td", "th"}
+_ARTICLE = {"article", "main"}
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def title(html: Column) -> Column:
-    """First h1, else ``<title>``, else og:title."""
-    h1 = X.strip_html(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
-    t = X.strip_html(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    og = F.regexp_extract(html, r"""(?is)<meta[^>]*property=["']og:title["'][^>]*content=["']([^"']*)""", 1)
+    """First h1, else ``<title>``, else og:title, outside boilerplate elements; by patterns only."""
+    body = F.coalesce(html, F.lit(""))
+    for tag in BLOCKS:
+        body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
+    h1 = X.strip_html(F.regexp_extract(body, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
+    t = X.strip_html(F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    og = F.regexp_extract(body, r"""(?is)<meta[^>]*property=["']og:title["'][^>]*content=["']([^"']*)""", 1)
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (h1, t, og)], F.lit(""))
 
 
-def description(html: Column, text: Column) -> Column:
-    meta = F.regexp_extract(html, r"""(?is)<meta[^>]*name=["']description["'][^>]*content=["']([^"']*)""", 1)
-    og = F.regexp_extract(html, r"""(?is)<meta[^>]*property=["']og:description["'][^>]*content=["']([^"']*)""", 1)
-    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in (meta, og)], F.left(text, F.lit(250)))
+def plain_text(html: Column) -> Column:
+    """The fallback text: blocks of boilerplate and tags cut out by patterns."""
+    t = html
+    for tag in FALLBACK_BLOCKS:
+        t = F.regexp_replace(t, rf"(?is)<{tag}.*?</{tag}>", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]+>", " "), r"\s+", " "))
 
 
-def published(html: Column, url: Column) -> Column:
-    """JSON-LD, then meta and time elements, then the URL; a date that does not parse is passed over."""
-    ld = [F.regexp_extract(html, rf'(?is)"{k}"\s*:\s*"([^"]+)"', 1) for k in ("datePublished", "dateModified", "uploadDate")]
-    names = ["article:published_time", "og:published_time", "date", "publish-date", "pubdate", "DC.date.issued"]
-    meta = [F.regexp_extract(html, rf"""(?is)<meta[^>]*(?:property|name|itemprop)=["']{n}["'][^>]*content=["']([^"']*)""", 1) for n in names]
-    time = F.regexp_extract(html, r"""(?is)<time[^>]*datetime=["']([^"']*)""", 1)
-    by_url = F.regexp_replace(F.regexp_extract(url, r"/((?:19|20)\d{2}/\d{2}/\d{2})", 1), "/", "-")
-    return F.coalesce(*[X.iso_date(c) for c in (*ld, *meta, time, by_url)])
+# ------------------------------------------------------------- selectors
 
+_SELECTOR = re.compile(r"""^(?P<tag>[a-z]*)(?:\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>\*?=)"(?P<value>[^"]*)")?\])?$""")
 
-def plain_text(html: Column) -> Column:
-    """The fallback text: boilerplate elements and tags cut out by patterns."""
-    t = html
-    for tag in ("script", "style", "nav", "header", "footer", "aside"):
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?s)<[^>]+>", " "), r"\s+", " "))
+
+class Selectors:
+    """The first of a list of simple selectors that an element meets."""
+
+    def __init__(self, selectors: list[str]):
+        self.parts = [_SELECTOR.match(s).groupdict() for s in selectors]
+        self.plain = {p["tag"] for p in self.parts if p["tag"] and not p["attr"]}
+
+    def all(self, tag: str, attrs: dict[str, str]) -> list[int]:
+        classes = attrs.get("class", "").split()
+        return [k for k, p in enumerate(self.parts) if self._meets(p, tag, attrs, classes)]
+
+    def any(self, tag: str, attrs: dict[str, str]) -> bool:
+        if tag in self.plain:
+            return True
+        if not ("class" in attrs or "id" in attrs or "role" in attrs or "aria-label" in attrs):
+            return False
+        classes = attrs.get("class", "").split()
+        return any(self._meets(p, tag, attrs, classes) for p in self.parts)
+
+    @staticmethod
+    def _meets(p: dict, tag: str, attrs: dict[str, str], classes: list[str]) -> bool:
+        if p["tag"] and p["tag"] != tag:
+            return False
+        if p["cls"]:
+            return p["cls"] in classes
+        if p["id"]:
+            return attrs.get("id") == p["id"]
+        if p["attr"]:
+            own = attrs.get(p["attr"])
+            return own is not None and (p["op"] is None or (p["value"] in own if p["op"] == "*=" else own == p["value"]))
+        return True
+
+
+_DROP = Selectors(BOILERPLATE)
+_DATES = Selectors(DATE_SELECTORS)
+
+# ------------------------------------------------------------- the parser
 
 
 class _Page(HTMLParser):
-    def __init__(self, base: str):
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.base, self.depth, self.skip = base, 0, 0
-        self.parts: list[str] = []
+        self.stack: list[tuple[str, bool, bool]] = []  # tag, dropped, article
+        self.skip = self.inside = 0
+        self.body: list[str] = []
         self.article: list[str] = []
-        self.inside = 0
+        self.taking: dict[str, list[str]] = {}  # h1, title, script: what is being read
+        self.heads: dict[str, str] = {}
+        self.meta: dict[str, str] = {}
+        self.dates: dict[int, str] = {}
+        self.json: list[str] = []
+        self.base: str | None = None
+        self.anchor: tuple[str, list[str]] | None = None
         self.links: list[tuple[str, str]] = []
-        self.href: str | None = None
-        self.anchor: list[str] = []
-        self.stack: list[tuple[str, bool, bool]] = []
-
-    def _drop(self, tag, attrs) -> bool:
-        a = {k: v or "" for k, v in attrs}
-        names = (a.get("class", "") + " " + a.get("id", "")).lower()
-        style = a.get("style", "").replace(" ", "").lower()
-        return (
-            tag in DROP_TAGS
-            or a.get("role", "") in DROP_ROLES
-            or "display:none" in style
-            or "visibility:hidden" in style
-            or bool(DROP_CLASSES & set(names.split()))
-            or any(p in a.get("class", "").lower() for p in DROP_PARTS)
-        )
 
     def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in reversed(attrs)}  # of repeated attributes the first holds
+        if tag in _SELF_CLOSING and self.stack and self.stack[-1][0] == tag:
+            self._close()
+        drop = tag in ("script", "style") or _DROP.any(tag, a) or ("style" in a and bool(_HIDDEN.search(a["style"])))
+        if not (self.skip or drop) or tag == "script" and not self.skip:
+            self._note(tag, a)
+        if not self.skip:
+            self.body.append(" ")
+            if self.inside:
+                self.article.append("\n" if tag in ("p", "br", "div", "li", "h1", "h2", "h3") else " ")
+        if tag not in _VOID:
+            self.stack.append((tag, drop, tag in _ARTICLE))
+            self.skip += drop
+            self.inside += tag in _ARTICLE
+
+    def _note(self, tag: str, a: dict[str, str]) -> None:
+        if tag in ("h1", "title") and tag not in self.heads:
+            self.heads[tag] = ""
+            self.taking[tag] = []
+        elif tag == "script" and a.get("type", "").lower() == "application/ld+json":
+            self.taking["script"] = []
+        elif tag == "base" and self.base is None:
+            self.base = a.get("href")
+        elif tag == "a" and "href" in a:
+            self._end_anchor()
+            self.anchor = (a["href"], [])
+        if tag == "meta":
+            for key in ("property", "name"):
+                if key in a and "content" in a:
+                    self.meta.setdefault(f"{key}={a[key]}", a["content"])
+        if tag in ("meta", "time"):
+            for k in _DATES.all(tag, a):
+                self.dates.setdefault(k, a.get("content", a.get("datetime", "")))
+
+    def _end_anchor(self) -> None:
+        if self.anchor:
+            self.links.append((" ".join("".join(self.anchor[1]).split()), self.anchor[0]))
+            self.anchor = None
+
+    def _close(self) -> None:
+        tag, drop, art = self.stack.pop()
+        self.skip -= drop
+        self.inside -= art
+        if tag in self.taking:
+            got = "".join(self.taking.pop(tag))
+            if tag == "script":
+                self.json.append(got)
+            else:
+                self.heads[tag] = got.strip()
         if tag == "a":
-            self.href, self.anchor = dict(attrs).get("href"), []
-        if tag in _VOID:
-            self.parts.append(" ")
-            return
-        drop, art = self._drop(tag, attrs), tag in ("article", "main")
-        self.skip += drop
-        self.inside += art
-        self.stack.append((tag, drop, art))
-        self.parts.append(" ")
+            self._end_anchor()
 
     def handle_endtag(self, tag):
-        while self.stack:
-            t, drop, art = self.stack.pop()
-            self.skip -= drop
-            self.inside -= art
-            if t == tag:
-                break
-        if tag == "a" and self.href and not self.skip:
-            self.links.append((" ".join("".join(self.anchor).split()), urljoin(self.base, self.href)))
-        self.parts.append(" ")
+        if any(t == tag for t, _, _ in self.stack):  # an end without a start is passed over
+            while self.stack[-1][0] != tag:
+                self._close()
+            self._close()
+            if not self.skip:
+                self.body.append(" ")
+                if self.inside:
+                    self.article.append(" ")
 
     def handle_data(self, data):
-        if not self.skip:
-            self.parts.append(data)
-            if self.inside:
-                self.article.append(data)
-        if self.href is not None:
-            self.anchor.append(data)
+        if "script" in self.taking:
+            self.taking["script"].append(data)
+        if self.skip:
+            return
+        for tag in ("h1", "title"):
+            if tag in self.taking:
+                self.taking[tag].append(data)
+        if "title" not in self.taking:
+            self.body.append(data)
+        if self.inside:
+            self.article.append(data)
+        if self.anchor:
+            self.anchor[1].append(data)
 
+    def close(self):
+        super().close()
+        while self.stack:
+            self._close()
+        self._end_anchor()
 
-def parse_page(html: str, url: str, limit: int = 8000, most: int = MOST_LINKS) -> tuple[str, list[dict]]:
-    """Main text and outlinks of a page after its boilerplate is removed."""
-    page = _Page(url)
-    page.feed(html or "")
-    page.close()
-    article = " ".join(" ".join(page.article).split())
-    text = article if len(article) > LEAST_TEXT else " ".join("".join(page.parts).split())
-    own, seen, links = urlsplit(url).hostname, set(), []
+
+_FALLBACK = [re.compile(rf"(?is)<{t}.*?</{t}>") for t in FALLBACK_BLOCKS]
+
+
+def _fallback(html: str) -> str:
+    for pattern in _FALLBACK:
+        html = pattern.sub("", html)
+    return " ".join(re.sub(r"<[^>]+>", " ", html).split())
+
+
+def _text(page: _Page, html: str) -> str:
+    """The article's text with its paragraphs, else all text outside boilerplate, else the fallback."""
+    for parts in (page.article, page.body):
+        text = re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", re.sub(r"[ \t\r\f]+", " ", "".join(parts)))).strip()
+        if len(text) > LEAST_TEXT:
+            return text
+    return _fallback(html)
+
+
+def _dates(page: _Page) -> list[str]:
+    """What may be the page's date, in order."""
+    out = []
+    for raw in page.json:
+        try:
+            data = json.loads(raw)
+        except ValueError:
+            continue
+        if isinstance(data, dict):
+            out += [v for k in DATE_KEYS if isinstance(v := data.get(k), str)][:1]
+    return out + [page.dates[k] for k in sorted(page.dates)]
+
+
+def resolve(base: str, href: str) -> str | None:
+    """An absolute http(s) URL with a host, else nothing."""
+    try:
+        url = urlsplit(urljoin(base, href.strip()))
+        host = url.hostname
+    except ValueError:
+        return None
+    if url.scheme not in ("http", "https") or not host:
+        return None
+    place = url.netloc.rpartition("@")
+    return url._replace(netloc="".join(place[:2]) + place[2].lower(), path=url.path or "/").geturl()
+
+
+def _outlinks(page: _Page, url: str, most: int) -> list[dict[str, str]]:
+    """Links to other hosts with 3 to 120 characters of text, each target once, the first ``most``."""
+    own, base, seen, out = urlsplit(url).hostname, urljoin(url, page.base or ""), set(), []
     for words, href in page.links:
-        parts = urlsplit(href)
-        if parts.scheme in ("http", "https") and parts.hostname != own and 3 <= len(words) <= 120 and href not in seen:
-            seen.add(href)
-            links.append({"text": words, "href": href})
-    return text[:limit], links[:most]
+        if len(out) == most:
+            break
+        target = resolve(base, href) if 3 <= len(words) <= 120 else None
+        if target and target not in seen and urlsplit(target).hostname != own:
+            seen.add(target)
+            out.append({"text": words, "href": target})
+    return out
 
 
-def extract(pages: DataFrame, limit: int = 8000) -> DataFrame:
+def parse_page(html: str, url: str, limit: int = CONTENT, most: int = MOST_LINKS) -> tuple:
+    """(title, description or empty, candidate dates, text, outlinks)."""
+    page = _Page()
+    page.feed(html)
+    page.close()
+    head = page.heads.get("h1") or page.heads.get("title") or page.meta.get("property=og:title", "").strip()
+    about = page.meta.get("name=description", "").strip() or page.meta.get("property=og:description", "").strip()
+    try:
+        links = _outlinks(page, url, most)
+    except ValueError:  # the page's own URL is none
+        links = []
+    return head, about, _dates(page), _text(page, html)[:limit], links
+
+
+_PARSED = "page_id long, url string, title string, about string, dates array<string>, text string, outlinks array<struct<text:string,href:string>>"
+
+
+def extract(pages: DataFrame, limit: int = CONTENT, links: int = MOST_LINKS) -> DataFrame:
     """page_id, url, title, description, published, text, word_count, outlinks."""
 
     def run(batches):
         import pyarrow as pa
 
-        link = pa.list_(pa.struct([("text", pa.string()), ("href", pa.string())]))
+        kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.list_(pa.struct([("text", pa.string()), ("href", pa.string())]))]
+        names = ["page_id", "url", "title", "about", "dates", "text", "outlinks"]
         for b in batches:
-            got = [parse_page(h or "", u or "", limit) for h, u in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], link)],
-                ["page_id", "html", "url", "body", "outlinks"],
-            )
-
-    schema = "page_id long, html string, url string, body string, outlinks array<struct<text:string,href:string>>"
-    got = pages.select("page_id", "html", "url").mapInArrow(run, schema)
-    text = F.when(F.length("body") > LEAST_TEXT, F.col("body")).otherwise(F.left(plain_text(F.col("html")), F.lit(limit)))
-    return got.withColumn("text", text).select(
-        "page_id", "url", title(F.col("html")).alias("title"), description(F.col("html"), F.col("text")).alias("description"),
-        published(F.col("html"), F.col("url")).alias("published"), "text", X.count_words("text").alias("word_count"), "outlinks",
+            got = [parse_page(h or "", u or "", limit, links) for u, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            cols = [pa.array([g[i] for g in got], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names)
+
+    got = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, _PARSED)
+    by_url = F.regexp_extract("url", r"/(20\d{2}/(?:0[1-9]|1[0-2])/(?:0[1-9]|[12]\d|3[01]))/", 1)
+    read = F.filter(F.transform("dates", X.iso_date), lambda d: d.isNotNull())
+    published = F.coalesce(F.get(read, F.lit(0)), F.nullif(F.replace(by_url, F.lit("/"), F.lit("-")), F.lit("")))
+    return got.select(
+        "page_id", "url", "title", F.coalesce(F.nullif("about", F.lit("")), F.left("text", F.lit(DESCRIPTION))).alias("description"),
+        published.alias("published"), "text", X.count_words("text").alias("word_count"), "outlinks",
     )
 
 
 def outlinks(pages: DataFrame, most: int = MOST_LINKS) -> DataFrame:
-    """Links by pattern: page_id, pos, href, text; absolute, other host, anchor of 3 to 120 characters;
-    the first ``most`` of each page's distinct ones."""
-    raw = F.regexp_extract_all(F.col("html"), F.lit(r"""(?is)<a\s[^>]*href=["'][^"']+["'][^>]*>.*?</a>"""), F.lit(0))
-    flat = pages.select("page_id", "url", F.posexplode(raw).alias("pos", "a"))
-    href = F.regexp_extract("a", r"""(?is)href=["']([^"']+)["']""", 1)
-    flat = flat.withColumn("href", href).withColumn("text", X.strip_html(F.col("a")))
-    good = flat.where(F.col("href").rlike("^https?://") & (X.host("href") != X.host("url")) & F.length("text").between(3, 120))
-    links = good.groupBy("page_id", "href").agg(F.min("pos").alias("pos"), F.min_by("text", "pos").alias("text"))
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
-    return links.withColumn("place", place).where(F.col("place") <= most).drop("place")
+    """page_id, pos, href, text: the first ``most`` accepted links of each page."""
+    flat = extract(pages, links=most).select("page_id", F.posexplode("outlinks").alias("pos", "link"))
+    return flat.select("page_id", "pos", F.col("link.href").alias("href"), F.col("link.text").alias("text"))
+
+
+# ------------------------------------------------------------- PDF
+
+
+def extract_pdf(captured: DataFrame, limit: int = CONTENT) -> DataFrame:
+    """The same columns for captured PDFs: page_id, url, text as a parser gave it, pages, info (a map of properties).
+
+    Reading the file itself is left to whoever captures it.
+    """
+    clean = captured.withColumn("__text", X.clean_web_pdf_text(F.coalesce("text", F.lit(""))))
+    info = lambda k: F.coalesce(F.trim(F.replace(F.element_at("info", F.lit(k)), F.lit("\0"), F.lit(""))), F.lit(""))
+    head = F.when(info("Title") != "", info("Title")).otherwise(X.pdf_title("__text"))
+    short = F.left("__text", F.lit(limit))
+    return clean.select(
+        "page_id", "url", head.alias("title"), X.pdf_description(head, info("Author"), F.coalesce("pages", F.lit(0)), F.col("__text")).alias("description"),
+        X.pdf_info_date(F.col("info")).alias("published"), short.alias("text"), X.count_words(short).alias("word_count"), X.pdf_links("__text", F.col("url")).alias("outlinks"),
+    )

@@ -1,15 +1,17 @@
 """BM25, trigram and hybrid retrieval for a table of queries at once.
 
 ``queries`` has (query_id, query).  Scores come from equi-joins on terms and
-trigrams, so the work follows the matches, not queries times chunks.
+trigrams; searches for the best few drop most term hits by bounds before any
+trigram is compared.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.functions.tables import PRIORITIES, ROLE_TAGS
 from corpusloom.operators import corpus as C
 from corpusloom.session import checkpointed
 
@@ -68,6 +70,40 @@ def hybrid(chunks: DataFrame, queries: DataFrame, boost: bool = True) -> DataFra
     return hit.withColumn("total", total)
 
 
+def best_hits(chunks: DataFrame, queries: DataFrame, k: int, boost: bool = True, per_tier: bool = False, wanted: DataFrame | None = None) -> DataFrame:
+    """The rows of ``hybrid`` that the best ``k`` of each query (and tier) can be among.
+
+    A term hit's total lies between its BM25 part and that with a full trigram
+    score.  Hits whose upper end is below the k-th lower end are dropped before
+    any trigram is looked at, and so are all purely fuzzy chunks where the k-th
+    lower end exceeds what they can reach.  Only queries with few or weak term
+    hits go through the trigram join.  ``wanted`` (library_id) restricts what is
+    scored; the statistics stay those of all ``chunks``.
+    """
+    some = queries.where(F.size(X.terms("query")) > 0)
+    group = ["query_id", "tier"] if per_tier else ["query_id"]
+    facts = chunks if wanted is None else in_libraries(chunks, wanted)
+    facts = facts.select("seq", "library_id", "tier", "doc_id", "chunk_index")
+    factor = 1 + (3 - F.col("tier")) * TIER_BOOST if boost else F.lit(1.0)
+    scored = bm25(chunks, some).join(facts, "seq").withColumn("low", F.col("bm25") * factor)
+    turn = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("low").desc()))
+    floor = scored.withColumn("turn", turn).where(F.col("turn") <= k).groupBy(*group).agg(F.min("low").alias("floor"), F.count("*").alias("n"))
+    floor = checkpointed(floor.where((F.col("n") == k) & (F.col("floor") > NGRAM_WEIGHT)).drop("n"))  # a row a query (and tier)
+    near = scored.join(floor, group).where((F.col("bm25") + NGRAM_WEIGHT) * factor >= F.col("floor") - 1e-8)
+    heads = chunks.select("seq", F.left("text", F.lit(NGRAM_CHARS)).alias("head"))
+    told = near.join(heads, "seq").join(some, "query_id")
+    columns = ["query_id", "seq", "bm25", "ngram", "library_id", "tier", "doc_id", "chunk_index", "total"]
+    strong = told.withColumn("ngram", X.overlap(X.trigrams("query"), X.trigrams("head"))).withColumn("total", (F.col("bm25") + NGRAM_WEIGHT * F.col("ngram")) * factor).select(*columns)
+    asked = some.select("query_id", F.explode(F.array(*[F.lit(t) for t in range(4)])).alias("tier")) if per_tier else some.select("query_id")
+    weak = asked.join(floor, group, "left_anti")
+    if weak.isEmpty():
+        return strong
+    few = some.join(weak.select("query_id").distinct(), "query_id", "left_semi")
+    rest = hybrid(chunks, few, boost).join(weak, group, "left_semi")
+    rest = rest if wanted is None else in_libraries(rest, wanted)
+    return strong.unionByName(rest.select(*columns))
+
+
 def top(hits: DataFrame, k: int, score: str = "total") -> DataFrame:
     """The best ``k`` of each query, one per chunk, ties by ``seq``."""
     w = Window.partitionBy("query_id").orderBy(F.round(score, 9).desc(), "seq")
@@ -81,11 +117,13 @@ def in_libraries(hits: DataFrame, wanted: DataFrame) -> DataFrame:
 def progressive(hits: DataFrame, k: int, least: int = 3) -> DataFrame:
     """Tier after tier until there are ``k``; closed form of the loop.
 
-    ``hits`` are scored without the tier boost.  A tier is asked for the rest,
+    ``hits`` are scored without the tier boost and hold at least the best
+    ``max(k, least)`` of each query and tier.  A tier is asked for the rest,
     ``least`` at any rate, if the tiers before it have fewer than ``k``.
     """
     order = [F.round("total", 9).desc(), F.col("seq")]
     ranked = hits.withColumn("turn", F.row_number().over(Window.partitionBy("query_id", "tier").orderBy(*order)))
+    ranked = ranked.where(F.col("turn") <= max(k, least))  # no tier gives more, and a tier with k ends the search
     sizes = ranked.groupBy("query_id", "tier").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("query_id").orderBy("tier").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("query_id", "tier", F.coalesce(before, F.lit(0)).alias("prior"))
@@ -94,6 +132,28 @@ def progressive(hits: DataFrame, k: int, least: int = 3) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def for_role(libraries: DataFrame, role: str, chosen: dict[str, list[str]] | None = None) -> DataFrame:
+    """library_id of what a role searches: its chosen libraries, else those that share a tag with it, else all.
+
+    ``libraries`` has library_id and tags.
+    """
+    if chosen and role in chosen:
+        return libraries.where(F.col("library_id").isin(chosen[role])).select("library_id")
+    tags = F.array(*[F.lit(t) for t in ROLE_TAGS.get(role, ["general"])])
+    flagged = libraries.select("library_id", F.arrays_overlap("tags", tags).alias("hit"))
+    some = flagged.agg(F.coalesce(F.max("hit"), F.lit(False)).alias("any"))
+    return flagged.join(F.broadcast(some), F.col("hit") | ~F.col("any")).select("library_id")  # one row
+
+
+def context_window(hits: DataFrame, chunks: DataFrame, w: int = 1) -> DataFrame:
+    """The chunks of a hit's file (doc_id) at most ``w`` places away: seq, near_seq, near_index, near_text."""
+    at = hits.select("seq").join(chunks.select("seq", "doc_id", "chunk_index"), "seq")
+    places = F.filter(F.sequence(F.col("chunk_index") - w, F.col("chunk_index") + w), lambda i: i != F.col("chunk_index"))
+    asked = at.select("seq", "doc_id", F.explode(places).alias("near_index"))  # an equality join, 2 w rows a hit
+    near = chunks.select("doc_id", F.col("chunk_index").alias("near_index"), F.col("seq").alias("near_seq"), F.col("text").alias("near_text"))
+    return asked.join(near, ["doc_id", "near_index"]).select("seq", "near_seq", "near_index", "near_text")
+
+
 def context(hits: DataFrame, chunks: DataFrame, chars: int = 200) -> DataFrame:
     """The end of the chunk before and the start of the one after, empty if missing."""
     w = Window.partitionBy("doc_id").orderBy("chunk_index")
@@ -109,18 +169,38 @@ def list_all(chunks: DataFrame, most: int) -> DataFrame:
     return chunks.orderBy("seq").limit(most).withColumn("score", F.lit(0.0))
 
 
-def as_sources(hits: DataFrame) -> DataFrame:
-    """Local hits as report sources: tier score, freshness and relevance."""
-    score = F.element_at(F.array(F.lit(95), F.lit(90), F.lit(85), F.lit(75)), F.col("tier") + 1)
-    bonus = F.element_at(F.array(F.lit(0.15), F.lit(0.10), F.lit(0.05), F.lit(0.0)), F.col("tier") + 1)
-    return hits.select(
-        "query_id",
-        "seq",
-        F.concat(F.lit("local://"), F.col("library_id"), F.lit("/doc"), F.col("doc_id"), F.lit("#chunk"), F.col("chunk_index")).alias("url"),
-        score.alias("domain_score"),
-        F.lit(70).alias("freshness_score"),
-        F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("total") * 1.5) + bonus).alias("relevance"),
-    )
+# Tier of a local source by its library's priority.
+LOCAL_TIERS = ["reference", "reference", "reference", "general"]
+LOCAL_FRESHNESS = 70
+_BREAK = "\n\n---\n\n"
+
+
+def local_url(library: Column, file: Column, index: Column) -> Column:
+    return F.concat(F.lit("local://"), library, F.lit("/"), file, F.lit("#chunk"), index)
+
+
+def as_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Local hits as search hits: query_id, seq, url, title, snippet."""
+    told = hits.select("query_id", "seq").join(chunks.select("seq", "library_id", "file_name", "chunk_index", "text"), "seq")
+    title = F.concat("file_name", F.lit(" ("), "library_id", F.lit(")"))
+    return told.select("query_id", "seq", local_url(F.col("library_id"), F.col("file_name"), F.col("chunk_index")).alias("url"), title.alias("title"), X.preview("text", 250).alias("snippet"))
+
+
+def as_sources(hits: DataFrame, chunks: DataFrame, limit: int = 4000) -> DataFrame:
+    """Local hits as report sources: the chunk between its contexts, and tier, freshness and relevance by priority."""
+    by_tier = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("tier") + 1)
+    heading = F.coalesce("heading", F.lit("")) if "heading" in chunks.columns else F.lit("")
+    told = context(hits, chunks).join(chunks.select("seq", "file_name", "text", heading.alias("heading")), "seq")
+    some = lambda c, x: F.when(F.col(c) != "", x).otherwise("")
+    text = F.concat(some("context_before", F.concat("context_before", F.lit(_BREAK))), "text", some("context_after", F.concat(F.lit(_BREAK), "context_after")))
+    told = told.withColumn("whole", F.left(text, F.lit(limit)))
+    return told.select(
+        "query_id", "seq", local_url(F.col("library_id"), F.col("file_name"), F.col("chunk_index")).alias("url"),
+        F.concat("file_name", some("heading", F.concat(F.lit(" — "), "heading")), F.lit(" ("), "library_id", F.lit(")")).alias("title"),
+        X.preview("whole", 250).alias("description"), F.col("whole").alias("text"), X.count_words("text").alias("word_count"),
+        by_tier(LOCAL_TIERS).alias("tier"), by_tier([p[1] for p in PRIORITIES]).alias("domain_score"), F.lit(LOCAL_FRESHNESS).alias("freshness_score"),
+        F.least(F.lit(1.0), F.least(F.lit(1.0), F.col("total") * 1.5) + by_tier([p[2] for p in PRIORITIES])).alias("relevance"),
+    )
 
 
 def harvest(hits: DataFrame, per_query: int, budget: int) -> DataFrame:

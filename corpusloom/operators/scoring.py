@@ -83,16 +83,28 @@ def prefer_tiers(candidates: DataFrame, tiers: list[str], task: str = "task_id")
 
 def first_per(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key."""
-    w = Window.partitionBy(key).orderBy(order)
+    return first_in(rows, [key], order)
+
+
+def first_in(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first row of each combination of keys."""
+    w = Window.partitionBy(*keys).orderBy(order)
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def score_outlinks(links: DataFrame, keywords: list[str], visited: DataFrame, most: int) -> DataFrame:
-    """Unvisited links (href, text, seq) by authority, URL quality and anchor words."""
+def outlink_score(domain_score: Column, quality: Column, text: Column, keywords: Column) -> Column:
+    """By authority, URL quality, and the keywords (an array) in the anchor's text."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return 0.4 * domain_score + 0.2 * quality + 20 * F.size(F.filter(keywords, lambda k: F.contains(low, k)))
+
+
+def score_outlinks(links: DataFrame, keywords: list[str] | Column, visited: DataFrame, most: int, task: str | None = None) -> DataFrame:
+    """The best unvisited links (href, text, seq), ``most`` of all or of each ``task``."""
+    words = keywords if isinstance(keywords, Column) else F.array(*[F.lit(k) for k in keywords]).cast("array<string>")
     fresh = links.where(F.col("href").rlike("^https?://")).join(visited.select(F.col("url").alias("href")), "href", "left_anti")
     s = with_authority(fresh, "href").withColumn("url_quality", url_quality("href"))
-    words = F.lit(0)
-    for k in keywords:
-        words = words + F.contains(F.lower("text"), F.lit(k)).cast("int")
-    s = s.withColumn("score", 0.4 * F.col("domain_score") + 0.2 * F.col("url_quality") + 20 * words)
-    return s.where("score > 20").orderBy(F.col("score").desc(), "seq").limit(most)
+    s = s.withColumn("score", outlink_score(F.col("domain_score"), F.col("url_quality"), F.col("text"), words)).where("score > 20")
+    if task is None:
+        return s.orderBy(F.col("score").desc(), "seq").limit(most)
+    w = Window.partitionBy(task).orderBy(F.col("score").desc(), "seq")
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

@@ -9,7 +9,7 @@ from corpusloom.functions import text as X
 
 # Where each engine's page has blocks, links, and snippets.
 ENGINES = {
-    "lite": (None, r"""(?is)<a[^>]*rel=["']nofollow["'][^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>""", r"""(?is)<td[^>]*class=["']result-snippet["'][^>]*>(.*?)</td>"""),
+    "lite": (None, r"""(?is)<a[^>]*(?:rel=["']nofollow["']|class=["']result-link["'])[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>""", r"""(?is)<td[^>]*class=["']result-snippet["'][^>]*>(.*?)</td>"""),
     "html": (r"""(?is)<div[^>]*class=["'][^"']*result__body.*?(?=<div[^>]*class=["'][^"']*result__body|$)""", r"""(?is)<a[^>]*class=["'][^"']*result__a[^"']*["'][^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>""", r"""(?is)class=["'][^"']*result__snippet[^"']*["'][^>]*>(.*?)</a>"""),
     "brave": (r"""(?is)<div[^>]*class=["'][^"']*snippet\b.*?(?=<div[^>]*class=["'][^"']*snippet\b|$)""", r"""(?is)<a[^>]*href=["'](https?://[^"']+)["'][^>]*>(.*?)</a>""", r"""(?is)class=["'][^"']*snippet-description[^"']*["'][^>]*>(.*?)</"""),
     "scholar": (r"""(?is)<div[^>]*class=["'][^"']*gs_ri.*?(?=<div[^>]*class=["'][^"']*gs_ri|$)""", r"""(?is)<a[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>""", r"""(?is)class=["'][^"']*gs_rs[^"']*["'][^>]*>(.*?)</div>"""),
@@ -17,16 +17,27 @@ ENGINES = {
 }
 
 
+# Links that are taken where an engine's page has no hit of the usual form; whether the title is the snippet too.
+FALLBACKS = {
+    "html": (r"""(?is)\shref="[^"]*?(https?[^?&"]+)[^>]*>([^<]*)""", True),
+    "brave": (r"""(?is)<a[^>]+href="(https?://[^"]+)"[^>]*class="[^"]*heading[^"]*"[^>]*>(.*?)</a>""", False),
+}
+#: The engines' own pages are no hits.
+OWN_PAGES = r"(?i)^https?://([^/]*\.)?(duckduckgo|brave)\.com(/|$)"
+
+
 def target(href: Column) -> Column:
     """The page behind a redirect link."""
     inner = F.regexp_extract(href, r"[?&](?:uddg|url|q)=(https?(?:%3A|:)[^&]+)", 1)
-    return F.when(inner != "", F.try_url_decode(inner)).otherwise(F.when(href.startswith("//"), F.concat(F.lit("https:"), href)).otherwise(href))
+    plain = F.when(F.contains(href, F.lit("%3A%2F%2F")), F.coalesce(F.try_url_decode(href), href)).otherwise(href)
+    return F.when(inner != "", F.try_url_decode(inner)).otherwise(F.when(href.startswith("//"), F.concat(F.lit("https:"), href)).otherwise(plain))
 
 
 def parse_html(pages: DataFrame, engine: str, most: int = 20) -> DataFrame:
     """Hits of one engine's captured pages (engine, query, body).
 
-    Links and snippets are paired by place before links are filtered.
+    Links and snippets are paired by place before links are filtered.  Pages
+    without a hit are read by the engine's fallback, if it has one.
     """
     block, link, snippet = ENGINES[engine]
     own = pages.where(F.col("engine") == engine)
@@ -40,8 +51,21 @@ def parse_html(pages: DataFrame, engine: str, most: int = 20) -> DataFrame:
             F.regexp_extract_all("body", F.lit(snippet), F.lit(1)).alias("s"),
         )
         rows = own.select("query", F.posexplode(three).alias("pos", "z")).select("query", "pos", "z.href", "z.t", "z.s")
-    hits = rows.select(F.lit(engine).alias("engine"), "query", "pos", target(F.col("href")).alias("url"), X.strip_html("t").alias("title"), X.strip_html(F.coalesce("s", F.lit(""))).alias("snippet"))
-    return first_urls(hits.where(F.col("url").rlike("^https?://") & (F.length("title") > 0)), most)
+    hits = _hits(rows, engine)
+    if engine in FALLBACKS:
+        pattern, twice = FALLBACKS[engine]
+        two = F.arrays_zip(F.regexp_extract_all("body", F.lit(pattern), F.lit(1)).alias("href"), F.regexp_extract_all("body", F.lit(pattern), F.lit(2)).alias("t"))
+        bare = own.join(hits.select("query").distinct(), "query", "left_anti").select("query", F.posexplode(two).alias("pos", "z"))
+        found = _hits(bare.select("query", "pos", "z.href", "z.t", F.lit(None).cast("string").alias("s")), engine)
+        hits = hits.unionByName(found if twice else found.withColumn("snippet", F.lit("")))
+    return first_urls(hits, most)
+
+
+def _hits(rows: DataFrame, engine: str) -> DataFrame:
+    """Links with a target and a title; a missing snippet is the title."""
+    title, text = X.strip_html("t"), X.strip_html(F.coalesce("s", F.lit("")))
+    hits = rows.select(F.lit(engine).alias("engine"), "query", "pos", target(F.col("href")).alias("url"), title.alias("title"), F.when(text != "", text).otherwise(title).alias("snippet"))
+    return hits.where(F.col("url").rlike("^https?://") & ~F.col("url").rlike(OWN_PAGES) & (F.length("title") > 0))
 
 
 def parse_json(pages: DataFrame, most: int = 20) -> DataFrame:
@@ -73,9 +97,19 @@ def merge(hits: DataFrame, engines: list[str]) -> DataFrame:
     return hits.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def pages_until_thin(hits: DataFrame, per_page: int) -> DataFrame:
-    """Result pages in order, up to and with the first that is less than half full."""
+def pages_until_thin(hits: DataFrame, per_page: int, errors: DataFrame | None = None, most_errors: int = 3) -> DataFrame:
+    """Result pages in order, up to and with the first that is less than half full, each URL once.
+
+    ``errors`` (query, page, errors) has the error count before a page is asked
+    for; from the second page on ``most_errors`` end the search.
+    """
     n = hits.groupBy("query", "page").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("query").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    thin = F.coalesce(F.max((F.col("n") < per_page * 0.5).cast("int")).over(w), F.lit(0))
-    return hits.join(n.withColumn("thin", thin).where("thin = 0").select("query", "page"), ["query", "page"], "left_semi")
+    stop = F.coalesce(F.lag(F.col("n") < per_page * 0.5).over(Window.partitionBy("query").orderBy("page")), F.lit(False))
+    if errors is not None:
+        n = n.join(errors.select("query", "page", "errors"), ["query", "page"], "left")
+        stop = stop | ((F.col("page") > 1) & (F.coalesce("errors", F.lit(0)) >= most_errors))
+    n = n.withColumn("stop", stop.cast("int"))
+    ended = F.max("stop").over(Window.partitionBy("query").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
+    kept = hits.join(n.withColumn("ended", ended).where("ended = 0").select("query", "page"), ["query", "page"], "left_semi")
+    w = Window.partitionBy("query", "url").orderBy("page", "seq")
+    return kept.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

@@ -32,14 +32,29 @@ def penalty(counted: DataFrame, lane: str, order: list[str], at_ms: str, ok: str
     return backoff(counted, ok).withColumn("penalty_ms", F.when(left > 0, left).otherwise(by_count))
 
 
-def lane_schedule(requests: DataFrame, lanes: int, gap_ms: int, at_ms: str, order: list[str]) -> DataFrame:
+BLOCKS = 1024
+
+
+def lane_schedule(requests: DataFrame, lanes: int, gap_ms: int, at_ms: str, order: list[str], blocks: int = BLOCKS) -> DataFrame:
     """Requests dealt round-robin to lanes; a lane starts one at a time, ``gap_ms`` apart,
-    and lanes are staggered by a fifth of the gap."""
-    # one numbering over all requests is the feature; a lane's own order follows from it
-    n = requests.withColumn("number", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("lane", F.pmod("number", F.lit(lanes)))
-    w = Window.partitionBy("lane").orderBy("number")
-    k = F.row_number().over(w) - 1
-    ready = F.col(at_ms) + F.col("lane") * int(gap_ms * 0.2)
-    n = n.withColumn("__k", k).withColumn("__r", ready)
-    ahead = F.max(F.col("__r") - F.col("__k") * gap_ms).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return n.withColumn("start_ms", ahead + F.col("__k") * gap_ms).drop("__k", "__r")
+    and lanes are staggered by a fifth of the gap.
+
+    ``order`` must follow ``at_ms``.  Numbers and running maxima over all
+    requests are put together out of time blocks: each block is numbered by
+    itself, and a table of ``blocks`` rows carries counts and maxima across.
+    """
+    low, high = requests.agg(F.min(at_ms), F.max(at_ms)).first()  # two numbers
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // blocks))
+    n = requests.withColumn("__b", F.floor((F.col(at_ms) - F.lit(low)) / width).cast("int"))
+    across = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # ``blocks`` rows
+    first = n.groupBy("__b").agg(F.count("*").alias("n")).select("__b", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("__first"))
+    n = n.join(F.broadcast(first), "__b")
+    number = F.col("__first") + F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1
+    n = n.withColumn("number", number).withColumn("lane", F.pmod("number", F.lit(lanes)))
+    turn = F.floor(F.col("number") / lanes) * gap_ms  # the lane's requests so far, in time
+    n = n.withColumn("__turn", turn).withColumn("__due", F.col(at_ms) + F.col("lane") * int(gap_ms * 0.2) - F.col("__turn"))
+    lane = Window.partitionBy("lane").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = n.groupBy("__b", "lane").agg(F.max("__due").alias("m")).select("__b", "lane", F.max("m").over(lane).alias("__ahead"))  # ``blocks`` x ``lanes`` rows
+    inside = F.max("__due").over(Window.partitionBy("__b", "lane").orderBy("number").rowsBetween(Window.unboundedPreceding, 0))
+    n = n.join(F.broadcast(ahead), ["__b", "lane"])
+    return n.withColumn("start_ms", F.greatest(inside, "__ahead") + F.col("__turn")).drop("__b", "__first", "__turn", "__due", "__ahead")

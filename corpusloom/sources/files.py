@@ -4,63 +4,101 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import text as X
+from corpusloom.functions.tables import EXTENSIONS
 from corpusloom.operators import chunking
-from corpusloom.operators.corpus import LEAST_TERMS, metadata_hash
+from corpusloom.operators.corpus import LEAST_TERMS, extension, file_tags, metadata_hash
 
 MOST_DEPTH = 10
 VERSION = 2
-
-# Extensions that are read.
-EXTENSIONS = """
-txt md markdown rst csv tsv json jsonl xml yaml yml html htm pdf ipynb log ini cfg conf toml tex org adoc
-py js ts jsx tsx java c cpp h hpp cs go rs rb php swift kt scala sh bash sql r lua pl vue svelte
-""".split()
+LEAST_TEXT = 50
+#: A file without extension is read if its name is shorter.
+BARE_NAME = 30
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """Readable files under a folder: path, relative path, name, extension, size, time, content."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     root = folder.rstrip("/") + "/"
-    rel = F.regexp_replace(F.expr(f"substr(path, instr(path, '{root}') + {len(root)})"), "^/+", "")
+    rel = F.regexp_replace(F.substr("path", F.instr("path", root) + len(root)), "^/+", "")
     name = F.element_at(F.split("rel", "/"), -1)
-    ext = F.lower(F.regexp_extract(F.col("name"), r"\.([^.]+)$", 1))
-    files = raw.withColumn("rel", rel).withColumn("name", name).withColumn("ext", ext)
-    known = F.col("ext").isin(EXTENSIONS) | ((F.col("ext") == "") & (F.length("name") < 30))
-    shown = ~F.col("rel").rlike(r"(^|/)(\.|node_modules/|__pycache__/)")
+    files = raw.withColumn("rel", rel).withColumn("name", name).withColumn("ext", extension(F.col("name")))
+    known = F.col("ext").isin(EXTENSIONS) | (~F.contains("name", F.lit(".")) & (F.length("name") < BARE_NAME))
+    shown = ~F.col("rel").rlike(r"(^|/)(\.|node_modules(/|$)|__pycache__(/|$))")
     return files.where(known & shown & (F.size(F.split("rel", "/")) <= MOST_DEPTH + 1))
 
 
 def file_text(ext: Column, content: Column) -> Column:
-    """Text by kind of file; null where there is none (PDF needs a parser of its own)."""
+    """Text by kind of file; null for PDF (captured text is another table) and for broken notebooks."""
     raw = F.try_validate_utf8(F.decode(content, "UTF-8"))
-    cells = F.from_json(raw, "cells array<struct<cell_type:string,source:string>>")["cells"]
-    source = lambda c: F.coalesce(F.array_join(F.from_json(c["source"], "array<string>"), ""), c["source"])
-    notebook = F.array_join(F.transform(cells, lambda c: F.concat(F.lit("["), c["cell_type"], F.lit("]\n"), source(c))), "\n\n")
-    pretty = F.coalesce(F.to_json(F.try_parse_json(raw), {"pretty": "true"}), raw)
+    cells = F.try_variant_get(F.try_parse_json(raw), "$.cells", "array<variant>")
+    part = lambda c, path, kind: F.try_variant_get(c, path, kind)
+    source = lambda c: F.coalesce(F.array_join(part(c, "$.source", "array<string>"), ""), part(c, "$.source", "string"), F.lit(""))
+    told = F.transform(cells, lambda c: F.concat(F.lit("["), F.coalesce(part(c, "$.cell_type", "string"), F.lit("undefined")), F.lit("]\n"), source(c)))
+    notebook = F.when(F.try_parse_json(raw).isNotNull(), F.array_join(F.coalesce(told, F.array().cast("array<string>")), "\n\n"))
     return (
         F.when(ext == "pdf", F.lit(None).cast("string"))
-        .when(ext.isin("html", "htm"), X.strip_html(raw))
-        .when(ext == "ipynb", F.coalesce(notebook, raw))
-        .when(ext == "json", pretty)
+        .when(ext.isin("html", "htm", "xhtml"), X.strip_html(raw))
+        .when(ext == "ipynb", notebook)
+        .when(ext == "json", _pretty(F.when(ext == "json", raw)))
         .otherwise(raw)
     )
 
 
-def ingest(spark: SparkSession, folder: str, library_id: str, size: int = 4000) -> tuple[DataFrame, DataFrame]:
-    """(files, chunks) of a folder; chunks with few terms are left out, numbering kept."""
-    found = scan(spark, folder).withColumn("text", file_text(F.col("ext"), F.col("content"))).where(F.length(F.trim("text")) >= 50)
+@F.pandas_udf(T.StringType())
+def _pretty(raw: pd.Series) -> pd.Series:
+    """JSON with keys in their order, indented by two; what is no JSON as it is."""
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            data = json.loads(text, parse_float=lambda x: int(v) if (v := float(x)).is_integer() and abs(v) < 1e21 else v, parse_constant=_refuse)
+        except (ValueError, RecursionError):
+            return text
+        return json.dumps(data, indent=2, ensure_ascii=False)
+
+    return raw.map(one, na_action="ignore")
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(name)
+
+
+def read_folder(spark: SparkSession, folder: str, captured: DataFrame | None = None) -> DataFrame:
+    """``scan`` with text; ``captured`` (path, text) has what a parser read from PDF files."""
+    found = scan(spark, folder)
+    own = file_text(F.col("ext"), F.col("content"))
+    if captured is None:
+        return found.withColumn("text", own)
+    pdf = captured.select("path", X.clean_pdf_text("text").alias("__pdf"))
+    return found.join(pdf, "path", "left").withColumn("text", F.coalesce(own, F.when(F.col("ext") == "pdf", F.col("__pdf")))).drop("__pdf")
+
+
+def ingest(spark: SparkSession, folder: str, library_id: str, size: int = 4000, captured: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files, chunks) of a folder; chunks with few terms are left out, numbering kept.
+
+    A file's ``chunk_count`` is the number before those are left out; a chunk's
+    ``word_count`` counts its terms, stems included.
+    """
+    found = read_folder(spark, folder, captured).where(F.length(X.trim("text")) >= LEAST_TEXT)
     mtime = (F.unix_millis("modificationTime")).cast("long")
     files = found.select(
         F.lit(library_id).alias("library_id"), F.col("path").alias("file_path"), F.col("name").alias("file_name"), F.col("rel").alias("file_rel_path"),
-        F.col("ext").alias("file_type"), F.col("length").alias("size_bytes"), metadata_hash(F.col("path"), F.col("length"), mtime).alias("metadata_hash"),
-        F.sha2("content", 256).alias("content_hash"), "text", F.xxhash64("path").alias("doc_id"),
+        F.col("ext").alias("file_type"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"),
+        metadata_hash(F.col("path"), F.col("length"), mtime).alias("metadata_hash"), F.sha2("content", 256).alias("content_hash"),
+        file_tags(F.col("name")).alias("tags"), X.count_words("text").alias("word_count"), "text", F.xxhash64("path").alias("doc_id"),
     )
-    parts = chunking.smart_chunks(files, size).where(F.size(X.terms("text")) >= LEAST_TERMS)
-    return files.drop("text"), parts.join(files.select("doc_id", "library_id", "file_path", "file_name"), "doc_id")
+    parts = chunking.smart_chunks(files, size)
+    counts = parts.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
+    kept = parts.withColumn("word_count", F.size(X.terms("text"))).where(F.col("word_count") >= LEAST_TERMS)
+    told = kept.join(files.select("doc_id", "library_id", "file_path", "file_name", "file_rel_path", "file_type"), "doc_id")
+    return files.drop("text").join(counts, "doc_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0))), told
 
 
 def save(files: DataFrame, chunks: DataFrame, path: str) -> None:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from corpusloom.functions import text as X
 from corpusloom.functions.tables import PRIORITIES
 from corpusloom.operators import corpus as C
 from corpusloom.operators import extract, retrieval, scoring
+from corpusloom.plans import planning, report
 from corpusloom.plans import research as R
 from corpusloom.session import checkpointed
 from corpusloom.sources import files as S
@@ -70,15 +73,16 @@ class Store:
         tier = F.broadcast(self.spark.createDataFrame(rows, "library_id string, tier int"))  # one row a library
         return self._union(1).join(tier, "library_id").withColumn("seq", F.xxhash64("file_path", "chunk_index"))
 
+    def _asked(self, query: str) -> DataFrame:
+        return self.spark.createDataFrame([(0, query)], "query_id long, query string")
+
     def search(self, query: str, most: int = 8, library_id: str | None = None, progressive: bool = False) -> DataFrame:
         """Ranked chunks with scores and neighbouring text; ``*`` lists all."""
         c = self.chunks()
+        wanted = None if library_id is None else self.spark.createDataFrame([(library_id,)], "library_id string")
         if query == "*":
-            return retrieval.list_all(c if library_id is None else c.where(F.col("library_id") == library_id), most)
-        q = self.spark.createDataFrame([(0, query)], "query_id long, query string")
-        hits = retrieval.hybrid(c, q, boost=not progressive)
-        if library_id is not None:
-            hits = hits.where(F.col("library_id") == library_id)
+            return retrieval.list_all(c if wanted is None else retrieval.in_libraries(c, wanted), most)
+        hits = retrieval.best_hits(c, self._asked(query), max(most, 3), boost=not progressive, per_tier=progressive, wanted=wanted)
         best = retrieval.progressive(hits, most) if progressive else retrieval.top(hits, most)
         told = retrieval.context(best, c).join(c.select("seq", "file_name", "heading", "total_chunks", "text"), "seq")
         three = [(F.floor(F.col(s) * 1000 + 0.5) / 1000).alias(s) for s in ("total", "bm25", "ngram")]
@@ -93,8 +97,29 @@ class Store:
 
     def stats(self) -> dict:
         f, c = self._union(0), self._union(1)
-        words, = c.agg(F.sum(X.count_words("text"))).first()
-        return {"libraries": len(self.records), "files": f.count(), "chunks": c.count(), "words": words}
+        words, = c.agg(F.sum("word_count")).first()
+        terms = c.select(F.explode(F.array_distinct(X.terms("text"))).alias("t")).distinct().count()
+        by_priority = {t: n for t in TIERS if (n := sum(r["priority"] == t for r in self.records.values()))}
+        return {"libraries": len(self.records), "files": f.count(), "chunks": c.count(), "words": words, "terms": terms, "by_priority": by_priority}
+
+    def context(self, hits: DataFrame, w: int = 1) -> DataFrame:
+        """The chunks at most ``w`` places from each hit's (seq), in the same file."""
+        return retrieval.context_window(hits, self.chunks(), w)
+
+    def search_by_role(self, query: str, role: str, most: int = 8, chosen: dict[str, list[str]] | None = None) -> DataFrame:
+        """Hits in the libraries that a role is told to search, or that share its tags, or in all."""
+        c, q = self.chunks(), self._asked(query)
+        libs = self.spark.createDataFrame([(k, r["tags"]) for k, r in self.records.items()], "library_id string, tags array<string>")
+        return retrieval.top(retrieval.best_hits(c, q, most, wanted=retrieval.for_role(libs, role, chosen)), most)
+
+    def search_hits(self, query: str, most: int = 8, role: str | None = None) -> DataFrame:
+        """Local hits in the form of search hits."""
+        c = self.chunks()
+        best = self.search_by_role(query, role, most) if role else retrieval.top(retrieval.best_hits(c, self._asked(query), most), most)
+        return retrieval.as_hits(best, c)
+
+    # collections are another name for libraries
+    add_collection, collections, remove_collection = add_library, libraries, remove_library
 
     def save_index(self, path: str) -> None:
         S.save(self._union(0), self._union(1), os.path.expanduser(path))
@@ -114,17 +139,91 @@ class Store:
         return len(good), len(rows) - len(good)
 
 
+def is_local(url: str) -> bool:
+    return url.startswith("local://")
+
+
 def search_candidates(hits: DataFrame, most: int = 8, year: int = 2026) -> DataFrame:
     """Captured hits, scored and ranked."""
     return scoring.rank(scoring.score(hits, year), most)
 
 
 def read_pages(pages: DataFrame, urls: list[str], limit: int = 8000, links: int = 10) -> DataFrame:
-    """Captured pages by URL in the order asked for; a page that is missing has null text."""
+    """Captured pages by URL in the order asked for; a page that is missing has null text.
+
+    ``pages`` has page_id, url, html; where it also has content_type, pdf_text,
+    pages and info, PDFs are read from what a parser captured of them.
+    """
     asked = pages.sparkSession.createDataFrame(list(enumerate(dict.fromkeys(urls))), "number int, url string")
     own = pages.join(F.broadcast(asked.select("url")), "url", "left_semi")
-    got = extract.extract(own, limit).withColumn("outlinks", F.slice("outlinks", 1, links))
+    if "pdf_text" in pages.columns:
+        is_pdf = F.col("pdf_text").isNotNull() & (X.is_pdf_type("content_type") | X.is_pdf_url("url"))
+        pdf = extract.extract_pdf(own.where(is_pdf).select("page_id", "url", F.col("pdf_text").alias("text"), "pages", "info"), limit)
+        own = own.where(~is_pdf)
+        got = extract.extract(own, limit).unionByName(pdf)
+    else:
+        got = extract.extract(own, limit)
+    got = got.withColumn("outlinks", F.slice("outlinks", 1, links))
     return asked.join(got.drop("page_id"), "url", "left").orderBy("number")
 
 
+def prompt_with_clock(message: str, now: str) -> str:
+    """A message with the date and time before it; ``now`` as ISO text, for the clock is the caller's."""
+    spark = SparkSession.getActiveSession()
+    return spark.range(1).select(X.with_clock(F.lit(message), F.to_timestamp(F.lit(now)))).first()[0]
+
+
+# Bounds of what may be asked for.
+CONTENT = (1000, 20000)
+MOST_FOCUS = 6
+LEAST_TOPIC = 3
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What a user may set; ``content`` unset means what the depth says."""
+
+    depth: str = "standard"
+    content: int | None = None
+    follow_links: bool = True
+    use_model: bool = True
+    local_sources: bool = True
+
+    @classmethod
+    def of(cls, given: dict) -> Settings:
+        """Settings with defaults for what is missing, empty or not known."""
+        known = {k: v for k, v in given.items() if k in cls.__dataclass_fields__ and v is not None}
+        if known.get("depth") not in planning.DEPTHS:
+            known.pop("depth", None)
+        if not known.get("content"):
+            known.pop("content", None)
+        return cls(**known)
+
+
+def deep_research(
+    topic: str, hits: DataFrame, pages: DataFrame, store: Store | None = None, model: planning.Model | None = None, settings: Settings | None = None,
+    focus: list[str] | None = None, depth: str | None = None, content: int | None = None, year: int = 2026, cancelled: Callable[[], bool] = lambda: False,
+) -> dict | str:
+    """A whole run: rounds, queries, coverage, report and an index of its sources; a message if it is cancelled or fails."""
+    if len(topic.strip()) < LEAST_TOPIC:
+        return f"Error: a topic needs {LEAST_TOPIC} characters"
+    s = settings or Settings()
+    size = content or s.content
+    if cancelled():
+        return "Research cancelled."
+    try:
+        local = store.chunks() if store and store.records and s.local_sources else None
+        got = R.research(
+            topic, hits, pages, depth or s.depth, year, local=local, model=model if s.use_model else None, links=s.follow_links,
+            focus=(focus or [])[:MOST_FOCUS], content=min(max(size, CONTENT[0]), CONTENT[1]) if size else None,
+        )
+    except Exception as e:  # a tool answers with the reason
+        return f"Error: {e}"
+    index = [r.asDict() for r in report.tool_output(report.indexed(got.sources)).orderBy("idx").collect()]  # bounded by the budgets
+    return {
+        "topic": topic, "rounds": got.rounds, "sources": len(index), "queries": got.queries, "covered": got.covered, "gaps": got.gaps,
+        "has_narrative": got.narrative is not None, "contradictions": len(got.contradictions), "report": got.markdown, "index": index,
+    }
+
+
 research = R.research

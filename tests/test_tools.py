@@ -1,4 +1,4 @@
-from corpusloom.tools import Store, read_pages, search_candidates
+from corpusloom.tools import Settings, Store, deep_research, is_local, prompt_with_clock, read_pages, search_candidates
 
 GREEN = "green tea leaves are picked by hand in early spring and dried quickly to keep their fresh colour and scent "
 ENGINE = "the diesel engine compresses air until fuel ignites without any spark and drives heavy ships across oceans "
@@ -16,6 +16,11 @@ def test_store(spark, tmp_path):
         hits = s.search("diesel engine fuel", 3, progressive=progressive).collect()
         assert hits[0].file_name == "two.md" and hits[0].bm25 > 0
     assert s.search("diesel engine", library_id=a).where("bm25 > 0").count() == 0 and s.search("*").count() == 2
+    stats = s.stats()
+    assert stats["by_priority"] == {"proprietary": 1, "general": 1} and stats["terms"] > 20 and stats["words"] > 60
+    roles = [r.library_id for r in s.search_by_role("green tea engine", "primary").collect()]
+    assert set(roles) == {a, b} and {r.library_id for r in s.search_by_role("green tea", "primary", chosen={"primary": [b]}).collect()} <= {b}
+    assert all(is_local(r.url) for r in s.search_hits("green tea").collect()) and s.collections() == s.libraries()
     assert s.stats()["files"] == 2 and s.check_changes(a).count() == 0
     (tmp_path / "one" / "more.md").write_text(GREEN * 3)
     (tmp_path / "one" / "one.md").write_text(GREEN * 5)
@@ -36,3 +41,22 @@ def test_pages_and_candidates(spark, sf):
     assert [r.url for r in got] == [urls[1], "https://none.org/", urls[0]] and got[1].text is None and got[0].text
     hits = pages.selectExpr("page_id as seq", "url", "'t' as title", "'' as snippet")
     assert search_candidates(hits, 5).count() <= 5
+
+
+def test_pdf_pages_and_settings(spark):
+    rows = [(1, "https://a.org/x.pdf", None, "application/pdf", "A title here\nsee https://b.org/y and more", 3, {"Author": "Ann"}), (2, "https://a.org/y", "<h1>Page</h1>", "text/html", None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, content_type string, pdf_text string, pages int, info map<string,string>")
+    got = read_pages(pages, ["https://a.org/y", "https://a.org/x.pdf"]).collect()
+    assert [r.title for r in got] == ["Page", "A title here"] and got[1].description.startswith("A title here by Ann (3 pages). ") and got[1].outlinks[0].href == "https://b.org/y"
+    s = Settings.of({"depth": "odd", "content": 0, "follow_links": False, "other": 1})
+    assert s == Settings(follow_links=False) and Settings.of({"depth": "deep"}).depth == "deep"
+    assert prompt_with_clock("hi", "2026-01-02 03:04:00").endswith("03:04\n\nhi")
+
+
+def test_deep_research(spark):
+    hits = spark.createDataFrame([("what is tea", 1, "https://a.org/research/1", "tea", "tea")], "query string, seq int, url string, title string, snippet string")
+    pages = spark.createDataFrame([("https://a.org/research/1", "tea is a drink of leaves " * 20)], "url string, text string")
+    got = deep_research("tea", hits, pages, settings=Settings(depth="shallow"))
+    assert got["sources"] == 1 and got["index"][0]["url"] == "https://a.org/research/1" and got["rounds"] == 1 and not got["has_narrative"]
+    assert deep_research("tea", hits, pages, cancelled=lambda: True) == "Research cancelled." and deep_research("x", hits, pages).startswith("Error")
+    assert deep_research("tea", hits.drop("seq"), pages).startswith("Error: ")
