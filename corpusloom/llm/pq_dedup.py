@@ -5,13 +5,17 @@ codebook a subspace are fitted on a bounded sample (``SAMPLE`` rows); every
 vector is then put into its inverted list with its codes and the exact length
 of its quantisation error.  A vector probes each list that can hold a partner:
 if its distance to the bisector between its own centroid and another one exceeds
-the linking radius, the other list cannot.  Within a list, asymmetric distances
-from lookup tables, widened by the stored error, drop pairs that cannot link;
-what is left is ranked by the exact cosine in double precision.  Both bounds are
-triangle inequalities, so no link is lost, whatever the sample looks like.
+the linking radius, the other list cannot.  Lists have an order, and a vector
+probes only its own and later ones, so each pair is met once.  Within a list,
+asymmetric distances from lookup tables, widened by the stored error, drop pairs
+that cannot link; the survivors are ranked by the exact cosine in double
+precision.  Both bounds are triangle inequalities, so no link is lost, whatever
+the sample looks like.
 
 Long lists are cut into blocks of visitors and members that are compared block
-by block, and a block returns counts and a spanning forest, not its pairs.
+by block, and a block returns counts and a spanning forest, not its pairs.  That
+is why vectors travel to the lists, in the precision of the table: survivors of
+a large group of near copies would be all its pairs.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components, and vectors with a null label or ``vec_id``, link with nothing;
@@ -27,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.common import cut
 from corpusloom.llm.graph import components
@@ -34,7 +39,14 @@ from corpusloom.llm.graph import components
 COSINE = 0.98
 SAMPLE = 20_000
 LIST_ROWS = 400  # wanted length of an inverted list
-MOST_LISTS = 1024
+#: Lists grow with the table up to here: 6.5 million vectors, 16 MB of centroids of 128 components.
+MOST_LISTS = 16_384
+#: Lists beyond which centroids are fitted in two levels.
+FLAT_LISTS = 1024
+#: Share of a block's pairs beyond which exact cosines are taken as one product.
+DENSE = 1 / 8
+#: A vector with more than this share of all rows is joined by broadcast; there are fewer than its inverse.
+HOT = 1 / 2000
 SUBSPACES = 8
 CODES = 64
 BLOCK = 1024
@@ -58,6 +70,16 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmin(half - x[i : i + 4096] @ c.T, axis=1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
 
 
+def _centroids(x: np.ndarray, k: int) -> np.ndarray:
+    """``k`` centroids; many of them as those of the parts around a first few."""
+    if k <= FLAT_LISTS:
+        return _kmeans(x, min(k, len(x)))
+    top = _kmeans(x, int(np.sqrt(k)))
+    near = _nearest(x, top)
+    share = np.ceil(k * np.bincount(near, minlength=len(top)) / len(x)).astype(int)
+    return np.concatenate([_kmeans(x[near == i], min(n, int((near == i).sum()))) for i, n in enumerate(share) if n])[:k]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     scale = np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
@@ -73,10 +95,15 @@ class Quantiser:
     books: list[np.ndarray]
     splits: np.ndarray
 
+    @staticmethod
+    def single(dim: int) -> Quantiser:
+        """One list for few vectors: nothing is fitted, the error is the whole length."""
+        return Quantiser(np.zeros((1, dim)), [np.zeros((1, dim))], np.array([0, dim]))
+
     @staticmethod
     def fit(x: np.ndarray, lists: int) -> Quantiser:
         x = _unit(x)
-        coarse = _kmeans(x, max(1, min(lists, len(x))))
+        coarse = _centroids(x, max(1, min(lists, len(x))))
         rest = x - coarse[_nearest(x, coarse)]
         splits = np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1).astype(int)
         books = [_kmeans(rest[:, a:b], min(CODES, len(x))) for a, b in zip(splits, splits[1:], strict=False)]
@@ -94,7 +121,7 @@ class Quantiser:
         return own, codes.astype(np.uint8), np.sqrt(((rest - back) ** 2).sum(axis=1))
 
     def probes(self, x: np.ndarray, own: np.ndarray, radius: float) -> list[np.ndarray]:
-        """The lists that a partner within ``radius`` can be in."""
+        """The lists, from the own one on, that a partner within ``radius`` can be in."""
         c = self.coarse
         out = []
         for i in range(0, len(x), 1024):
@@ -104,6 +131,7 @@ class Quantiser:
             apart = np.sqrt(np.maximum((c[o] ** 2).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * c[o] @ c.T, 0))
             hit = d - first[:, None] <= 2 * apart * (radius + _SLACK) + _SLACK
             hit[np.arange(len(q)), o] = True
+            hit &= np.arange(len(c)) >= o[:, None]
             out += [np.flatnonzero(h) for h in hit]
         return out
 
@@ -124,6 +152,17 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
+def _cosines(x: np.ndarray, y: np.ndarray, near: np.ndarray, least: float) -> np.ndarray:
+    """Which of the pairs ``near`` (a mask) of unit vectors have at least this cosine."""
+    a, b = np.nonzero(near)
+    if len(a) > DENSE * near.size:
+        return near & (x @ y.T >= least)
+    out = np.zeros_like(near)
+    good = np.einsum("ij,ij->i", x[a], y[b]) >= least
+    out[a[good], b[good]] = True
+    return out
+
+
 def _forest(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     """The least position that each of ``size`` positions is joined to by pairs (a, b)."""
     root = np.arange(size)
@@ -140,22 +179,32 @@ def _forest(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
         root = new
 
 
+_USABLE = (
+    "label is not null and vec_id is not null and embedding is not null and size(embedding) > 0 "
+    "and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) "
+    "and exists(embedding, x -> x <> 0)"
+)
+
+
 def _usable(nodes: DataFrame) -> DataFrame:
-    return nodes.where(
-        "label is not null and vec_id is not null and embedding is not null and size(embedding) > 0 "
-        "and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) "
-        "and exists(embedding, x -> x <> 0)"
-    )
+    return nodes.where(_USABLE)
+
+
+def _rows(vectors: DataFrame) -> tuple[DataFrame, str]:
+    """(vec_id, embedding, label), and the component type in which a vector is exact."""
+    kind = vectors.schema["embedding"].dataType
+    exact = "float" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "double"
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{exact}>").alias("embedding"), "label"), exact
 
 
 def links(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, list_rows: int = LIST_ROWS) -> tuple[DataFrame, DataFrame]:
     """Of (vec_id, embedding, label): a row per distinct vector (label, embedding,
-    id, n_links) and edges (a, b) between ids that hold every class together."""
+    id, copies, n_links) and edges (a, b) between ids that hold every class together."""
     spark = vectors.sparkSession
-    narrow = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    narrow, exact = _rows(vectors)
     nodes = _usable(narrow).groupBy("label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("id"))
     nodes = cut(nodes.withColumn("dim", F.size("embedding")))
-    sizes = {r[0]: r[1] for r in nodes.groupBy("dim").count().collect()}  # one row per vector length
+    sizes = {r[0]: r[1] for r in nodes.groupBy("dim").count().where(F.col("count") > list_rows).collect()}  # lengths with more than one list
     radius = float(np.sqrt(2 - 2 * cosine))
     models: dict[int, Quantiser] = {}
     for dim, n in sizes.items():
@@ -163,6 +212,9 @@ def links(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, list
         models[dim] = Quantiser.fit(_matrix(rows.column(0)), min(MOST_LISTS, -(-n // list_rows)))
     shared = spark.sparkContext.broadcast(models)  # bounded by MOST_LISTS, CODES and the vector length
 
+    def model(dim: int) -> Quantiser:
+        return shared.value.get(dim) or Quantiser.single(dim)
+
     def put(batches):
         import pyarrow as pa
 
@@ -170,41 +222,36 @@ def links(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, list
             dims = b.column(3).to_numpy()
             for dim in np.unique(dims):
                 part = b.filter(pa.array(dims == dim))
-                x, q = _unit(_matrix(part.column(0))), shared.value[int(dim)]
+                x, q = _unit(_matrix(part.column(0))), model(int(dim))
                 own, codes, error = q.encode(x)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * int(dim), pa.array(x.ravel())),
-                        *part.columns[1:],
-                        pa.array(own.astype(np.int32)),
-                        pa.array([c.tobytes() for c in codes], pa.binary()),
-                        pa.array(error),
-                        pa.array([p.astype(np.int32) for p in q.probes(x, own, radius)], pa.list_(pa.int32())),
-                    ],
-                    ["unit", "id", "copies", "dim", "grp", "own", "codes", "error", "probes"],
-                )
+                more = [
+                    pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error),
+                    pa.array([p.astype(np.int32) for p in q.probes(x, own, radius)], pa.list_(pa.int32())),
+                ]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "own", "codes", "error", "probes"])
 
     placed = nodes.select("embedding", "id", "copies", "dim", F.xxhash64("label").alias("grp"))
-    placed = cut(placed.mapInArrow(put, "unit array<double>, id long, copies long, dim int, grp long, own int, codes binary, error double, probes array<int>"))
+    placed = cut(placed.mapInArrow(put, f"embedding array<{exact}>, id long, copies long, dim int, grp long, own int, codes binary, error double, probes array<int>"))
     where = ["grp", "dim", "cell"]
     member = placed.withColumnRenamed("own", "cell").drop("probes")
-    visitor = placed.drop("own", "codes", "error").withColumn("cell", F.explode("probes")).drop("probes")
+    visitor = placed.drop("codes", "error").withColumn("cell", F.explode("probes")).drop("probes")
     size = member.groupBy(*where).agg(F.ceil(F.count("*") / BLOCK).alias("mbs"))
     size = size.join(visitor.groupBy(*where).agg(F.ceil(F.count("*") / BLOCK).alias("vbs")), where)
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     salt = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n))
-    cols = [*where, "mb", "vb", "id", "copies", "unit", "codes", "error"]
+    cols = [*where, "mb", "vb", "id", "copies", "embedding", "own", "codes", "error"]
     left = visitor.join(size, where).withColumns({"vb": salt("vbs"), "mb": spread("mbs"), "codes": F.lit(None).cast("binary"), "error": F.lit(None).cast("double")})
-    right = member.join(size, where).withColumns({"mb": salt("mbs"), "vb": spread("vbs")})
+    right = member.withColumn("own", F.col("cell")).join(size, where).withColumns({"mb": salt("mbs"), "vb": spread("vbs")})
     both = left.select(*cols).union(right.select(*cols))
 
     def compare(table):
         import pyarrow as pa
 
         ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
-        x = _matrix(table.column("unit"))
-        q = shared.value[x.shape[1]]
+        x = _unit(_matrix(table.column("embedding")))
+        q = model(x.shape[1])
         cell = table.column("cell")[0].as_py()
+        at_home = table.column("own").to_numpy() == cell
         is_member = table.column("codes").is_valid().to_numpy()
         v, m = np.flatnonzero(~is_member), np.flatnonzero(is_member)
         codes = np.frombuffer(b"".join(table.column("codes").filter(pa.array(is_member)).to_pylist()), np.uint8).reshape(len(m), -1)
@@ -214,12 +261,13 @@ def links(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, list
         for i in range(0, len(v), 128) if len(m) else ():
             w = v[i : i + 128]
             near = np.sqrt(q.distances(x[w], cell, codes)) <= radius + error + _SLACK
+            near &= ~at_home[w][:, None] | (ids[w][:, None] < ids[m])  # within a list from the lesser id only
             if not near.any():
                 continue
-            near &= x[w] @ x[m].T >= cosine
-            near &= ids[w][:, None] != ids[m]
+            near = _cosines(x[w], x[m], near, cosine)
             a, b = np.nonzero(near)
             count[w] += near @ copies[m]
+            count[m] += copies[w] @ near
             pa_.append(w[a])
             pb_.append(m[b])
         out = np.flatnonzero(count)
@@ -235,20 +283,26 @@ def links(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, list
     met = cut(both.groupBy(*where, "mb", "vb").applyInArrow(compare, "id long, links long, root long"))
     edges = met.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()
     found = met.groupBy("id").agg(F.sum("links").alias("links"))
-    linked = nodes.join(found, "id", "left").select("label", "embedding", "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = nodes.join(found, "id", "left").select("label", "embedding", "id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return linked, edges
 
 
-def classes(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+def classes(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, list_rows: int = LIST_ROWS) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors``."""
-    linked, edges = links(vectors, cosine)
+    linked, edges = links(vectors, cosine, sample, list_rows)
     roots = components(edges).withColumnRenamed("node", "id")
-    lookup = linked.join(roots, "id", "left").select(
-        F.col("label").alias("l"), F.col("embedding").alias("e"), "n_links", F.coalesce("root", "id").alias("component")
-    )
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    joined = rows.join(lookup, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")) & F.col("vec_id").isNotNull(), "left")
-    out = joined.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    lookup = linked.join(roots, "id", "left").select("label", "embedding", "copies", "n_links", F.coalesce("root", "id").alias("component"))
+    lookup = cut(lookup)
+    least = lookup.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] * HOT
+    rows, _ = _rows(vectors)
+    key = ["label", "embedding"]
+    usable = _usable(rows)
+    hot = F.broadcast(lookup.where(F.col("copies") > least))  # fewer than 1 / HOT vectors
+    cold = usable.join(hot.select(*key), key, "left_anti").join(lookup.where(F.col("copies") <= least), key)
+    alone = rows.where(f"not coalesce({_USABLE}, false)")
+    parts = [usable.join(hot, key), cold, alone.withColumns({"n_links": F.lit(0).cast("long"), "component": F.col("vec_id")})]
+    columns = ["vec_id", "n_links", F.col("component").alias("component_id")]
+    out = parts[0].select(*columns).union(parts[1].select(*columns)).union(parts[2].select(*columns))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
