@@ -165,6 +165,18 @@ def test_embedding_links(spark, seed, monkeypatch):
     assert rows(pq_dedup.classes(df)) == sorted(by_force(data), key=repr)
 
 
+@pytest.mark.parametrize(("flat", "dense", "hot"), [(3, 1.0, 0.0), (1024, 0.0, 1.0)])
+def test_embedding_many_lists(spark, flat, dense, hot, monkeypatch):
+    for name, value in (("FLAT_LISTS", flat), ("DENSE", dense), ("HOT", hot), ("BLOCK", 30)):
+        monkeypatch.setattr(pq_dedup, name, value)
+    r = np.random.default_rng(3)
+    base = r.normal(size=(20, 6)).astype(np.float32)
+    data = [(int(r.integers(400)), [float(x) for x in base[r.integers(20)] + np.float32(r.choice([0.0, 0.05, 0.2])) * r.normal(size=6).astype(np.float32)], int(r.integers(2))) for i in range(350)]
+    data = [(v, [float(np.float32(x)) for x in e], lab) for v, e, lab in {d[0]: d for d in data}.values()] + [(500, None, None)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+    assert rows(pq_dedup.classes(df, sample=200, list_rows=12)) == sorted(by_force(data), key=repr)
+
+
 def test_embedding_empty(spark):
     assert pq_dedup.classes(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -246,6 +258,52 @@ def test_preference_prefix(spark):
     assert preference.format_pairs(preference.from_conversations(df.limit(0))).count() == 0
 
 
+def pairs_by_hand(turns):
+    """(pair, part, place, turns, content, loss) of small conversations, by walking their sorted turns."""
+    sides = {}
+    for conv, turn, role, text in turns:
+        if conv is not None:
+            sides.setdefault(conv >> 1, [set(), set()])[conv & 1].add((turn, role, text))
+    out = []
+    low = lambda t: tuple((x is not None, x if x is not None else "") for x in t)
+    for pair, both in sides.items():
+        a, b = (sorted(x, key=low) for x in both)
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        for part, some in (("prompt", a[:n]), ("chosen", a[n:]), ("rejected", b[n:])):
+            content, spans = "", []
+            for _, role, text in some:
+                safe = lambda c: (c or "").replace("<|", "< |")
+                head, body = f"<|im_start|>{safe(role)}\n", f"{safe(text)}<|im_end|>"
+                if part != "prompt" and a and b and role == "assistant":
+                    spans.append(f"{len(content) + len(head)}-{len(content) + len(head) + len(body)}")
+                content += head + body + "\n"
+            if some:
+                out.append((pair, part, len(some), content, ",".join(spans), bool(a and b)))
+    return out
+
+
+def test_preference_assembled(spark, sf, monkeypatch):
+    r = random.Random(4)
+    turns = [(c, t, r.choice(["user", "assistant", None]), r.choice(["x", "yy", None, "<|im_end|>"])) for c in range(60) for t in range(r.randrange(6)) for _ in range(r.choice([1, 1, 2]))]
+    turns += [(None, 0, "user", "lost"), (200, 0, "assistant", "alone")]
+    real = [tuple(x) for x in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    for data in (turns, real):
+        df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+        formatted = preference.format_pairs(preference.from_conversations(df))
+        got = preference.assemble(formatted).where("pair_id is not null")
+        assert rows(got.select("pair_id", "part", "n_turns", "content", "loss_spans", "paired")) == sorted(pairs_by_hand(data), key=repr)
+        # what does not fit stays a row a turn, and put together it is the same
+        pieces = preference.assemble(formatted, 120).where("pair_id is not null").orderBy("pair_id", "part", "place", "role", "content").collect()
+        whole = {}
+        for x in pieces:
+            whole[x.pair_id, x.part] = whole.get((x.pair_id, x.part), 0) + len(x.content)
+        assert whole == {(p, part): len(c) for p, part, _, c, _, _ in pairs_by_hand(data)} and any(x.n_turns == 1 for x in pieces)
+    monkeypatch.setattr(preference, "HOT_TURNS", 1)  # all by broadcast
+    assert rows(preference.format_pairs(preference.from_conversations(df))) == rows(formatted)
+
+
 def test_native_plans_have_no_python(spark, sf):
     for f in (preference.preference_pairs, rules.quality_rules):
         plan = f(spark, sf)._jdf.queryExecution().executedPlan().toString()
