@@ -158,7 +158,8 @@ def pdf_date(raw: Column | str) -> Column:
 
 def pdf_info_date(info: Column) -> Column:
     """Of a PDF's properties (a map): the first of four keys that holds a date."""
-    return F.coalesce(*[pdf_date(F.nullif(F.element_at(info, F.lit(k)), F.lit(""))) for k in PDF_DATE_KEYS])
+    found = F.transform(F.array(*[F.lit(k) for k in PDF_DATE_KEYS]), lambda k: pdf_date(F.nullif(F.element_at(info, k), F.lit(""))))
+    return F.get(F.filter(found, lambda d: d.isNotNull()), F.lit(0))
 
 
 def pdf_description(title: Column, author: Column, pages: Column, text: Column, most: int = 250) -> Column:
@@ -285,12 +286,16 @@ DATE_FORMS = [
 
 def iso_date(raw: Column | str) -> Column:
     """A date, or the UTC day of a time with an offset, as YYYY-MM-DD, else null."""
-    c = F.regexp_replace(trim(raw), r"^(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", "")
-    iso = c.rlike(r"^\d{4}(-\d{2}(-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?)?)?$")
-    full = F.regexp_replace(F.when(F.length(c) == 4, F.concat(c, F.lit("-01-01"))).when(F.length(c) == 7, F.concat(c, F.lit("-01"))).otherwise(c), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    full = F.regexp_replace(full, r"([T ]\d{2}:\d{2})\s*(Z|[+-])", "$1:00$2")  # seconds before an offset
-    times = [F.when(iso, F.try_to_timestamp(full)), *[F.try_to_timestamp(c, F.lit(p)) for p in DATE_FORMS]]
-    return F.date_format(F.to_utc_timestamp(F.coalesce(*times), F.current_timezone()), "yyyy-MM-dd")
+
+    def read(c: Column) -> Column:
+        iso = c.rlike(r"^\d{4}(-\d{2}(-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?)?)?$")
+        full = F.regexp_replace(F.when(F.length(c) == 4, F.concat(c, F.lit("-01-01"))).when(F.length(c) == 7, F.concat(c, F.lit("-01"))).otherwise(c), r"([+-]\d{2})(\d{2})$", "$1:$2")
+        full = F.regexp_replace(full, r"([T ]\d{2}:\d{2})\s*(Z|[+-])", "$1:00$2")  # seconds before an offset
+        times = [F.when(iso, F.try_to_timestamp(full)), *[F.try_to_timestamp(c, F.lit(p)) for p in DATE_FORMS]]
+        return F.date_format(F.to_utc_timestamp(F.coalesce(*times), F.current_timezone()), "yyyy-MM-dd")
+
+    clean = F.regexp_replace(trim(raw), r"^(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", "")
+    return F.transform(F.array(clean), read)[0]  # bound once, for it is used many times
 
 
 def escape_markdown(text: Column | str) -> Column:
