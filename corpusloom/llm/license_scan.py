@@ -4,9 +4,11 @@ Each text's rolling word pairs are hashed and joined to the positions at which
 the license templates have the same pair.  A hit votes for the diagonal
 ``text position - template position``.  Votes are aggregated by diagonal,
 neighbouring diagonals (words put in or left out) are merged, and a merged span
-counts if it covers enough of its template.  Hits compare the words themselves,
-not only their hashes, so a span's cover is exact.  A short base phrase counts
-at every place where one diagonal holds all of its pairs.
+is verified: it counts if it covers enough of its template within a bounded band
+of diagonals, so that its words stand in the template's order and in about its
+length.  Hits compare the words themselves, not only their hashes, so a span's
+cover is exact.  A short base phrase counts at every place where one diagonal
+holds all of its pairs.
 
 Texts are read once.  The template table is fixed and broadcast; only hits and
 one marker row a document are shuffled, by row.
@@ -54,6 +56,8 @@ PLAIN = set("a an and any are by for in is of or the this to with without".split
 
 #: Diagonals this close belong to one span.
 GAP = 2
+#: A span may drift this far from its first diagonal: chains are verified in bands twice as wide, each half shared by two.
+DRIFT = 4
 #: Share of a notice's voting words that a span must cover.
 COVER = 0.85
 
@@ -129,7 +133,10 @@ def spans(found: DataFrame, of, gap: int = GAP, cover: float = COVER) -> DataFra
     line = Window.partitionBy("rid", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal", 1).over(line) > gap, F.lit(True))
     votes = votes.withColumn("new", (F.coalesce("is_base", F.lit(True)) | apart).cast("int"))
-    merged = votes.withColumn("cluster", F.sum("new").over(line)).groupBy(*own, "cluster", "label", "is_base", "most").agg(
+    band = lambda t: F.struct(F.lit(t).alias("t"), F.floor((F.col("diagonal") + t * DRIFT) / (2 * DRIFT)).alias("n"))
+    bands = F.when(F.coalesce("is_base", F.lit(True)), F.array(band(0))).otherwise(F.array(band(0), band(1)))
+    chained = votes.withColumn("cluster", F.sum("new").over(line)).withColumn("band", F.explode(bands))
+    merged = chained.groupBy(*own, "cluster", "band", "label", "is_base", "most").agg(
         F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("start").alias("start"), F.max("stop").alias("stop")
     )
     covered = F.expr("if(is_base, size(ats), size(array_distinct(flatten(transform(ats, a -> array(a, a + 1)))))) / most")
@@ -182,7 +189,8 @@ d AS (
     FROM v JOIN f USING (template) WHERE NOT is_base)
 ), s AS (
   SELECT rid, label, len(list_distinct(flatten(list_transform(flatten(list(ats)), lambda a: [a, a + 1])))) / most AS score
-  FROM c GROUP BY rid, template, cluster, label, most
+  FROM (SELECT *, unnest([[0, diagonal // {2 * DRIFT}], [1, (diagonal + {DRIFT}) // {2 * DRIFT}]]) AS band FROM (SELECT * REPLACE (diagonal + {8 * 10**8} AS diagonal) FROM c))
+  GROUP BY rid, template, cluster, band, label, most
 ), u AS (
   SELECT rid, start, label, score, is_base FROM b
   UNION ALL SELECT rid, NULL, label, score, false FROM s WHERE score >= {COVER}
