@@ -34,8 +34,8 @@ from corpusloom.llm.common import cut
 
 CAPACITY = 2048
 END_ID = 0
-#: Rows of one length that a rank window holds on average at most.
-WINDOW_ROWS = 20_000
+#: Rows that a rank window holds on average at most.
+WINDOW_ROWS = 1000
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Blanks in a row from which they are cut off by rule, for the pattern backtracks over each of them.
@@ -265,11 +265,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run], i
 
 
 def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``parts`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
+    """``parts`` (doc_id, piece, start, length, ids_crc32; a written table) with sequence_id and offset."""
     counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}  # at most `capacity` rows
     runs, _ = plan(counts, capacity)
-    salts = max(1, -(-max(counts.values(), default=1) // WINDOW_ROWS))
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    # windows of a length by its number of pieces; the row's place takes part, so that a repeated row is spread too
+    salts = F.array(*[F.lit(max(1, -(-counts.get(n, 0) // WINDOW_ROWS))) for n in range(capacity + 1)])
+    row = F.monotonically_increasing_id()  # the same each time, for ``parts`` is a table that was written
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", row), F.element_at(salts, F.col("length").cast("int") + 1)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
