@@ -5,7 +5,8 @@ trigrams and shares of character classes; a gated attention layer, learned from
 document labels alone, weighs the passages; the weighted passage representation
 is scored by a logistic layer.  The network is small and is fitted on the
 driver over a bounded sample of labelled documents (``PER_CLASS`` of each
-label); scoring is one pass over all texts in Arrow batches.
+label, ``SAMPLE_PASSAGES`` of each document: longer ones have neighbouring
+passages averaged for fitting); scoring is one pass over all texts in Arrow batches.
 
 Defined cases: a null text counts as empty and has one blank passage; a null
 ``doc_id`` is scored and is not held out; repeated rows get equal scores; an
@@ -30,6 +31,7 @@ from corpusloom.llm.sampling import labelled_sample
 PASSAGE = 512  # bytes
 BUCKETS = 256
 PER_CLASS = 1500
+SAMPLE_PASSAGES = 256
 HELD_OUT = (3, 1)  # modulus, remainder
 _SLAB = 1 << 22  # bytes encoded at once
 
@@ -76,6 +78,14 @@ def encode_passages(text: str) -> np.ndarray:
     return out
 
 
+def pooled(x: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` rows: runs of neighbours, of equal length but for one, averaged."""
+    if len(x) <= most:
+        return x
+    starts = np.unique(np.arange(most) * len(x) // most)
+    return np.add.reduceat(x, starts) / np.diff(np.append(starts, len(x)))[:, None].astype(x.dtype)
+
+
 @dataclass
 class GatedAttention:
     """Weights of the encoder, the gate and the scorer."""
@@ -154,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Gat
         import pyarrow as pa
 
         for b in batches:
-            cells = [encode_passages(t or "").astype(np.float16).tobytes() for t in b.column(1).to_pylist()]
+            cells = [pooled(encode_passages(t or ""), SAMPLE_PASSAGES).astype(np.float16).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary()), b.column(2)], ["doc_id", "x", "y"])
 
     sample = labelled_sample(docs, labels, "quality", *HELD_OUT, per_class)
