@@ -8,7 +8,8 @@ counted over all documents.  The restored text is then scored by a logistic
 model over hashed words and word beginnings that labelled documents select.
 
 Counting and scoring are one pass each; what leaves the executors is bounded by
-the alphabet (counts) and by ``PER_CLASS`` (features of the labelled sample).
+the alphabet (counts) and by ``PER_CLASS`` documents of ``SAMPLE_BINS`` features
+(the labelled sample; of more features those with the least hashes are fitted on).
 
 Defined cases: a null text counts as empty; an empty text gets the score of a
 text without any known feature; a null ``doc_id`` is scored and not held out;
@@ -35,6 +36,7 @@ from corpusloom.llm.common import fold
 from corpusloom.llm.sampling import labelled_sample
 
 PER_CLASS = 2000
+SAMPLE_BINS = 1 << 14
 HELD_OUT = (5, 0)  # modulus, remainder
 FEATURES = 2048
 BINS = 1 << 20
@@ -437,6 +439,14 @@ class Scorer:
         return self.linear.score(features(self.restorer.restore(text)))
 
 
+def some(bins: np.ndarray) -> np.ndarray:
+    """At most ``SAMPLE_BINS`` of a document's bins, the same ones in all documents."""
+    if len(bins) <= SAMPLE_BINS:
+        return bins
+    order = np.argsort(bins * np.uint32(0x9E3779B1), kind="stable")  # a hash of a hash
+    return np.sort(bins[order[:SAMPLE_BINS]])
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Scorer:
     """Count the character model over all of ``docs``, then fit on labelled ones
     outside the held-out fold."""
@@ -447,7 +457,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Sco
 
         restorer = Restorer(model)
         for b in batches:
-            cells = [features(restorer.restore(t or "")).tobytes() for t in b.column(1).to_pylist()]
+            cells = [some(features(restorer.restore(t or ""))).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary()), b.column(2)], ["doc_id", "x", "y"])
 
     sample = labelled_sample(docs, labels, "toxic", *HELD_OUT, per_class)
