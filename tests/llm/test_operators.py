@@ -70,6 +70,15 @@ def test_license_notice_with_a_word_put_in(spark):
     assert got[2].labels == "" and got[2].score == 0 and got[2].first_word is None
 
 
+def test_license_spans_are_verified(spark):
+    w = "licensed under the apache license version 2 0".split()
+    drifted = " ".join(f"{a} {b}{' filler' * 3}" for a, b in zip(w, w[1:], strict=False))  # all pairs in order, each further away
+    turned = " ".join(f"{a} {b}" for a, b in reversed(list(zip(w, w[1:], strict=False))))
+    texts = [" ".join(w), "licensed under the x y apache license version 2 0", drifted, turned, " ".join(["word"] * 3 + w + ["word"] * 9 + w)]
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "apache-2.0", 1: "apache-2.0", 2: "", 3: "", 4: "apache-2.0"}
+
+
 def test_license_empty_table(odd):
     assert license_scan.scan(odd.limit(0)).count() == 0
 
@@ -118,6 +127,16 @@ def test_quality_odd_inputs(spark, odd, labels):
     assert {r.s for r in mil_quality.score(odd, none, "s").collect()} == {0.5}
 
 
+def test_samples_are_bounded(monkeypatch):
+    x = np.arange(70.0).reshape(35, 2)
+    got = mil_quality.pooled(x, 8)
+    assert len(got) == 8 and np.allclose(got[0], x[:4].mean(axis=0)) and np.allclose(got[-1][0], x[30:].mean(axis=0)[0]) and mil_quality.pooled(x, 35) is x
+    monkeypatch.setattr(deobfuscate, "SAMPLE_BINS", 10)
+    bins = np.unique(np.random.default_rng(1).integers(0, 1 << 20, 500)).astype(np.uint32)
+    few = deobfuscate.some(bins)
+    assert len(few) == 10 and set(few) <= set(bins) and (np.diff(few) > 0).all() and set(deobfuscate.some(bins[:400])) >= set(few) & set(bins[:400])
+
+
 def test_passages_do_not_depend_on_slabs(monkeypatch):
     t = "".join(random.Random(3).choices("ab cd\né!|", k=9000))
     whole = mil_quality.encode_passages(t)
@@ -880,3 +899,6 @@ def test_packing_order_of_ranks(spark, monkeypatch):
     got = packing.place(parts).toPandas().sort_values(["sequence_id", "offset"])
     ends = got.offset + got.length
     assert (ends.groupby(got.sequence_id).shift(fill_value=0) == got.offset).all() and ends.max() <= 2048 and len(got) == 500
+    same = spark.createDataFrame([(7, 0, 0, 300, 7)] * 500, parts.schema).repartition(3)  # one row, many times
+    got = packing.place(packing.cut(same)).toPandas()
+    assert len(got.drop_duplicates(["sequence_id", "offset"])) == 500 and got.sequence_id.nunique() == 84

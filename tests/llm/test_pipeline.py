@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -33,6 +34,24 @@ def test_pipeline_stage_by_stage(spark):
     assert len(ids) == before.count()
 
 
+def test_run_over_an_odd_table(spark, tmp_path):
+    """The whole run over nulls, repeated ids, clashing names and an empty table."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    some = [(None, "no id here but words enough to stand", "en", "s", 3), (5, None, None, None, None), (5, "", "en", "s", 0), (6, "same text twice", "en", "s", 15), (6, "same text twice", "en", "s", 15), (6, "another text of this id", "en", "s", 23)]
+    odd = docs.union(spark.createDataFrame(some, docs.schema)).withColumns({c: F.lit("own") for c in ("score", "entities", "piece", "__quality", "__mark", "__spans")})
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    labels.union(spark.createDataFrame([(None, 1, 1), (6, None, 0)], labels.schema)).withColumn("text", F.lit("own")).write.parquet(f"{tmp_path}/odd/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    ends = got.toPandas().sort_values(["sequence_id", "offset"])
+    assert len(ends) > 100 and ((ends.offset + ends.length).groupby(ends.sequence_id).shift(fill_value=0) == ends.offset).all()
+    odd.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     sf = "/root/testdata/sf0.001"
