@@ -183,8 +183,8 @@ _VALUE = re.compile(r"[ \t]?[\"']?([^\s\"']{6,})(?![^\s\"'])")
 _AROUND = ".,;:!?)]}#*$%&|<>"
 
 _DIGIT = re.compile("[0-9]")
-#: Where a name of two words, or of a title and one, can be at all.
-_TWO = re.compile(rf"[{_LOW}](?: |\. )(?:(?:[a-z]{{2,5}} |[A-Z]\. ){{1,3}})?[{_UP}]")
+#: A capitalised word before another one, where a name can begin; it starts with a class, which the engine looks for fast.
+_START = re.compile(rf"[{_UP}](?<![\w'’\-](?s:.))[\w'’\-]+\.? (?={_PARTICLE}[{_UP}])")
 
 
 @dataclass(frozen=True)
@@ -228,8 +228,9 @@ def _is_person(text: str, m: re.Match) -> bool:
 def _names(text: str) -> Iterator[Entity]:
     """Names of persons; a pair that is none gives its second word back to the search."""
     at = 0
-    while m := _NAME.search(text, at):
-        at = m.end()
+    for start in _START.finditer(text):
+        if start.start() < at or not (m := _NAME.match(text, start.start())):
+            continue
         if m["title"]:
             if m["tfirst"]:
                 yield Entity("first", m.start("tfirst"), m.end("tfirst") - 1, m["tfirst"][:-1])
@@ -238,7 +239,8 @@ def _names(text: str) -> Iterator[Entity]:
             yield Entity("first", *m.span("first"), m["first"])
             yield Entity("last", *m.span("last"), m["last"])
         else:
-            at = m.start("last")
+            continue
+        at = m.end()
 
 
 def _means_person(text: str, m: re.Match) -> bool:
@@ -280,12 +282,11 @@ def detect(text: str) -> list[Entity]:
     if any(x in text for x in KEY_STARTS):
         found += [Entity("key", m.start(), m.end(), m.group()) for m in _KEY.finditer(text)]
     found += _credentials(text)
-    if _TWO.search(text):
-        named = list(_names(text))
+    named = list(_names(text))
+    if named:
         found += named
-        known = {e.text: e.kind for e in named}
-        if known:  # the same persons by one name
-            found += [Entity(known[m.group()], m.start(), m.end(), m.group()) for m in _WORD.finditer(text) if m.group() in known and _means_person(text, m)]
+        known = {e.text: e.kind for e in named}  # the same persons by one name
+        found += [Entity(known[m.group()], m.start(), m.end(), m.group()) for m in _WORD.finditer(text) if m.group() in known and _means_person(text, m)]
     found.sort(key=lambda e: (e.start, -e.stop))
     out: list[Entity] = []
     for e in found:
