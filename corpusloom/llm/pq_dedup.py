@@ -3,10 +3,13 @@
 Equal vectors are collapsed first.  A coarse quantiser and, for residuals, one
 codebook a subspace are fitted on a bounded sample (``SAMPLE`` rows); every
 vector is then put into its inverted list with its codes and the exact length
-of its quantisation error.  A vector probes each list that can hold a partner:
-if its distance to the bisector between its own centroid and another one exceeds
-the linking radius, the other list cannot.  Lists have an order, and a vector
-probes only its own and later ones, so each pair is met once.  Within a list,
+of its quantisation error.  There are as many lists as the table asks for, but
+fewer where vectors would probe more than ``PROBES`` of them on average, so what
+is sent to lists grows with the table and no faster.  A vector probes each list
+that can hold a partner: if its distance to the bisector between its own
+centroid and another one exceeds the linking radius, the other list cannot.
+Lists have an order, and a vector probes only its own and later ones, so each
+pair is met once.  Within a list,
 asymmetric distances from lookup tables, widened by the stored error, drop pairs
 that cannot link; the survivors are ranked by the exact cosine in double
 precision.  Both bounds are triangle inequalities, so no link is lost, whatever
@@ -41,6 +44,8 @@ SAMPLE = 20_000
 LIST_ROWS = 400  # wanted length of an inverted list
 #: Lists grow with the table up to here: 6.5 million vectors, 16 MB of centroids of 128 components.
 MOST_LISTS = 16_384
+#: Lists that a vector may probe on average; where it would be more, there are fewer lists.
+PROBES = 8
 #: Lists beyond which centroids are fitted in two levels.
 FLAT_LISTS = 1024
 #: Share of a block's pairs beyond which exact cosines are taken as one product.
@@ -49,7 +54,7 @@ DENSE = 1 / 8
 HOT = 1 / 2000
 SUBSPACES = 8
 CODES = 64
-BLOCK = 1024
+BLOCK = 4096
 _SLACK = 1e-6  # for rounding in the bounds
 
 
@@ -101,9 +106,15 @@ class Quantiser:
         return Quantiser(np.zeros((1, dim)), [np.zeros((1, dim))], np.array([0, dim]))
 
     @staticmethod
-    def fit(x: np.ndarray, lists: int) -> Quantiser:
+    def fit(x: np.ndarray, lists: int, radius: float) -> Quantiser:
+        """At most ``lists`` lists, fewer where vectors without clusters would probe too many of them."""
         x = _unit(x)
-        coarse = _centroids(x, max(1, min(lists, len(x))))
+        lists = max(1, min(lists, len(x)))
+        coarse = _centroids(x, lists)
+        some = x[:2000]
+        while lists > 1 and np.mean([len(p) for p in Quantiser(coarse, [], np.zeros(0)).probes(some, _nearest(some, coarse), radius)]) > PROBES:
+            lists //= 2
+            coarse = _centroids(x, lists)
         rest = x - coarse[_nearest(x, coarse)]
         splits = np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1).astype(int)
         books = [_kmeans(rest[:, a:b], min(CODES, len(x))) for a, b in zip(splits, splits[1:], strict=False)]
@@ -209,7 +220,7 @@ def links(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, list
     models: dict[int, Quantiser] = {}
     for dim, n in sizes.items():
         rows = nodes.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toArrow()
-        models[dim] = Quantiser.fit(_matrix(rows.column(0)), min(MOST_LISTS, -(-n // list_rows)))
+        models[dim] = Quantiser.fit(_matrix(rows.column(0)), min(MOST_LISTS, -(-n // list_rows)), radius)
     shared = spark.sparkContext.broadcast(models)  # bounded by MOST_LISTS, CODES and the vector length
 
     def model(dim: int) -> Quantiser:
