@@ -16,6 +16,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import admission, chunking, coverage, extract, retrieval, scoring, serp, throttle
 from corpusloom.operators import corpus as C
 from corpusloom.plans import planning, report
+from corpusloom.sources import fetch
 from corpusloom.session import spread, table  # small files are dealt to all cores
 
 TOPIC = "general public license research"
@@ -535,8 +536,9 @@ def relevance(spark, d):
 
 @query(f"""WITH c AS (SELECT doc_id AS ord, lang AS task_id, source AS host, {_relevance_sql('text', 'source', WORDS)} AS relevance, {_FP} AS fp,
     len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS word_count FROM (SELECT *, {_WS} AS ws FROM documents)),
-a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY ord) AS n FROM c WHERE word_count >= 50 AND relevance >= 0.1) WHERE n = 1),
-b AS (SELECT * FROM (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY host ORDER BY ord) AS n FROM a) WHERE n <= 8),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY ord) AS n FROM c
+  WHERE word_count >= 50 AND relevance >= 0.1 AND ord % 11 <> 0 AND fp NOT IN (SELECT fp FROM c WHERE ord % 17 = 0)) WHERE n = 1),
+b AS (SELECT a.* EXCLUDE (n) FROM (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY host ORDER BY ord) AS n FROM a) a WHERE n + CAST(regexp_extract(host, '([0-9]+)$', 1) AS INT) % 3 <= 8),
 e AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ord) AS m FROM b)
 SELECT ord, task_id, host, round(relevance, 6) AS relevance FROM e WHERE m <= 25""")
 def admit_sources(spark, d):
@@ -544,8 +546,10 @@ def admit_sources(spark, d):
         F.col("doc_id").alias("ord"), F.col("lang").alias("task_id"), F.col("source").alias("host"), F.concat(F.lit("doc:"), "doc_id").alias("url"), "text",
         X.count_words("text").alias("word_count"), admission.relevance(F.col("text"), F.col("source"), F.lit(""), WORDS).alias("relevance"),
     )
-    none = spark.createDataFrame([], "url string, fp string")
-    got = admission.admit(c, none.select("url"), none.select("fp"), 0.1, 8, 25)
+    # earlier rounds have asked for some, taken texts of some, and let in pages of some hosts
+    seen, known = c.where("ord % 11 = 0").select("url"), c.where("ord % 17 = 0").select(X.fingerprint("text").alias("fp"))
+    hosts = c.select("host").distinct().withColumn("n", F.regexp_extract("host", "([0-9]+)$", 1).cast("int") % 3)
+    got = admission.admit(c, seen, known.distinct(), 0.1, 8, 25, hosts)
     return got.select("ord", "task_id", "host", F.round("relevance", 6).alias("relevance"))
 
 
@@ -766,15 +770,27 @@ def penalty(spark, d):
     return throttle.penalty(e, "user_id", ["ts", "event_id"], "at").select("event_id", F.col("penalty_ms").cast("long").alias("penalty_ms"))
 
 
-@query("""WITH n AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (ORDER BY ts, event_id) - 1 AS number FROM events),
-l AS (SELECT *, number % 4 AS lane, number // 4 AS k FROM n), r AS (SELECT *, ms + lane * 400 AS ready FROM l)
-SELECT event_id, CAST(lane AS INT) AS lane, max(ready - k * 2000) OVER (PARTITION BY lane ORDER BY number) + k * 2000 AS start_ms FROM r""")
-def lane_schedule(spark, d):
-    e = table(spark, d, "events").withColumn("at", F.unix_millis(F.col("ts").cast("timestamp")))
-    got = throttle.lane_schedule(e, 4, 2000, "at", ["ts", "event_id"])
+_LANES = """WITH n AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (ORDER BY ts, event_id) - 1 AS number FROM events),
+l AS (SELECT *, number % 4 AS lane, ms + number % 4 * 400 AS ready, sum(2000 + {penalty}) OVER (PARTITION BY number % 4 ORDER BY number) AS g FROM n)
+SELECT event_id, CAST(lane AS INT) AS lane, CAST(max(ready - g) OVER (PARTITION BY lane ORDER BY number) + g AS BIGINT) AS start_ms FROM l"""
+
+
+def _lanes(spark, d, penalty: str | None) -> DataFrame:
+    e = table(spark, d, "events").withColumn("at", F.unix_millis(F.col("ts").cast("timestamp"))).withColumn("late", F.expr("event_id % 5 * 300"))
+    got = throttle.lane_schedule(e, 4, 2000, "at", ["ts", "event_id"], penalty_ms=penalty)
     return got.select("event_id", F.col("lane").cast("int").alias("lane"), F.col("start_ms").cast("long").alias("start_ms"))
 
 
+@query(_LANES.replace("{penalty}", "0"))
+def lane_schedule(spark, d):
+    return _lanes(spark, d, None)
+
+
+@query(_LANES.replace("{penalty}", "event_id % 5 * 300"))
+def lane_schedule_penalty(spark, d):
+    return _lanes(spark, d, "late")
+
+
 # ------------------------------------------------------------- answers, engines, report
 
 
@@ -938,3 +954,102 @@ def pdf_tests(spark, d):
     url = F.concat(F.lit("https://host.org"), F.element_at(F.array(*[F.lit(e) for e in ends]), (F.col("page_id") % 5).cast("int") + 1))
     kind = F.when(F.col("page_id") % 2 == 0, "Application/PDF; q=1").when(F.col("page_id") % 3 == 0, "application/octet-stream").otherwise("text/html")
     return table(spark, d, "pages").select("page_id", X.is_pdf_url(url).alias("is_pdf"), X.is_pdf_type(kind).alias("pdf_type"), X.is_binary_type(kind).alias("binary_type"))
+
+
+# ------------------------------------------------------------- files, pages and texts of known parts
+
+
+@query("""SELECT doc_id, left(sha256('/' || source || '/' || doc_id || ':' || length(text) || ':' || (1700000000000 + doc_id)), 16) AS hash FROM documents""")
+def metadata_hash(spark, d):
+    path = F.concat_ws("/", F.lit(""), "source", "doc_id")
+    return _docs(spark, d).select("doc_id", C.metadata_hash(path, F.length("text"), F.lit(1700000000000).cast("long") + F.col("doc_id")).alias("hash"))
+
+
+@query(f"SELECT page_id, md5({_STRIPPED.replace('{x}', 'html')}) AS digest FROM pages")
+def strip_tags(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(X.strip_html("html")).alias("digest"))
+
+
+@query(f"""SELECT item_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+'),
+  lambda w: length(w) > 2 AND w NOT IN {_in(T.REPORT_STOP_WORDS)})[1:8], ' ') AS keywords FROM benchmark""")
+def report_keywords(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.array_join(X.report_keywords("text"), " ").alias("keywords"))
+
+
+@query("""SELECT item_id, CASE item_id % 9 WHEN 0 THEN 'Topic ' || item_id WHEN 1 THEN 'Topic ' || item_id WHEN 2 THEN 'Topic ' || item_id WHEN 3 THEN 'MAIN RESULTS' WHEN 4 THEN '2.1 Topic ' || item_id
+  WHEN 5 THEN 'Chapter 7: topic ' || item_id WHEN 6 THEN 'section 3. topic' WHEN 7 THEN 'Methods' END AS heading, CASE item_id % 9 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 1 WHEN 6 THEN 2 WHEN 7 THEN 1 END AS depth FROM benchmark""")
+def headings(spark, d):
+    i = F.col("item_id").cast("string")
+    lines = [F.concat(F.lit("# Topic "), i), F.concat(F.lit("##  Topic "), i), F.concat(F.lit("##### Topic "), i), F.lit("MAIN RESULTS"), F.concat(F.lit("2.1 Topic "), i),
+             F.concat(F.lit("Chapter 7: topic "), i), F.lit("section 3. topic"), F.lit("Methods used"), F.lit("No heading At all")]
+    line = F.element_at(F.array(*lines), (F.col("item_id") % 9).cast("int") + 1)
+    h = X.heading(F.concat(F.lit("  "), line, F.lit("\n# Later one")))
+    return table(spark, d, "benchmark").select("item_id", h["heading"].alias("heading"), h["depth"].alias("depth"))
+
+
+@query("""WITH k AS (SELECT item_id AS doc_id, unnest(range(4)) AS k FROM benchmark)
+SELECT doc_id, CAST(k AS INT) AS chunk_index, 4 AS total_chunks, CASE k WHEN 0 THEN '' WHEN 1 THEN 'Part ' || doc_id WHEN 2 THEN 'FINDINGS' ELSE '3. Last point of all' END AS heading,
+  CASE k WHEN 0 THEN 0 ELSE 2 END AS section_depth,
+  CASE k WHEN 0 THEN '' WHEN 1 THEN '## Part ' || doc_id || chr(10) WHEN 2 THEN 'FINDINGS' || chr(10) ELSE '3. Last point of all' || chr(10) END || trim(repeat('words of section ' || k || ' ', 10)) AS text FROM k""")
+def section_chunks(spark, d):
+    body = lambda k: F.lit(f"words of section {k} " * 10)
+    parts = [body(0), F.concat(F.lit("## Part "), "item_id", F.lit("\n"), body(1)), F.concat(F.lit("FINDINGS\n"), body(2)), F.concat(F.lit("3. Last point of all\n"), body(3))]
+    return chunking.smart_chunks(table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.concat_ws("\n", *parts).alias("text")))
+
+
+_ABOUT_PAGE = "trim(left(trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 .,]', ' ', 'g'), ' +', ' ', 'g')), 300))"
+
+
+@query(f"""WITH b AS (SELECT item_id AS i, {_ABOUT_PAGE} || ' and so on, far enough to count as the text of a page with some words to spare for it' AS t FROM benchmark)
+SELECT i AS page_id, CASE i % 3 WHEN 0 THEN 'Heading & ' || i WHEN 1 THEN 'Title ' || i ELSE 'Open ' || i END AS title,
+  CASE WHEN i % 2 = 0 THEN 'About ' || i ELSE left(t || chr(10) || 'Second paragraph ' || i, 250) END AS description,
+  CASE i % 4 WHEN 0 THEN '2024-03-05' WHEN 1 THEN '2023-02-0' || (1 + i % 9) WHEN 2 THEN '2022-12-31' END AS published, t || chr(10) || 'Second paragraph ' || i AS text FROM b""")
+def page_parts(spark, d):
+    i = F.col("item_id")
+    text = F.trim(F.left(F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z0-9 .,]", " "), " +", " ")), F.lit(300)))
+    text = F.concat(text, F.lit(" and so on, far enough to count as the text of a page with some words to spare for it"))
+    head = F.concat(
+        F.when(i % 3 == 1, F.concat(F.lit("<title>Title "), i, F.lit("</title>"))).otherwise(""), F.lit('<meta property="og:title" content="Open '), i, F.lit('">'),
+        F.when(i % 2 == 0, F.concat(F.lit('<meta name="description" content=" About '), i, F.lit(' ">'))).otherwise(""),
+        F.when(i % 4 == 0, F.lit('<script type="application/ld+json">{"datePublished": "March 5, 2024"}</script><meta name="date" content="2001-01-01">'))
+        .when(i % 4 == 1, F.concat(F.lit('<script type="application/ld+json">broken</script><meta itemprop="datePublished" content="2023-02-0'), 1 + i % 9, F.lit('">'))).otherwise(""),
+    )
+    body = F.concat(
+        F.lit("<header><h1>Site</h1><nav>menu</nav></header>"), F.lit('<div class="page-sidebar">aside of <b>it</b></div><article>'),
+        F.when(i % 3 == 0, F.concat(F.lit('<h1 hidden="" class="overlay">not this</h1>'))).otherwise(""), F.lit("<p>"), text,
+        F.lit("<script>var x = '<p>no</p>'</script><p>Second   paragraph "), i, F.lit('<span style="display:none">hidden</span><aside>off</aside></article><footer>foot</footer>'),
+        F.when(i % 3 == 0, F.concat(F.lit("<h1>Heading &amp; "), i, F.lit("</h1>"))).otherwise(""),
+    )
+    html = F.concat(F.lit("<html><head>"), head, F.lit("</head><body>"), body, F.lit("</body></html>"))
+    url = F.concat(F.lit("https://me.org"), F.when(i % 4 == 2, "/2022/12/31/x").otherwise("/2022/13/31/x"))
+    pages = table(spark, d, "benchmark").select(i.alias("page_id"), url.alias("url"), html.alias("html"))
+    return extract.extract(pages).select("page_id", "title", "description", "published", "text")
+
+
+@query("""WITH p AS (SELECT page_id, url, length(html) AS n FROM pages)
+SELECT url, CASE page_id % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN CASE WHEN page_id % 2 = 0 THEN 'cached' ELSE 'blocked' END WHEN 3 THEN CASE WHEN page_id % 2 = 0 THEN 'cached' ELSE 'error' END ELSE 'error' END AS outcome,
+  CASE page_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 3 END AS attempts, page_id % 5 = 0 AS is_binary,
+  CASE WHEN page_id % 5 < 2 THEN n WHEN page_id % 2 = 0 AND page_id % 5 < 4 THEN 600 END AS chars FROM p""")
+def fetch_outcomes(spark, d):
+    p, k = table(spark, d, "pages"), F.col("page_id") % 5
+    status = lambda a: {1: F.when(k == 0, 200).otherwise(500), 2: F.when(k == 2, 403), 3: F.when(k == 1, 204).otherwise(503), 4: F.lit(200)}[a]
+    tries = None
+    for a in (4, 3, 2, 1):
+        kind = F.when(k == 0, "application/pdf; x").otherwise("text/html")
+        one = p.select("url", F.lit(a).alias("attempt"), status(a).cast("int").alias("status"), kind.alias("content_type"), F.col("html").alias("body"))
+        tries = one if tries is None else tries.union(one)
+    short = F.when(F.col("page_id") % 2 == 0, F.repeat(F.lit("c"), F.lit(600))).otherwise("too short")
+    copies = p.where(k != 4).select("url", F.lit(1).alias("place"), short.alias("body"))
+    return fetch.outcomes(tries, copies).select("url", "outcome", "attempts", "is_binary", F.length("body").alias("chars"))
+
+
+@query("""SELECT doc_id, CAST((r - 1) // 3 AS INT) AS batch, CASE WHEN r > 3 THEN 300 ELSE 0 END AS pause_ms FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)""")
+def fetch_batches(spark, d):
+    turn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    c = _docs(spark, d).select("doc_id", F.col("source").alias("task_id"), turn.alias("turn"))
+    return fetch.batches(c, 3).select("doc_id", "batch", "pause_ms")
+
+
+@query("""SELECT event_id, 'Current date and time: ' || strftime(ts, '%Y-%m-%d %H:%M') || chr(10) || chr(10) || event_type AS message FROM events""")
+def clock_prefix(spark, d):
+    return table(spark, d, "events").select("event_id", X.with_clock("event_type", F.col("ts")).alias("message"))

@@ -35,13 +35,14 @@ def penalty(counted: DataFrame, lane: str, order: list[str], at_ms: str, ok: str
 BLOCKS = 1024
 
 
-def lane_schedule(requests: DataFrame, lanes: int, gap_ms: int, at_ms: str, order: list[str], blocks: int = BLOCKS) -> DataFrame:
-    """Requests dealt round-robin to lanes; a lane starts one at a time, ``gap_ms`` apart,
-    and lanes are staggered by a fifth of the gap.
+def lane_schedule(requests: DataFrame, lanes: int, gap_ms: int, at_ms: str, order: list[str], blocks: int = BLOCKS, penalty_ms: str | None = None) -> DataFrame:
+    """Requests dealt round-robin to lanes; a lane starts one at a time, ``gap_ms``
+    and the request's own penalty apart, and lanes are staggered by a fifth of the gap.
 
-    ``order`` must follow ``at_ms``.  Numbers and running maxima over all
-    requests are put together out of time blocks: each block is numbered by
-    itself, and a table of ``blocks`` rows carries counts and maxima across.
+    ``order`` must follow ``at_ms``.  With G the running sum of gaps, a start is
+    G plus the greatest of arrival - G so far.  Numbers, sums and maxima over
+    all requests are put together out of time blocks: each block is worked out
+    by itself, and a table of ``blocks`` rows a lane carries them across.
     """
     low, high = requests.agg(F.min(at_ms), F.max(at_ms)).first()  # two numbers
     width = max(1, -(-((high or 0) - (low or 0) + 1) // blocks))
@@ -51,10 +52,14 @@ def lane_schedule(requests: DataFrame, lanes: int, gap_ms: int, at_ms: str, orde
     n = n.join(F.broadcast(first), "__b")
     number = F.col("__first") + F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1
     n = n.withColumn("number", number).withColumn("lane", F.pmod("number", F.lit(lanes)))
-    turn = F.floor(F.col("number") / lanes) * gap_ms  # the lane's requests so far, in time
-    n = n.withColumn("__turn", turn).withColumn("__due", F.col(at_ms) + F.col("lane") * int(gap_ms * 0.2) - F.col("__turn"))
-    lane = Window.partitionBy("lane").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = n.groupBy("__b", "lane").agg(F.max("__due").alias("m")).select("__b", "lane", F.max("m").over(lane).alias("__ahead"))  # ``blocks`` x ``lanes`` rows
-    inside = F.max("__due").over(Window.partitionBy("__b", "lane").orderBy("number").rowsBetween(Window.unboundedPreceding, 0))
-    n = n.join(F.broadcast(ahead), ["__b", "lane"])
-    return n.withColumn("start_ms", F.greatest(inside, "__ahead") + F.col("__turn")).drop("__b", "__first", "__turn", "__due", "__ahead")
+    gap = F.lit(gap_ms) + (F.coalesce(F.col(penalty_ms), F.lit(0)) if penalty_ms else F.lit(0))
+    own = Window.partitionBy("__b", "lane").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("lane").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # ``blocks`` rows a lane
+    n = n.withColumn("__gap", gap)
+    sums = n.groupBy("__b", "lane").agg(F.sum("__gap").alias("s")).select("__b", "lane", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("__base"))
+    n = n.join(F.broadcast(sums), ["__b", "lane"]).withColumn("__g", F.col("__base") + F.sum("__gap").over(own))
+    n = n.withColumn("__due", F.col(at_ms) + F.col("lane") * int(gap_ms * 0.2) - F.col("__g"))
+    peaks = n.groupBy("__b", "lane").agg(F.max("__due").alias("m")).select("__b", "lane", F.max("m").over(before).alias("__ahead"))
+    n = n.join(F.broadcast(peaks), ["__b", "lane"])
+    start = F.greatest(F.max("__due").over(own), "__ahead") + F.col("__g")
+    return n.withColumn("start_ms", start).drop("__b", "__first", "__gap", "__base", "__g", "__due", "__ahead")

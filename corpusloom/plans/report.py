@@ -60,8 +60,9 @@ def build(
     topic: str, sources: DataFrame, words: list[str], narrative: str | None = None, contradictions: list[dict] | None = None, rounds: int | None = None,
     queries: list[str] | None = None,
 ) -> str:
-    """The whole report over a run's sources, which its page budgets bound."""
+    """The whole report over a run's sources, which its page budgets bound; ``words`` default to the topic's."""
     s = indexed(sources)
+    words = words or list(s.sparkSession.range(1).select(X.report_keywords(F.lit(topic))).first()[0])
     top, cover = header(s).first(), V.covered(V.dimension_hits(s)).orderBy("ordinal").collect()
     out = [f"# Research report: {topic}", "", f"Workers: {top.workers}", f"Sources: {top.sources} ({top.web} web, {top.local} local)"]
     out += [f"Rounds: {rounds}"] if rounds else []

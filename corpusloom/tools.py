@@ -121,6 +121,10 @@ class Store:
     # collections are another name for libraries
     add_collection, collections, remove_collection = add_library, libraries, remove_library
 
+    def search_collections(self, query: str, most: int = 8) -> DataFrame:
+        """Hits in all collections, never tier by tier, twenty at most."""
+        return self.search(query, min(most, 20))
+
     def save_index(self, path: str) -> None:
         S.save(self._union(0), self._union(1), os.path.expanduser(path))
         rows = [(r["library_id"], r["name"], r["folder"], r["description"], r["priority"], r["tags"]) for r in self.records.values()]

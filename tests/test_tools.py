@@ -20,7 +20,7 @@ def test_store(spark, tmp_path):
     assert stats["by_priority"] == {"proprietary": 1, "general": 1} and stats["terms"] > 20 and stats["words"] > 60
     roles = [r.library_id for r in s.search_by_role("green tea engine", "primary").collect()]
     assert set(roles) == {a, b} and {r.library_id for r in s.search_by_role("green tea", "primary", chosen={"primary": [b]}).collect()} <= {b}
-    assert all(is_local(r.url) for r in s.search_hits("green tea").collect()) and s.collections() == s.libraries()
+    assert all(is_local(r.url) for r in s.search_hits("green tea").collect()) and s.collections() == s.libraries() and s.search_collections('diesel engine').count() >= 1
     assert s.stats()["files"] == 2 and s.check_changes(a).count() == 0
     (tmp_path / "one" / "more.md").write_text(GREEN * 3)
     (tmp_path / "one" / "one.md").write_text(GREEN * 5)
