@@ -119,6 +119,42 @@ def test_quality_held_out(spark):
     assert got.where("score < 0 or score > 1 or score is null").count() == 0 and got.count() == 1000
 
 
+def by_loops(net, text):
+    """A document's score by plain loops over its bytes and passages."""
+    raw = text.encode()
+    parts = [raw[i : i + mil_quality.PASSAGE] for i in range(0, len(raw), mil_quality.PASSAGE)] or [b""]
+    w1, b1, v, u, a, c, b = net.w
+    hidden, gates = [], []
+    for k, part in enumerate(parts):
+        buckets, kinds = [0] * mil_quality.BUCKETS, [0] * 8
+        for i in range(len(part)):
+            three = raw[k * mil_quality.PASSAGE + i :][:3]
+            if len(three) == 3:
+                h = (three[0] * 0x9E3779B1 + three[1] * 0x85EBCA77 + three[2] * 0xC2B2AE3D) % 2**32
+                buckets[h >> 24] += 1
+            kinds[mil_quality._KIND[part[i]]] += 1
+        logs = [math.log1p(x) for x in buckets]
+        norm = max(math.sqrt(sum(x * x for x in logs)), 1e-6)
+        total = max(len(part), 1)
+        x = [v_ / norm for v_ in logs] + [2 * math.sqrt(n / total) for n in kinds] + [math.sqrt(part.count(10) / total), math.log1p(total) / 8 if part else 0.0]
+        h = [math.tanh(sum(x[i] * w1[i][j] for i in range(len(x))) + b1[j]) for j in range(len(b1))]
+        t = [math.tanh(sum(h[i] * v[i][j] for i in range(len(h)))) for j in range(len(a))]
+        g = [1 / (1 + math.exp(-sum(h[i] * u[i][j] for i in range(len(h))))) for j in range(len(a))]
+        hidden.append(h)
+        gates.append(sum(t[j] * g[j] * a[j] for j in range(len(a))))
+    e = [math.exp(x - max(gates)) for x in gates]
+    z = [sum(e[k] / sum(e) * hidden[k][j] for k in range(len(parts))) for j in range(len(b1))]
+    return 1 / (1 + math.exp(-sum(z[j] * c[j] for j in range(len(z))) - b))
+
+
+def test_mil_scores_by_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    net = mil_quality.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    some = [*docs.orderBy(F.length("text")).limit(25).collect(), *docs.orderBy(F.length("text").desc()).limit(2).collect()]
+    got = {r.doc_id: r.s for r in mil_quality.score(docs, net, "s").collect()}
+    assert all(abs(got[r.doc_id] - by_loops(net, r.text)) < 1e-4 for r in some) and len({round(got[r.doc_id], 3) for r in some}) > 2
+
+
 def test_quality_odd_inputs(spark, odd, labels):
     net = mil_quality.learn(odd, labels)
     assert mil_quality.score(odd, net, "s").where("s between 0 and 1").count() == len(ODD)
@@ -878,6 +914,17 @@ def test_packing_equals_library(spark, odd):
     assert packing.pack(odd, path).count() == len(got) + 2 and packing.pack(odd.limit(0), path).count() == 0
 
 
+def test_packing_splits_every_character_like_the_library():
+    from tokenizers import Tokenizer
+
+    path = packing.default_path()
+    lib, own = Tokenizer.from_file(path), packing.load(path)
+    points = [*range(0x3100), *range(0x3100, 0xD800, 31), *range(0xE000, 0x110000, 61), 0x1C89, 0xA7CB, 0x10D50, 0x3E272]
+    texts = [f"a{chr(c)}b !{chr(c)}! 1{chr(c)}2 {chr(c)}  {chr(c)}" for c in points]
+    want = lib.encode_batch(texts, add_special_tokens=False)
+    assert not [hex(c) for c, e, t in zip(points, want, texts, strict=True) if e.ids != own.encode(t).tolist()]
+
+
 @pytest.mark.parametrize("blank", [" ", "\n", "\r\n\t ", "\u3000", "\x85 "])
 def test_long_runs_of_blanks_equal_library(blank, monkeypatch):
     from tokenizers import Tokenizer
