@@ -159,6 +159,22 @@ def test_page_parts_by_hand():
     assert page("</div></p>" + "<div>" * 3000)[4] == [] and extract.parse_page("", "")[3] == ""
 
 
+def test_source_block(spark):
+    rows = [(2, "Two", None, "general", 50, "x\n\ny " * 9), (1, "One", "2024-03-05", "news", 80, "abc"), (3, "Three", None, "low", 1, "z")]
+    s = spark.createDataFrame(rows, "idx int, title string, published string, tier string, domain_score int, text string")
+    assert research.M.source_block(s, 2, 7) == '[1] "One" (2024-03-05) — news (score: 80)\nabc\n\n[2] "Two" — general (score: 50)\nx y x'
+
+
+def test_gap_and_role_queries_of_a_model(spark):
+    plan = coverage.gap_plan(spark.createDataFrame([(0, "overview"), (7, "evidence")], "ordinal int, dimension string"), "tea", 6)
+    told = lambda prompt, tokens: "1. how tea is grown today\n2. who drinks most tea" if "breadth" in prompt else "one line only"
+    got = {r.role: r for r in research.M.gap_queries(told, "tea", plan, planning.DEPTHS["standard"], []).collect()}
+    assert got["breadth"].queries == ["how tea is grown today", "who drinks most tea"] and got["academic"].queries[0].startswith("tea research study") and got["breadth"].label == "Gap-fill: Overview & Definition"
+    lines = "\n".join(f"- query number {i}" for i in range(6))
+    by_role = research.M.role_specs(spark, lambda p, n: lines if "mechanism" in p else "too few", "tea", planning.DEPTHS["shallow"])
+    assert by_role == {"depth": [f"query number {i}" for i in range(4)], "academic": [f"query number {i}" for i in range(4)]}
+
+
 def test_presets_and_roles():
     names = lambda k: planning.roles(planning.DEPTHS[k])
     assert names("standard") == ["breadth", "depth", "recency", "academic", "critical"]
