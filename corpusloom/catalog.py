@@ -678,17 +678,18 @@ def mutate_query(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.explode(forms).alias("m")).select("item_id", "m.*")
 
 
-def _fallback_rows(most: int):
-    for role, dims in T.ROLE_DIMENSIONS.items():
-        yield from ((role, i, q) for i, q in enumerate([q.replace("{t}", TOPIC) for x in T.DIMENSIONS if x[0] in dims for q in x[3]][:most]))
+_ROLE_ROWS = _values([(r, dim) for r, dims in T.ROLE_DIMENSIONS.items() for dim in dims])
+_PLAIN_TEMPLATES = _values([(i, dim[0], p, q) for i, dim in enumerate(T.DIMENSIONS) for p, q in enumerate(dim[3])])
+_FALLBACK = f"""rd(role, dimension) AS (VALUES {_ROLE_ROWS}), tp(ordinal, dimension, place, template) AS (VALUES {_PLAIN_TEMPLATES}),
+fq AS (SELECT role, CAST(row_number() OVER (PARTITION BY role ORDER BY ordinal, place) - 1 AS INT) AS pos, replace(template, '{{t}}', '{TOPIC}') AS query FROM rd JOIN tp USING (dimension))"""
 
 
-@query(f"SELECT * FROM (VALUES {_values(list(_fallback_rows(12)))}) v(role, pos, query)")
+@query(f"WITH {_FALLBACK} SELECT role, pos, query FROM fq WHERE pos < 12")
 def fallback_queries(spark, d):
     return planning.fallback_queries(spark, TOPIC, 12)
 
 
-@query(f"SELECT role, query, pos % 3 AS grp FROM (VALUES {_values(list(_fallback_rows(12)))}) v(role, pos, query)")
+@query(f"WITH {_FALLBACK} SELECT role, query, pos % 3 AS grp FROM fq WHERE pos < 12")
 def fan_out(spark, d):
     return planning.fan_out(planning.fallback_queries(spark, TOPIC, 12), 3).select("role", "query", "grp")
 

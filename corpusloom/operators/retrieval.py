@@ -25,16 +25,19 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(X.terms("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, seq, bm25 over all chunks; statistics are the whole corpus's."""
-    post = checkpointed(C.postings(chunks))  # read three times below
+def bm25(chunks: DataFrame, queries: DataFrame, post: DataFrame | None = None) -> DataFrame:
+    """query_id, seq, bm25 over all chunks; statistics are the whole corpus's.
+
+    ``post`` are the chunks' postings if an index has them; else they are made.
+    """
+    post = checkpointed(C.postings(chunks)) if post is None else post  # read three times below
     n, avgdl = C.corpus_stats(chunks, post).first()  # two numbers
     qt = query_terms(queries)
+    hit = post.join(qt, "term")  # the longer side meets only terms that are asked for
     df = C.document_frequency(post.join(qt.select("term").distinct(), "term", "left_semi"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    hit = post.join(qt, "term").join(df, "term")
-    return hit.groupBy("query_id", "seq").agg(F.sum(idf * gain * F.col("qf")).alias("bm25"))
+    return hit.join(df, "term").groupBy("query_id", "seq").agg(F.sum(idf * gain * F.col("qf")).alias("bm25"))
 
 
 def boosted(scores: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -59,10 +62,10 @@ def trigram(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, boost: bool = True) -> DataFrame:
+def hybrid(chunks: DataFrame, queries: DataFrame, boost: bool = True, post: DataFrame | None = None) -> DataFrame:
     """Both scores and their total; fuzzy hits alone need ``NGRAM_LEAST`` and get no boost."""
     some = queries.where(F.size(X.terms("query")) > 0)
-    both = bm25(chunks, some).join(trigram(chunks, some), ["query_id", "seq"], "full_outer")
+    both = bm25(chunks, some, post).join(trigram(chunks, some), ["query_id", "seq"], "full_outer")
     both = both.select("query_id", "seq", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("ngram", F.lit(0.0)).alias("ngram"))
     hit = both.where((F.col("bm25") > 0) | (F.col("ngram") >= NGRAM_LEAST)).join(chunks.select("seq", "library_id", "tier", "doc_id", "chunk_index"), "seq")
     factor = 1 + (3 - F.col("tier")) * TIER_BOOST if boost else F.lit(1.0)
@@ -70,7 +73,9 @@ def hybrid(chunks: DataFrame, queries: DataFrame, boost: bool = True) -> DataFra
     return hit.withColumn("total", total)
 
 
-def best_hits(chunks: DataFrame, queries: DataFrame, k: int, boost: bool = True, per_tier: bool = False, wanted: DataFrame | None = None) -> DataFrame:
+def best_hits(
+    chunks: DataFrame, queries: DataFrame, k: int, boost: bool = True, per_tier: bool = False, wanted: DataFrame | None = None, post: DataFrame | None = None
+) -> DataFrame:
     """The rows of ``hybrid`` that the best ``k`` of each query (and tier) can be among.
 
     A term hit's total lies between its BM25 part and that with a full trigram
@@ -78,14 +83,16 @@ def best_hits(chunks: DataFrame, queries: DataFrame, k: int, boost: bool = True,
     any trigram is looked at, and so are all purely fuzzy chunks where the k-th
     lower end exceeds what they can reach.  Only queries with few or weak term
     hits go through the trigram join.  ``wanted`` (library_id) restricts what is
-    scored; the statistics stay those of all ``chunks``.
+    scored; the statistics stay those of all ``chunks``, whose postings ``post`` are
+    if an index has them.
     """
+    post = checkpointed(C.postings(chunks)) if post is None else post
     some = queries.where(F.size(X.terms("query")) > 0)
     group = ["query_id", "tier"] if per_tier else ["query_id"]
     facts = chunks if wanted is None else in_libraries(chunks, wanted)
     facts = facts.select("seq", "library_id", "tier", "doc_id", "chunk_index")
     factor = 1 + (3 - F.col("tier")) * TIER_BOOST if boost else F.lit(1.0)
-    scored = bm25(chunks, some).join(facts, "seq").withColumn("low", F.col("bm25") * factor)
+    scored = bm25(chunks, some, post).join(facts, "seq").withColumn("low", F.col("bm25") * factor)
     turn = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("low").desc()))
     floor = scored.withColumn("turn", turn).where(F.col("turn") <= k).groupBy(*group).agg(F.min("low").alias("floor"), F.count("*").alias("n"))
     floor = checkpointed(floor.where((F.col("n") == k) & (F.col("floor") > NGRAM_WEIGHT)).drop("n"))  # a row a query (and tier)
@@ -99,7 +106,7 @@ def best_hits(chunks: DataFrame, queries: DataFrame, k: int, boost: bool = True,
     if weak.isEmpty():
         return strong
     few = some.join(weak.select("query_id").distinct(), "query_id", "left_semi")
-    rest = hybrid(chunks, few, boost).join(weak, group, "left_semi")
+    rest = hybrid(chunks, few, boost, post).join(weak, group, "left_semi")
     rest = rest if wanted is None else in_libraries(rest, wanted)
     return strong.unionByName(rest.select(*columns))
 

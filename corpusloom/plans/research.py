@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.functions.tables import PLAN_STOP_WORDS
 from corpusloom.operators import admission, coverage, retrieval, scoring
+from corpusloom.operators import corpus as C
 from corpusloom.plans import model as M
 from corpusloom.plans import planning, report
 from corpusloom.plans.planning import Depth, Model, Task
@@ -52,8 +53,9 @@ def topic_words(topic: str) -> list[str]:
 class Run:
     """One run's captured tables and what it has collected so far."""
 
-    def __init__(self, hits: DataFrame, pages: DataFrame, depth: Depth, words: list[str], year: int, local: DataFrame | None, content: int):
+    def __init__(self, hits: DataFrame, pages: DataFrame, depth: Depth, words: list[str], year: int, local: DataFrame | None, content: int, postings: DataFrame | None = None):
         self.spark, self.depth, self.words, self.year, self.local, self.content = hits.sparkSession, depth, words, year, local, content
+        self.postings = checkpointed(C.postings(local)) if local is not None and postings is None else postings  # for all rounds
         engine = F.col("engine") if "engine" in hits.columns else F.lit(MAIN_ENGINES[0])
         self.hits = hits.select("query", "seq", "url", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "snippet")], engine.alias("engine"))
         told = {"title": "string", "description": "string", "published": "string", "outlinks": _LINKS}
@@ -160,7 +162,7 @@ class Run:
         """Chunks of local libraries for each task; they pass by relevance and host caps, but are known by URL and text."""
         asked = queries.select(F.xxhash64("query").alias("query_id"), "query").distinct()
         most = max(LEAST_LOCAL, -(-self.depth.pages * 3 // 10))
-        best = retrieval.progressive(retrieval.best_hits(self.local, asked, max(most, 3), boost=False, per_tier=True), most)
+        best = retrieval.progressive(retrieval.best_hits(self.local, asked, max(most, 3), boost=False, per_tier=True, post=self.postings), most)
         told = retrieval.as_sources(best, self.local, self.content).join(best.select("query_id", "seq", "rank"), ["query_id", "seq"])
         told = told.join(queries.withColumn("query_id", F.xxhash64("query")), "query_id").join(tasks.select("task_id", "role", "label", "budget"), "task_id")
         told = told.join(self.sources.select("url"), "url", "left_anti")
@@ -224,7 +226,7 @@ def _as_candidates(links: DataFrame, title: Column) -> DataFrame:
 
 
 def research(
-    topic: str, hits: DataFrame, pages: DataFrame, depth: str = "standard", year: int = 2026, *, local: DataFrame | None = None,
+    topic: str, hits: DataFrame, pages: DataFrame, depth: str = "standard", year: int = 2026, *, local: DataFrame | None = None, postings: DataFrame | None = None,
     model: Model | None = None, links: bool = True, focus: list[str] | None = None, content: int | None = None,
 ) -> Result:
     """Collect sources round by round until every dimension is covered or nothing new comes.
@@ -232,11 +234,11 @@ def research(
     ``hits`` (query, seq, url, title, snippet, engine if there are several) stands
     for search, ``pages`` (url, text, and title, description, published, outlinks
     if known) for fetching; both are captured tables.  ``local`` holds chunks of
-    local libraries.  Without a ``model`` queries come from templates.
+    local libraries, ``postings`` theirs if an index has them.  Without a ``model`` queries come from templates.
     """
     spark = hits.sparkSession
     d = planning.DEPTHS[depth]
-    run = Run(hits, pages, d, topic_words(topic), year, local, content or d.content)
+    run = Run(hits, pages, d, topic_words(topic), year, local, content or d.content, postings)
     specs = M.decompose(model, topic, d, focus)
     tasks = planning.first_tasks(spark, topic, d, specs, focus, links, None if specs else M.role_specs(spark, model, topic, d, focus))
     short = planning.short_topic(topic)

@@ -32,6 +32,7 @@ class Store:
         self.spark = spark
         self.records: dict[str, dict] = {}
         self.tables: dict[str, tuple[DataFrame, DataFrame]] = {}
+        self.indexes: dict[str, DataFrame] = {}  # postings by library, made once
 
     def add_library(self, name: str, folder: str, description: str = "", priority: str = "general", tags: list[str] | None = None, size: int = 4000) -> str:
         """Index a folder; a library of the same folder is replaced."""
@@ -55,6 +56,7 @@ class Store:
 
     def remove_library(self, key: str) -> bool:
         self.tables.pop(key, None)
+        self.indexes.pop(key, None)
         return self.records.pop(key, None) is not None
 
     def update_library(self, key: str, **new) -> dict:
@@ -68,10 +70,19 @@ class Store:
             out = pair[i] if out is None else out.unionByName(pair[i])
         return out
 
+    def postings(self) -> DataFrame:
+        """Postings of all libraries; a library's are made when it is first searched."""
+        out = None
+        for key, (_, chunks) in self.tables.items():
+            if key not in self.indexes:
+                self.indexes[key] = checkpointed(C.postings(_numbered(chunks)))
+            out = self.indexes[key] if out is None else out.unionByName(self.indexes[key])
+        return out
+
     def chunks(self) -> DataFrame:
         rows = [(k, TIERS.index(r["priority"])) for k, r in self.records.items()]
         tier = F.broadcast(self.spark.createDataFrame(rows, "library_id string, tier int"))  # one row a library
-        return self._union(1).join(tier, "library_id").withColumn("seq", F.xxhash64("file_path", "chunk_index"))
+        return _numbered(self._union(1).join(tier, "library_id"))
 
     def _asked(self, query: str) -> DataFrame:
         return self.spark.createDataFrame([(0, query)], "query_id long, query string")
@@ -82,7 +93,7 @@ class Store:
         wanted = None if library_id is None else self.spark.createDataFrame([(library_id,)], "library_id string")
         if query == "*":
             return retrieval.list_all(c if wanted is None else retrieval.in_libraries(c, wanted), most)
-        hits = retrieval.best_hits(c, self._asked(query), max(most, 3), boost=not progressive, per_tier=progressive, wanted=wanted)
+        hits = retrieval.best_hits(c, self._asked(query), max(most, 3), boost=not progressive, per_tier=progressive, wanted=wanted, post=self.postings())
         best = retrieval.progressive(hits, most) if progressive else retrieval.top(hits, most)
         told = retrieval.context(best, c).join(c.select("seq", "file_name", "heading", "total_chunks", "text"), "seq")
         three = [(F.floor(F.col(s) * 1000 + 0.5) / 1000).alias(s) for s in ("total", "bm25", "ngram")]
@@ -110,12 +121,12 @@ class Store:
         """Hits in the libraries that a role is told to search, or that share its tags, or in all."""
         c, q = self.chunks(), self._asked(query)
         libs = self.spark.createDataFrame([(k, r["tags"]) for k, r in self.records.items()], "library_id string, tags array<string>")
-        return retrieval.top(retrieval.best_hits(c, q, most, wanted=retrieval.for_role(libs, role, chosen)), most)
+        return retrieval.top(retrieval.best_hits(c, q, most, wanted=retrieval.for_role(libs, role, chosen), post=self.postings()), most)
 
     def search_hits(self, query: str, most: int = 8, role: str | None = None) -> DataFrame:
         """Local hits in the form of search hits."""
         c = self.chunks()
-        best = self.search_by_role(query, role, most) if role else retrieval.top(retrieval.best_hits(c, self._asked(query), most), most)
+        best = self.search_by_role(query, role, most) if role else retrieval.top(retrieval.best_hits(c, self._asked(query), most, post=self.postings()), most)
         return retrieval.as_hits(best, c)
 
     # collections are another name for libraries
@@ -140,9 +151,15 @@ class Store:
             key = r["library_id"]
             self.records[key] = r
             self.tables[key] = tuple(t.where(F.col("library_id") == key) for t in found)
+            self.indexes.pop(key, None)
         return len(good), len(rows) - len(good)
 
 
+def _numbered(chunks: DataFrame) -> DataFrame:
+    """Chunks with the number by which postings know them."""
+    return chunks.withColumn("seq", F.xxhash64("library_id", "file_path", "chunk_index"))
+
+
 def is_local(url: str) -> bool:
     return url.startswith("local://")
 
@@ -216,9 +233,9 @@ def deep_research(
     if cancelled():
         return "Research cancelled."
     try:
-        local = store.chunks() if store and store.records and s.local_sources else None
+        own = store if store and store.records and s.local_sources else None
         got = R.research(
-            topic, hits, pages, depth or s.depth, year, local=local, model=model if s.use_model else None, links=s.follow_links,
+            topic, hits, pages, depth or s.depth, year, local=own and own.chunks(), postings=own and own.postings(), model=model if s.use_model else None, links=s.follow_links,
             focus=(focus or [])[:MOST_FOCUS], content=min(max(size, CONTENT[0]), CONTENT[1]) if size else None,
         )
     except Exception as e:  # a tool answers with the reason
