@@ -52,10 +52,13 @@ def windows(docs: DataFrame, size: int = CHUNK, overlap: float = OVERLAP) -> Dat
 def postings(chunks: DataFrame) -> DataFrame:
     """seq, term, tf, with the chunk's number of terms as dl.
 
-    Words are counted before they are stemmed, so a stem is taken once per
-    distinct word of a chunk; all steps after the first share one partitioning.
+    Texts are dealt out by chunk before they are split, which sends each of
+    them once and no words; all later steps share that partitioning.  Words are
+    counted before they are stemmed, so a stem is taken once per distinct word
+    of a chunk.
     """
-    words = chunks.select("seq", F.explode(X.tokens("text")).alias("word")).repartition("seq")
+    dealt = chunks.select("seq", "text").repartition("seq")
+    words = dealt.select("seq", F.explode(X.tokens("text")).alias("word"))
     counted = words.groupBy("seq", "word").agg(F.count("*").alias("n")).withColumn("stem", X.stem("word"))
     both = F.when((F.col("stem") != F.col("word")) & (F.length("stem") > 2), F.array("word", "stem")).otherwise(F.array("word"))
     tf = counted.select("seq", "n", F.explode(both).alias("term")).groupBy("seq", "term").agg(F.sum("n").alias("tf"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.functions.tables import PRIORITIES, ROLE_TAGS
 from corpusloom.operators import corpus as C
-from corpusloom.session import checkpointed
+from corpusloom.session import checkpointed, written
 
 K1, B = 1.4, 0.75
 NGRAM_WEIGHT, NGRAM_LEAST, TIER_BOOST = 0.2, 0.15, 0.08
@@ -25,19 +25,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(X.terms("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
+#: Query terms up to which they are sent to all postings; more are joined by shuffle.
+BROADCAST_TERMS = 200_000
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, post: DataFrame | None = None) -> DataFrame:
     """query_id, seq, bm25 over all chunks; statistics are the whole corpus's.
 
     ``post`` are the chunks' postings if an index has them; else they are made.
+    Few query terms go to the postings, where a chunk's gains are added up
+    before anything is shuffled.
     """
-    post = checkpointed(C.postings(chunks)) if post is None else post  # read three times below
+    post = written(C.postings(chunks)) if post is None else post  # read three times below
     n, avgdl = C.corpus_stats(chunks, post).first()  # two numbers
-    qt = query_terms(queries)
-    hit = post.join(qt, "term")  # the longer side meets only terms that are asked for
-    df = C.document_frequency(post.join(qt.select("term").distinct(), "term", "left_semi"))
-    idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    qt = checkpointed(query_terms(queries))
+    small = F.broadcast if qt.count() <= BROADCAST_TERMS else lambda t: t
+    df = C.document_frequency(post.join(small(qt.select("term").distinct()), "term", "left_semi"))
+    told = checkpointed(qt.join(df, "term").withColumn("idf", F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))))
     gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    return hit.join(df, "term").groupBy("query_id", "seq").agg(F.sum(idf * gain * F.col("qf")).alias("bm25"))
+    return post.join(small(told), "term").groupBy("query_id", "seq").agg(F.sum(F.col("idf") * gain * F.col("qf")).alias("bm25"))
 
 
 def boosted(scores: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -86,13 +92,13 @@ def best_hits(
     scored; the statistics stay those of all ``chunks``, whose postings ``post`` are
     if an index has them.
     """
-    post = checkpointed(C.postings(chunks)) if post is None else post
+    post = written(C.postings(chunks)) if post is None else post
     some = queries.where(F.size(X.terms("query")) > 0)
     group = ["query_id", "tier"] if per_tier else ["query_id"]
     facts = chunks if wanted is None else in_libraries(chunks, wanted)
     facts = facts.select("seq", "library_id", "tier", "doc_id", "chunk_index")
     factor = 1 + (3 - F.col("tier")) * TIER_BOOST if boost else F.lit(1.0)
-    scored = bm25(chunks, some, post).join(facts, "seq").withColumn("low", F.col("bm25") * factor)
+    scored = written(bm25(chunks, some, post).join(facts, "seq").withColumn("low", F.col("bm25") * factor))  # read twice below
     turn = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("low").desc()))
     floor = scored.withColumn("turn", turn).where(F.col("turn") <= k).groupBy(*group).agg(F.min("low").alias("floor"), F.count("*").alias("n"))
     floor = checkpointed(floor.where((F.col("n") == k) & (F.col("floor") > NGRAM_WEIGHT)).drop("n"))  # a row a query (and tier)

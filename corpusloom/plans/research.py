@@ -14,7 +14,7 @@ from corpusloom.operators import corpus as C
 from corpusloom.plans import model as M
 from corpusloom.plans import planning, report
 from corpusloom.plans.planning import Depth, Model, Task
-from corpusloom.session import checkpointed
+from corpusloom.session import checkpointed, written
 
 _LINKS = "array<struct<text:string,href:string>>"
 #: Columns of a source, with their types.
@@ -55,7 +55,7 @@ class Run:
 
     def __init__(self, hits: DataFrame, pages: DataFrame, depth: Depth, words: list[str], year: int, local: DataFrame | None, content: int, postings: DataFrame | None = None):
         self.spark, self.depth, self.words, self.year, self.local, self.content = hits.sparkSession, depth, words, year, local, content
-        self.postings = checkpointed(C.postings(local)) if local is not None and postings is None else postings  # for all rounds
+        self.postings = written(C.postings(local)) if local is not None and postings is None else postings  # for all rounds
         engine = F.col("engine") if "engine" in hits.columns else F.lit(MAIN_ENGINES[0])
         self.hits = hits.select("query", "seq", "url", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "snippet")], engine.alias("engine"))
         told = {"title": "string", "description": "string", "published": "string", "outlinks": _LINKS}

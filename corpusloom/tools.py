@@ -16,7 +16,7 @@ from corpusloom.operators import corpus as C
 from corpusloom.operators import extract, retrieval, scoring
 from corpusloom.plans import planning, report
 from corpusloom.plans import research as R
-from corpusloom.session import checkpointed
+from corpusloom.session import checkpointed, written
 from corpusloom.sources import files as S
 
 TIERS = [p[0] for p in PRIORITIES]
@@ -75,7 +75,7 @@ class Store:
         out = None
         for key, (_, chunks) in self.tables.items():
             if key not in self.indexes:
-                self.indexes[key] = checkpointed(C.postings(_numbered(chunks)))
+                self.indexes[key] = written(C.postings(_numbered(chunks)))
             out = self.indexes[key] if out is None else out.unionByName(self.indexes[key])
         return out
 
