@@ -214,7 +214,7 @@ def _credentials(text: str) -> Iterator[Entity]:
 def _is_person(text: str, m: re.Match) -> bool:
     """Whether two capitalised words are a person's name: by a list, by an ending, or by what stands around them."""
     first, last = m["first"], m["last"]
-    if last in TITLES or last in _FIRST_OF and first not in _FIRST_OF:  # the name begins with the second word
+    if last in TITLES or first == last or last in _FIRST_OF and first not in _FIRST_OF:  # a word said twice, or the name begins with the second
         return False
     if first in _FIRST_OF or first.split("-")[0] in _FIRST_OF:
         return True

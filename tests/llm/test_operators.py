@@ -518,7 +518,7 @@ def test_other_scripts_keep_their_script():
         ("Contact Olu Mbemba <olu@x.org>", "Olu Mbemba olu@x.org"),
         ("Ms Ngozi K. Eze's and Jean-Pierre O'Neill", "Ngozi Eze Jean-Pierre O'Neill"),
         ("Мария Кравченко сказала", "Мария Кравченко"),
-        ("General Public License, Apache License, New York, The Smith family, Orre Orre", ""),
+        ("General Public License, Apache License, New York, The Smith family, Orre Orre, Choi Choi Choi", ""),
     ],
 )
 def test_names_that_no_list_has(text, found):
