@@ -57,7 +57,7 @@ def test_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     got = entry.queries()[name](spark, sf)
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     cols = sorted(got.columns)
     want = con.execute("select " + ", ".join(f'"{c}"' for c in cols) + f" from ({entry.oracle_sql()[name]})").fetchall()
@@ -66,4 +66,4 @@ def test_sql(spark, name):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
