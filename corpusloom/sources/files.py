@@ -13,6 +13,7 @@ from corpusloom.functions import text as X
 from corpusloom.functions.tables import EXTENSIONS
 from corpusloom.operators import chunking
 from corpusloom.operators.corpus import LEAST_TERMS, extension, file_tags, metadata_hash
+from corpusloom.sources import snapshots
 
 MOST_DEPTH = 10
 VERSION = 2
@@ -21,9 +22,12 @@ LEAST_TEXT = 50
 BARE_NAME = 30
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Readable files under a folder: path, relative path, name, extension, size, time, content."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+def scan(spark: SparkSession, folder: str, only: list[str] | None = None) -> DataFrame:
+    """Readable files under a folder: path, relative path, name, extension, size, time, content.
+
+    ``only`` names the files to look at; without it the whole folder is listed.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder if only is None else only)
     root = folder.rstrip("/") + "/"
     rel = F.regexp_replace(F.substr("path", F.instr("path", root) + len(root)), "^/+", "")
     name = F.element_at(F.split("rel", "/"), -1)
@@ -70,9 +74,9 @@ def _refuse(name: str) -> None:
     raise ValueError(name)
 
 
-def read_folder(spark: SparkSession, folder: str, captured: DataFrame | None = None) -> DataFrame:
+def read_folder(spark: SparkSession, folder: str, captured: DataFrame | None = None, only: list[str] | None = None) -> DataFrame:
     """``scan`` with text; ``captured`` (path, text) has what a parser read from PDF files."""
-    found = scan(spark, folder)
+    found = scan(spark, folder, only)
     own = file_text(F.col("ext"), F.col("content"))
     if captured is None:
         return found.withColumn("text", own)
@@ -80,13 +84,15 @@ def read_folder(spark: SparkSession, folder: str, captured: DataFrame | None = N
     return found.join(pdf, "path", "left").withColumn("text", F.coalesce(own, F.when(F.col("ext") == "pdf", F.col("__pdf")))).drop("__pdf")
 
 
-def ingest(spark: SparkSession, folder: str, library_id: str, size: int = 4000, captured: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files, chunks) of a folder; chunks with few terms are left out, numbering kept.
+def ingest(
+    spark: SparkSession, folder: str, library_id: str, size: int = 4000, captured: DataFrame | None = None, only: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(files, chunks) of a folder, or of those files of it that ``only`` names; chunks with few terms are left out, numbering kept.
 
     A file's ``chunk_count`` is the number before those are left out; a chunk's
     ``word_count`` counts its terms, stems included.
     """
-    found = read_folder(spark, folder, captured).where(F.length(X.trim("text")) >= LEAST_TEXT)
+    found = read_folder(spark, folder, captured, only).where(F.length(X.trim("text")) >= LEAST_TEXT)
     mtime = (F.unix_millis("modificationTime")).cast("long")
     files = found.select(
         F.lit(library_id).alias("library_id"), F.col("path").alias("file_path"), F.col("name").alias("file_name"), F.col("rel").alias("file_rel_path"),
@@ -101,16 +107,24 @@ def ingest(spark: SparkSession, folder: str, library_id: str, size: int = 4000,
     return files.drop("text").join(counts, "doc_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0))), told
 
 
-def save(files: DataFrame, chunks: DataFrame, path: str) -> None:
-    """Parquet by library, and a manifest."""
-    files.write.mode("overwrite").partitionBy("library_id").parquet(f"{path}/files")
-    chunks.write.mode("overwrite").partitionBy("library_id").parquet(f"{path}/chunks")
-    files.sparkSession.createDataFrame([(json.dumps({"version": VERSION}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """file_path and metadata_hash (path, size, time) of the files of a folder; none is opened."""
+    found = scan(spark, folder)
+    return found.select(F.col("path").alias("file_path"), metadata_hash(F.col("path"), F.col("length"), F.unix_millis("modificationTime")).alias("metadata_hash"))
+
+
+def contents(spark: SparkSession, folder: str, captured: DataFrame | None = None) -> DataFrame:
+    """file_path and content_hash of the files that ``ingest`` would index; nothing is chunked."""
+    found = read_folder(spark, folder, captured).where(F.length(X.trim("text")) >= LEAST_TEXT)
+    return found.select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("content_hash"))
+
+
+def save(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> None:
+    """A new snapshot of an index; what lies at ``path`` may be what the tables are read from."""
+    snapshots.commit(spark, path, tables, VERSION, by="library_id")
 
 
-def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
-    """What ``save`` wrote; nothing if the version is another one."""
-    manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
-    if manifest.get("version") != VERSION:
-        return None
-    return spark.read.parquet(f"{path}/files"), spark.read.parquet(f"{path}/chunks")
+def load(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
+    """The tables that ``save`` wrote last; nothing if there are none or the version is another one."""
+    found = snapshots.newest(spark, path)
+    return found[1] if found is not None and found[0] == VERSION else None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 from collections.abc import Callable
@@ -22,10 +23,18 @@ from corpusloom.sources import files as S
 TIERS = [p[0] for p in PRIORITIES]
 
 
+#: Differences that a library's tables may consist of before they are written anew, and files up to which a difference is read file by file.
+MOST_DELTAS = 8
+MOST_NAMED = 10_000
+
+
 class Store:
     """Libraries of files and what can be asked of them.
 
-    Library records are few and kept here; files and chunks are tables.
+    Library records are few and kept here; files, chunks and postings are
+    tables.  A library that is refreshed keeps its tables: rows of files that
+    went or changed are masked, those of new ones are added, and after some such
+    differences the tables are written anew.
     """
 
     def __init__(self, spark: SparkSession):
@@ -33,6 +42,8 @@ class Store:
         self.records: dict[str, dict] = {}
         self.tables: dict[str, tuple[DataFrame, DataFrame]] = {}
         self.indexes: dict[str, DataFrame] = {}  # postings by library, made once
+        self.listings: dict[str, DataFrame] = {}  # what a folder held when it was indexed, files without text included
+        self.deltas: dict[str, int] = {}
 
     def add_library(self, name: str, folder: str, description: str = "", priority: str = "general", tags: list[str] | None = None, size: int = 4000) -> str:
         """Index a folder; a library of the same folder is replaced."""
@@ -41,10 +52,45 @@ class Store:
             self.remove_library(key)
         key = str(uuid.uuid4())
         # written out, so that the index is the folder as it was now
+        self.listings[key] = written(S.listing(self.spark, folder))
         self.tables[key] = tuple(checkpointed(t) for t in S.ingest(self.spark, folder, key, size))
-        self.records[key] = {"library_id": key, "name": name, "folder": folder, "description": description, "priority": priority, "tags": tags or ["general"]}
+        self.records[key] = {"library_id": key, "name": name, "folder": folder, "description": description, "priority": priority, "tags": tags or ["general"], "size": size}
         return key
 
+    def refresh_library(self, key: str) -> dict[str, int]:
+        """Index what changed in a library's folder since; how many files went, changed or were added.
+
+        Only files whose path, size or time differ are opened, chunked and split
+        into terms.
+        """
+        record, (files, chunks) = self.records[key], self.tables[key]
+        post = self._index(key)
+        now = written(S.listing(self.spark, record["folder"]))
+        told = written(C.changes(self.listings[key], now))
+        counts = {r[0]: r[1] for r in told.groupBy("status").count().collect()}  # three at most
+        if not counts:
+            return counts
+        new = told.where("status <> 'deleted'").select("file_path")
+        named = [r[0] for r in new.limit(MOST_NAMED + 1).collect()]
+        if named:
+            only = named if len(named) <= MOST_NAMED else None
+            parts = S.ingest(self.spark, record["folder"], key, record.get("size", 4000), only=only)
+            if only is None:
+                parts = tuple(t.join(new, "file_path", "left_semi") for t in parts)
+            parts = tuple(checkpointed(t) for t in parts)
+        gone = told.where("status <> 'added'").select("file_path")
+        dead = _numbered(chunks.join(gone, "file_path", "left_semi")).select("seq")
+        files, chunks, post = files.join(gone, "file_path", "left_anti"), chunks.join(gone, "file_path", "left_anti"), post.join(dead, "seq", "left_anti")
+        if named:
+            files, chunks = files.unionByName(parts[0]), chunks.unionByName(parts[1])
+            post = post.unionByName(written(C.postings(_numbered(parts[1]))))
+        self.deltas[key] = self.deltas.get(key, 0) + 1
+        if self.deltas[key] >= MOST_DELTAS:
+            files, chunks, post = written(files), written(chunks), written(post)
+            self.deltas[key] = 0
+        self.tables[key], self.indexes[key], self.listings[key] = (files, chunks), post, now
+        return counts
+
     def libraries(self) -> list[dict]:
         return sorted(self.records.values(), key=lambda r: TIERS.index(r["priority"]))
 
@@ -57,6 +103,8 @@ class Store:
     def remove_library(self, key: str) -> bool:
         self.tables.pop(key, None)
         self.indexes.pop(key, None)
+        self.deltas.pop(key, None)
+        self.listings.pop(key, None)
         return self.records.pop(key, None) is not None
 
     def update_library(self, key: str, **new) -> dict:
@@ -70,13 +118,16 @@ class Store:
             out = pair[i] if out is None else out.unionByName(pair[i])
         return out
 
+    def _index(self, key: str) -> DataFrame:
+        if key not in self.indexes:
+            self.indexes[key] = written(C.postings(_numbered(self.tables[key][1])))
+        return self.indexes[key]
+
     def postings(self) -> DataFrame:
         """Postings of all libraries; a library's are made when it is first searched."""
         out = None
-        for key, (_, chunks) in self.tables.items():
-            if key not in self.indexes:
-                self.indexes[key] = written(C.postings(_numbered(chunks)))
-            out = self.indexes[key] if out is None else out.unionByName(self.indexes[key])
+        for key in self.tables:
+            out = self._index(key) if out is None else out.unionByName(self._index(key))
         return out
 
     def chunks(self) -> DataFrame:
@@ -102,9 +153,13 @@ class Store:
 
     def check_changes(self, key: str) -> DataFrame:
         """Files added, deleted or modified since a library was indexed."""
-        now, _ = S.ingest(self.spark, self.records[key]["folder"], key)
-        before = self.tables[key][0]
-        return C.changes(before.select("file_path", "content_hash"), now.select("file_path", "content_hash"))
+        now = S.contents(self.spark, self.records[key]["folder"])
+        return C.changes(self.tables[key][0].select("file_path", "content_hash"), now)
+
+    def file_types(self, key: str | None = None) -> DataFrame:
+        """library_id, file_type and files: how many files of each extension the libraries, or one of them, hold."""
+        files = self._union(0) if key is None else self.tables[key][0]
+        return files.groupBy("library_id", "file_type").agg(F.count("*").alias("files"))
 
     def stats(self) -> dict:
         f, c = self._union(0), self._union(1)
@@ -137,21 +192,40 @@ class Store:
         return self.search(query, min(most, 20))
 
     def save_index(self, path: str) -> None:
-        S.save(self._union(0), self._union(1), os.path.expanduser(path))
-        rows = [(r["library_id"], r["name"], r["folder"], r["description"], r["priority"], r["tags"]) for r in self.records.values()]
-        schema = "library_id string, name string, folder string, description string, priority string, tags array<string>"
-        self.spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{path}/libraries")
+        """Write libraries, files, chunks and postings as a new snapshot, and read them from there from now on.
+
+        The path may hold the index that was loaded: what a snapshot holds never
+        changes.
+        """
+        if not self.records:
+            raise ValueError("there is no library to save")
+        path = os.path.expanduser(path)
+        rows = [(r["library_id"], r["name"], r["folder"], r["description"], r["priority"], r["tags"], r.get("size", 4000)) for r in self.records.values()]
+        schema = "library_id string, name string, folder string, description string, priority string, tags array<string>, size int"
+        of = lambda tables: functools.reduce(DataFrame.unionByName, [t.withColumn("library_id", F.lit(key)) for key, t in tables.items()])
+        more = {"postings": of({key: self._index(key) for key in self.tables}), "listing": of(self.listings)}
+        S.save(self.spark, {"libraries": self.spark.createDataFrame(rows, schema).coalesce(1), "files": self._union(0), "chunks": self._union(1), **more}, path)
+        found = S.load(self.spark, path)
+        for key in self.records:
+            self._bind(key, found)
+
+    def _bind(self, key: str, found: dict[str, DataFrame]) -> None:
+        own = {name: t.where(F.col("library_id") == key) for name, t in found.items()}
+        self.tables[key] = (own["files"], own["chunks"])
+        self.indexes[key] = own["postings"].drop("library_id")
+        self.listings[key] = own["listing"].drop("library_id")
+        self.deltas.pop(key, None)
 
     def load_index(self, path: str) -> tuple[int, int]:
         """(loaded, skipped): a library whose folder is gone is skipped, all are if the version differs."""
-        rows = [r.asDict() for r in self.spark.read.parquet(f"{path}/libraries").collect()]  # one row a library
-        found = S.load(self.spark, path)
-        good = [r for r in rows if found is not None and os.path.isdir(r["folder"])]
+        found = S.load(self.spark, os.path.expanduser(path))
+        if found is None:
+            return 0, 0
+        rows = [r.asDict() for r in found["libraries"].collect()]  # one row a library
+        good = [r for r in rows if os.path.isdir(r["folder"])]
         for r in good:
-            key = r["library_id"]
-            self.records[key] = r
-            self.tables[key] = tuple(t.where(F.col("library_id") == key) for t in found)
-            self.indexes.pop(key, None)
+            self.records[r["library_id"]] = r
+            self._bind(r["library_id"], found)
         return len(good), len(rows) - len(good)
 
 

@@ -260,9 +260,9 @@ def test_folder_ingest_and_round_trip(spark, tmp_path):
     assert texts["j.json"].startswith("{") and "\n" in texts["j.json"] and texts["i.xhtml"].startswith("the quick") and texts["g.ipynb"] is None
     texts = {r.file_name: r.text for r in c.collect()}
     assert "bad()" not in texts["b.html"] and texts["c.ipynb"].startswith("[markdown]\n")
-    files.save(f, c, str(tmp_path / "index"))
-    f2, c2 = files.load(spark, str(tmp_path / "index"))
-    assert f2.count() == 3 and c2.count() == c.count()
+    files.save(spark, {"files": f, "chunks": c}, str(tmp_path / "index"))
+    again = files.load(spark, str(tmp_path / "index"))
+    assert again["files"].count() == 3 and again["chunks"].count() == c.count() and again["files"].columns == f.columns
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
