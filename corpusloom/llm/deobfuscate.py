@@ -198,41 +198,89 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def _code(c: str) -> int:
     p = ord(c)
     return int(_CODE[min(p, 0x2FFF)])
 
 
+#: Runs after which paths are compared; what all of them share is written out, so that a path stays short.
+_SETTLE = 1 << 14
+
+
+def _words(chain: tuple | None) -> list[str]:
+    out = []
+    while chain:
+        chain, emit = chain
+        out.append(emit)
+    out.reverse()
+    return out
+
+
+def _settle(chains: list[tuple | None], out: list[str]) -> list[tuple | None]:
+    """Move the beginning that all chains share to ``out``; returns the chains without it."""
+    lists = [_words(c) for c in chains]
+    least, n = lists[0], min(map(len, lists))
+    same = next((i for i in range(n) if any(x[i] != least[i] for x in lists)), n)
+    out.append("".join(least[:same]))
+    rest = []
+    for x in lists:
+        chain = None
+        for emit in x[same:]:
+            chain = (chain, emit)
+        rest.append(chain)
+    return rest
+
+
 @dataclass
 class Restorer:
-    """Viterbi decoding with a bounded memory of stretches already read."""
+    """Viterbi decoding with a memory of stretches already read, bounded in characters."""
 
     model: CharModel
     seen: dict[str, str] = field(default_factory=dict)
-    most: int = 200_000
+    most: int = 16_000_000
+    held: int = 0
+
+    def __post_init__(self) -> None:
+        self.logp = self.model.logp.tolist()
+
+    def _keep(self, token: str, got: str) -> str:
+        size = len(token) + len(got)
+        if size <= self.most // 1000:  # long stretches hardly come twice
+            if self.held + size > self.most:
+                self.seen.clear()
+                self.held = 0
+            self.seen[token] = got
+            self.held += size
+        return got
+
+    def _step(self, state: tuple[int, int], value: float, emit: str) -> tuple[tuple[int, int], float]:
+        i, j = state
+        for c in emit:
+            k = _code(c)
+            value += self.logp[i][j][k]
+            i, j = j, k
+        return (i, j), value
 
     def decode(self, token: str) -> str:
         if (known := self.seen.get(token)) is not None:
             return known
-        logp = self.model.logp
-        paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for ways in lattice(token):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for state, (value, text) in paths.items():
+        step, out = self._step, []
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for n, ways in enumerate(lattice(token), 1):
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for state, (value, chain) in paths.items():
                 for emit, cost in ways:
-                    (i, j), v = state, value - cost
-                    for c in emit:
-                        k = _code(c)
-                        v += float(logp[i, j, k])
-                        i, j = j, k
-                    if (i, j) not in after or v > after[i, j][0]:
-                        after[i, j] = (v, text + emit)
+                    at, v = step(state, value - cost, emit)
+                    if at not in after or v > after[at][0]:
+                        after[at] = (v, (chain, emit))
             paths = after
-        best = max(paths.items(), key=lambda x: (x[1][0] + float(logp[x[0][0], x[0][1], 0]), x[1][1]))[1][1]
-        if len(self.seen) >= self.most:
-            self.seen.clear()
-        self.seen[token] = best
-        return best
+            if n % _SETTLE == 0:
+                chains = _settle([c for _, c in paths.values()], out)
+                paths = {at: (v, c) for (at, (v, _)), c in zip(paths.items(), chains, strict=True)}
+        ends = [(value + self.logp[i][j][0], chain) for (i, j), (value, chain) in paths.items()]
+        best = max(v for v, _ in ends)
+        return self._keep(token, "".join(out) + max("".join(_words(c)) for v, c in ends if v == best))
 
     def read(self, token: str) -> str:
         """The likeliest reading of letters and signs, where signs at either edge may also be punctuation.
@@ -242,7 +290,7 @@ class Restorer:
         """
         if (known := self.seen.get(token)) is not None:
             return known
-        logp = self.model.logp
+        logp, step, out = self.logp, self._step, []
         runs = [m.group() for m in re.finditer(r"(.)\1*", token, re.DOTALL)]
         plain = [0.0 if c[0] not in LEET or (len(c) > 2 and not c[0].isdigit()) else PLAIN[c[0]] for c in runs]
         first = next(i for i, c in enumerate(runs) if c[0] not in LEET)
@@ -255,7 +303,7 @@ class Restorer:
                 paths[0, 0] = (-left, k, None)
             if k >= last:
                 for (i, j), (value, start, chain) in paths.items():
-                    if (v := value + float(logp[i, j, 0]) - right) > best[0]:
+                    if (v := value + logp[i][j][0] - right) > best[0]:
                         best = (v, start, k, chain)
             if ways is None:
                 break
@@ -266,26 +314,18 @@ class Restorer:
             after: dict[tuple[int, int], tuple[float, int, tuple | None]] = {}
             for state, (value, start, chain) in paths.items():
                 for emit, cost in ways:
-                    (i, j), v = state, value - cost
-                    for c in emit:
-                        n = _code(c)
-                        v += float(logp[i, j, n])
-                        i, j = j, n
-                    if (i, j) not in after or v > after[i, j][0]:
-                        after[i, j] = (v, start, (chain, emit))
+                    at, v = step(state, value - cost, emit)
+                    if at not in after or v > after[at][0]:
+                        after[at] = (v, start, (chain, emit))
             paths = after
+            if first < k < last and k % _SETTLE == 0:
+                chains = _settle([c for _, _, c in paths.values()], out)
+                paths = {at: (v, start, c) for (at, (v, start, _)), c in zip(paths.items(), chains, strict=True)}
         _, start, stop, chain = best
-        words = []
-        while chain:
-            chain, emit = chain
-            words.append(emit)
-        got = "".join([*runs[:start], *reversed(words), *runs[stop:]])
+        got = "".join([*runs[:start], *out, *_words(chain), *runs[stop:]])
         if start == first and stop == last and not any(c[0] in LEET or len(c) > 2 for c in runs[first:last]):
             got = token
-        if len(self.seen) >= self.most:
-            self.seen.clear()
-        self.seen[token] = got
-        return got
+        return self._keep(token, got)
 
     def _one(self, m: re.Match) -> str:
         token = m.group()
@@ -461,8 +501,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Sco
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary()), b.column(2)], ["doc_id", "x", "y"])
 
     sample = labelled_sample(docs, labels, "toxic", *HELD_OUT, per_class)
-    rows = sample.mapInArrow(run, "doc_id long, x binary, y int").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r[0])
+    rows = sample.mapInArrow(run, "doc_id long, x binary, y int").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("doc_id", "r.*").collect()
+    rows.sort(key=lambda r: r[0])  # of texts that share an id, always the same one
     known = labels.where((fold(HELD_OUT[0]) != HELD_OUT[1]) & F.col("toxic").isNotNull())
     prior = known.agg(F.avg("toxic")).first()[0]
     bags = [np.frombuffer(r[1], dtype=np.uint32) for r in rows]

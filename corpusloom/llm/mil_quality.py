@@ -168,7 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Gat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.binary()), b.column(2)], ["doc_id", "x", "y"])
 
     sample = labelled_sample(docs, labels, "quality", *HELD_OUT, per_class)
-    rows = sample.mapInArrow(run, "doc_id long, x binary, y int").dropDuplicates(["doc_id"]).collect()
+    rows = sample.mapInArrow(run, "doc_id long, x binary, y int").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("doc_id", "r.*").collect()  # of texts that share an id, always the same one
     rows.sort(key=lambda r: r[0])
     bags = [np.frombuffer(r[1], dtype=np.float16).reshape(-1, WIDTH).astype(np.float32) for r in rows]
     known = labels.where((fold(HELD_OUT[0]) != HELD_OUT[1]) & F.col("quality").isNotNull())
