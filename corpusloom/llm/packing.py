@@ -41,7 +41,7 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Blanks in a row from which they are cut off by rule, for the pattern backtracks over each of them.
 LONG_BLANK = 100_000
 _BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_BLANKS = re.compile(rf"{_BLANK}{{{LONG_BLANK},}}+")
+_BLANKS = re.compile(rf"(?<!{_BLANK}){_BLANK}{{{LONG_BLANK},}}+")  # tried once a run
 
 # ---------------------------------------------------------------- tokens
 
