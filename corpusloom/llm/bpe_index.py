@@ -38,7 +38,9 @@ _RARE = re.compile("[^\x00-\u0557\u2010-\u2027\u20a0-\u20bf\u3001-\u303f\u3041-\
 _RARE_CHARS = 1 << 16
 #: Characters of text that a worker lays out at once, and words it remembers.
 BLOCK_CHARS = 4_000_000
-CACHE_WORDS = 400_000
+CACHE_CHARS = 8_000_000
+#: Where a text may be cut besides blanks: words and signs never share a pretoken, and nothing composes across.
+_BREAK = re.compile("[,;:.!?)}\\]](?=[A-Za-z0-9])|[\u3001\u3002\uff0c\uff01\uff1f\uff1b\uff1a](?=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3])")
 _NONE = np.int64(1 << 40)
 
 
@@ -80,6 +82,7 @@ class PairIndexBpe:
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+")
         self.ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.cached = 0  # characters of its words
 
     def split(self, text: str) -> list[str]:
         if text.isascii():
@@ -159,9 +162,12 @@ class PairIndexBpe:
         todo = [w for w in words if w not in self.cache]
         if not todo:
             return
-        if len(self.cache) + len(todo) > CACHE_WORDS:
+        size = sum(map(len, todo))
+        if self.cached + size > CACHE_CHARS:
             self.cache.clear()
             todo = list(words)
+            size, self.cached = sum(map(len, todo)), 0
+        self.cached += size
         tokens = self.tokens
         for w, ids in zip(todo, self.encode_words(todo), strict=True):
             self.cache[w] = (ids.astype("<u4").tobytes(), " ".join([tokens[i] for i in ids.tolist()]))
@@ -202,12 +208,16 @@ class PairIndexBpe:
 
 
 def chunks(text: str, most: int) -> Iterator[str]:
-    """Cut a text before an ASCII blank, where no word can continue."""
+    """Cut a text before an ASCII blank, where no word can continue, or else behind a sign before a letter."""
     at = 0
     while len(text) - at > most:
         end = max(text.rfind(" ", at + 1, at + most), text.rfind("\n", at + 1, at + most))
+        if end < 0 and (m := _BREAK.search(text, at + most // 2, at + most)):
+            end = m.end()
         if end < 0:
             end = min((x for x in (text.find(" ", at + most), text.find("\n", at + most)) if x >= 0), default=len(text))
+            if m := _BREAK.search(text, at + most, end):
+                end = m.end()
         yield text[at:end]
         at = end
     yield text[at:]
