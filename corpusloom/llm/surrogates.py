@@ -16,9 +16,12 @@ key: ``[phone-...]``, for names a long invented name.  So the check always ends.
 Listed names trade places within their lists; they stay distinct, and are
 always somebody's name.
 
-Names are found after titles, by listed first names and surnames, by endings
-that only surnames have, and by what stands around them ("my name is", "said").
-A name found anywhere in a document is replaced there at every bare mention.
+Names are found after titles and ranks, by listed first names and surnames, by
+endings that only surnames have, and by what stands around them ("my name is",
+"said"), unless one of the words names an institution, a place or a day, an
+article stands before, or what follows speaks of a thing; in Chinese, Japanese,
+Korean, Arabic and Hindi behind introductions.  A name found anywhere in a
+document is replaced there at every bare mention.
 
 Defined cases: a null text stays null and has no entities; empty texts and texts
 without entities come back unchanged; a null ``doc_id`` is passed through;
@@ -126,6 +129,42 @@ STARTS = set(
     "San Santa Saint St Mount Lake River Fort Port Los Las El La Le Les Der Die Das Den Dem Des Ein Eine Und Oder Im Am Zu Von Un Une Et Ou Du Au Y O En Con Por Para "
     "Dear Hello Hi Contact Ask Call Then Later Yesterday Today Tomorrow After Before When While Where Who What Why How Also Only General Public United University".split()
 )
+#: Words that name institutions, companies and places; a pair with one of them is no person unless a list has its first name.
+INSTITUTIONS = set(
+    "House Court Courts Bank Banks Times Corp Corporation Inc Incorporated Ltd Limited Llc Plc Gmbh Ag Company Group Holdings Industries Enterprises Partners Ventures "
+    "Systems Technologies Technology Software Solutions Labs Laboratories Laboratory Airlines Airways Motors Motor Energy Oil Gas Steel Pharma Pharmaceuticals Insurance "
+    "Capital Investments Securities Exchange Market Markets Trust Fund Foundation University College School Academy Institute Hospital Clinic Ministry Department Office "
+    "Agency Council Committee Commission Congress Senate Parliament Government Cabinet Assembly Party Union Federation Association Society Organization Organisation League "
+    "Club Team Army Navy Force Forces Corps Police Guard Service Services Bureau Administration Authority Board Center Centre Museum Library Theatre Theater Gallery Church "
+    "Cathedral Temple Press Post News Journal Herald Tribune Gazette Guardian Telegraph Mirror Network Radio Television Channel Studios Records Media Magazine Books "
+    "Street Road Avenue Lane Square Bridge Tower Building Park Gardens Station Airport Harbor Harbour Port Hotel Hill Hills Valley Mountain Mountains Island Islands Coast "
+    "Bay Beach Lake River Ocean Sea Desert Forest City Town Village County District Province State States Kingdom Republic Empire Nation Nations Cross Watch Reserve "
+    "Treasury Project Program Programme Campaign Movement Festival Conference Summit Award Awards Prize Cup Games Act Bill Law License Treaty Agreement Accord War "
+    "Bundesbank Bundestag Bundesrat Ministerium Verein Gesellschaft Partei Zeitung Universität Banque Société Université Ministère Banco Universidad Ministerio Gobierno Partido".split()
+)
+CALENDAR = set(
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December Week Weekend Month Year "
+    "Day Night Morning Evening Afternoon Spring Summer Autumn Winter Christmas Easter Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag Januar Februar März Mai "
+    "Juni Juli Oktober Dezember Lundi Mardi Mercredi Jeudi Vendredi Samedi Dimanche Lunes Martes Miércoles Jueves Viernes Sábado Domingo".split()
+)
+#: Words before a noun; a pair that begins with one is no person.
+QUALIFIERS = set(
+    "American British English Scottish Irish Welsh Canadian Australian German French Italian Spanish Portuguese Dutch Swiss Austrian Swedish Norwegian Danish Finnish Polish "
+    "Russian Ukrainian Turkish Greek Chinese Japanese Korean Indian Pakistani Iranian Iraqi Israeli Egyptian African Asian European Latin Mexican Brazilian Western Eastern "
+    "Northern Southern Central International National Federal Royal Imperial Supreme High Grand Great Big Little First Second Third Last Next Former Late Early Best Top "
+    "Global World Human Real Social Democratic Republican Liberal Conservative Labour Green Red Black White Blue Golden Silver Digital Modern Holy Sacred Upper Lower Inner "
+    "Deutsche Deutscher Deutsches Deutschen Bayerische Süddeutsche Frankfurter Berliner Hong Sri Costa Puerto Buenos Monte Saudi Abu Tel Addis Kuala Wall Downing "
+    "Manchester Liverpool Chelsea Arsenal Barcelona Bayern Silicon Capitol Scotland Red Human Many Most Some Every Each Both Other Another Several People Experts Critics "
+    "Officials Investors Analysts Scientists Researchers Police Microsoft Google Apple Amazon Facebook Twitter Goldman Morgan Wells Lehman Merrill General".split()
+)
+#: Ranks and offices; the word behind one is a surname, the rank itself is nobody's name.
+RANKS = set(
+    "President Minister Chancellor Senator Congressman Congresswoman Governor Mayor Judge Justice Captain Colonel Major Lieutenant Sergeant Corporal Admiral Officer Detective "
+    "Inspector Professor Doctor Sir Dame Lady Lord Queen King Prince Princess Pope Cardinal Archbishop Father Sister Brother Uncle Aunt Coach Secretary Ambassador Director "
+    "Chairman Chairwoman Präsident Kanzler Kanzlerin Minister Ministerin Président Presidente Ministro".split()
+)
+#: What follows a name that is no person's, within a clause or so.
+_THING = re.compile(r"\b(?:its|itself|profits?|shares?|revenues?|dividends?|shareholders|quarterly|the (?:company|bank|firm|team|club|agency|group|city|country|government|paper|newspaper|ministry|party|university|court))\b")
 #: Verbs that persons are the subjects of.
 _DOES = (
     "said|says|called|calls|asked|asks|told|tells|wrote|writes|replied|answered|emailed|phoned|texted|met|lives|lived|works|worked|signed|joined|resigned|retired|married|"
@@ -136,7 +175,7 @@ _AFTER = re.compile(rf"(?:,? (?:who |and |et |und |y )?(?:{_DOES})|'s (?:wife|hu
 _BEFORE = re.compile(
     r"(?i:(?:\bnames? (?:is|was)|\bname ?:|\bnamed|\bi am|\bi['’]m|\bi met|\bsigned(?: by)?[:,]?|\bwritten by|\bauthor ?:|\bcontact ?:?|\battn\.?:?|\bsincerely,|\bregards,|\byours,|\bdear|"
     r"\b(?:my|her|his) (?:wife|husband|friend|boss|doctor|son|daughter|brother|sister|mother|father|colleague)|\bpatient ?:?|\bcustomer ?:|\bclient ?:|"
-    r"\bheiße|\bich bin|\bm['’]appelle|\bje suis|\bme llamo|\bsoy|\bменя зовут)\s{1,2})$"
+    r"\bheiße|\bich bin|\bμε λένε|\bονομάζομαι|\bm['’]appelle|\bje suis|\bme llamo|\bsoy|\bменя зовут)\s{1,2})$"
 )
 _CLAUSE = re.compile(r"(?:^|[.!?;:\n\r])[\s\"'(\[]*$")
 _ARTICLE = re.compile(r"(?i:(?:^|\W)(?:the|an?|der|die|das|dem|den|des|eine?[mnrs]?|le|la|les|une?|el|los|las|una) )$")
@@ -144,7 +183,7 @@ _ARTICLE = re.compile(r"(?i:(?:^|\W)(?:the|an?|der|die|das|dem|den|des|eine?[mnr
 _LISTS = {(*k, n): names for n, lists in enumerate((FIRST, MORE)) for k, names in lists.items()}
 _FIRST_OF = {n: k for k in reversed(_LISTS) for n in reversed(_LISTS[k])}  # the first list that has a name owns it
 _POOLS = {k: tuple(n for n in dict.fromkeys(names) if _FIRST_OF[n] == k) for k, names in _LISTS.items()}
-_UP, _LOW = ("".join(chr(c) for c in (*range(0x41, 0x180), *range(0x400, 0x460)) if unicodedata.category(chr(c)) == k) for k in ("Lu", "Ll"))
+_UP, _LOW = ("".join(chr(c) for c in (*range(0x41, 0x180), *range(0x386, 0x3CF), *range(0x400, 0x460)) if unicodedata.category(chr(c)) == k) for k in ("Lu", "Ll"))
 _ONE = rf"(?:(?:Mc|Mac|O['’]|D['’])?[{_UP}][{_LOW}]+)"
 _CAP = rf"{_ONE}(?:-{_ONE})*"
 _PARTICLE = r"(?:(?:von|van|zu|de|di|da|do|dos|der|den|del|della|la|le|bin|ibn|ben|al|el|ter|ten|af|av) |[A-Z]\. )*"
@@ -179,7 +218,9 @@ _SECRET = re.compile(r"(?<![0-9A-Za-z])(?P<secret>[0-9a-fA-F]{32,})(?![0-9A-Za-z
 KEY_STARTS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "sk_live_", "sk_test_", "xoxb-", "xoxp-")
 _KEY = re.compile(rf"(?<![0-9A-Za-z])(?:{'|'.join(KEY_STARTS)})[0-9A-Za-z_\-]{{10,}}(?![0-9A-Za-z_\-])")
 _CALLED = re.compile(r"(?i:password|passwd|passphrase|pwd|secret|token|api[_\-]?key|access[_\-]?key)[\"']?[ \t]?$")
-_VALUE = re.compile(r"[ \t]?[\"']?([^\s\"']{6,})(?![^\s\"'])")
+_VALUE = re.compile(r"[ \t]?[\"']?([^\s\"']{4,})(?![^\s\"'])")
+_BEARER = re.compile(r"(?i:\bbearer) (?P<token>[A-Za-z0-9\-._~+/]{16,}=*)(?![A-Za-z0-9])")
+_NAMED_SSN = re.compile(r"(?i:\bssn|\bsocial security (?:number|no\.?))[:#]? {0,2}(?P<ssn>\d{3} \d{2} \d{4})(?!\d)")
 _AROUND = ".,;:!?)]}#*$%&|<>"
 
 _DIGIT = re.compile("[0-9]")
@@ -195,6 +236,11 @@ class Entity:
     text: str
 
 
+def _secret(value: str, sign: str) -> bool:
+    """Whether what stands behind the sign can be a secret: short values need a digit, and so do all after a colon."""
+    return bool(_DIGIT.search(value)) or sign == "=" and len(value) >= 6
+
+
 def _credentials(text: str) -> Iterator[Entity]:
     """What is set as a password or token; after a colon, only if a digit is in it."""
     for sign in "=:":
@@ -203,7 +249,7 @@ def _credentials(text: str) -> Iterator[Entity]:
             past = at + 1
             if (sign == "=" or at >= plain) and _CALLED.search(text[max(0, at - 16) : at]) and (m := _VALUE.match(text, at + 1)):
                 value = m[1].rstrip(_AROUND)
-                if len(value) >= 6 and (sign == "=" or _DIGIT.search(value)):
+                if len(value) >= (4 if sign == "=" else 6) and _secret(value, sign):
                     yield Entity("credential", m.start(1), m.start(1) + len(value), value)
                     past = m.start(1) + len(value)
                 elif sign == ":":
@@ -211,6 +257,10 @@ def _credentials(text: str) -> Iterator[Entity]:
             at = text.find(sign, past)
 
 
+def _institution(word: str) -> bool:
+    return word in INSTITUTIONS or word.removesuffix("s") in INSTITUTIONS
+
+
 def _is_person(text: str, m: re.Match) -> bool:
     """Whether two capitalised words are a person's name: by a list, by an ending, or by what stands around them."""
     first, last = m["first"], m["last"]
@@ -218,11 +268,26 @@ def _is_person(text: str, m: re.Match) -> bool:
         return False
     if first in _FIRST_OF or first.split("-")[0] in _FIRST_OF:
         return True
-    if first in STARTS or last in STARTS:
+    if first in STARTS or last in STARTS or {first, last} & CALENDAR or first in QUALIFIERS or _institution(first) or first in RANKS:
+        return False
+    before = text[max(0, m.start() - 24) : m.start()]
+    if _institution(last) or _ARTICLE.search(before):
         return False
     if last in SURNAMES or _SURNAME.search(last):
         return True
-    return bool(_AFTER.match(text, m.end()) or _BEFORE.search(text[max(0, m.start() - 24) : m.start()]))
+    if _BEFORE.search(before):
+        return True
+    if not (after := _AFTER.match(text, m.end())):
+        return False
+    return not after.group().lstrip(",").strip()[:1].isalpha() or not _THING.search(text, m.end(), m.end() + 160)  # a verb alone must not speak for a thing
+
+
+def _ranked(text: str, m: re.Match) -> bool:
+    """Whether a rank stands before a person's surname: "President Obele said"."""
+    last = m["last"]
+    if m["first"] not in RANKS or last in RANKS or last in STARTS or _institution(last) or last in CALENDAR or last in QUALIFIERS:
+        return False
+    return last in SURNAMES or bool(_SURNAME.search(last) or _AFTER.match(text, m.end()))
 
 
 def _names(text: str) -> Iterator[Entity]:
@@ -238,11 +303,42 @@ def _names(text: str) -> Iterator[Entity]:
         elif _is_person(text, m):
             yield Entity("first", *m.span("first"), m["first"])
             yield Entity("last", *m.span("last"), m["last"])
+        elif _ranked(text, m):
+            yield Entity("last", *m.span("last"), m["last"])
         else:
             continue
         at = m.end()
 
 
+#: Introductions in scripts without capitals, and what a name is made of there.
+_CASELESS = [
+    (("我叫", "我的名字是", "我的名字叫"), re.compile(r"\s?([\u4e00-\u9fff]{2,4})(?=[，。,.!！、\s]|$)"), False),
+    (("名前は", "なまえは"), re.compile(r"\s?([\u4e00-\u9fff\u3041-\u30fa\u30fc]{2,10}?)(?=です|と申し|といい|と言い)"), False),
+    (("이름은",), re.compile(r"\s?([\uac00-\ud7a3]{2,4}?)(?=입니다|이에요|예요|이라고|라고)"), False),
+    (("اسمي", "إسمي"), re.compile(r"\s([\u0621-\u064a]{2,}(?: [\u0621-\u064a]{2,}){0,2})(?![\u0621-\u064a])"), True),
+    (("नाम",), re.compile(r"\s([\u0900-\u0963]{2,}(?: [\u0900-\u0963]{2,}){0,2}?)(?= है| हैं|।)"), True),
+]
+
+
+def _introduced(text: str) -> Iterator[Entity]:
+    """Names behind an introduction in a script without capitals, and their other mentions."""
+    for words, name, parted in _CASELESS:
+        known: set[str] = set()
+        for w in words:
+            at = text.find(w)
+            while at >= 0:
+                if m := name.match(text, at + len(w)):
+                    known |= set(m[1].split(" ")) if parted else {m[1]}
+                at = text.find(w, at + len(w))
+        for k in sorted(known, key=lambda k: (-len(k), k)):
+            at = text.find(k)
+            while at >= 0:
+                stop = at + len(k)
+                if not parted or not (text[at - 1 : at].isalpha() or text[stop : stop + 1].isalpha()):
+                    yield Entity("last", at, stop, k)
+                at = text.find(k, stop)
+
+
 def _means_person(text: str, m: re.Match) -> bool:
     """Whether an everyday word that is also a known person's name means the person here.
 
@@ -274,14 +370,18 @@ def detect(text: str) -> list[Entity]:
         left = text.rfind("\n", 0, digit.start()) + 1
         right = text.find("\n", digit.start())
         right = len(text) if right < 0 else right
-        for pattern in (_NUMBER, _SECRET):
+        for pattern in (_NUMBER, _SECRET, _NAMED_SSN):
             for m in pattern.finditer(text, left, right):
                 if m.lastgroup != "card" or not m.group().isdigit() or luhn(m.group()[:-1]) == int(m.group()[-1]):
-                    found.append(Entity(m.lastgroup, m.start(), m.end(), m.group()))
+                    found.append(Entity(m.lastgroup, *m.span(m.lastgroup), m[m.lastgroup]))
         digit = _DIGIT.search(text, right)
     if any(x in text for x in KEY_STARTS):
         found += [Entity("key", m.start(), m.end(), m.group()) for m in _KEY.finditer(text)]
     found += _credentials(text)
+    if "earer " in text or "EARER " in text:
+        found += [Entity("credential", *m.span("token"), m["token"]) for m in _BEARER.finditer(text) if _DIGIT.search(m["token"])]
+    if not text.isascii():
+        found += _introduced(text)
     named = list(_names(text))
     if named:
         found += named
