@@ -453,6 +453,35 @@ def page_extract(spark, d):
     return extract.extract(spread(table(spark, d, "pages")))
 
 
+# Layouts without article or main element, filled with the beginnings of documents; SQL knows what stands in the text.
+_REST = "The rest is told here at some length, with commas, with a full stop at the end, and with words enough to count as text of its own."
+_MENU = "<ul>" + "".join(f'<li><a href="/{k}">Section number {k} of this site</a></li>' for k in range(12)) + "</ul>"
+_SIDE = "".join(f'<p><a href="/more/{k}">Another story that one may like to read, number {k}</a></p>' for k in range(6))
+_LAYOUTS = [  # {a}: the document's beginning, {b}: the rest
+    "<body><div id=top>{menu}</div><div class=middle><p>{a}</p><p>{b}</p></div><div>{side}</div></body>",
+    "<body><table><tr><td>{menu}</td><td><p>{a}</p><p>{b}</p></td></tr></table></body>",
+    "<body><div><div>{menu}<div><div><p>{a}</p><p>{b}</p></div></div></div></div>{side}</body>",
+    "<body><div class=story><div class=part><p>{a}</p></div><div class=part><p>{b}</p></div></div><div class=promo>{side}</div></body>",
+    "<body>{menu}<section><blockquote>{a}</blockquote><pre>{b}</pre></section><section>{side}</section></body>",
+    "<body><div class=widget><p>Sign up, please, and get more, much more, every day, of all of it, for nothing.</p></div><div><p>{a}<p>{b}</div>{menu}</body>",
+    "<body><div><span>{menu}</span></div><div><div><p>{a}</p></div><p>{b}</p></div></body>",
+    "<body><div class=menu2>{side}{menu}</div><div class=content><p>{a}</p><p>{b}</p></div><p><a href=/x>A last word in a link, with a comma</a></p></body>",
+    "<body><div><p>{a}</p><ul><li><a href=/y>see also this page</a></li></ul><p>{b}</p><script>var p = '<p>no</p>'</script></div><div class=related-posts>{side}</div></body>",
+    "<body><form><div><p>{a}</p><p>{b}</p></div></form><div class='cookie-banner'><p>We use cookies, and you agree, or not, to all of them, as you like it.</p></div></body>",
+]
+_BEGIN = "trim(left(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]', ' ', 'g'), ' +', ' ', 'g')), 400))"
+
+
+@query(f"""WITH b AS (SELECT doc_id, doc_id % 10 AS layout, 'It begins, as it were, like this: ' || {_BEGIN} AS a FROM documents WHERE doc_id IS NOT NULL)
+SELECT doc_id AS page_id, md5(trim(regexp_replace(trim(a), ' +', ' ', 'g')) || chr(10) || CASE WHEN layout = 8 THEN 'see also this page' || chr(10) ELSE '' END || '{_REST}') AS digest FROM b""")
+def page_main_text(spark, d):
+    text = F.trim(F.left(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 .,]", " "), " +", " ")), F.lit(400)))
+    a = F.concat(F.lit("It begins, as it were, like this: "), text)
+    layout = F.element_at(F.array(*[F.lit(x.replace("{menu}", _MENU).replace("{side}", _SIDE).replace("{b}", _REST)) for x in _LAYOUTS]), (F.col("doc_id") % 10).cast("int") + 1)
+    pages = _docs(spark, d).where("doc_id is not null").select(F.col("doc_id").alias("page_id"), F.lit("https://me.org/").alias("url"), F.replace(layout, F.lit("{a}"), a).alias("html"))
+    return extract.extract(pages).select("page_id", F.md5("text").alias("digest"))
+
+
 # Pages with links: those of the table have none to other hosts, so forms of links are put into their articles.
 _FAR = ["arxiv.org", "en.wikipedia.org", "news.example.org", "reuters.com", "blog.example.net"]
 _ABOUT = ["license", "tea", "public"]
@@ -680,20 +709,6 @@ def mutate_query(spark, d):
 
 _ROLE_ROWS = _values([(r, dim) for r, dims in T.ROLE_DIMENSIONS.items() for dim in dims])
 _PLAIN_TEMPLATES = _values([(i, dim[0], p, q) for i, dim in enumerate(T.DIMENSIONS) for p, q in enumerate(dim[3])])
-_FALLBACK = f"""rd(role, dimension) AS (VALUES {_ROLE_ROWS}), tp(ordinal, dimension, place, template) AS (VALUES {_PLAIN_TEMPLATES}),
-fq AS (SELECT role, CAST(row_number() OVER (PARTITION BY role ORDER BY ordinal, place) - 1 AS INT) AS pos, replace(template, '{{t}}', '{TOPIC}') AS query FROM rd JOIN tp USING (dimension))"""
-
-
-@query(f"WITH {_FALLBACK} SELECT role, pos, query FROM fq WHERE pos < 12")
-def fallback_queries(spark, d):
-    return planning.fallback_queries(spark, TOPIC, 12)
-
-
-@query(f"WITH {_FALLBACK} SELECT role, query, pos % 3 AS grp FROM fq WHERE pos < 12")
-def fan_out(spark, d):
-    return planning.fan_out(planning.fallback_queries(spark, TOPIC, 12), 3).select("role", "query", "grp")
-
-
 _TOPICS = "(SELECT item_id, CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN left(text, 30) || ': ' || text WHEN 2 THEN left(text, 12) || ' — ' || text ELSE 'a: ' || left(text, 3) END AS t FROM benchmark)"
 
 
@@ -704,9 +719,33 @@ k AS (SELECT *, list_filter(range(len(ws)), lambda i: length(array_to_string(ws[
 s AS (SELECT item_id, t, array_to_string(ws[1:coalesce(k, len(ws))], ' ') AS s FROM k)
 SELECT item_id, CASE WHEN length(s) < 5 THEN array_to_string(regexp_split_to_array(t, '\\s+')[1:5], ' ') ELSE s END AS topic FROM s""")
 def short_topics(spark, d):
+    return short_topic_inputs(spark, d).select("item_id", X.short_topic("topic").alias("topic"))
+
+
+def short_topic_inputs(spark, d) -> DataFrame:
     n = F.col("item_id") % 4
     t = F.when(n == 0, F.col("text")).when(n == 1, F.concat(F.left("text", F.lit(30)), F.lit(": "), "text")).when(n == 2, F.concat(F.left("text", F.lit(12)), F.lit(" — "), "text"))
-    return table(spark, d, "benchmark").select("item_id", X.short_topic(t.otherwise(F.concat(F.lit("a: "), F.left("text", F.lit(3))))).alias("topic"))
+    return table(spark, d, "benchmark").select("item_id", t.otherwise(F.concat(F.lit("a: "), F.left("text", F.lit(3)))).alias("topic"))
+
+
+_FALLBACK = f"""rd(role, dimension) AS (VALUES {_ROLE_ROWS}), tp(ordinal, dimension, place, template) AS (VALUES {_PLAIN_TEMPLATES}),
+st AS ({ORACLE_SQL["short_topics"]}),
+fq AS (SELECT item_id, role, CAST(row_number() OVER (PARTITION BY item_id, role ORDER BY ordinal, place) - 1 AS INT) AS pos, replace(template, '{{t}}', topic) AS query
+       FROM st, rd JOIN tp USING (dimension))"""
+
+
+def _fallback(spark, d) -> DataFrame:
+    return planning.fallback_table(short_topic_inputs(spark, d).withColumnRenamed("item_id", "key"), 12)
+
+
+@query(f"WITH {_FALLBACK} SELECT item_id, role, pos, query FROM fq WHERE pos < 12")
+def fallback_queries(spark, d):
+    return _fallback(spark, d).withColumnRenamed("key", "item_id")
+
+
+@query(f"WITH {_FALLBACK} SELECT item_id, role, query, pos % 3 AS grp FROM fq WHERE pos < 12")
+def fan_out(spark, d):
+    return planning.fan_out(_fallback(spark, d), 3, ["key", "role"]).select(F.col("key").alias("item_id"), "role", "query", "grp")
 
 
 @query("""SELECT item_id, array_to_string([trim(l), 'query about ' || item_id], '|') AS lines FROM (SELECT item_id, left(replace(text, chr(10), ' '), 50) AS l FROM benchmark)""")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import text as X
 from corpusloom.functions.tables import DIMENSIONS, GAP_ROLES, KEY_MARKERS
@@ -16,13 +19,68 @@ def dimensions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, d[0], d[1]) for i, d in enumerate(DIMENSIONS)], "ordinal int, dimension string, label string")
 
 
+#: (ordinal, dimension, keyword) of all dimensions.
+KEYWORDS = [(i, d[0], k) for i, d in enumerate(DIMENSIONS) for k in d[2]]
+
+
+@functools.cache
+def _automaton():
+    """An Aho-Corasick automaton over all keywords; a word of several dimensions has the numbers of each."""
+    import ahocorasick
+
+    found: dict[str, list[int]] = {}
+    for n, (_, _, k) in enumerate(KEYWORDS):
+        found.setdefault(k, []).append(n)
+    out = ahocorasick.Automaton()
+    for k, numbers in found.items():
+        out.add_word(k, (len(k), numbers))
+    out.make_automaton()
+    return out
+
+
+def count_keywords(text: str, total: list[int]) -> None:
+    """Add the non-overlapping places of every keyword in a lower-case text to ``total``; one pass over the text."""
+    free: dict[int, int] = {}  # from where on the next place of a keyword counts
+    for end, (size, numbers) in _automaton().iter(text):
+        first = numbers[0]
+        if end - size + 1 >= free.get(first, 0):
+            free[first] = end + 1
+            for n in numbers:
+                total[n] += 1
+
+
 def dimension_hits(sources: DataFrame, text: str = "text") -> DataFrame:
-    """dimension, keyword, hits over all texts; one pass, one row a keyword after the partial sums."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    pairs = [(i, d[0], k) for i, d in enumerate(DIMENSIONS) for k in d[2]]
-    sums = sources.select(low.alias("t")).agg(*[F.coalesce(F.sum(X.occurrences(F.col("t"), k)), F.lit(0)).alias(f"k{j}") for j, (_, _, k) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(d).alias("dimension"), F.lit(k).alias("keyword"), F.col(f"k{j}").alias("hits")) for j, (i, d, k) in enumerate(pairs)])
-    return sums.select(F.explode(rows).alias("r")).select("r.*")
+    """ordinal, dimension, keyword, hits over all texts; one pass over each, one row a keyword and task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = [0] * len(KEYWORDS)
+        for b in batches:
+            for t in b.column(0):
+                count_keywords(t.as_py(), total)
+        yield pa.record_batch([pa.array(range(len(total)), pa.int32()), pa.array(total, pa.int64())], ["number", "n"])
+
+    counts = sources.select(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t")).mapInArrow(run, "number int, n long")
+    counts = counts.groupBy("number").agg(F.sum("n").alias("n"))
+    names = sources.sparkSession.createDataFrame([(n, *k) for n, k in enumerate(KEYWORDS)], "number int, ordinal int, dimension string, keyword string")
+    return names.join(F.broadcast(counts), "number", "left").select("ordinal", "dimension", "keyword", F.coalesce("n", F.lit(0)).alias("hits"))  # a hundred rows
+
+
+def mentions(sources: DataFrame) -> DataFrame:
+    """idx, ordinal, dimension: which dimensions each source (idx, text) mentions; one pass over each text."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = [sorted({KEYWORDS[n][0] for _, (_, numbers) in _automaton().iter(t.as_py()) for n in numbers}) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], ["idx", "ordinals"])
+
+    low = sources.select("idx", F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    kind = T.StructType([low.schema["idx"], T.StructField("ordinals", T.ArrayType(T.IntegerType()))])
+    names = F.array(*[F.lit(d[0]) for d in DIMENSIONS])
+    return low.mapInArrow(run, kind).select("idx", F.explode("ordinals").alias("ordinal")).select("idx", "ordinal", F.element_at(names, F.col("ordinal") + 1).alias("dimension"))
 
 
 def covered(hits: DataFrame) -> DataFrame:
@@ -114,12 +172,7 @@ def key_sentences(sources: DataFrame, words: list[str], n: int = 3) -> DataFrame
 
 def findings_by_dimension(sources: DataFrame, words: list[str], per_dimension: int = 5, n: int = 3) -> DataFrame:
     """For each dimension, key sentences of the first sources that mention it."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    mentions = F.filter(F.array(*[
-        F.when(F.exists(F.array(*[F.lit(k) for k in d[2]]), lambda k: F.contains(low, k)), F.struct(F.lit(i).alias("ordinal"), F.lit(d[0]).alias("dimension")))
-        for i, d in enumerate(DIMENSIONS)
-    ]), lambda x: x.isNotNull())
-    hit = sources.select("idx", F.explode(mentions).alias("d")).select("idx", "d.*")
+    hit = mentions(sources)
     first = hit.withColumn("turn", F.row_number().over(Window.partitionBy("dimension").orderBy("idx"))).where(F.col("turn") <= per_dimension)
     texts = sources.select("idx", "text").join(first.select("idx", "ordinal", "dimension"), "idx")
     extra = F.lit(None)

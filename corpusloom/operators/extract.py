@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.functions.tables import BOILERPLATE, DATE_KEYS, DATE_SELECTORS
+from corpusloom.operators import maintext
 
 LEAST_TEXT = 100
 MOST_LINKS = 40
@@ -91,6 +92,11 @@ class Selectors:
 _DROP = Selectors(BOILERPLATE)
 _DATES = Selectors(DATE_SELECTORS)
 
+def drops(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether an element is boilerplate or hidden."""
+    return tag in ("script", "style") or _DROP.any(tag, attrs) or ("style" in attrs and bool(_HIDDEN.search(attrs["style"])))
+
+
 # ------------------------------------------------------------- the parser
 
 
@@ -114,7 +120,7 @@ class _Page(HTMLParser):
         a = {k: v or "" for k, v in reversed(attrs)}  # of repeated attributes the first holds
         if tag in _SELF_CLOSING and self.stack and self.stack[-1][0] == tag:
             self._close()
-        drop = tag in ("script", "style") or _DROP.any(tag, a) or ("style" in a and bool(_HIDDEN.search(a["style"])))
+        drop = drops(tag, a)
         if not (self.skip or drop) or tag == "script" and not self.skip:
             self._note(tag, a)
         if not self.skip:
@@ -204,10 +210,14 @@ def _fallback(html: str) -> str:
     return " ".join(re.sub(r"<[^>]+>", " ", html).split())
 
 
+def _tidy(parts: list[str]) -> str:
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", re.sub(r"[ \t\r\f]+", " ", "".join(parts)))).strip()
+
+
 def _text(page: _Page, html: str) -> str:
-    """The article's text with its paragraphs, else all text outside boilerplate, else the fallback."""
-    for parts in (page.article, page.body):
-        text = re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", re.sub(r"[ \t\r\f]+", " ", "".join(parts)))).strip()
+    """The article's text with its paragraphs; without one the best-scored part; else all text outside boilerplate, else the fallback."""
+    for made in (lambda: _tidy(page.article), lambda: maintext.main_text(html, drops), lambda: _tidy(page.body)):
+        text = made()
         if len(text) > LEAST_TEXT:
             return text
     return _fallback(html)

@@ -168,14 +168,19 @@ def context_window(hits: DataFrame, chunks: DataFrame, w: int = 1) -> DataFrame:
 
 
 def context(hits: DataFrame, chunks: DataFrame, chars: int = 200) -> DataFrame:
-    """The end of the chunk before and the start of the one after, empty if missing."""
-    w = Window.partitionBy("doc_id").orderBy("chunk_index")
-    near = chunks.select(
-        "seq",
-        F.coalesce(F.max(F.right("text", F.lit(chars))).over(w.rangeBetween(-1, -1)), F.lit("")).alias("context_before"),
-        F.coalesce(F.max(F.left("text", F.lit(chars))).over(w.rangeBetween(1, 1)), F.lit("")).alias("context_after"),
+    """The end of the chunk before and the start of the one after, empty if missing.
+
+    Only the neighbours of hits are looked up; chunks are not put in order.
+    """
+    ends = F.struct(F.left("text", F.lit(chars)).alias("start"), F.right("text", F.lit(chars)).alias("end"))
+    near = context_window(hits.select("seq").distinct(), chunks.select("seq", "doc_id", "chunk_index", ends.alias("text")))
+    own = chunks.select("seq", F.col("chunk_index").alias("__at"))
+    near = near.join(own, "seq").groupBy("seq").agg(
+        F.max(F.when(F.col("near_index") < F.col("__at"), F.col("near_text.end"))).alias("context_before"),
+        F.max(F.when(F.col("near_index") > F.col("__at"), F.col("near_text.start"))).alias("context_after"),
     )
-    return hits.join(near, "seq")
+    empty = [F.coalesce(c, F.lit("")).alias(c) for c in ("context_before", "context_after")]
+    return hits.join(near, "seq", "left").select(*hits.columns, *empty)
 
 
 def list_all(chunks: DataFrame, most: int) -> DataFrame:

@@ -83,7 +83,18 @@ def fallback_queries(spark: SparkSession, topic: str, most: int, focus: list[str
     return spark.createDataFrame(rows, "role string, pos int, query string")
 
 
-def fan_out(queries: DataFrame, groups: int, key: str = "role") -> DataFrame:
+def fallback_table(topics: DataFrame, most: int) -> DataFrame:
+    """key, role, pos, query for a table of topics (key, topic): each role's templates with the short topic, each once."""
+    rows = [(r, i, p, q) for r, dims in ROLE_DIMENSIONS.items() for i, d in enumerate(DIMENSIONS) if d[0] in dims for p, q in enumerate(d[3])]
+    forms = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(i).alias("i"), F.lit(p).alias("p"), F.lit(q).alias("form")) for r, i, p, q in rows])
+    told = topics.select("key", X.short_topic("topic").alias("short"), F.explode(forms).alias("f"))
+    told = told.select("key", "f.role", F.struct("f.i", "f.p").alias("at"), F.replace("f.form", F.lit("{t}"), F.col("short")).alias("query"))
+    once = told.groupBy("key", "role", "query").agg(F.min("at").alias("at"))
+    pos = F.row_number().over(Window.partitionBy("key", "role").orderBy("at")) - 1
+    return once.withColumn("pos", pos).where(F.col("pos") < most).select("key", "role", "pos", "query")
+
+
+def fan_out(queries: DataFrame, groups: int, key: str | list[str] = "role") -> DataFrame:
     """Deal each role's queries round-robin to ``groups``, if there are more than two."""
     size = queries.groupBy(key).agg(F.count("*").alias("__n"))
     dealt = queries.join(size, key)

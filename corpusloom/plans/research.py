@@ -60,11 +60,21 @@ class Run:
         self.hits = hits.select("query", "seq", "url", *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "snippet")], engine.alias("engine"))
         told = {"title": "string", "description": "string", "published": "string", "outlinks": _LINKS}
         own = [(F.col(c) if c in pages.columns else F.lit(None)).cast(t).alias(f"page_{c}") for c, t in told.items()]
-        self.pages = pages.select("url", F.left("text", F.lit(content)).alias("text"), *own).dropDuplicates(["url"])
+        self.pages = pages.select("url", F.left("text", F.lit(content)).alias("text"), *own)
         self.sources = checkpointed(self.spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in SOURCE.items())))
         self.tried = self.spark.createDataFrame([], "url string")
         self.asked: list[str] = []
 
+    def _fetched(self, urls: DataFrame) -> DataFrame:
+        """One captured page of each of ``urls``: of several captures the least by its fields.
+
+        Candidates are few; captures of other URLs are dropped before anything is shuffled.
+        """
+        own = self.pages.join(F.broadcast(urls.select("url").distinct()), "url", "left_semi")  # bounded by the budgets
+        links = F.transform("page_outlinks", lambda x: F.to_json(x))
+        order = F.row_number().over(Window.partitionBy("url").orderBy("text", "page_title", "page_description", "page_published", links))
+        return own.withColumn("__n", order).where("__n = 1").drop("__n")
+
     # --------------------------------------------------------- one round
 
     def collect(self, tasks: list[Task], number: int) -> int:
@@ -127,7 +137,7 @@ class Run:
         c = scoring.first_per(candidates.withColumn("ord", F.struct("task_id", "turn")), "url", "ord").join(seen, "url", "left_anti")
         c = checkpointed(c)
         self.tried = checkpointed(self.tried.union(c.select("url")))
-        page = c.join(self.pages, "url").withColumn("word_count", X.count_words("text"))
+        page = c.join(self._fetched(c), "url").withColumn("word_count", X.count_words("text"))
         page = page.withColumn("relevance", admission.relevance(F.col("text"), F.col("page_title"), F.col("snippet"), self.words))
         told = scoring.score(page.withColumn("shown", F.col("title")).withColumn("title", F.coalesce("page_title", "title")).withColumn("snippet", F.coalesce("page_description", "snippet")), self.year)
         told = told.join(tasks.select("task_id", "role", "label", "budget"), "task_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,19 +23,40 @@ LEAST_TEXT = 50
 BARE_NAME = 30
 
 
-def scan(spark: SparkSession, folder: str, only: list[str] | None = None) -> DataFrame:
-    """Readable files under a folder: path, relative path, name, extension, size, time, content.
+#: What a path must not mean as a pattern.
+_PATTERN = re.compile(r"[\\\[\]{}*?]")
 
-    ``only`` names the files to look at; without it the whole folder is listed.
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder if only is None else only)
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """path, rel, name, ext, length, modificationTime of readable files; only the folder is listed, no file is opened."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "modificationTime", "length")
+    return _told(raw, folder).where(_wanted())
+
+
+def _told(raw: DataFrame, folder: str) -> DataFrame:
     root = folder.rstrip("/") + "/"
     rel = F.regexp_replace(F.substr("path", F.instr("path", root) + len(root)), "^/+", "")
-    name = F.element_at(F.split("rel", "/"), -1)
-    files = raw.withColumn("rel", rel).withColumn("name", name).withColumn("ext", extension(F.col("name")))
+    return raw.withColumn("rel", rel).withColumn("name", F.element_at(F.split("rel", "/"), -1)).withColumn("ext", extension(F.col("name")))
+
+
+def _wanted() -> Column:
     known = F.col("ext").isin(EXTENSIONS) | (~F.contains("name", F.lit(".")) & (F.length("name") < BARE_NAME))
     shown = ~F.col("rel").rlike(r"(^|/)(\.|node_modules(/|$)|__pycache__(/|$))")
-    return files.where(known & shown & (F.size(F.split("rel", "/")) <= MOST_DEPTH + 1))
+    return known & shown & (F.size(F.split("rel", "/")) <= MOST_DEPTH + 1)
+
+
+def scan(spark: SparkSession, folder: str, only: list[str] | None = None) -> DataFrame:
+    """Readable files under a folder: path, relative path, name, extension, size, time, content.
+
+    The folder is listed first, as Spark lists any input; only files that depth,
+    names and extensions let pass are opened.  ``only`` names the files to look
+    at, without a listing.
+    """
+    paths = [r[0] for r in listed(spark, folder).select("path").collect()] if only is None else only  # the driver lists inputs anyway
+    if not paths:
+        empty = T.StructType.fromDDL("path string, modificationTime timestamp, length bigint, content binary")
+        return _told(spark.createDataFrame([], empty), folder)
+    return _told(spark.read.format("binaryFile").load([_PATTERN.sub(r"\\\g<0>", p) for p in paths]), folder).where(_wanted())
 
 
 def file_text(ext: Column, content: Column) -> Column:
@@ -109,7 +131,7 @@ def ingest(
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """file_path and metadata_hash (path, size, time) of the files of a folder; none is opened."""
-    found = scan(spark, folder)
+    found = listed(spark, folder)
     return found.select(F.col("path").alias("file_path"), metadata_hash(F.col("path"), F.col("length"), F.unix_millis("modificationTime")).alias("metadata_hash"))
 
 
