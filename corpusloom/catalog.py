@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import tables as T
 from corpusloom.functions import text as X
-from corpusloom.operators import admission, chunking, coverage, extract, retrieval, scoring, serp, throttle
+from corpusloom.operators import admission, chunking, coverage, extract, retrieval, scoring, serp, throttle, visited
 from corpusloom.operators import corpus as C
 from corpusloom.plans import planning, report
 from corpusloom.sources import fetch
@@ -448,6 +448,15 @@ def page_text_fallback(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(t).alias("digest"), F.length(t).alias("chars"))
 
 
+_UNTAGGED = r"""replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'),
+ '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', ' ')"""
+
+
+@query(f"""SELECT page_id, md5(trim(regexp_replace({_UNTAGGED}, '\\s+', ' ', 'g'))) AS folded, md5({_UNTAGGED}) AS plain FROM pages""")
+def tags_stripped(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(X.strip_tags("html")).alias("folded"), F.md5(X.strip_tags("html", False)).alias("plain"))
+
+
 @query()
 def page_extract(spark, d):
     return extract.extract(spread(table(spark, d, "pages")))
@@ -582,6 +591,16 @@ def admit_sources(spark, d):
     return got.select("ord", "task_id", "host", F.round("relevance", 6).alias("relevance"))
 
 
+@query("SELECT page_id, md5(url) AS digest FROM pages WHERE page_id % 3 <> 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def unvisited(spark, d):
+    # two rounds have asked for the pages of every third id
+    pages = spread(table(spark, d, "pages"))
+    seen = visited.Visited(spark, pages.count())
+    seen.add(pages.where("page_id % 6 = 0"))
+    seen.add(pages.where("page_id % 6 = 3"))
+    return seen.unvisited(pages.select("page_id", "url")).select("page_id", F.md5("url").alias("digest"))
+
+
 @query("""WITH h AS (SELECT source AS host, min(doc_id) % 7 AS n FROM documents GROUP BY source)
 SELECT ord, host FROM (SELECT doc_id AS ord, source AS host, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS t FROM documents) JOIN h USING (host) WHERE t + n <= 8""")
 def host_cap(spark, d):

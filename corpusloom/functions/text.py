@@ -121,6 +121,14 @@ def strip_html(html: Column | str) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+def strip_tags(html: Column | str, fold: bool = True) -> Column:
+    """Tags to nothing and six entities; white space is collapsed and taken off both ends, or left as it is."""
+    t = F.regexp_replace(_c(html), r"<[^>]+>", "")
+    for entity, plain in ENTITIES:
+        t = F.replace(t, F.lit(entity), F.lit(plain))
+    return trim(F.regexp_replace(t, r"\s+", " ")) if fold else t
+
+
 # ------------------------------------------------------------- PDF
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,7 +54,8 @@ def topic_words(topic: str) -> list[str]:
 class Run:
     """One run's captured tables and what it has collected so far."""
 
-    def __init__(self, hits: DataFrame, pages: DataFrame, depth: Depth, words: list[str], year: int, local: DataFrame | None, content: int, postings: DataFrame | None = None):
+    def __init__(self, hits: DataFrame, pages: DataFrame, depth: Depth, words: list[str], year: int, local: DataFrame | None, content: int, postings: DataFrame | None = None, cancelled: Callable[[], bool] = lambda: False):
+        self.cancelled = cancelled
         self.spark, self.depth, self.words, self.year, self.local, self.content = hits.sparkSession, depth, words, year, local, content
         self.postings = written(C.postings(local)) if local is not None and postings is None else postings  # for all rounds
         engine = F.col("engine") if "engine" in hits.columns else F.lit(MAIN_ENGINES[0])
@@ -78,22 +80,32 @@ class Run:
     # --------------------------------------------------------- one round
 
     def collect(self, tasks: list[Task], number: int) -> int:
-        """Run a round's tasks; the number of new sources."""
+        """Run a round's tasks; the number of new sources.  Whether the run is cancelled is asked before every step."""
         before = self.sources.count()
+        for step in self._steps(tasks, number):
+            if self.cancelled():
+                break
+            step()
+        return self.sources.count() - before
+
+    def _steps(self, tasks: list[Task], number: int) -> Iterator[Callable[[], None]]:
         self.number, self.base = number, number * ROUND
         t, q = planning.as_tables(self.spark, tasks)
         tasks_, queries = F.broadcast(t), F.broadcast(q)  # some dozens of rows, by the preset
         if self.local is not None:
-            self._add(self._local(t, q))
-        hits = checkpointed(self._hits(queries))
-        self.asked += [r.query for r in hits.groupBy("query").agg(F.min(F.struct("task_id", "pos")).alias("at")).orderBy("at").collect()]
-        ranked = self._ranked(hits, tasks_)
-        self._admit(ranked, tasks_, "budget")
+            yield lambda: self._add(self._local(t, q))
+        yield lambda: self._search(queries, tasks_)
         links = [x for x in tasks if x.follow_links]
         if links:
-            self._follow(tasks_, links)
-        self._discover(tasks, tasks_)
-        return self.sources.count() - before
+            yield lambda: self._follow(tasks_, links)
+        yield lambda: self._discover(tasks, tasks_)
+
+    def _search(self, queries: DataFrame, tasks_: DataFrame) -> None:
+        """Ask the queries and let in what they find."""
+        hits = checkpointed(self._hits(queries))
+        self.asked += [r.query for r in hits.groupBy("query").agg(F.min(F.struct("task_id", "pos")).alias("at")).orderBy("at").collect()]
+        if not self.cancelled():
+            self._admit(self._ranked(hits, tasks_), tasks_, "budget")
 
     def _hits(self, queries: DataFrame) -> DataFrame:
         """Hits of each task's queries: main engines, rephrased queries where they give few, then further engines."""
@@ -194,6 +206,8 @@ class Run:
             "task_id string, words array<string>, query string, most int",
         )
         for level in range(1, d.link_depth + 1):
+            if self.cancelled():
+                return
             room = words.join(self._have(), "task_id").withColumn("room", F.least(F.col("most") - F.col("have"), F.lit(d.links_followed))).where("room > 0")
             room = checkpointed(room)  # a row a task
             if room.isEmpty():
@@ -237,7 +251,7 @@ def _as_candidates(links: DataFrame, title: Column) -> DataFrame:
 
 def research(
     topic: str, hits: DataFrame, pages: DataFrame, depth: str = "standard", year: int = 2026, *, local: DataFrame | None = None, postings: DataFrame | None = None,
-    model: Model | None = None, links: bool = True, focus: list[str] | None = None, content: int | None = None,
+    model: Model | None = None, links: bool = True, focus: list[str] | None = None, content: int | None = None, cancelled: Callable[[], bool] = lambda: False,
 ) -> Result:
     """Collect sources round by round until every dimension is covered or nothing new comes.
 
@@ -245,21 +259,24 @@ def research(
     for search, ``pages`` (url, text, and title, description, published, outlinks
     if known) for fetching; both are captured tables.  ``local`` holds chunks of
     local libraries, ``postings`` theirs if an index has them.  Without a ``model`` queries come from templates.
+    ``cancelled`` is asked before every round and step; a cancelled run reports what it has, without a model's part.
     """
     spark = hits.sparkSession
     d = planning.DEPTHS[depth]
-    run = Run(hits, pages, d, topic_words(topic), year, local, content or d.content, postings)
+    run = Run(hits, pages, d, topic_words(topic), year, local, content or d.content, postings, cancelled)
     specs = M.decompose(model, topic, d, focus)
     tasks = planning.first_tasks(spark, topic, d, specs, focus, links, None if specs else M.role_specs(spark, model, topic, d, focus))
     short = planning.short_topic(topic)
     done, stagnant, gap, covered, follow_ups = 0, 0, [], [], []
     for number in range(d.rounds):
+        if cancelled():
+            break
         new = run.collect(tasks, number)
         done = number + 1
         cover = coverage.covered(coverage.dimension_hits(run.sources)).orderBy("ordinal").collect()  # twelve rows
         covered, gap = [r.dimension for r in cover if r.covered], [r.dimension for r in cover if not r.covered]
         stagnant = 0 if new or number == 0 else stagnant + 1
-        if not gap or stagnant >= d.stagnant or done == d.rounds:
+        if not gap or stagnant >= d.stagnant or done == d.rounds or cancelled():
             break
         if new:
             follow_ups = M.summarise(model, topic, run.sources)
@@ -267,6 +284,7 @@ def research(
         plan = M.gap_queries(model, topic, coverage.gap_plan(missing, short, d.gap_queries), d, follow_ups)
         tasks = planning.gap_tasks(plan, d, done + 1, links)
     told = report.indexed(run.sources)
+    model = None if cancelled() else model
     story = M.narrative(model, topic, told, d, covered, gap)
     against = M.contradictions(model, topic, told, d)
     queries = list(dict.fromkeys(run.asked))

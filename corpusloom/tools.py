@@ -262,6 +262,35 @@ def read_pages(pages: DataFrame, urls: list[str], limit: int = 8000, links: int
     return asked.join(got.drop("page_id"), "url", "left").orderBy("number")
 
 
+#: URLs that may be read at once.
+MOST_URLS = 10
+
+
+def read_many(pages: DataFrame, urls: list[str], limit: int = 8000, outcomes: DataFrame | None = None, year: int = 2026) -> DataFrame:
+    """Up to ten captured pages: number, url, title, published, word_count, domain_score, tier, text, error.
+
+    A page that could not be read has no text and says why: what ``outcomes``
+    (url, outcome, as ``sources.fetch`` tells them) has of it, or that it was not
+    captured or holds nothing.
+    """
+    if not 1 <= len(urls) <= MOST_URLS:
+        raise ValueError(f"between 1 and {MOST_URLS} URLs can be read at once, not {len(urls)}")
+    got = read_pages(pages, urls, limit)
+    known = pages.join(F.broadcast(got.select("url")), "url", "left_semi").select("url").distinct().withColumn("captured", F.lit(True))
+    got = got.join(known, "url", "left")
+    if outcomes is None:
+        got = got.withColumn("outcome", F.lit(None).cast("string"))
+    else:
+        got = got.join(outcomes.select("url", "outcome").dropDuplicates(["url"]), "url", "left")
+    bad = F.coalesce(F.trim("text"), F.lit("")) == ""
+    why = F.when(F.col("outcome").isin("blocked", "error"), F.concat(F.lit("fetch: "), "outcome")).when(F.col("captured"), "the page holds no text").otherwise("the page was not captured")
+    scored = scoring.with_authority(got.withColumn("title", F.coalesce("title", F.lit(""))))
+    none = lambda c, x: F.when(F.col("error").isNull(), F.col(c)).otherwise(F.lit(x)).alias(c)
+    return scored.withColumn("error", F.when(bad, why)).select(
+        F.col("number") + 1, "url", "title", "published", none("word_count", 0), none("domain_score", 0), none("tier", "general"), none("text", ""), "error"
+    ).withColumnRenamed("(number + 1)", "number").orderBy("number")
+
+
 def prompt_with_clock(message: str, now: str) -> str:
     """A message with the date and time before it; ``now`` as ISO text, for the clock is the caller's."""
     spark = SparkSession.getActiveSession()
@@ -299,7 +328,7 @@ def deep_research(
     topic: str, hits: DataFrame, pages: DataFrame, store: Store | None = None, model: planning.Model | None = None, settings: Settings | None = None,
     focus: list[str] | None = None, depth: str | None = None, content: int | None = None, year: int = 2026, cancelled: Callable[[], bool] = lambda: False,
 ) -> dict | str:
-    """A whole run: rounds, queries, coverage, report and an index of its sources; a message if it is cancelled or fails."""
+    """A whole run: rounds, queries, coverage, report and an index of its sources; a message if it fails or is cancelled before it has any."""
     if len(topic.strip()) < LEAST_TOPIC:
         return f"Error: a topic needs {LEAST_TOPIC} characters"
     s = settings or Settings()
@@ -310,10 +339,12 @@ def deep_research(
         own = store if store and store.records and s.local_sources else None
         got = R.research(
             topic, hits, pages, depth or s.depth, year, local=own and own.chunks(), postings=own and own.postings(), model=model if s.use_model else None, links=s.follow_links,
-            focus=(focus or [])[:MOST_FOCUS], content=min(max(size, CONTENT[0]), CONTENT[1]) if size else None,
+            focus=(focus or [])[:MOST_FOCUS], content=min(max(size, CONTENT[0]), CONTENT[1]) if size else None, cancelled=cancelled,
         )
     except Exception as e:  # a tool answers with the reason
         return f"Error: {e}"
+    if cancelled() and got.sources.isEmpty():
+        return "Research was cancelled before any sources were collected."
     index = [r.asDict() for r in report.tool_output(report.indexed(got.sources)).orderBy("idx").collect()]  # bounded by the budgets
     return {
         "topic": topic, "rounds": got.rounds, "sources": len(index), "queries": got.queries, "covered": got.covered, "gaps": got.gaps,

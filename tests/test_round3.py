@@ -106,3 +106,52 @@ def test_fallback_table_equals_single_topics(spark):
         for r in planning.fallback_queries(spark, topic, 12).collect():
             want.setdefault(r.role, []).append((r.pos, r.query))
         assert {role: sorted(q) for (k, role), q in rows.items() if k == key} == {role: sorted(q) for role, q in want.items()}
+
+
+def test_visited_filter_drops_nothing_that_is_new(spark, monkeypatch):
+    from corpusloom.operators import visited
+
+    rows = [(k, f"https://a.org/{k}") for k in range(3000)] + [(9001, None)]
+    df = spark.createDataFrame(rows, "n long, url string").repartition(4)
+    for bits in (visited.MOST_BITS, 1024):  # a filter that knows little, and one that is full: maybe is all that changes
+        monkeypatch.setattr(visited, "MOST_BITS", bits)
+        monkeypatch.setattr(visited, "SEGMENT", 64)
+        v = visited.Visited(spark, 1000)
+        v.add(df.where("n % 3 = 0"))
+        v.add(df.where("n % 30 = 1"))
+        got = {r.n for r in v.unvisited(df).collect()}
+        assert got == {n for n, u in rows if u is None or not (n % 3 == 0 or n % 30 == 1)}
+        maybe = df.where("url is not null").select("n", v.maybe().alias("m")).where("m").count()
+        assert maybe > 1800 if bits == 1024 else 1100 <= maybe < 1200
+
+
+def test_read_many(spark):
+    from corpusloom.tools import read_many
+
+    page = "<article><h1>T</h1><p>" + "words of a page that is long enough to be read as text. " * 4
+    pages = spark.createDataFrame([(1, "https://arxiv.org/x", page), (2, "https://b.org/", None)], "page_id long, url string, html string")
+    outcomes = spark.createDataFrame([("https://c.org/", "blocked")], "url string, outcome string")
+    got = read_many(pages, ["https://c.org/", "https://arxiv.org/x", "https://b.org/", "https://d.org/"], outcomes=outcomes).collect()
+    assert [(r.number, r.error) for r in got] == [(1, "fetch: blocked"), (2, None), (3, "the page holds no text"), (4, "the page was not captured")]
+    assert got[1].title == "T" and got[1].domain_score > 80 and got[1].word_count > 20 and (got[0].text, got[0].tier, got[0].domain_score) == ("", "general", 0)
+    for urls in ([], ["https://a.org/"] * 11):
+        with pytest.raises(ValueError):
+            read_many(pages, urls)
+
+
+def test_cancelled_runs_report_what_they_have(spark):
+    from corpusloom.tools import Settings, deep_research
+
+    hits = spark.createDataFrame([("what is tea", 1, "https://a.org/research/1", "tea", "tea")], "query string, seq int, url string, title string, snippet string")
+    pages = spark.createDataFrame([("https://a.org/research/1", "tea is a drink of leaves " * 20)], "url string, text string")
+    asked = []
+
+    def after(n):
+        asked.clear()
+        return lambda: asked.append(1) or len(asked) > n
+
+    assert deep_research("tea", hits, pages, settings=Settings(depth="shallow"), cancelled=after(1)) == "Research was cancelled before any sources were collected."
+    got = deep_research("tea", hits, pages, settings=Settings(depth="standard"), cancelled=after(5))
+    assert got["sources"] == 1 and got["rounds"] == 1 and "tea" in got["report"]
+    whole = deep_research("tea", hits, pages, settings=Settings(depth="shallow"), cancelled=after(10**6))
+    assert len(asked) > 5 and whole["sources"] == 1  # asked before every step
