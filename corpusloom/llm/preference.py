@@ -133,8 +133,32 @@ def preference_pairs(spark, sf_dir: str) -> DataFrame:
     return assemble(format_pairs(from_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
-PREFERENCE_SQL = f"""
-WITH t AS (SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, turn, role, text FROM conversations),
+def with_other_answers(conversations: DataFrame) -> DataFrame:
+    """Every conversation as the chosen side of a pair; on the rejected side its last assistant turn has the text of the next conversation's.
+
+    Such pairs share all turns before that one.  A conversation without a next
+    one, or without an assistant, has an empty answer or two equal sides.
+    """
+    c = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), "turn", "role", "text")
+    last = c.where("role = 'assistant' and turn is not null").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("own"))
+    other = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("own.text").alias("other"))
+    new = last.join(other, "pair_id", "left").select("pair_id", F.col("own.turn").alias("at"), F.coalesce("other", F.lit("")).alias("other"))  # a row a conversation
+    swapped = F.when((F.col("role") == "assistant") & (F.col("turn") == F.col("at")), F.col("other")).otherwise(F.col("text"))
+    rejected = c.join(new, "pair_id", "left").select("pair_id", F.lit(1).cast("long").alias("side"), "turn", "role", swapped.alias("text"))
+    return c.select("pair_id", F.lit(0).cast("long").alias("side"), "turn", "role", "text").union(rejected)
+
+
+def preference_prompts(spark, sf_dir: str) -> DataFrame:
+    """Pairs with long common beginnings, from all of ``conversations``."""
+    return assemble(format_pairs(with_other_answers(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+_PAIRED = "WITH t AS (SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, turn, role, text FROM conversations)"
+_SWAPPED = """WITH l AS (SELECT conv_id, max(ROW(turn, text)) AS own FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY conv_id),
+n AS (SELECT a.conv_id, a.own[1] AS spot, coalesce(b.own[2], '') AS other FROM l a LEFT JOIN l b ON b.conv_id = a.conv_id + 1),
+t AS (SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM conversations
+  UNION ALL SELECT c.conv_id, 1, turn, role, CASE WHEN role = 'assistant' AND turn = spot THEN other ELSE text END FROM conversations c LEFT JOIN n ON n.conv_id = c.conv_id)"""
+_PARTS_SQL = f""",
 u AS (
   SELECT pair_id, turn, role, text, max(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS c, max(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS r,
          '{OPEN}' || replace(coalesce(role, ''), '<|', '< |') || chr(10) AS header, replace(coalesce(text, ''), '<|', '< |') || '{CLOSE}' AS body
@@ -156,3 +180,5 @@ SELECT pair_id, part, 0 AS place, CAST(NULL AS VARCHAR) AS role, count(*) AS n_t
        coalesce(string_agg(span, ',' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST), '') AS loss_spans, paired
 FROM s WHERE fits GROUP BY pair_id, part, paired
 UNION ALL SELECT pair_id, part, turn, role, 1, content, coalesce(span, ''), paired FROM s WHERE NOT fits"""
+PREFERENCE_SQL = _PAIRED + _PARTS_SQL
+PREFERENCE_PROMPTS_SQL = _SWAPPED + _PARTS_SQL

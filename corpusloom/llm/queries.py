@@ -8,7 +8,7 @@ from corpusloom.llm.lloyd import CENTROID_CLUSTERS_SQL, centroid_clusters
 from corpusloom.llm.mil_quality import mil_quality
 from corpusloom.llm.packing import best_fit_packing
 from corpusloom.llm.pq_dedup import embedding_dedup
-from corpusloom.llm.preference import PREFERENCE_SQL, preference_pairs
+from corpusloom.llm.preference import PREFERENCE_PROMPTS_SQL, PREFERENCE_SQL, preference_pairs, preference_prompts
 from corpusloom.llm.prefix_trie import CONVERSATION_TRIE_SQL, conversation_trie
 from corpusloom.llm.rules import QUALITY_RULES_SQL, quality_rules
 from corpusloom.llm.simhash import simhash_dedup
@@ -28,6 +28,7 @@ QUERIES = {
     "op11_html_density": html_extraction,
     "op12_conversation_trie": conversation_trie,
     "op13_centroid_clusters": centroid_clusters,
+    "preference_prompts": preference_prompts,
 }
 
 ORACLE_SQL = {
@@ -37,4 +38,5 @@ ORACLE_SQL = {
     "op11_html_density": HTML_EXTRACTION_SQL,
     "op12_conversation_trie": CONVERSATION_TRIE_SQL,
     "op13_centroid_clusters": CENTROID_CLUSTERS_SQL,
+    "preference_prompts": PREFERENCE_PROMPTS_SQL,
 }
