@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import tables as T
 from corpusloom.functions import text as X
-from corpusloom.operators import admission, chunking, coverage, extract, retrieval, scoring, serp, throttle, visited
+from corpusloom.operators import admission, blocks, chunking, coverage, extract, retrieval, scoring, serp, throttle, visited
 from corpusloom.operators import corpus as C
 from corpusloom.plans import planning, report
 from corpusloom.sources import fetch
-from corpusloom.session import spread, table  # small files are dealt to all cores
+from corpusloom.session import spread, table, written  # small files are dealt to all cores
 
 TOPIC = "general public license research"
 WORDS = ["general", "public", "license", "research"]
@@ -234,6 +234,14 @@ def bm25_topk(spark, d):
     return best.select("query_id", "seq", "rank", F.round("bm25", 6).alias("score"))
 
 
+@query(ORACLE_SQL["bm25_topk"])
+def bm25_blocks(spark, d):
+    c = _chunks(spark, d)
+    made = blocks.build(written(C.postings(c)), c)
+    best = retrieval.top(blocks.bm25_best(made, _items(spark, d), TOP), TOP, "bm25")
+    return best.select("query_id", "seq", "rank", F.round("bm25", 6).alias("score"))
+
+
 @query(f"""WITH {_BM25}, bo AS (
   SELECT query_id, seq, bm25 * CASE WHEN EXISTS (SELECT 1 FROM qf WHERE qf.query_id = bm.query_id AND contains(file_name, qf.term)) THEN 1.15 ELSE 1 END AS bm25
   FROM bm JOIN ch USING (seq))

@@ -80,7 +80,8 @@ def hybrid(chunks: DataFrame, queries: DataFrame, boost: bool = True, post: Data
 
 
 def best_hits(
-    chunks: DataFrame, queries: DataFrame, k: int, boost: bool = True, per_tier: bool = False, wanted: DataFrame | None = None, post: DataFrame | None = None
+    chunks: DataFrame, queries: DataFrame, k: int, boost: bool = True, per_tier: bool = False, wanted: DataFrame | None = None, post: DataFrame | None = None,
+    scores: DataFrame | None = None,
 ) -> DataFrame:
     """The rows of ``hybrid`` that the best ``k`` of each query (and tier) can be among.
 
@@ -90,7 +91,8 @@ def best_hits(
     lower end exceeds what they can reach.  Only queries with few or weak term
     hits go through the trigram join.  ``wanted`` (library_id) restricts what is
     scored; the statistics stay those of all ``chunks``, whose postings ``post`` are
-    if an index has them.
+    if an index has them.  ``scores`` are the queries' BM25 scores, or those that
+    blocks with bounds leave (``blocks.bm25_best`` with this search's ``raised``).
     """
     post = written(C.postings(chunks)) if post is None else post
     some = queries.where(F.size(X.terms("query")) > 0)
@@ -98,7 +100,7 @@ def best_hits(
     facts = chunks if wanted is None else in_libraries(chunks, wanted)
     facts = facts.select("seq", "library_id", "tier", "doc_id", "chunk_index")
     factor = 1 + (3 - F.col("tier")) * TIER_BOOST if boost else F.lit(1.0)
-    scored = written(bm25(chunks, some, post).join(facts, "seq").withColumn("low", F.col("bm25") * factor))  # read twice below
+    scored = written((bm25(chunks, some, post) if scores is None else scores).join(facts, "seq").withColumn("low", F.col("bm25") * factor))  # read twice below
     turn = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("low").desc()))
     floor = scored.withColumn("turn", turn).where(F.col("turn") <= k).groupBy(*group).agg(F.min("low").alias("floor"), F.count("*").alias("n"))
     floor = checkpointed(floor.where((F.col("n") == k) & (F.col("floor") > NGRAM_WEIGHT)).drop("n"))  # a row a query (and tier)
@@ -117,6 +119,11 @@ def best_hits(
     return strong.unionByName(rest.select(*columns))
 
 
+def raised(boost: bool = True) -> dict[str, float]:
+    """The most that ``best_hits`` makes of a BM25 score: what it multiplies it by after adding to it."""
+    return {"factor": 1 + 3 * TIER_BOOST if boost else 1.0, "extra": NGRAM_WEIGHT}
+
+
 def top(hits: DataFrame, k: int, score: str = "total") -> DataFrame:
     """The best ``k`` of each query, one per chunk, ties by ``seq``."""
     w = Window.partitionBy("query_id").orderBy(F.round(score, 9).desc(), "seq")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.functions.tables import PRIORITIES
 from corpusloom.operators import corpus as C
-from corpusloom.operators import extract, retrieval, scoring
+from corpusloom.operators import blocks, extract, retrieval, scoring
 from corpusloom.plans import planning, report
 from corpusloom.plans import research as R
 from corpusloom.session import checkpointed, written
@@ -42,6 +42,7 @@ class Store:
         self.records: dict[str, dict] = {}
         self.tables: dict[str, tuple[DataFrame, DataFrame]] = {}
         self.indexes: dict[str, DataFrame] = {}  # postings by library, made once
+        self.prepared: tuple[dict, blocks.Blocks] | None = None  # the libraries as they were, and their blocks
         self.listings: dict[str, DataFrame] = {}  # what a folder held when it was indexed, files without text included
         self.deltas: dict[str, int] = {}
 
@@ -138,13 +139,20 @@ class Store:
     def _asked(self, query: str) -> DataFrame:
         return self.spark.createDataFrame([(0, query)], "query_id long, query string")
 
+    def prepare(self) -> None:
+        """Lay the postings of all libraries out in blocks, for many searches; they hold until a library changes."""
+        self.prepared = (dict(self.tables), blocks.build(self.postings(), self.chunks()))
+
     def search(self, query: str, most: int = 8, library_id: str | None = None, progressive: bool = False) -> DataFrame:
         """Ranked chunks with scores and neighbouring text; ``*`` lists all."""
         c = self.chunks()
         wanted = None if library_id is None else self.spark.createDataFrame([(library_id,)], "library_id string")
         if query == "*":
             return retrieval.list_all(c if wanted is None else retrieval.in_libraries(c, wanted), most)
-        hits = retrieval.best_hits(c, self._asked(query), max(most, 3), boost=not progressive, per_tier=progressive, wanted=wanted, post=self.postings())
+        asked, k, scores = self._asked(query), max(most, 3), None
+        if wanted is None and not progressive and self.prepared is not None and self.prepared[0] == self.tables:
+            scores = blocks.bm25_best(self.prepared[1], asked, k, **retrieval.raised())
+        hits = retrieval.best_hits(c, asked, k, boost=not progressive, per_tier=progressive, wanted=wanted, post=self.postings(), scores=scores)
         best = retrieval.progressive(hits, most) if progressive else retrieval.top(hits, most)
         told = retrieval.context(best, c).join(c.select("seq", "file_name", "heading", "total_chunks", "text"), "seq")
         three = [(F.floor(F.col(s) * 1000 + 0.5) / 1000).alias(s) for s in ("total", "bm25", "ngram")]
