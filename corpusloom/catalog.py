@@ -8,6 +8,8 @@ Every query runs over its whole tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ from corpusloom.operators import admission, blocks, chunking, coverage, extract,
 from corpusloom.operators import corpus as C
 from corpusloom.plans import planning, report
 from corpusloom.sources import fetch
-from corpusloom.session import spread, table, written  # small files are dealt to all cores
+from corpusloom.streaming import lanes
+from corpusloom.session import shared_folder, spread, table, written  # small files are dealt to all cores
 
 TOPIC = "general public license research"
 WORDS = ["general", "public", "license", "research"]
@@ -858,6 +861,30 @@ def lane_schedule_penalty(spark, d):
     return _lanes(spark, d, "late")
 
 
+def _arriving(spark, d, run) -> DataFrame:
+    """All rows of a stream over the events, which arrive in three parts by time; the stream is stopped and started anew between them."""
+    e = table(spark, d, "events").withColumn("ok", F.col("event_type") != "error").withColumn("at", F.unix_millis(F.col("ts").cast("timestamp")))
+    e = e.withColumn("late", F.expr("event_id % 5 * 300")).select("event_id", "user_id", "ts", "ok", "at", "late")
+    place = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    low, high = e.agg(F.min("at"), F.max("at")).first()  # two numbers
+    third = F.least(F.floor((F.col("at") - F.lit(low)) * 3 / F.lit(high - low + 1)), F.lit(2))
+    for k in range(3):
+        e.where(third == k).write.mode("append").parquet(f"{place}/in")
+        run(spark.readStream.schema(e.schema).parquet(f"{place}/in"), f"{place}/out", f"{place}/log").awaitTermination()
+    return lanes.rows(spark, f"{place}/out")
+
+
+@query(ORACLE_SQL["penalty"])
+def throttle_stream(spark, d):
+    return _arriving(spark, d, lambda s, out, log: lanes.throttled(s, out, log, "user_id", ["ts", "event_id"], "at")).select("event_id", F.col("penalty_ms").cast("long").alias("penalty_ms"))
+
+
+@query(ORACLE_SQL["lane_schedule_penalty"])
+def lane_stream(spark, d):
+    got = _arriving(spark, d, lambda s, out, log: lanes.scheduled(s, out, log, 4, 2000, "at", ["ts", "event_id"], "late"))
+    return got.select("event_id", F.col("lane").cast("int").alias("lane"), F.col("start_ms").cast("long").alias("start_ms"))
+
+
 # ------------------------------------------------------------- answers, engines, report
 
 
