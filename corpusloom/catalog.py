@@ -18,7 +18,7 @@ from corpusloom.functions import text as X
 from corpusloom.operators import admission, blocks, chunking, coverage, extract, retrieval, scoring, serp, throttle, visited
 from corpusloom.operators import corpus as C
 from corpusloom.plans import planning, report
-from corpusloom.sources import fetch
+from corpusloom.sources import fetch, pdf
 from corpusloom.streaming import lanes
 from corpusloom.session import shared_folder, spread, table, written  # small files are dealt to all cores
 
@@ -1042,6 +1042,45 @@ def pdf_pages(spark, d):
     return got.select("page_id", "title", "description", "published", "text", F.col("word_count").cast("long").alias("word_count"), links.alias("links"))
 
 
+#: Lines of a made PDF page.
+PDF_LINES = 50
+
+
+def _pdf_of(text):
+    """A PDF file that shows every line of a text, in two-byte codes that are its UTF-16 units; no cross-reference table."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.concat(F.lit("<"), F.hex(F.encode(x, "UTF-16BE")), F.lit("> '")))
+    numbers = F.sequence(F.lit(0), F.ceil(F.size(lines) / PDF_LINES).cast("int") - 1)
+    kids = F.array_join(F.transform(numbers, lambda k: F.concat(k * 2 + 10, F.lit(" 0 R"))), " ")
+
+    def page(k):
+        shown = F.concat(F.lit("BT /F 10 Tf 12 TL 50 800 Td\n"), F.array_join(F.slice(lines, k * PDF_LINES + 1, F.lit(PDF_LINES)), "\n"), F.lit("\nET"))
+        return F.concat(k * 2 + 10, F.lit(" 0 obj <</Type/Page/Parent 2 0 R/Contents "), k * 2 + 11, F.lit(" 0 R>> endobj\n"),
+                        k * 2 + 11, F.lit(" 0 obj <</Length "), F.length(shown), F.lit(">>\nstream\n"), shown, F.lit("\nendstream endobj\n"))
+
+    units = "1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange"
+    fonts = f"""4 0 obj <</Type/Font/Subtype/Type0/Encoding/Identity-H/DescendantFonts[5 0 R]/ToUnicode 6 0 R>> endobj
+5 0 obj <</Type/Font/Subtype/CIDFontType2/DW 500>> endobj
+6 0 obj <</Length {len(units)}>>
+stream
+{units}
+endstream endobj
+"""
+    head = F.concat(F.lit("%PDF-1.4\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj\n2 0 obj <</Type/Pages/Resources<</Font<</F 4 0 R>>>>/Kids["), kids, F.lit("]>> endobj\n" + fonts))
+    tail = F.concat(F.lit("3 0 obj <</Title <FEFF"), F.hex(F.encode(F.left(text, F.lit(30)), "UTF-16BE")), F.lit(">>> endobj\ntrailer <</Root 1 0 R/Info 3 0 R>>\n%%EOF"))
+    return F.encode(F.concat(head, F.array_join(F.transform(numbers, page), ""), tail), "UTF-8")
+
+
+@query(f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+n AS (SELECT *, CAST((len(l) + {PDF_LINES - 1}) // {PDF_LINES} AS INT) AS pages FROM t)
+SELECT doc_id, pages, left(x, 30) AS title, md5(array_to_string(list_transform(range(1, pages + 1),
+  lambda k: array_to_string(list_filter(l[(k - 1) * {PDF_LINES} + 1 : k * {PDF_LINES}], lambda y: trim(y) <> ''), chr(10)) || chr(10) || '-- ' || k || ' of ' || pages || ' --' || chr(10) || chr(10)), '')) AS digest FROM n""")
+def pdf_files(spark, d):
+    """Every document as a PDF file, read again: pages, title and text."""
+    made = _docs(spark, d).select("doc_id", _pdf_of(F.coalesce("text", F.lit(""))).alias("content"))
+    got = pdf.captured(made)
+    return got.select("doc_id", "pages", F.coalesce(F.element_at("info", F.lit("Title")), F.lit("")).alias("title"), F.md5("text").alias("digest"))
+
+
 @query("""SELECT page_id, page_id % 5 < 3 AS is_pdf, page_id % 2 = 0 AS pdf_type, page_id % 2 = 0 OR page_id % 3 = 0 AS binary_type FROM pages""")
 def pdf_tests(spark, d):
     ends = ["/a.PDF", "/x.pdf?download=1", "//arxiv.org/pdf/1234", "/pdf.html", "/report.pdfx"]

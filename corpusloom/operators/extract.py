@@ -314,7 +314,7 @@ def outlinks(pages: DataFrame, most: int = MOST_LINKS) -> DataFrame:
 def extract_pdf(captured: DataFrame, limit: int = CONTENT) -> DataFrame:
     """The same columns for captured PDFs: page_id, url, text as a parser gave it, pages, info (a map of properties).
 
-    Reading the file itself is left to whoever captures it.
+    ``sources.pdf.captured`` reads these from a file's bytes.
     """
     clean = captured.withColumn("__text", X.clean_web_pdf_text(F.coalesce("text", F.lit(""))))
     info = lambda k: F.coalesce(F.trim(F.replace(F.element_at("info", F.lit(k)), F.lit("\0"), F.lit(""))), F.lit(""))

@@ -15,6 +15,7 @@ from corpusloom.functions.tables import EXTENSIONS
 from corpusloom.operators import chunking
 from corpusloom.operators.corpus import LEAST_TERMS, extension, file_tags, metadata_hash
 from corpusloom.sources import snapshots
+from corpusloom.sources.pdf import pdf_text
 
 MOST_DEPTH = 10
 VERSION = 2
@@ -60,7 +61,7 @@ def scan(spark: SparkSession, folder: str, only: list[str] | None = None) -> Dat
 
 
 def file_text(ext: Column, content: Column) -> Column:
-    """Text by kind of file; null for PDF (captured text is another table) and for broken notebooks."""
+    """Text by kind of file; null for broken notebooks and for PDFs that cannot be read."""
     raw = F.try_validate_utf8(F.decode(content, "UTF-8"))
     cells = F.try_variant_get(F.try_parse_json(raw), "$.cells", "array<variant>")
     part = lambda c, path, kind: F.try_variant_get(c, path, kind)
@@ -68,7 +69,7 @@ def file_text(ext: Column, content: Column) -> Column:
     told = F.transform(cells, lambda c: F.concat(F.lit("["), F.coalesce(part(c, "$.cell_type", "string"), F.lit("undefined")), F.lit("]\n"), source(c)))
     notebook = F.when(F.try_parse_json(raw).isNotNull(), F.array_join(F.coalesce(told, F.array().cast("array<string>")), "\n\n"))
     return (
-        F.when(ext == "pdf", F.lit(None).cast("string"))
+        F.when(ext == "pdf", X.clean_pdf_text(pdf_text(F.when(ext == "pdf", content))))
         .when(ext.isin("html", "htm", "xhtml"), X.strip_html(raw))
         .when(ext == "ipynb", notebook)
         .when(ext == "json", _pretty(F.when(ext == "json", raw)))
@@ -97,13 +98,13 @@ def _refuse(name: str) -> None:
 
 
 def read_folder(spark: SparkSession, folder: str, captured: DataFrame | None = None, only: list[str] | None = None) -> DataFrame:
-    """``scan`` with text; ``captured`` (path, text) has what a parser read from PDF files."""
+    """``scan`` with text; ``captured`` (path, text) has what another parser read from PDF files and goes before our own reading."""
     found = scan(spark, folder, only)
     own = file_text(F.col("ext"), F.col("content"))
     if captured is None:
         return found.withColumn("text", own)
     pdf = captured.select("path", X.clean_pdf_text("text").alias("__pdf"))
-    return found.join(pdf, "path", "left").withColumn("text", F.coalesce(own, F.when(F.col("ext") == "pdf", F.col("__pdf")))).drop("__pdf")
+    return found.join(pdf, "path", "left").withColumn("text", F.coalesce(F.when(F.col("ext") == "pdf", F.col("__pdf")), own)).drop("__pdf")
 
 
 def ingest(

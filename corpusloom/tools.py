@@ -19,6 +19,7 @@ from corpusloom.plans import planning, report
 from corpusloom.plans import research as R
 from corpusloom.session import checkpointed, written
 from corpusloom.sources import files as S
+from corpusloom.sources import pdf
 
 TIERS = [p[0] for p in PRIORITIES]
 
@@ -254,16 +255,20 @@ def search_candidates(hits: DataFrame, most: int = 8, year: int = 2026) -> DataF
 def read_pages(pages: DataFrame, urls: list[str], limit: int = 8000, links: int = 10) -> DataFrame:
     """Captured pages by URL in the order asked for; a page that is missing has null text.
 
-    ``pages`` has page_id, url, html; where it also has content_type, pdf_text,
-    pages and info, PDFs are read from what a parser captured of them.
+    ``pages`` has page_id, url, html; where it also has content_type and
+    content, PDFs are read from these bytes, and where it has content_type,
+    pdf_text, pages and info, from what a parser captured of them.
     """
     asked = pages.sparkSession.createDataFrame(list(enumerate(dict.fromkeys(urls))), "number int, url string")
     own = pages.join(F.broadcast(asked.select("url")), "url", "left_semi")
-    if "pdf_text" in pages.columns:
+    if "content" in pages.columns:
+        is_pdf = F.col("content").isNotNull() & (X.is_pdf_type("content_type") | X.is_pdf_url("url"))
+        read = extract.extract_pdf(pdf.captured(own.where(is_pdf).select("page_id", "url", "content")), limit)
+        got = extract.extract(own.where(~is_pdf), limit).unionByName(read)
+    elif "pdf_text" in pages.columns:
         is_pdf = F.col("pdf_text").isNotNull() & (X.is_pdf_type("content_type") | X.is_pdf_url("url"))
-        pdf = extract.extract_pdf(own.where(is_pdf).select("page_id", "url", F.col("pdf_text").alias("text"), "pages", "info"), limit)
-        own = own.where(~is_pdf)
-        got = extract.extract(own, limit).unionByName(pdf)
+        read = extract.extract_pdf(own.where(is_pdf).select("page_id", "url", F.col("pdf_text").alias("text"), "pages", "info"), limit)
+        got = extract.extract(own.where(~is_pdf), limit).unionByName(read)
     else:
         got = extract.extract(own, limit)
     got = got.withColumn("outlinks", F.slice("outlinks", 1, links))
