@@ -10,6 +10,7 @@ by term, so files and pages without a query's terms are passed over as well.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,11 +18,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import corpus as C
-from corpusloom.operators.retrieval import BROADCAST_TERMS, K1, B, query_terms
-from corpusloom.session import checkpointed, written
+from corpusloom.operators.retrieval import BROADCAST_TERMS, K1, B, query_terms, summed
+from corpusloom.session import checkpointed, dealt, written
 
 #: Chunks of a bucket, on average.
 CHUNKS = 32
+#: Postings that one task gathers into blocks, or joins in them.
+POSTINGS = 4_000_000
 #: Terms up to which they are written into the scan's filter.
 FILTER_TERMS = 1_000
 #: Values that a pushed ``IN`` keeps apart; Spark turns longer lists into one range.
@@ -32,11 +35,12 @@ _SLACK = 1e-8
 
 @dataclass(frozen=True)
 class Blocks:
-    """term, bucket, n, top, rows (seq, tf, dl); how many chunks there are, and their mean number of terms."""
+    """term, bucket, n, top, rows (seq, tf, dl); how many chunks there are, their mean number of terms, and chunks of a bucket."""
 
     table: DataFrame
     chunks: int
     avgdl: float
+    size: int = CHUNKS
 
 
 def gain(tf: Column, dl: Column, avgdl: float) -> Column:
@@ -47,11 +51,12 @@ def build(post: DataFrame, chunks: DataFrame, size: int = CHUNKS) -> Blocks:
     """Blocks of all postings, written once: one shuffle, by ranges of (term, bucket), which also parts frequent terms."""
     n, avgdl = C.corpus_stats(chunks, post).first()  # two numbers
     buckets = max(1, -(-n // size))
-    dealt = post.withColumn("bucket", F.pmod(F.xxhash64("seq"), F.lit(buckets))).repartitionByRange("term", "bucket")
-    rows = dealt.groupBy("term", "bucket").agg(
+    parts = dealt(post, math.ceil(n * avgdl), POSTINGS)  # terms, so no fewer
+    placed = post.withColumn("bucket", F.pmod(F.xxhash64("seq"), F.lit(buckets))).repartitionByRange(parts, "term", "bucket")
+    rows = placed.groupBy("term", "bucket").agg(
         F.count("*").alias("n"), F.max(gain(F.col("tf"), F.col("dl"), avgdl)).alias("top"), F.collect_list(F.struct("seq", "tf", "dl")).alias("rows")
     )
-    return Blocks(written(rows.sortWithinPartitions("term", "bucket")), n, avgdl)
+    return Blocks(written(rows.sortWithinPartitions("term", "bucket")), n, avgdl, size)
 
 
 def _with_terms(table: DataFrame, terms: DataFrame) -> DataFrame:
@@ -73,7 +78,7 @@ class Search:
     """The blocks that the best ``k`` of each query can be in: ``told`` (query_id, term, w), ``first`` and ``rest`` (query_id, bucket)."""
 
     def __init__(self, blocks: Blocks, queries: DataFrame, k: int, factor: float = 1.0, extra: float = 0.0) -> None:
-        self.avgdl = blocks.avgdl
+        self.avgdl, self.size, self.postings = blocks.avgdl, blocks.size, blocks.chunks * blocks.avgdl  # no fewer than there are
         asked = checkpointed(query_terms(queries))
         terms = checkpointed(asked.select("term").distinct())
         self.table = _with_terms(blocks.table, terms)
@@ -94,9 +99,13 @@ class Search:
 
     def score(self, places: DataFrame) -> DataFrame:
         """query_id, seq, bm25 of all chunks in these buckets."""
-        wanted = _small(checkpointed(places.join(_small(self.told), "query_id")))
+        wanted = checkpointed(places.join(_small(self.told), "query_id"))
+        count = wanted.count()
+        parts = dealt(wanted, max(count, self.postings), POSTINGS)  # the table is dealt as they are
+        wanted = F.broadcast(wanted) if count <= BROADCAST_TERMS else wanted.repartition(parts, "term", "bucket")
         rows = self.table.join(wanted, ["term", "bucket"]).select("query_id", "w", F.inline("rows"))
-        return rows.groupBy("query_id", "seq").agg(F.sum(F.col("w") * gain(F.col("tf"), F.col("dl"), self.avgdl)).alias("bm25"))
+        gains = rows.select("query_id", "seq", (F.col("w") * gain(F.col("tf"), F.col("dl"), self.avgdl)).alias("bm25"))
+        return summed(gains, places.count() * self.size)
 
     def hits(self) -> DataFrame:
         return self.seen.unionByName(self.score(self.rest))
